@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import buckets_for, gapless_rank, materialize, read
 from .textbytes import chunks, hash_slices, lower, words
 
-CACHE = 300_000  # distinct pieces of text whose ids a worker keeps
+CACHE = 800_000  # distinct pieces of text whose ids a worker keeps
 
 _NOT_SPACE = np.ones(256, dtype=bool)
 _NOT_SPACE[[0x20, 9, 10, 13]] = False
@@ -37,10 +37,10 @@ _CLASS[0x27] = 0
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray):
-    """Text split where the tokenizer's own pre-tokenizer always splits: (bytes to tokenise, starts, ends, first piece of each text).
+    """Text split where the tokenizer's own pre-tokenizer always splits: (bytes to tokenise, starts, ends, first piece of each text, whole).
 
-    Between white space, runs of letters (ASCII and U+00C0..U+024F but for three), of digits and of other signs are
-    pieces of their own; words that hold anything else (apostrophes, marks, other scripts, "<|") stay whole.
+    Between white space, runs of letters (ASCII and U+00C0..U+024F but for three), single digits and runs of other signs
+    are pieces of their own; words that hold anything else (apostrophes, marks, other scripts, "<|") stay whole.
     """
     kind = _CLASS[data]
     follow = np.r_[data[1:], np.uint8(0)]
@@ -51,23 +51,24 @@ def _spans(data: np.ndarray, offsets: np.ndarray):
     kind[(data == 0x3C) & (follow == 0x7C)] = 0
     starts, ends, index = words(data, offsets, _NOT_SPACE)
     if not len(starts):
-        return data, starts, ends, index
+        return data, starts, ends, index, np.zeros(0, dtype=bool)
     odd = np.r_[0, np.cumsum(kind == 0)]
     whole = odd[ends] > odd[starts]
-    out = lower(data)
-    for s, e in zip(starts[whole].tolist(), ends[whole].tolist()):
-        kind[s:e] = 9
-        out[s:e] = data[s:e]
-    kind[~_NOT_SPACE[data]] = 8
-    first = np.r_[True, kind[1:] != kind[:-1]]
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    edge[starts[whole]] += 1
+    edge[ends[whole]] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    kind[inside] = 9
+    out = np.where(inside, data, lower(data))
+    space = ~_NOT_SPACE[data]
+    kind[space] = 8
+    first = np.r_[True, kind[1:] != kind[:-1]] | (kind == 2)
     first[starts] = True
-    first &= kind != 8
     last = np.r_[first[1:], True]
-    stop = np.zeros(len(data), dtype=bool)
-    stop[ends - 1] = True
-    begin = np.flatnonzero(first)
-    end = np.flatnonzero((last | stop) & (kind != 8)) + 1
-    return out, begin, end, np.searchsorted(begin, offsets)
+    last[ends - 1] = True
+    begin = np.flatnonzero(first & ~space)
+    end = np.flatnonzero(last & ~space) + 1
+    return out, begin, end, np.searchsorted(begin, offsets), kind[begin] == 9
 
 
 class _Vocabulary:
@@ -75,9 +76,13 @@ class _Vocabulary:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for pieces that the normaliser would only put in lower case and the pre-tokenizer would not split
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.clear()
 
     def clear(self):
@@ -85,40 +90,45 @@ class _Vocabulary:
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = [0]
 
-    def look_up(self, hashes: np.ndarray, slices) -> np.ndarray:
-        """Places of the pieces; slices(missing) gives their bytes."""
+    def look_up(self, hashes: np.ndarray, whole: np.ndarray, slices) -> np.ndarray:
+        """Places of the pieces; slices(missing) gives their strings; whole: pieces that need the full tokenizer."""
         if len(self.known) > CACHE:
             self.clear()
         known = self.known
         at = [known.get(h, -1) for h in hashes.tolist()]
-        missing = [i for i, a in enumerate(at) if a < 0]
+        missing = np.flatnonzero(np.array(at, dtype=np.int64) < 0)
+        missing = np.r_[missing[~whole[missing]], missing[whole[missing]]]
+        plain = int((~whole[missing]).sum())
         strings = slices(missing)
-        for k in range(0, len(missing), 4096):
-            part = strings[k : k + 4096]
-            lists = [part[i : i + 256] for i in range(0, len(part), 256)]
-            for j, enc in enumerate(self.tokenizer.encode_batch(lists, is_pretokenized=True, add_special_tokens=False)):
-                ids = np.array(enc.ids, dtype=np.uint32)
-                counts = np.bincount(np.array(enc.word_ids, dtype=np.int64), minlength=len(lists[j])) if len(ids) else np.zeros(len(lists[j]), np.int64)
-                end = self.ends[-1]
-                while end + len(ids) > len(self.ids):
-                    self.ids = np.r_[self.ids, np.zeros(len(self.ids), dtype=np.uint32)]
-                self.ids[end : end + len(ids)] = ids
-                self.ends.extend((end + np.cumsum(counts)).tolist())
-        for n, i in enumerate(missing, len(self.ends) - 1 - len(missing)):
+        lists = [strings[i : min(i + 256, plain)] for i in range(0, plain, 256)]
+        self._keep(lists, self.plain.encode_batch([" ".join(x).lower() for x in lists], add_special_tokens=False))
+        lists = [strings[i : i + 256] for i in range(plain, len(strings), 256)]
+        self._keep(lists, self.tokenizer.encode_batch(lists, is_pretokenized=True, add_special_tokens=False))
+        for n, i in enumerate(missing.tolist(), len(self.ends) - 1 - len(missing)):
             at[i] = known[int(hashes[i])] = n
         return np.array(at, dtype=np.int64)
 
+    def _keep(self, lists, encodings):
+        for strings, enc in zip(lists, encodings):
+            ids = np.array(enc.ids, dtype=np.uint32)
+            counts = np.bincount(np.array(enc.word_ids, dtype=np.int64), minlength=len(strings)) if len(ids) else np.zeros(len(strings), np.int64)
+            end = self.ends[-1]
+            while end + len(ids) > len(self.ids):
+                self.ids = np.r_[self.ids, np.zeros(len(self.ids), dtype=np.uint32)]
+            self.ids[end : end + len(ids)] = ids
+            self.ends.extend((end + np.cumsum(counts)).tolist())
+
 
 _vocabularies: dict[str, _Vocabulary] = {}
 
 
 def _encode(vocabulary: _Vocabulary, data: np.ndarray, offsets: np.ndarray, end_id: int):
     """(ids of all texts, each followed by the end id, and where each text's ids begin)."""
-    out, starts, ends, index = _spans(data, offsets)
+    out, starts, ends, index, whole = _spans(data, offsets)
     n = len(offsets) - 1
     distinct, first, inverse = np.unique(hash_slices(out, starts, ends), return_index=True, return_inverse=True)
     raw = out.tobytes()
-    places = vocabulary.look_up(distinct, lambda m: [raw[s:e].decode() for s, e in zip(starts[first[m]].tolist(), ends[first[m]].tolist())]) if len(distinct) else np.zeros(0, np.int64)
+    places = vocabulary.look_up(distinct, whole[first], lambda m: [raw[s:e].decode() for s, e in zip(starts[first[m]].tolist(), ends[first[m]].tolist())]) if len(distinct) else np.zeros(0, np.int64)
     stops = np.array(vocabulary.ends, dtype=np.int64)
     begin, size = stops[places][inverse], (stops[places + 1] - stops[places])[inverse]
     sums = np.r_[0, np.cumsum(size)]

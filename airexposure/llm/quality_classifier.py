@@ -37,88 +37,84 @@ _KINDS[[0x21, 0x27, 0x28, 0x29, 0x2C, 0x2E, 0x3A, 0x3B, 0x3F, 0x22, 0x2D]] = 8
 _KINDS[0x80:] = 32
 
 
-def _index_vectors(features: np.ndarray, dim: int) -> np.ndarray:
-    """Sum over the columns of features (word x feature hashes) of sparse +1/-1 vectors with four places each."""
-    out = np.zeros((len(features), dim), dtype=np.float32)
-    rows = np.arange(len(features))
-    for f in range(features.shape[1]):
-        for k in range(4):
-            h = mix(features[:, f] + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-            out[rows, (h % np.uint64(dim)).astype(np.int64)] += 1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)).astype(np.float32)
-    return out
-
+def _places(features: np.ndarray, dim: int):
+    """Two (place, sign) of the sparse index vector of each feature hash."""
+    for k in (0, 1):
+        h = mix(features + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        yield (h % np.uint64(dim)).astype(np.int64), 1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
 
-class _Words:
-    """The distinct words of a run of texts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        starts, ends, self.first = words(data, offsets, SPACE_WORDS)
-        h = hash_slices(data, starts, ends)
-        self.hashes, at, self.inverse = np.unique(h, return_index=True, return_inverse=True)
-        s, e = starts[at], ends[at]
-        if not len(s):
-            self.features = np.zeros((0, 4), np.uint64)
-            return
-        kinds = np.bitwise_or.reduceat(_KINDS[data], np.c_[s, e].ravel()[: 2 * len(s) - (int(e[-1]) == len(data))])[::2] if (np.diff(s) > 0).all() else np.array([np.bitwise_or.reduce(_KINDS[data[i:j]]) for i, j in zip(s.tolist(), e.tolist())], dtype=np.uint8)
-        last, before, head = data[e - 1].astype(np.uint64), data[np.maximum(e - 2, s)].astype(np.uint64), data[s].astype(np.uint64)
-        kind = kinds.astype(np.uint64)
-        self.features = np.c_[self.hashes, mix(kind + np.uint64(1 << 20)), mix((last << np.uint64(8)) + before + np.uint64(2 << 20)), mix(kind * np.uint64(256) + head + np.uint64(3 << 20))]
+def _features(data: np.ndarray, s: np.ndarray, e: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each word's features: the word, its kinds of characters, its last two bytes, kinds with first byte."""
+    cuts = np.c_[s, e].ravel()
+    kind = np.bitwise_or.reduceat(_KINDS[data], cuts[:-1] if e[-1] == len(data) else cuts)[::2].astype(np.uint64)
+    last, before, head = data[e - 1].astype(np.uint64), data[np.maximum(e - 2, s)].astype(np.uint64), data[s].astype(np.uint64)
+    return [hashes, mix(kind + np.uint64(1 << 20)), mix((last << np.uint64(8)) + before + np.uint64(2 << 20)), mix(kind * np.uint64(256) + head + np.uint64(3 << 20))]
 
 
 def _frequent(share: float):
     """Arrow function: words that may be frequent in the whole corpus, as they are in some task (pigeonhole), or counts of given words."""
 
     def run(batches):
-        keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        keys, counts, missed, total = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0
         for batch in batches:
             for _, offsets, data in chunks(batch.column(0)):
-                w = _Words(lower(data), offsets)
-                total += len(w.inverse)
-                k, inverse = np.unique(np.r_[keys, w.hashes], return_inverse=True)
-                counts = np.bincount(inverse, weights=np.r_[counts, np.bincount(w.inverse, minlength=len(w.hashes))], minlength=len(k)).astype(np.int64)
-                # a word dropped here is below the share in what was read so far; it counts anew from then on
-                keep = counts >= share * total / 2
-                keys, counts = k[keep], counts[keep]
-        yield pa.record_batch([pa.array(keys.view(np.int64))], ["k"])
+                data = lower(data)
+                starts, ends, _ = words(data, offsets, SPACE_WORDS)
+                found, n = np.unique(hash_slices(data, starts, ends), return_counts=True)
+                k, inverse = np.unique(np.r_[keys, found], return_inverse=True)
+                old, new = inverse[: len(keys)], inverse[len(keys) :]
+                # a new word may have stood before, at most this often, else it would not have been dropped
+                m = np.full(len(k), share / 2 * total)
+                m[old] = missed
+                c = np.zeros(len(k))
+                c[old] = counts
+                c[new] += n
+                total += int(n.sum())
+                keep = c + m >= share / 2 * total
+                keys, counts, missed = k[keep], c[keep], m[keep]
+        yield pa.record_batch([pa.array(keys[counts + missed >= share * total].view(np.int64))], ["k"])
 
     return run
 
 
 def _contexts(vocabulary, dim: int, window: int):
-    """Arrow function: for each vocabulary word, how often it stands and the sum of its neighbours' index vectors (partial sums)."""
+    """Arrow function: for each vocabulary word, how often it stands and the sum of its neighbours' index vectors (partial
+    sums); word 0 stands for the number of all words."""
 
     def run(batches):
         keys = vocabulary.value
-        total, counts = np.zeros((len(keys), dim), dtype=np.float64), np.zeros(len(keys), dtype=np.int64)
+        total, counts, every = np.zeros(len(keys) * dim), np.zeros(len(keys), dtype=np.int64), 0
         for batch in batches:
             for _, offsets, data in chunks(batch.column(0)):
                 data = lower(data)
-                w = _Words(data, offsets)
-                if not len(w.inverse):
+                starts, ends, first = words(data, offsets, SPACE_WORDS)
+                every += len(starts)
+                if not len(starts):
                     continue
-                vectors = _index_vectors(w.features, dim)
-                at = np.minimum(np.searchsorted(keys, w.hashes), len(keys) - 1)
-                place = np.where(keys[at] == w.hashes, at, -1)[w.inverse]
-                owner = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-                known = place >= 0
-                counts += np.bincount(place[known], minlength=len(keys))
-                # pairs (vocabulary word, neighbour) as counts over distinct pairs, then one product
-                pairs = []
-                for step in range(1, window + 1):
-                    same = owner[step:] == owner[:-step]
-                    for a, b in ((place[step:], w.inverse[:-step]), (place[:-step], w.inverse[step:])):
-                        ok = same & (a >= 0)
-                        pairs.append(a[ok] * len(w.hashes) + b[ok])
-                both, n = np.unique(np.concatenate(pairs), return_counts=True)
-                word, other = both // len(w.hashes), both % len(w.hashes)
-                new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
-                if len(new):
-                    total[word[new]] += np.add.reduceat(vectors[other] * n[:, None].astype(np.float32), new, axis=0)
-        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(counts), pa.array(list(total), pa.list_(pa.float64()))], ["k", "n", "v"])
+                h = hash_slices(data, starts, ends)
+                place = _look_up(keys, h)
+                owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                counts += np.bincount(place[place >= 0], minlength=len(keys))
+                for at, sign in _places(h, dim):
+                    for step in range(1, window + 1):
+                        same = owner[step:] == owner[:-step]
+                        for word, near in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
+                            ok = same & (place[word] >= 0)
+                            total += np.bincount(place[word][ok] * dim + at[near][ok], weights=sign[near][ok], minlength=len(total))
+        yield pa.record_batch([pa.array(np.r_[keys, np.uint64(0)].view(np.int64)), pa.array(np.r_[counts, every]), pa.array([*total.reshape(-1, dim), np.zeros(dim)], pa.list_(pa.float64()))], ["k", "n", "v"])
 
     return run
 
 
+def _look_up(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Place in the sorted keys; -1: not there."""
+    if not len(keys):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, at, -1)
+
+
 def word_vectors(texts: DataFrame, dim: int = DIM, share: float = SHARE, window: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(sorted word hashes, unit context vectors) of the words that make up at least ``share`` of all words: at most 1 / share rows."""
     spark = texts.sparkSession
@@ -129,58 +125,58 @@ def word_vectors(texts: DataFrame, dim: int = DIM, share: float = SHARE, window:
     keys = np.sort(candidates)
     parts = texts.mapInArrow(_contexts(spark.sparkContext.broadcast(keys), dim, window), "k long, n long, v array<double>")
     sums = parts.groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(dim)])
-    rows = sums.filter("n > 0").toPandas().sort_values("k", key=lambda k: k.to_numpy(np.int64).view(np.uint64))
+    rows = sums.toPandas()
+    every = int(rows.loc[rows["k"] == 0, "n"].sum())
+    rows = rows[(rows["k"] != 0) & (rows["n"] >= share * every)].sort_values("k", key=lambda k: k.to_numpy(np.int64).view(np.uint64))
     vectors = rows[[f"v{i}" for i in range(dim)]].to_numpy(np.float64)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     return rows["k"].to_numpy(np.int64).view(np.uint64), vectors.astype(np.float32)
 
 
+def _distinct(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """How many different hashes each text has (hashes cut to 40 bits and more within a text)."""
+    shift = np.uint64(max(1, n).bit_length())
+    keys = np.sort((owner.astype(np.uint64) << (np.uint64(64) - shift)) | (hashes >> shift))
+    return np.bincount((keys[np.r_[True, keys[1:] != keys[:-1]]] >> (np.uint64(64) - shift)).astype(np.int64), minlength=n) if len(keys) else np.zeros(n, np.int64)
+
+
 def _pool(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, context: np.ndarray, dim: int) -> np.ndarray:
     """One row for each text: mean index vector, mean absolute index vector, mean context vector, rates."""
     n = len(offsets) - 1
     out = np.zeros((n, 3 * dim + RATES), dtype=np.float32)
-    # the case of letters tells kinds of text apart, so words are taken as they are, and looked up in lower case
-    plain, w = _Words(lower(data), offsets), _Words(data, offsets)
-    if not len(w.inverse):
+    starts, ends, first = words(data, offsets, SPACE_WORDS)
+    if not len(starts):
         return out
-    vectors = _index_vectors(w.features, dim)
-    index, size = w.first, np.diff(w.first)
-    full = np.flatnonzero(size)
-    starts = index[full]
-    per = size[full, None].astype(np.float32)
-    # means over distinct (text, word) pairs and their counts
+    size = np.diff(first)
+    per = np.maximum(size, 1).astype(np.float32)
     owner = np.repeat(np.arange(n), size)
-    both, counts = np.unique(owner * len(w.hashes) + w.inverse, return_counts=True)
-    text, word = both // len(w.hashes), both % len(w.hashes)
-    new = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-    weight = counts[:, None].astype(np.float32)
-    for i in range(0, len(new), 256):
-        lo, hi = new[i], new[i + 256] if i + 256 < len(new) else len(both)
-        cut = new[i : i + 256] - lo
-        v = vectors[word[lo:hi]] * weight[lo:hi]
-        out[full[i : i + 256], :dim] = np.add.reduceat(v, cut, axis=0)
-        out[full[i : i + 256], dim : 2 * dim] = np.add.reduceat(np.abs(v), cut, axis=0)
-    out[full, : 2 * dim] /= per
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, plain.hashes), len(keys) - 1)
-        place = np.where(keys[at] == plain.hashes, at, len(keys))[plain.inverse]
-        table = np.r_[context, np.zeros((1, dim), np.float32)]
-        for i in range(0, len(full), 256):
-            lo, hi = int(starts[i]), int(starts[i + 256]) if i + 256 < len(full) else len(place)
-            out[full[i : i + 256], 2 * dim : 3 * dim] = np.add.reduceat(table[place[lo:hi]], starts[i : i + 256] - lo, axis=0) / per[i : i + 256]
-        out[full, 3 * dim] = np.add.reduceat((place < len(keys)).astype(np.float32), starts) / per[:, 0]
-    pt = np.unique(owner * len(plain.hashes) + plain.inverse) // max(1, len(plain.hashes))
-    distinct = np.bincount(pt, minlength=n)[full]
-    same = np.r_[False, (plain.inverse[1:] == plain.inverse[:-1]) & (owner[1:] == owner[:-1])].astype(np.float32)
-    pairs = mix(plain.hashes[plain.inverse[:-1]] * np.uint64(3) + plain.hashes[plain.inverse[1:]] + owner[1:].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[owner[1:] == owner[:-1]]
-    own = owner[1:][owner[1:] == owner[:-1]]
-    _, at = np.unique(pairs, return_index=True)
-    different = np.bincount(own[at], minlength=n)[full]
-    out[full, 3 * dim + 1] = 1 - distinct / per[:, 0]
-    out[full, 3 * dim + 2] = np.add.reduceat(same, starts) / per[:, 0]
-    out[full, 3 * dim + 3] = 1 - (different + 1) / per[:, 0]
-    out[full, 3 * dim + 4] = np.log1p(per[:, 0]) / 10
-    out[full, 3 * dim + 5] = (1 - (different + 1) / per[:, 0]) / np.log1p(per[:, 0])
+    # the case of letters tells kinds of text apart, so index vectors take words as they are; context is looked up in lower case
+    for f in _features(data, starts, ends, hash_slices(data, starts, ends)):
+        for at, sign in _places(f, dim):
+            cell = owner * dim + at
+            out[:, :dim] += np.bincount(cell, weights=sign, minlength=n * dim).reshape(n, dim)
+            out[:, dim : 2 * dim] += np.bincount(cell, minlength=n * dim).reshape(n, dim)
+    plain = hash_slices(lower(data), starts, ends)
+    place = _look_up(keys, plain)
+    known = place >= 0
+    if known.any():
+        pairs, counts = np.unique(owner[known] * len(keys) + place[known], return_counts=True)
+        text, word = pairs // len(keys), pairs % len(keys)
+        new = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+        for i in range(0, len(new), 256):
+            lo, hi = int(new[i]), int(new[i + 256]) if i + 256 < len(new) else len(pairs)
+            out[text[new[i : i + 256]], 2 * dim : 3 * dim] = np.add.reduceat(context[word[lo:hi]] * counts[lo:hi, None].astype(np.float32), new[i : i + 256] - lo, axis=0)
+    out /= per[:, None]
+    same = owner[1:] == owner[:-1]
+    equal = same & (plain[1:] == plain[:-1])
+    pairs = mix(plain[:-1] * np.uint64(3) + plain[1:])[same]
+    repeats = np.where(size > 0, 1 - (_distinct(owner[1:][same], pairs, n) + 1) / per, 0)
+    out[:, 3 * dim] = np.bincount(owner[known], minlength=n) / per
+    out[:, 3 * dim + 1] = np.where(size > 0, 1 - _distinct(owner, plain, n) / per, 0)
+    out[:, 3 * dim + 2] = np.bincount(owner[1:][equal], minlength=n) / per
+    out[:, 3 * dim + 3] = repeats
+    out[:, 3 * dim + 4] = np.log1p(size) / 10
+    out[:, 3 * dim + 5] = repeats / np.log1p(per)
     return out
 
 

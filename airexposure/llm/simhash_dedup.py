@@ -234,10 +234,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
-    """One row of each group: that of the smallest doc_id (any one of rows that repeat it)."""
-    found = near_duplicates(docs, width, tau).filter("doc_id is null or doc_id = component_id").select("doc_id", "component_id")
-    first = found.filter("doc_id is not null").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group: that of the smallest doc_id (any one of rows that repeat a doc_id).
+
+    Rows without doc_id are only compared with each other, for equal texts.
+    """
+    named = docs.filter("doc_id is not null")
+    first = materialize(near_duplicates(named, width, tau).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")).filter("doc_id = c"), "kept").select("doc_id", "n")
+    out = named.join(first.select("doc_id"), "doc_id", "left_semi")
+    if first.filter("n > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ are ignored (clashing names do no harm: only doc_id and text are read).
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -201,6 +202,19 @@ def _remove(batches):
         yield pa.record_batch([batch.column("_row"), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], ["_row", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
+def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """docs with the repeated bytes cut out of ``text``; bytes of a character that was cut in two go as well."""
+    cut = remove_repeats(docs, length).withColumn("text", _text("kept"))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+@F.pandas_udf("string")
+def _text(kept: pd.Series) -> pd.Series:
+    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with ``kept`` (the bytes of ``text`` that stay), n_bytes, n_removed and n_spans in place of ``text``.
 
