@@ -204,13 +204,12 @@ def _remove(batches):
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with the repeated bytes cut out of ``text``; bytes of a character that was cut in two go as well."""
-    cut = remove_repeats(docs, length).withColumn("text", _text("kept"))
+    cut = remove_repeats(docs, length).withColumn("text", F.pandas_udf(_text, "string")("kept"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
 
-@F.pandas_udf("string")
 def _text(kept: pd.Series) -> pd.Series:
     return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
