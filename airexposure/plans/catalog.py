@@ -275,9 +275,9 @@ def curve_bands(spark, d):
     return out.select("bin_index", *[_r(F.col("p")[i], 7).alias(n) for i, n in enumerate(("p05", "p25", "p75", "p95"))])
 
 
-@query(f"{sql_detailed()}, {SQL_CURVES} SELECT person_id, CAST(bin_index AS INTEGER) bin_index, round(increment, 8) increment, round(cumulative, 7) cumulative FROM curves")
+@query(f"{sql_detailed()}, {SQL_CURVES} SELECT person_id, CAST(bin_index AS INTEGER) bin_index, round(increment, 8) increment, round(cumulative, 6) cumulative FROM curves")
 def timeseries_person(spark, d):
-    return curve_rows(spark, d).select("person_id", "bin_index", _r("increment", 8).alias("increment"), _r("cumulative", 7).alias("cumulative"))
+    return curve_rows(spark, d).select("person_id", "bin_index", _r("increment", 8).alias("increment"), _r("cumulative", 6).alias("cumulative"))
 
 
 SQL_COHORTS = f"people2 AS ({A.PERSONS}), members AS (" + " UNION ALL ".join(f"SELECT person_id, '{c}' cohort, '{g}' grp FROM people2 WHERE {p}" for c, of in COHORTS.items() for g, p in of.items()) + ")"
