@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import buckets_for, gapless_rank, materialize, read
 from .textbytes import chunks, hash_slices, lower, words
 
-CACHE = 800_000  # distinct pieces of text whose ids a worker keeps
+CACHE = 300_000  # distinct pieces of text whose ids a task keeps
 
 _NOT_SPACE = np.ones(256, dtype=bool)
 _NOT_SPACE[[0x20, 9, 10, 13]] = False
@@ -72,7 +73,7 @@ def _spans(data: np.ndarray, offsets: np.ndarray):
 
 
 class _Vocabulary:
-    """Ids of pieces of text, by their hash; kept between the tasks of a worker."""
+    """Ids of pieces of text, by their hash; the tokenizer stays with the worker, the ids go when a task ends."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -88,7 +89,7 @@ class _Vocabulary:
     def clear(self):
         self.known: dict[int, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = [0]
+        self.ends = array("q", [0])
 
     def look_up(self, hashes: np.ndarray, whole: np.ndarray, slices) -> np.ndarray:
         """Places of the pieces; slices(missing) gives their strings; whole: pieces that need the full tokenizer."""
@@ -146,26 +147,29 @@ def _pieces(path: str, length: int, end_id: int, keep_ids: bool):
         if path not in _vocabularies:
             _vocabularies[path] = _Vocabulary(path)
         vocabulary = _vocabularies[path]
-        for batch in batches:
-            for first, offsets, data in chunks(batch.column(1)):
-                flat, at = _encode(vocabulary, data, offsets, end_id)
-                rows, piece, start, size, crc, ids = [], [], [], [], [], []
-                for d, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-                    for k, p in enumerate(range(s, e, length)):
-                        part = flat[p : min(e, p + length)]
-                        rows.append(first + d)
-                        piece.append(k)
-                        start.append(p - s)
-                        size.append(len(part))
-                        crc.append(zlib.crc32(part))
-                        if keep_ids:
-                            ids.append(part.astype(np.int32))
-                cols = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.record_batch(cols, names)
+        try:
+            for batch in batches:
+                for first, offsets, data in chunks(batch.column(1)):
+                    flat, at = _encode(vocabulary, data, offsets, end_id)
+                    rows, piece, start, size, crc, ids = [], [], [], [], [], []
+                    for d, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                        for k, p in enumerate(range(s, e, length)):
+                            part = flat[p : min(e, p + length)]
+                            rows.append(first + d)
+                            piece.append(k)
+                            start.append(p - s)
+                            size.append(len(part))
+                            crc.append(zlib.crc32(part))
+                            if keep_ids:
+                                ids.append(part.astype(np.int32))
+                    cols = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                    if keep_ids:
+                        cols.append(pa.array(ids, pa.list_(pa.int32())))
+                        names.append("ids")
+                    yield pa.record_batch(cols, names)
+        finally:
+            vocabulary.clear()
 
     return run
 
