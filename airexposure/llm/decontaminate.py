@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, read
-from .textbytes import ALNUM_WORDS, chunks, hash_slices, lower, words
+from .textbytes import ALNUM_WORDS, chunks, hash_slices, lower, tidy, words
 
 BLOCK_WORDS = 1 << 18  # benchmark words that are sent to the tasks at once
 INDEX_BYTES = 4 << 20  # text bytes indexed together
@@ -56,7 +56,7 @@ def postings(docs: DataFrame, row: list[str]) -> DataFrame:
     """The positional index of docs.text; ``row``: the columns that name a text in results."""
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in row]).alias("row"), "text")
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in named.schema["row"].dataType.fields)
-    return named.mapInArrow(_index, f"rows array<struct<{fields}>>, counts binary, terms binary, begins binary, positions binary")
+    return named.mapInArrow(tidy(_index), f"rows array<struct<{fields}>>, counts binary, terms binary, begins binary, positions binary")
 
 
 class Block:
@@ -167,7 +167,7 @@ def _hits(index: DataFrame, items: DataFrame, width: int, span: int | None) -> D
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kind.fields)
     schema = f"row struct<{fields}>, n_words long, hits array<struct<s: long, e: long>>, items array<string>"
     blocks = list(_blocks_of(items)) or [[]]
-    found = [index.mapInArrow(_search(spark.sparkContext.broadcast(b), width, span), schema) for b in blocks]
+    found = [index.mapInArrow(tidy(_search(spark.sparkContext.broadcast(b), width, span)), schema) for b in blocks]
     if len(found) == 1:
         return found[0]
     # several benchmark blocks: a text's hits meet by its place in the index
@@ -211,7 +211,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> Dat
     index = postings(docs, [c for c in docs.columns if c != "text"])
     found = phrase_hits(index, benchmark, width)
     kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in found.schema["row"].dataType.fields)
-    out = found.mapInArrow(_summary, f"row struct<{kind}>, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean")
+    out = found.mapInArrow(tidy(_summary), f"row struct<{kind}>, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean")
     return out.select("row.*", *out.columns[1:])
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_for, gapless_rank, materialize, read
-from .textbytes import chunks, hash_slices, lower, words
+from .textbytes import chunks, hash_slices, lower, tidy, words
 
 CACHE = 300_000  # distinct pieces of text whose ids a task keeps
 
@@ -178,7 +178,7 @@ def tokenize(docs: DataFrame, path: str, length: int = 4096, end_id: int = 1, ke
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of each text's ids; ``path``: a tokenizers file."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_pieces(path, length, end_id, keep_ids), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return docs.mapInArrow(tidy(_pieces(path, length, end_id, keep_ids)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read
 from .components import connected_components
-from .textbytes import SPACE_WORDS, chunks, lower, words
+from .textbytes import SPACE_WORDS, chunks, lower, tidy, words
 
 PARTS = 3
 HOT = 1e-4  # share of the fingerprints from which a partition value is frequent: at most PARTS / HOT values
@@ -78,7 +78,7 @@ def _simhash(width: int):
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): the SimHash of each text over shingles of ``width`` words, fp a signed long."""
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(_simhash(width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(tidy(_simhash(width)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _pair_counts(batches):

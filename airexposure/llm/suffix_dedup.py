@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .textbytes import _TABLE, chunks
+from .textbytes import _TABLE, chunks, tidy
 
 K = 16  # bytes of the strings that anchors are chosen by
 FINE = 12  # window starts in a cell of the second step
@@ -225,29 +225,29 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(65536))  # tells rows of one doc_id apart
     base = docs.select(F.struct(*others).alias("_row"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_d"), key.alias("_r"))
     scanned = base.select("_d", "_r", "text")
-    counts = scanned.mapInArrow(_scan(length, True), "k long").groupBy("k").count().filter("count > 1").select("k")
-    same = materialize(scanned.mapInArrow(_scan(length, False), "k long, u long, d long, at long").join(counts, "k"), "repeated-anchors")
+    counts = scanned.mapInArrow(tidy(_scan(length, True)), "k long").groupBy("k").count().filter("count > 1").select("k")
+    same = materialize(scanned.mapInArrow(tidy(_scan(length, False)), "k long, u long, d long, at long").join(counts, "k"), "repeated-anchors")
 
     classes = same.groupBy("k", "u").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "at")).alias("rep"))
     whole = same.join(classes.filter("c > 1").select("k", "u"), ["k", "u"], "left_semi").selectExpr("d", "at", "cast(shiftright(at, 24) & 255 as int) lo", "cast(shiftright(at, 16) & 255 as int) hi")
     mixed = classes.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).filter("n > 1 and least = 1").select("k")
     reps = classes.join(mixed, "k").selectExpr("rep.d _d", "rep.at & 65535 _r", "struct(k, rep.at, c = 1 one) rep").groupBy("_d", "_r").agg(F.collect_list("rep").alias("reps"))
-    ctx = materialize(base.join(reps, ["_d", "_r"]).mapInArrow(_contexts(length), "k long, d long, at long, one boolean, ctx binary"), "surroundings")
+    ctx = materialize(base.join(reps, ["_d", "_r"]).mapInArrow(tidy(_contexts(length)), "k long, d long, at long, one boolean, ctx binary"), "surroundings")
 
     cell = "k long, k2 long, u2 long, d long, at long, one boolean, lo int, hi int"
-    coarse = ctx.selectExpr("*", "cast(shiftright(at, 24) & 255 as int) lo", "cast(shiftright(at, 16) & 255 as int) hi").mapInArrow(_cells(length, FINE), cell)
+    coarse = ctx.selectExpr("*", "cast(shiftright(at, 24) & 255 as int) lo", "cast(shiftright(at, 16) & 255 as int) hi").mapInArrow(tidy(_cells(length, FINE)), cell)
     classes2 = coarse.groupBy("k", "k2", "u2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "at", "lo", "hi", "one")).alias("rep"))
     whole2 = coarse.filter("one").join(classes2.filter("c > 1").select("k", "k2", "u2"), ["k", "k2", "u2"], "left_semi").select("d", "at", "lo", "hi")
     mixed2 = classes2.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("c = 1 and rep.one")).alias("any")).filter("n > 1 and any").select("k", "k2")
     left = classes2.join(mixed2, ["k", "k2"]).selectExpr("rep.d d", "rep.at at", "rep.lo lo", "rep.hi hi", "c = 1 and rep.one open")
-    fine = left.join(ctx.drop("one"), ["d", "at"]).withColumnRenamed("open", "one").mapInArrow(_cells(length, 1), cell)
+    fine = left.join(ctx.drop("one"), ["d", "at"]).withColumnRenamed("open", "one").mapInArrow(tidy(_cells(length, 1)), cell)
     twice = fine.groupBy("k", "k2").count().filter("count > 1").select("k", "k2")
     whole3 = fine.filter("one").join(twice, ["k", "k2"], "left_semi").select("d", "at", "lo", "hi")
 
     found = whole.union(whole2).union(whole3)
     spans = found.selectExpr("d _d", "at & 65535 _r", f"shiftleft(shiftright(at, 33) - hi, 32) | (shiftright(at, 33) - lo + {length}) span").groupBy("_d", "_r").agg(F.collect_set("span").alias("spans"))
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in base.schema["_row"].dataType.fields)
-    out = base.join(spans, ["_d", "_r"], "left").select("_row", "text", "spans").mapInArrow(_remove, f"_row struct<{fields}>, kept binary, n_bytes long, n_removed long, n_spans long")
+    out = base.join(spans, ["_d", "_r"], "left").select("_row", "text", "spans").mapInArrow(tidy(_remove), f"_row struct<{fields}>, kept binary, n_bytes long, n_removed long, n_spans long")
     return out.select("_row.*", "kept", "n_bytes", "n_removed", "n_spans")
 
 
