@@ -10,3 +10,12 @@ def membership(persons: DataFrame, cohorts: dict[str, dict[str, str]]) -> DataFr
     """(person_id, cohort, grp): a row for each group whose predicate holds; groups may overlap, null predicates are out."""
     groups = [F.when(F.expr(p), F.struct(F.lit(c).alias("cohort"), F.lit(g).alias("grp"))) for c, of in cohorts.items() for g, p in of.items()]
     return persons.select("person_id", F.explode(F.filter(F.array(*groups), lambda g: g.isNotNull())).alias("g")).select("person_id", "g.*")
+
+
+def comparison(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """A wide row for each group of the cohorts that have two or more: n, and of each metric its mean, deviation and 95 % error."""
+    spread = {m: F.coalesce(F.stddev_samp(m), F.lit(0.0)) for m in metrics}
+    each = [(F.avg(m).alias(f"{m}_mean"), s.alias(f"{m}_std"), (1.96 * s / F.sqrt(F.count(m))).alias(f"{m}_error")) for m, s in spread.items()]
+    out = rows.groupBy("cohort", "grp").agg(F.count(metrics[0]).alias("n"), *[c for three in each for c in three])
+    several = out.groupBy("cohort").agg(F.count(F.lit(1)).alias("_g")).filter("_g >= 2")
+    return out.join(several, "cohort", "left_semi")

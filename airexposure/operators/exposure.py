@@ -63,13 +63,13 @@ def apply_factors(rows: DataFrame, factors: DataFrame, values: list[str]) -> Dat
     return joined.withColumn("_factor", factor).withColumns({v: F.col(v) * F.col("_factor") for v in values}).drop("_factor", "work_outdoor", *[f"{p}_{f}" for p in INDOOR for f in ("pen", "prox")])
 
 
-def with_exposure(rows: DataFrame, rule: str, constant: float = 10.0, pen: float = 0.9, prox: float = 1.2, home: DataFrame | None = None) -> DataFrame:
-    """rows (concentration) with travel_exposure by the rule and exposure = rate x hours.
+def with_exposure(rows: DataFrame, rule: str, constant: float = 10.0, pen: float = 0.9, prox: float = 1.2, home: DataFrame | None = None, suffix: str = "") -> DataFrame:
+    """rows (concentration) with travel_exposure by the rule and exposure = rate x hours, of the columns with the suffix.
 
     home: (person_id, slot, home_concentration) for home_exposure.
     """
     travel = F.col("location_type") == "travel"
-    c = F.col("concentration")
+    c = F.col(f"concentration{suffix}")
     if rule == "mid-point-teleportation":
         value = c * constant
     elif rule == "mid-point-hapem":
@@ -78,7 +78,7 @@ def with_exposure(rows: DataFrame, rule: str, constant: float = 10.0, pen: float
         value = c
     elif rule == "origin_destination_mean":
         w = Window.partitionBy("person_id").orderBy("seq", "piece", "half")
-        a, b = F.lag("concentration").over(w), F.lead("concentration").over(w)
+        a, b = F.lag(c).over(w), F.lead(c).over(w)
         value = F.coalesce((a + b) / 2, a, b, F.lit(constant))
     elif rule == "hardcoded":
         value = F.lit(constant)
@@ -87,8 +87,8 @@ def with_exposure(rows: DataFrame, rule: str, constant: float = 10.0, pen: float
         value = F.coalesce(F.col("home_concentration"), F.lit(constant))
     else:
         raise ValueError(f"unknown travel rule {rule}")
-    out = rows.withColumn("travel_exposure", F.when(travel, F.coalesce(value, c * constant)))
-    return out.withColumn("exposure", F.when(travel, F.col("travel_exposure")).otherwise(c) * F.col("duration_hours"))
+    out = rows.withColumn(f"travel_exposure{suffix}", F.when(travel, F.coalesce(value, c * constant)))
+    return out.withColumn(f"exposure{suffix}", F.when(travel, F.col(f"travel_exposure{suffix}")).otherwise(c) * F.col("duration_hours"))
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -96,27 +96,29 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("person_id").agg(F.coalesce(F.sum("exposure"), F.lit(0.0)).alias("total_exposure"), F.sum("duration_hours").alias("duration_hours"))
 
 
-def rate(rule: str = "travel_first") -> Column:
+def rate(rule: str = "travel_first", suffix: str = "") -> Column:
     """Exposure rate of a row: travel exposure of travel rows first, or concentration first."""
+    c, t = F.col(f"concentration{suffix}"), F.col(f"travel_exposure{suffix}")
     if rule == "travel_first":
-        return F.when((F.col("location_type") == "travel") & F.col("travel_exposure").isNotNull(), F.col("travel_exposure")).otherwise(F.col("concentration"))
-    return F.coalesce("concentration", "travel_exposure")
+        return F.when((F.col("location_type") == "travel") & t.isNotNull(), t).otherwise(c)
+    return F.coalesce(c, t)
 
 
-def binned(rows: DataFrame, minutes: int = 5, rule: str = "travel_first") -> DataFrame:
+def binned(rows: DataFrame, minutes: int = 5, rule: str = "travel_first", suffixes: tuple = ("",)) -> DataFrame:
     """(person_id, bin_index, amount): rate x overlap hours in bins of the day."""
     step = minutes * 60.0
     bins = rows.withColumn("bin_index", F.explode(F.expr(f"sequence(cast(floor(start_s / {step}) as int), cast(greatest(ceil(end_s / {step}) - 1, floor(start_s / {step})) as int))")))
     overlap = (F.least(F.col("end_s"), (F.col("bin_index") + 1) * step) - F.greatest(F.col("start_s"), F.col("bin_index") * step)) / 3600.0
-    return bins.withColumn("_a", F.coalesce(rate(rule), F.lit(0.0)) * overlap).groupBy("person_id", "bin_index").agg(F.sum("_a").alias("amount"))
+    sums = [F.sum(F.coalesce(rate(rule, s), F.lit(0.0)) * overlap).alias(f"amount{s}") for s in suffixes]
+    return bins.groupBy("person_id", "bin_index").agg(*sums)
 
 
-def curves(bins: DataFrame, persons: DataFrame, n: int = 288) -> DataFrame:
+def curves(bins: DataFrame, persons: DataFrame, n: int = 288, suffixes: tuple = ("",)) -> DataFrame:
     """(person_id, bin_index, increment, cumulative) of each person and each of n bins."""
     grid = persons.select("person_id").distinct().withColumn("bin_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    full = grid.join(bins, ["person_id", "bin_index"], "left").withColumn("increment", F.coalesce("amount", F.lit(0.0)))
+    full = grid.join(bins, ["person_id", "bin_index"], "left").withColumns({f"increment{s}": F.coalesce(f"amount{s}", F.lit(0.0)) for s in suffixes})
     w = Window.partitionBy("person_id").orderBy("bin_index").rowsBetween(Window.unboundedPreceding, 0)
-    return full.select("person_id", "bin_index", "increment", F.sum("increment").over(w).alias("cumulative"))
+    return full.select("person_id", "bin_index", *[c for s in suffixes for c in (F.col(f"increment{s}"), F.sum(f"increment{s}").over(w).alias(f"cumulative{s}"))])
 
 
 def first_origin(rows: DataFrame) -> DataFrame:
@@ -134,3 +136,18 @@ def describe(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """mean, median, std (0 of one row), min, max, p25, p75 of the non-null values of each group."""
     p = lambda q: F.percentile(value, F.lit(q))
     return df.filter(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), p(0.5).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), p(0.25).alias("p25"), p(0.75).alias("p75"))
+
+
+def home_curves(homes: DataFrame, near: DataFrame, factors: DataFrame, slots: list[int], n: int = 288) -> DataFrame:
+    """(person_id, bin_index, home_increment, home_cumulative): the field at home in n bins of the day times the home factor; nulls count as 0.
+
+    homes: (person_id, lon, lat); near: (lon, lat, slot, mid) of each home and slot.
+    """
+    from .field import nearest_slot
+
+    minutes, hours = 1440 // n, 24.0 / n
+    bins = homes.withColumn("bin_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("slot", nearest_slot(F.col("bin_index") * minutes, slots))
+    rows = bins.join(near, ["lon", "lat", "slot"], "left").join(factors, "person_id", "left")
+    rows = rows.withColumn("home_increment", F.coalesce(F.col("mid") * F.coalesce(F.col("home_pen") * F.col("home_prox"), F.lit(1.0)) * hours, F.lit(0.0)))
+    w = Window.partitionBy("person_id").orderBy("bin_index").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("person_id", "bin_index", "home_increment", F.sum("home_increment").over(w).alias("home_cumulative"))

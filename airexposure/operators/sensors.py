@@ -22,3 +22,8 @@ def step_filter(readings: DataFrame, most: float = 150.0) -> DataFrame:
     """Readings that differ from the sensor's previous one by at most ``most``; the first stays."""
     before = F.lag("pm").over(Window.partitionBy("sensor_index").orderBy("datetime_utc", "event_id"))
     return readings.withColumn("_b", before).filter(F.col("_b").isNull() | (F.abs(F.col("pm") - F.col("_b")) <= most)).drop("_b")
+
+
+def with_readings(features: DataFrame, readings: DataFrame) -> DataFrame:
+    """Features whose sensor has readings in the feature's region."""
+    return features.join(readings.select("region", "sensor_index").distinct(), ["region", "sensor_index"], "left_semi")

@@ -60,18 +60,20 @@ def stays(spark: SparkSession, d: str) -> DataFrame:
     return staypoints.with_microenvironment(every.join(late, "person_id", "left_anti"))
 
 
-def detailed(spark: SparkSession, d: str, rule: str = "mid-point-hapem") -> DataFrame:
-    """Exposure of every piece of every stay."""
+def detailed(spark: SparkSession, d: str, rule: str = "mid-point-hapem", bands: tuple = ("",)) -> DataFrame:
+    """Exposure of every piece of every stay; bands may add _low and _high."""
     pieces = staypoints.split_intervals(stays(spark, d))
     pieces = staypoints.travel_halves(pieces) if rule.startswith("mid-point") else pieces.withColumn("half", F.lit(0))
-    rows = field.lookup(pieces, A.frame(spark, d, A.FIELD), SLOTS, ["mid"], CELL).withColumnRenamed("mid", "concentration")
+    rows = field.lookup(pieces, A.frame(spark, d, A.FIELD), SLOTS, [s[1:] or "mid" for s in bands], CELL).withColumnsRenamed({s[1:] or "mid": f"concentration{s}" for s in bands})
     home = None
     if rule == "home_exposure":
         at = rows.select("person_id", "slot", "home_lon", "home_lat").distinct().withColumnsRenamed({"home_lon": "lon", "home_lat": "lat"})
         near = field.nearest_join(at, A.frame(spark, d, A.FIELD), ["mid"], CELL)
         home = at.join(near, ["lon", "lat", "slot"]).select("person_id", "slot", F.col("mid").alias("home_concentration"))
-    rows = exposure.apply_factors(rows, exposure.person_factors(persons(spark, d)), ["concentration"])
-    return exposure.with_exposure(rows, rule, home=home)
+    rows = exposure.apply_factors(rows, exposure.person_factors(persons(spark, d)), [f"concentration{s}" for s in bands])
+    for s in bands:
+        rows = exposure.with_exposure(rows, rule, home=home, suffix=s)
+    return rows
 
 
 SQL_STAYS = f"""trips AS ({A.TRIPS}),

@@ -69,7 +69,7 @@ def duck(sql: str) -> str:
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The SQL as a DataFrame over the tables of sf_dir."""
-    sql = sql.replace("{slots}", "SELECT id k FROM range(48)").replace("{xs}", "SELECT id i FROM range(20)").replace("{ys}", "SELECT id j FROM range(16)").replace('"day"', "day")
+    sql = sql.replace("{slots}", "SELECT id k FROM range(48)").replace("{xs}", "SELECT id i FROM range(20)").replace("{ys}", "SELECT id j FROM range(16)").replace('"day"', "day").replace('"month"', "month")
     named = {}
     for table in ("orders", "customer", "events", "nation", "part", "lineitem", "embeddings"):
         if f" {table}" in sql or f"\n{table}" in sql:
