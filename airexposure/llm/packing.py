@@ -73,7 +73,7 @@ def _spans(data: np.ndarray, offsets: np.ndarray):
 
 
 class _Vocabulary:
-    """Ids of pieces of text, by their hash; the tokenizer stays with the worker, the ids go when a task ends."""
+    """Ids of pieces of text, by their hash; made by each task, so that idle workers hold neither tokenizer nor ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -120,9 +120,6 @@ class _Vocabulary:
             self.ends.extend((end + np.cumsum(counts)).tolist())
 
 
-_vocabularies: dict[str, _Vocabulary] = {}
-
-
 def _encode(vocabulary: _Vocabulary, data: np.ndarray, offsets: np.ndarray, end_id: int):
     """(ids of all texts, each followed by the end id, and where each text's ids begin)."""
     out, starts, ends, index, whole = _spans(data, offsets)
@@ -144,32 +141,27 @@ def _encode(vocabulary: _Vocabulary, data: np.ndarray, offsets: np.ndarray, end_
 
 def _pieces(path: str, length: int, end_id: int, keep_ids: bool):
     def run(batches):
-        if path not in _vocabularies:
-            _vocabularies[path] = _Vocabulary(path)
-        vocabulary = _vocabularies[path]
-        try:
-            for batch in batches:
-                for first, offsets, data in chunks(batch.column(1)):
-                    flat, at = _encode(vocabulary, data, offsets, end_id)
-                    rows, piece, start, size, crc, ids = [], [], [], [], [], []
-                    for d, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-                        for k, p in enumerate(range(s, e, length)):
-                            part = flat[p : min(e, p + length)]
-                            rows.append(first + d)
-                            piece.append(k)
-                            start.append(p - s)
-                            size.append(len(part))
-                            crc.append(zlib.crc32(part))
-                            if keep_ids:
-                                ids.append(part.astype(np.int32))
-                    cols = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
-                    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                    if keep_ids:
-                        cols.append(pa.array(ids, pa.list_(pa.int32())))
-                        names.append("ids")
-                    yield pa.record_batch(cols, names)
-        finally:
-            vocabulary.clear()
+        vocabulary = _Vocabulary(path)
+        for batch in batches:
+            for first, offsets, data in chunks(batch.column(1)):
+                flat, at = _encode(vocabulary, data, offsets, end_id)
+                rows, piece, start, size, crc, ids = [], [], [], [], [], []
+                for d, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                    for k, p in enumerate(range(s, e, length)):
+                        part = flat[p : min(e, p + length)]
+                        rows.append(first + d)
+                        piece.append(k)
+                        start.append(p - s)
+                        size.append(len(part))
+                        crc.append(zlib.crc32(part))
+                        if keep_ids:
+                            ids.append(part.astype(np.int32))
+                cols = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if keep_ids:
+                    cols.append(pa.array(ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.record_batch(cols, names)
 
     return run
 
