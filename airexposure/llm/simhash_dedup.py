@@ -239,9 +239,11 @@ def keep_first(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
     Rows without doc_id are only compared with each other, for equal texts.
     """
     named = docs.filter("doc_id is not null")
-    first = materialize(near_duplicates(named, width, tau).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")).filter("doc_id = c"), "kept").select("doc_id", "n")
-    out = named.join(first.select("doc_id"), "doc_id", "left_semi")
-    if first.filter("n > 1").limit(1).count():
+    found = near_duplicates(named, width, tau).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    # the rows that go are far fewer than those that stay, so up to larger inputs Spark need not shuffle the texts
+    marked = materialize(found.filter("doc_id <> c or n > 1"), "marked")
+    out = named.join(marked.filter("doc_id <> c").select("doc_id"), "doc_id", "left_anti")
+    if marked.filter("doc_id = c").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
 
