@@ -205,3 +205,13 @@ def test_words_do_not_cross_texts():
     (_, offsets, data), = chunks(pa.array(["ab", "cd e", None, ""]))
     starts, ends, first = words(data, offsets, SPACE_WORDS)
     assert list(zip(starts, ends)) == [(0, 2), (2, 4), (5, 6)] and first.tolist() == [0, 1, 3, 3, 3]
+
+
+def test_keep_first_of_repeated_and_missing_ids(spark):
+    a, b = "one two three four five six seven", "red green blue black white grey pink"
+    rows = [(1, a), (1, a), (2, a.upper()), (3, b), (4, None), (5, ""), (None, a), (None, a), (None, b)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, c long")
+    out = simhash_dedup.keep_first(docs).collect()
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == [1, 3, 4]
+    assert sorted(r["text"] for r in out if r["doc_id"] is None) == sorted([a, b])
+    assert simhash_dedup.keep_first(docs.limit(0)).count() == 0
