@@ -1,19 +1,18 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is a smoothed bigram model. Its states are the empty history and each word that keeps at least one arc; a
-state's arcs carry log10 p(next | word), its failure arc carries the backoff weight and leads to the empty history,
-whose arcs carry smoothed unigram log-probabilities. A text is scored in one left-to-right traversal: the state is the
-last word if that is a state, else the empty history; each token takes the state's arc if there is one, else fails.
+The model is a smoothed bigram model. Its states are the empty history and each word of the training texts; a state's
+arcs carry log10 p(next | word), its failure arc carries the backoff weight and leads to the empty history, whose arcs
+carry smoothed unigram log-probabilities. A text is scored in one left-to-right traversal: the state is the last word if
+that is a state, else the empty history; each token takes the state's arc if there is one, else fails.
 
-Counts cover all training texts. Arcs are kept where the pair makes up at least ``share`` of the training tokens, so
-there are at most 1 / share of them at any corpus size, and the arcs, their states and the words between them have a
-proven bound and are broadcast. The unigram arcs of the empty history are unbounded: those of frequent words travel with
-the automaton, those of all other words are joined to the texts' tokens by an equi-join (each such word makes up less
-than ``share`` of the tokens, so none is hot).
+Counts cover all training texts, and every pair counted is an arc, however rare: the model grows with the texts. Only
+words and pairs that make up at least ``share`` of all tokens are broadcast, at most 1 / share of each; they have proven
+bounds and spare the joins their hot keys. All other pairs of training and scored texts are dealt out together by pair,
+where they are counted and looked up at once; rare words and failure weights are joined by word.
 
 Unigrams: (c + 1) / (N + V + 1), N training tokens, V distinct ones; a token outside the vocabulary has c = 0. Bigrams:
-absolute discounting, (c(w, v) - D) / c(w) for kept arcs; what is left goes to the failure arc, normalised by what the
-kept arcs do not cover. Each text ends with one end token, and starts in the state of the end token.
+absolute discounting, (c(w, v) - D) / c(w); what is left, D / c(w) for each arc, goes to the failure arc, normalised by
+what the arcs do not cover. Each text ends with one end token, and starts in the state of the end token.
 
 A null text is empty and consists of the end token. Held-out rows are those with crc32(doc_id as text) mod 7 = 2; a null
 doc_id is a training row. Repeated rows count each. Tokens are told apart by 64-bit hashes.
@@ -23,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read
@@ -49,71 +48,70 @@ def _tokens(data: np.ndarray, offsets: np.ndarray):
 
 
 class _Counter:
-    """Counts of integer keys, merged in sorted runs."""
+    """Counts of integer keys, in training texts and in all, merged in sorted runs."""
 
     def __init__(self):
         self.runs, self.size = [], 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None):
-        if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
-        self.runs.append((keys, counts))
-        self.size += len(keys)
+    def add(self, keys: np.ndarray, learn: np.ndarray):
+        self._keep(keys, learn, np.ones(len(keys), dtype=np.int64))
 
-    def merged(self):
-        keys, counts = np.concatenate([r[0] for r in self.runs]), np.concatenate([r[1] for r in self.runs])
+    def _keep(self, keys: np.ndarray, learned: np.ndarray, total: np.ndarray):
         distinct, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
-        self.runs, self.size = [(distinct, total)], len(distinct)
-        return distinct, total
-
-
-def _count_tokens(batches):
-    counter = _Counter()
-    for batch in batches:
-        for _, offsets, data in chunks(batch.column(0)):
-            counter.add(_tokens(data, offsets)[0])
-            if counter.size > 4 * FLUSH:
-                keys, counts = counter.merged()
-                if len(keys) > FLUSH:
-                    yield pa.record_batch([pa.array(keys), pa.array(counts)], ["k", "c"])
-                    counter = _Counter()
-    if counter.runs:
-        keys, counts = counter.merged()
-        yield pa.record_batch([pa.array(keys), pa.array(counts)], ["k", "c"])
+        self.runs.append((distinct, *(np.bincount(inverse, weights=x, minlength=len(distinct)).astype(np.int64) for x in (learned, total))))
+        self.size += len(distinct)
 
-
-def token_counts(texts: DataFrame) -> DataFrame:
-    """(k, c): how often each token stands in the texts (k = END: the end token)."""
-    return texts.select("text").mapInArrow(_count_tokens, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    def merged(self) -> pa.RecordBatch:
+        runs, self.runs, self.size = self.runs, [], 0
+        self._keep(*(np.concatenate([r[i] for r in runs]) for i in range(3)))
+        return pa.record_batch([pa.array(x) for x in self.runs[0]], ["k", "c", "t"])
 
 
-def _count_pairs(frequent):
-    """Arrow function: counts of neighbours that both are frequent; a pair is its places in ``frequent``, times 2**32 and added."""
+def _count(keys_of):
+    """Arrow function: (text, learn) to counts (k, c, t) of what keys_of(tokens, where each text begins) gives: keys, and their tokens."""
 
     def run(batches):
-        keys = frequent.value[0]
         counter = _Counter()
         for batch in batches:
-            for _, offsets, data in chunks(batch.column(0)):
+            learns = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=bool)
+            for first, offsets, data in chunks(batch.column(0)):
                 tokens, at = _tokens(data, offsets)
-                place = _places(keys, tokens)
-                before = np.r_[np.int64(-1), place[:-1]]
-                before[at[:-1]] = _places(keys, np.array([END]))[0]
-                both = (place >= 0) & (before >= 0)
-                counter.add((before[both] << 32) | place[both])
+                learn = np.repeat(learns[first : first + len(at) - 1], np.diff(at))
+                keys, kept = keys_of(tokens, at)
+                counter.add(keys, learn[kept])
                 if counter.size > 4 * FLUSH:
-                    k, c = counter.merged()
-                    if len(k) > FLUSH:
-                        yield pa.record_batch([pa.array(k), pa.array(c)], ["k", "c"])
+                    out = counter.merged()
+                    if len(out) > FLUSH:
+                        yield out
                         counter = _Counter()
         if counter.runs:
-            k, c = counter.merged()
-            yield pa.record_batch([pa.array(k), pa.array(c)], ["k", "c"])
+            yield counter.merged()
 
     return run
 
 
+def _counts(texts: DataFrame, keys_of) -> DataFrame:
+    counted = texts.select("text", "learn").mapInArrow(_count(keys_of), "k long, c long, t long")
+    return counted.groupBy("k").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+
+
+def token_counts(texts: DataFrame) -> DataFrame:
+    """(k, c, t): how often each token stands in the texts to learn from, and in all (k = END: the end token)."""
+    return _counts(texts, lambda tokens, at: (tokens, slice(None)))
+
+
+def _frequent_pairs(frequent):
+    """Keys of neighbours that both are frequent: their places in ``frequent``, the first times 2**32."""
+
+    def keys_of(tokens, at):
+        place = _places(frequent.value, tokens)
+        before = _before(place, at, _places(frequent.value, np.array([END]))[0])
+        both = np.flatnonzero((place >= 0) & (before >= 0))
+        return (before[both] << 32) | place[both], both
+
+    return keys_of
+
+
 def _places(keys: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Place of each token in the sorted keys; -1: not there."""
     if not len(keys):
@@ -122,91 +120,163 @@ def _places(keys: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == tokens, at, -1)
 
 
+def _before(values: np.ndarray, at: np.ndarray, end) -> np.ndarray:
+    """The value of the token before each one; at a text's start the end token's."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[at[:-1]] = end
+    return out
+
+
 class Automaton:
-    """States and arcs over the places of frequent words, as sorted arrays."""
+    """Frequent words and pairs with their counts in training texts, as sorted arrays."""
 
-    def __init__(self, words_: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, n: int, v: int, discount: float = DISCOUNT):
-        self.words = words_
-        self.unigram = np.log10((counts + 1) / (n + v + 1))
+    def __init__(self, words_: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
+        self.words, self.counts = words_, counts
         order = np.argsort(pairs)
-        self.pairs = pairs[order]
-        source, target = self.pairs >> 32, self.pairs & 0xFFFFFFFF
-        p = (pair_counts[order] - discount) / counts[source] if len(pairs) else np.zeros(0)
-        self.arc = np.log10(p) if len(pairs) else p
-        kept = np.bincount(source, weights=p, minlength=len(words_))
-        covered = np.bincount(source, weights=10 ** self.unigram[target], minlength=len(words_)) if len(pairs) else np.zeros(len(words_))
-        self.failure = np.where(kept > 0, np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - covered, 1e-12)), 0.0)
+        self.pairs, self.pair_counts = pairs[order], pair_counts[order]
 
     def traverse(self, tokens: np.ndarray, at: np.ndarray):
-        """(weights of the steps of all texts but for unigram arcs of rare tokens, places of the tokens): the state before a token is
-        the token before it, or the end token's at a text's start."""
+        """(codes of the tokens, codes of their states, place of each step among the frequent pairs or -1): a frequent word's code is
+        -1 less its place, any other's is its hash."""
         place = _places(self.words, tokens)
-        state = np.r_[np.int64(-1), place[:-1]]
-        state[at[:-1]] = _places(self.words, np.array([END]))[0]
-        weight = np.where(place >= 0, self.unigram[place], 0.0) + np.where(state >= 0, self.failure[state], 0.0)
-        both = np.flatnonzero((place >= 0) & (state >= 0))
-        arc = _places(self.pairs, (state[both] << 32) | place[both])
-        hit = arc >= 0
-        weight[both[hit]] = self.arc[arc[hit]]
-        return weight, place, hit, both
+        code = np.where(place >= 0, ~place, tokens)
+        end = _places(self.words, np.array([END]))[0]
+        state = _before(code, at, ~end if end >= 0 else END)
+        before = _before(place, at, end)
+        arc = np.full(len(tokens), -1)
+        both = np.flatnonzero((place >= 0) & (before >= 0))
+        arc[both] = _places(self.pairs, (before[both] << 32) | place[both])
+        return code, state, place, arc
 
 
 def _score(model, base: float):
-    """Arrow function: (_row, text) to tokens, weights, and the rare tokens with how often they took a unigram arc.
+    """Arrow function: (_row, text) to tokens, weights, and the rare tokens.
 
-    base: log10(N + V + 1). base_score lacks the rare tokens' log10(c + 1); score has their c = 0 value, so both lack the same.
+    base: log10(N + V + 1). base_score lacks the rare tokens' log10(c + 1). score has the log10(c - D) of frequent pairs, less the
+    log10(c) of frequent words as states; each token of a text is a state once, as the end token is the first.
     """
 
     def run(batches):
-        auto, counts = model.value
-        logs = np.log10(counts + 1.0)
+        auto = model.value
+        logs = np.log10(auto.counts + 1.0)
+        states = np.log10(np.maximum(auto.counts, 1))
+        arcs = np.log10(np.maximum(auto.pair_counts, 1) - DISCOUNT) * (auto.pair_counts > 0)
         for batch in batches:
             for first, offsets, data in chunks(batch.column(1)):
                 tokens, at = _tokens(data, offsets)
-                weight, place, _, _ = auto.traverse(tokens, at)
+                _, _, place, arc = auto.traverse(tokens, at)
                 rare = place < 0
-                weight[rare] -= base
-                known = np.where(rare, 0.0, logs[place] if len(logs) else 0.0)
+                unigram, weight, known = np.zeros(len(tokens)), np.zeros(len(tokens)), np.zeros(len(tokens), dtype=np.int64)
+                unigram[~rare] = logs[place[~rare]]
+                known[~rare] = auto.counts[place[~rare]] > 0
+                weight[~rare] = -states[place[~rare]]
+                weight[arc >= 0] += arcs[arc[arc >= 0]]
                 size = np.diff(at)
                 n = len(size)
-                owner = np.repeat(np.arange(n), size)
-                own = owner[rare]
-                mine = np.searchsorted(own, np.arange(n + 1))
-                found = tokens[rare]
+                mine = np.searchsorted(np.repeat(np.arange(n), size)[rare], np.arange(n + 1))
                 yield pa.record_batch(
-                    [batch.column(0).slice(first, n), pa.array(size), pa.array(size - np.diff(mine)), pa.array(np.add.reduceat(known, at[:-1]) - size * base), pa.array(np.add.reduceat(weight, at[:-1])), pa.ListArray.from_arrays(pa.array(mine.astype(np.int32)), pa.array(found))],
+                    [batch.column(0).slice(first, n), pa.array(size), pa.array(np.add.reduceat(known, at[:-1])), pa.array(np.add.reduceat(unigram, at[:-1]) - size * base), pa.array(np.add.reduceat(weight, at[:-1])), pa.ListArray.from_arrays(pa.array(mine.astype(np.int32)), pa.array(tokens[rare]))],
                     ["_row", "n_tokens", "n_known", "base_score", "score", "rare"],
                 )
 
     return run
 
 
-def lm_scores(docs: DataFrame, train: DataFrame, row: list[str], share: float = SHARE) -> DataFrame:
-    """``row`` columns of docs with n_tokens, n_known, train_tokens, base_score and score, learning from train.text."""
-    spark = docs.sparkSession
-    counts = materialize(token_counts(train), "token-counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
-    least = max(2.0, share * n)
+def _steps(model):
+    """Arrow function: (_id, text, learn) to all steps but frequent arcs. A frequent pair that no training text has is dealt out by salt."""
+
+    def run(batches):
+        auto = model.value
+        for batch in batches:
+            learns = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), dtype=bool)
+            for first, offsets, data in chunks(batch.column(1)):
+                tokens, at = _tokens(data, offsets)
+                code, state, _, arc = auto.traverse(tokens, at)
+                lost = np.zeros(len(arc), dtype=bool)
+                lost[arc >= 0] = auto.pair_counts[arc[arc >= 0]] == 0
+                keep = np.flatnonzero((arc < 0) | lost)
+                owner = np.repeat(np.arange(first, first + len(at) - 1), np.diff(at))[keep]
+                salt = np.where(lost[keep], 1 + keep % 1021, 0).astype(np.int32)
+                yield pa.record_batch([pa.array(state[keep]), pa.array(code[keep]), pa.array(salt), batch.column(0).take(pa.array(owner)), pa.array(learns[owner])], ["w", "v", "salt", "_id", "learn"])
+
+    return run
+
+
+def _scores(rows: DataFrame, share: float) -> DataFrame:
+    """rows (_row, text, learn): scores of those with a _row, learning from those with learn."""
+    spark = rows.sparkSession
+    counts = materialize(token_counts(rows), "token-counts")
+    n, v, total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("t"), F.lit(0))).head()
+    least = max(2.0, share * total)
     # at most 1 / share words, and 1 / share pairs below
-    frequent = counts.filter(F.col("c") >= least).toPandas().sort_values("k")
+    frequent = counts.filter(F.col("t") >= least).toPandas().sort_values("k")
     keys, sizes = frequent["k"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)
-    known = spark.sparkContext.broadcast((keys,))
-    pairs = train.select("text").mapInArrow(_count_pairs(known), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).toPandas()
-    model = spark.sparkContext.broadcast((Automaton(keys, sizes, pairs["k"].to_numpy(np.int64), pairs["c"].to_numpy(np.int64), n, v), sizes))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in row]).alias("_row"), "text")
+    hot = _counts(rows, _frequent_pairs(spark.sparkContext.broadcast(keys))).filter(F.col("t") >= least).toPandas()
+    auto = Automaton(keys, sizes, hot["k"].to_numpy(np.int64), hot["c"].to_numpy(np.int64))
+    model = spark.sparkContext.broadcast(auto)
+
+    # all steps that are no frequent arcs, with c: how often the pair is in training texts; first: once for each arc
+    steps = rows.withColumn("_id", F.when(F.col("_row").isNotNull(), F.xxhash64("_row"))).select("_id", "text", "learn").mapInArrow(_steps(model), "w long, v long, salt int, _id long, learn boolean")
+    pair = Window.partitionBy("w", "v", "salt").orderBy(F.desc("learn"))
+    steps = steps.withColumn("c", F.sum(F.col("learn").cast("long")).over(pair.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("first", (F.row_number().over(pair) == 1) & F.col("learn"))
+    steps = materialize(steps.filter("_id IS NOT NULL OR first").select("_id", "w", "v", "c", "first"), "steps")
+
+    def often(k: str):
+        return F.col(k).between(-len(keys), -1)
+
+    def local(columns: dict[str, np.ndarray]) -> DataFrame:
+        return spark.createDataFrame(pa.table(columns))
+
+    words_ = local({"k": ~np.arange(len(keys), dtype=np.int64), "c": sizes})
+    rare = counts.filter(F.col("t") < least).select("k", "c")
+    # each state's number of arcs, and c + 1 of the words that they lead to
+    arcs = steps.filter("first").select(F.col("w").alias("_w"), F.col("v").alias("k"))
+    held = auto.pair_counts > 0
+    source, target = auto.pairs[held] >> 32, auto.pairs[held] & 0xFFFFFFFF
+    own = np.bincount(source, minlength=len(keys)).astype(np.int64)
+    own_covered = np.bincount(source, weights=sizes[target] + 1, minlength=len(keys)).astype(np.int64)
+    parts = [arcs.filter(often("k")).join(F.broadcast(words_), "k"), arcs.filter(~often("k")).join(rare, "k")]
+    parts = [x.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("c") + 1).alias("_to")) for x in parts]
+    parts.append(local({"_w": ~np.arange(len(keys), dtype=np.int64), "_n": own, "_to": own_covered}))
+    states = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("_w").agg(F.sum("_n").alias("_n"), F.sum("_to").alias("_to"))
+    left = F.greatest(DISCOUNT * F.col("_n") / F.col("c"), F.lit(1e-12))
+    failure = F.log10(left / F.greatest(1 - F.col("_to") / F.lit(float(n + v + 1)), F.lit(1e-12)))
+    state = F.when(F.col("c") > 0, F.log10("c") + failure).otherwise(0.0)
+    base = float(np.log10(n + v + 1))
+
+    def valued(table: DataFrame, some) -> DataFrame:
+        return table.join(states.filter(some), F.col("k") == F.col("_w"), "left").select("k", state.alias("_state"), (F.log10(F.col("c") + 1) - base).alias("_unigram"))
+
+    found = steps.filter("_id IS NOT NULL AND c > 0").select("_id", F.log10(F.col("c") - DISCOUNT).alias("_x"))
+    failed = steps.filter("_id IS NOT NULL AND c = 0").select("_id", F.explode(F.array(F.struct(F.col("w").alias("k"), F.lit(True).alias("_is_state")), F.struct(F.col("v").alias("k"), F.lit(False).alias("_is_state")))).alias("_e")).select("_id", "_e.*")
+    paid = F.when(F.col("_is_state"), F.col("_state")).otherwise(F.col("_unigram")).alias("_x")
+    failed_often = failed.filter(often("k")).join(F.broadcast(valued(words_, often("_w"))), "k").select("_id", paid)
+    failed_rare = failed.filter(~often("k")).join(valued(rare, ~often("_w")), "k").select("_id", paid)
+
+    named = rows.filter("_row IS NOT NULL").select("_row", "text")
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in named.schema["_row"].dataType.fields)
-    walked = materialize(named.mapInArrow(_score(model, float(np.log10(n + v + 1))), f"_row struct<{fields}>, n_tokens long, n_known long, base_score double, score double, rare array<long>").withColumn("_id", F.xxhash64("_row")), "walked")
-    rare = counts.filter(F.col("c") < least)
-    tokens = walked.select("_id", F.explode("rare").alias("k"))
-    more = tokens.join(rare, "k").groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.log10(F.col("c") + 1)).alias("_l"))
+    walked = materialize(named.mapInArrow(_score(model, base), f"_row struct<{fields}>, n_tokens long, n_known long, base_score double, score double, rare array<long>").withColumn("_id", F.xxhash64("_row")), "walked")
+    met = walked.select("_id", F.explode("rare").alias("k")).join(rare, "k")
+    met = met.select("_id", (F.col("c") > 0).cast("long").alias("_n"), F.log10(F.col("c") + 1).alias("_l"), (-F.log10(F.greatest("c", F.lit(1)))).alias("_x"))
+    stepped = found.unionByName(failed_often).unionByName(failed_rare).select("_id", F.lit(0).cast("long").alias("_n"), F.lit(0.0).alias("_l"), "_x")
+    more = met.unionByName(stepped).groupBy("_id").agg(*[F.sum(x).alias(x) for x in ("_n", "_l", "_x")])
     # rows of one _id are equal in all ``row`` columns; their sums are told apart by their share of the group
     sums = walked.groupBy("_id").agg(F.count(F.lit(1)).alias("_m"))
     out = walked.drop("rare").join(more.join(sums, "_id"), "_id", "left")
-    each = F.coalesce(F.col("_m"), F.lit(1))
-    return out.select("_row.*", "n_tokens", (F.col("n_known") + F.coalesce(F.col("_n"), F.lit(0)) / each).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce(F.col("_l"), F.lit(0.0)) / each).alias("base_score"), (F.col("score") + F.coalesce(F.col("_l"), F.lit(0.0)) / each).alias("score"))
+    n_more, l_more, x_more = (F.coalesce(F.col(x) / F.col("_m"), F.lit(0.0)) for x in ("_n", "_l", "_x"))
+    return out.select("_row.*", "n_tokens", (F.col("n_known") + n_more).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + l_more).alias("base_score"), (F.col("score") + x_more).alias("score"))
+
+
+def lm_scores(docs: DataFrame, train: DataFrame, row: list[str], share: float = SHARE) -> DataFrame:
+    """``row`` columns of docs with n_tokens, n_known, train_tokens, base_score and score, learning from train.text."""
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in row]).alias("_row"), "text", F.lit(False).alias("learn"))
+    learned = train.select(F.lit(None).cast(named.schema["_row"].dataType).alias("_row"), "text", F.lit(True).alias("learn"))
+    return _scores(named.unionByName(learned), share)
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))).withColumn("_h", F.xxhash64("text"))
-    return lm_scores(docs, docs.filter("not held_out"), ["doc_id", "held_out", "_h"]).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rows = docs.select(F.struct("doc_id", "held_out", "_h").alias("_row"), "text", (~F.col("held_out")).alias("learn"))
+    return _scores(rows, SHARE).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -104,6 +104,28 @@ def test_language_model(spark):
     assert lm_scoring.lm_scores(df.limit(0), df.limit(0), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("share", [2e-6, 0.03, 0.2])
+def test_language_model_keeps_every_pair(spark, share):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijkl") * rng.choice([1, 1, 2]) for _ in range(rng.randint(0, 12))) for _ in range(40)] + ["q q q q q q q q", "", None] * 2
+    df = docs(spark, texts)
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(df, df.filter("doc_id < 25"), ["doc_id"], share).collect()}
+    words = [[None, *(t or "").split(), None] for t in texts]
+    c, pairs = Counter(w for d in words[:25] for w in d[1:]), Counter(p for d in words[:25] for p in zip(d, d[1:]))
+    total = sum(c.values()) + len(c) + 1
+
+    def weight(w, v):
+        if pairs[w, v]:
+            return np.log10((pairs[w, v] - 0.75) / c[w])
+        after = [y for x, y in pairs if x == w]
+        failure = np.log10(0.75 * len(after) / c[w] / (1 - sum((c[y] + 1) / total for y in after))) if c[w] else 0
+        return failure + np.log10((c[v] + 1) / total)
+
+    assert any(k == 1 for k in pairs.values()) and len(got) == len(texts)
+    for i, d in enumerate(words):
+        assert got[i].score == pytest.approx(sum(weight(w, v) for w, v in zip(d, d[1:])))
+
+
 def test_classifier(spark):
     rng = random.Random(1)
     texts = [prose(rng, 40) if i % 2 else " ".join(w + "###" for w in prose(rng, 40).split()) for i in range(240)] + [None, ""]
