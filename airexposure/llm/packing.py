@@ -4,7 +4,7 @@
 2. ``plan``: best-fit decreasing over (length, count) pairs. Open sequences with the same room left are one class, held
    as ranges of sequence numbers, so the plan's size depends on the number of lengths, never on that of the documents.
 3. ``pack``: each piece gets a rank within its length (hot lengths are numbered in parts) and takes the slot that the
-   plan gives that rank, by an equi-join on length with a range test.
+   plan gives that rank, by an equi-join on length with a range test. Only digests are ranked; the ids join the places last.
 
 A null text is empty (its one token is the end id); empty and repeated rows get pieces of their own; ties in rank are
 broken by doc_id and piece, and rows equal in both share slots in any order. Only doc_id and text are read.
@@ -145,7 +145,7 @@ def _pieces(path: str, length: int, end_id: int, keep_ids: bool):
         for batch in batches:
             for first, offsets, data in chunks(batch.column(1)):
                 flat, at = _encode(vocabulary, data, offsets, end_id)
-                rows, piece, start, size, crc, ids = [], [], [], [], [], []
+                rows, piece, start, size, crc, begin = [], [], [], [], [], []
                 for d, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                     for k, p in enumerate(range(s, e, length)):
                         part = flat[p : min(e, p + length)]
@@ -154,19 +154,19 @@ def _pieces(path: str, length: int, end_id: int, keep_ids: bool):
                         start.append(p - s)
                         size.append(len(part))
                         crc.append(zlib.crc32(part))
-                        if keep_ids:
-                            ids.append(part.astype(np.int32))
+                        begin.append(p)
                 cols = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int32())))
+                    # the pieces follow one another without gaps
+                    cols.append(pa.ListArray.from_arrays(pa.array([*begin, len(flat)], pa.int32()), pa.array(flat.astype(np.int32))))
                     names.append("ids")
                 yield pa.record_batch(cols, names)
 
     return run
 
 
-def tokenize(docs: DataFrame, path: str, length: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, length: int = 4096, end_id: int = 1, keep_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of each text's ids; ``path``: a tokenizers file."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -229,9 +229,14 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     return placed.select(*pieces.columns, (F.col("_sequence") + F.floor(step / F.col("_per"))).cast("long").alias("sequence_id"), (F.col("_offset") + F.col("length") * (step % F.col("_per"))).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
-    """docs (doc_id, text) to packed pieces."""
-    return pack(materialize(tokenize(docs, path, capacity, end_id, keep_ids), "pieces"), capacity)
+def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = True) -> DataFrame:
+    """docs (doc_id, text) to packed pieces, with their ids unless only the digests are wanted."""
+    if not keep_ids:
+        return pack(materialize(tokenize(docs, path, capacity, end_id, False), "pieces"), capacity)
+    # the number is written with the piece, so it stays the same; doc_id and piece may repeat
+    pieces = materialize(tokenize(docs, path, capacity, end_id).withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    placed = pack(pieces.drop("ids"), capacity).join(pieces.select("_piece", "ids"), "_piece")
+    return placed.select(*[c for c in pieces.columns if c != "_piece"], "sequence_id", "offset")
 
 
 def vocabulary_path() -> str:
@@ -241,4 +246,4 @@ def vocabulary_path() -> str:
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"), vocabulary_path(), 4096)
+    return pack_documents(read(spark, sf_dir, "documents"), vocabulary_path(), 4096, keep_ids=False)

@@ -39,7 +39,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids with their places in sequences of 4096."""
+    """Pieces of the documents' token ids, ids included, with their places in sequences of 4096."""
     return pack_documents(docs, vocabulary_path(), 4096)
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from airexposure.llm import components, decontaminate, license_scan, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash_dedup, suffix_dedup, warc
 
 DOC = "doc_id long, text string, lang string, source string, k int"
@@ -154,6 +155,23 @@ def test_quality_rules(spark):
     assert all(got[i].kept or got[i].base_failed for i in range(120))
 
 
+def test_pipeline_ends_with_token_ids(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary_path())
+    texts = ["a red fox", "a red fox", None, "", "one two three " * 2000, "a blue fox 12"]
+    df = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") > 2, F.col("doc_id") % 2))
+    got = corpus_pipeline.best_fit_packing(spark, df, "").collect()
+    want = Counter(tuple(ids[k : k + 4096]) for x in texts for ids in [t.encode(x or "", add_special_tokens=False).ids + [1]] for k in range(0, len(ids), 4096))
+    assert Counter(tuple(r.ids) for r in got) == want
+    taken = defaultdict(set)
+    for r in got:
+        place = set(range(r.offset, r.offset + len(r.ids)))
+        assert len(r.ids) == r.length and max(place) < 4096 and not place & taken[r.sequence_id]
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes())
+        taken[r.sequence_id] |= place
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
