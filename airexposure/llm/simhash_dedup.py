@@ -234,18 +234,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
-    """One row of each group: that of the smallest doc_id (any one of rows that repeat a doc_id).
+    """One row with a doc_id of each group, that of the smallest one, and one without: rows are told apart by doc_id and a 128-bit hash of
+    the text, and of rows equal in both any one stays.
 
-    Rows without doc_id are only compared with each other, for equal texts.
+    Rows without doc_id take part in the method, but go only for the sake of others without.
     """
-    named = docs.filter("doc_id is not null")
-    found = near_duplicates(named, width, tau).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    parts = [F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(7), "text").alias("g")]
+    found = near_duplicates(docs.select(F.struct(*parts).alias("doc_id"), "text"), width, tau)
+    # rows with a doc_id come first, so only those without may need another row than their component's first
+    found = materialize(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")), "found")
+    unnamed = found.filter("doc_id.unnamed")
+    own = unnamed.groupBy("c").agg(F.min("doc_id").alias("first"))
+    firsts = found.filter("not doc_id.unnamed").selectExpr("doc_id", "c first", "n").unionByName(unnamed.join(own, "c").select("doc_id", "first", "n"))
     # the rows that go are far fewer than those that stay, so up to larger inputs Spark need not shuffle the texts
-    marked = materialize(found.filter("doc_id <> c or n > 1"), "marked")
-    out = named.join(marked.filter("doc_id <> c").select("doc_id"), "doc_id", "left_anti")
-    if marked.filter("doc_id = c").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+    marked = materialize(firsts.filter("doc_id <> first or n > 1").selectExpr("doc_id.doc_id _id", "doc_id.h _h", "doc_id.g _g", "doc_id = first again"), "marked")
+    rows = docs.withColumns({"_own_h": F.xxhash64("text"), "_own_g": F.xxhash64(F.lit(7), "text")})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_h") == F.col("_h")) & (F.col("_own_g") == F.col("_g"))
+    out = rows.join(marked, same, "left_anti")
+    again = marked.filter("again")
+    if again.limit(1).count():
+        out = out.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "_own_h", "_own_g"]))
+    return out.select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -255,3 +255,14 @@ def test_keep_first_of_repeated_and_missing_ids(spark):
     assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == [1, 3, 4]
     assert sorted(r["text"] for r in out if r["doc_id"] is None) == sorted([a, b])
     assert simhash_dedup.keep_first(docs.limit(0)).count() == 0
+
+
+def test_keep_first_goes_by_rows(spark):
+    rng = random.Random(9)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    # 2 has a copy of 1 and a text of its own; 3 stands twice, with two texts; rows without id: near copies of each other and of 1
+    rows = [(1, a), (2, a.upper()), (2, b), (3, c), (3, d), (3, d), (None, a.title()), (None, a), (None, "x " + prose(rng, 80))]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, c long")
+    out = simhash_dedup.keep_first(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in out if r.doc_id is not None) == sorted([(1, a), (2, b), (3, c), (3, d)])
+    assert len([r for r in out if r.doc_id is None and r.text.lower() == a]) == 1 and len(out) == 6
