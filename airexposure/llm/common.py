@@ -5,32 +5,46 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of texts that go to a Python worker at once (one longer text goes alone).
+BATCH_BYTES = 8 << 20
+
 _own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; an own one only where none is set (tests)."""
+    """The shared folder that the session names in spark.checkpoint.dir; an own one where none is set and all runs on one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-")
     return _own[app]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts differ in size by orders of magnitude, so the session's Arrow batches are bounded in bytes, not only in rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(c for c in spark.conf.get(name) if c.isdigit())) != BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -39,6 +53,35 @@ def buckets_for(spark: SparkSession) -> int:
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def row_without(df: DataFrame, *names: str) -> Column:
+    """A struct of df's columns but those named: what an operator hands through beside the columns that it adds."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return F.struct(*kept) if kept else F.struct(F.lit(None).cast("int").alias("_none"))
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    """The column's type as in a schema string, whatever its fields are called."""
+
+    def text(t) -> str:
+        if t.typeName() == "struct":
+            return "struct<" + ", ".join(f"`{f.name}`: {text(f.dataType)}" for f in t.fields) + ">"
+        if t.typeName() == "array":
+            return f"array<{text(t.elementType)}>"
+        return t.simpleString()
+
+    return text(df.schema[column].dataType)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as far as df has such columns."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def gapless_rank(df: DataFrame, groups: list[str], order: list, name: str, buckets: int, by: list | None = None) -> DataFrame:
     """Adds ``name``: 0, 1, 2 ... within each group, without gaps.
 

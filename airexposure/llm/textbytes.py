@@ -121,6 +121,15 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else (x.encode() if isinstance(x, str) else x) for x in column.to_pylist()]
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with all fields nullable, as results of grouped functions are checked against."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(nullable(kind.value_type))
+    return kind
+
+
 def tidy(run):
     """An Arrow function that gives its memory back to the system at the end of a task: idle workers share the executor's memory."""
 
