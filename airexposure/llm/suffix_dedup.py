@@ -15,21 +15,22 @@ at growing lengths:
 No group is ever gathered: each step is a count (combined before the shuffle) and an equi-join that Spark can split
 where one string is very frequent. Only the repeated positions, not the texts, meet each other.
 
+Which bytes of a text repeat follows from the texts alone, so texts, not rows, have identities: 80 bits of hashes.
+
 Nulls are empty texts; texts shorter than ``length`` lose nothing; repeated rows count as different texts, so a row
-that is there twice loses all bytes if it is long enough; a null doc_id is a document like any other. Other columns
-are ignored (clashing names do no harm: only doc_id and text are read).
+that is there twice loses all bytes if it is long enough; doc_id may repeat, be null or be of any type, and is not read.
+Of other columns, those called like the results go in ``remove_repeats``; ``without_repeats`` keeps all columns.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import kind_of, materialize, read, row_without
 from .textbytes import _TABLE, chunks, tidy
 
 K = 16  # bytes of the strings that anchors are chosen by
@@ -180,59 +181,39 @@ def _cells(length: int, width: int):
 def _remove(batches):
     """Arrow function: (_row, text, spans) to the kept bytes and counts; spans are starts << 32 | ends."""
     for batch in batches:
-        kept, size, gone, runs = [], [], [], []
-        spans = batch.column("spans").to_pylist()
-        for t, s in zip(batch.column("text").to_pylist(), spans):
+        kept, text, size, gone, runs = [], [], [], [], []
+        for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             raw = t.encode()
             parts, at, n = [], 0, 0
-            if s:
-                for v in sorted(s):
-                    lo, hi = v >> 32, v & 0xFFFFFFFF
-                    if n and lo <= at:
-                        at = max(at, hi)
-                    else:
-                        parts.append(raw[at:lo])
-                        at, n = hi, n + 1
+            for v in sorted(s or ()):
+                lo, hi = v >> 32, v & 0xFFFFFFFF
+                if n and lo <= at:
+                    at = max(at, hi)
+                else:
+                    parts.append(raw[at:lo])
+                    at, n = hi, n + 1
             parts.append(raw[at:])
             out = b"".join(parts)
             kept.append(out)
+            text.append(out.decode("utf-8", "ignore"))
             size.append(len(raw))
             gone.append(len(raw) - len(out))
             runs.append(n)
-        yield pa.record_batch([batch.column("_row"), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], ["_row", "kept", "n_bytes", "n_removed", "n_spans"])
+        yield pa.record_batch([batch.column("_row"), pa.array(kept, pa.binary()), pa.array(text, pa.string()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], ["_row", "kept", "kept_text", "n_bytes", "n_removed", "n_spans"])
 
 
-def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """docs with the repeated bytes cut out of ``text``; bytes of a character that was cut in two go as well."""
-    cut = remove_repeats(docs, length).withColumn("text", F.pandas_udf(_text, "string")("kept"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
-
-
-def _text(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """docs with ``kept`` (the bytes of ``text`` that stay), n_bytes, n_removed and n_spans in place of ``text``.
-
-    ``length``: bytes of the shortest string that counts as a repeat (from 2 * 16 to 255).
-    """
-    if not 2 * K <= length <= 255:
-        raise ValueError("length must be from 32 to 255")
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(65536))  # tells rows of one doc_id apart
-    base = docs.select(F.struct(*others).alias("_row"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_d"), key.alias("_r"))
-    scanned = base.select("_d", "_r", "text")
-    counts = scanned.mapInArrow(tidy(_scan(length, True)), "k long").groupBy("k").count().filter("count > 1").select("k")
-    same = materialize(scanned.mapInArrow(tidy(_scan(length, False)), "k long, u long, d long, at long").join(counts, "k"), "repeated-anchors")
+def _spans(texts: DataFrame, length: int) -> DataFrame:
+    """texts (_d, _r, text; one row for each place where a text stands) to (_d, _r, spans) of those with repeats."""
+    counts = texts.mapInArrow(tidy(_scan(length, True)), "k long").groupBy("k").count().filter("count > 1").select("k")
+    same = materialize(texts.mapInArrow(tidy(_scan(length, False)), "k long, u long, d long, at long").join(counts, "k"), "repeated-anchors")
 
     classes = same.groupBy("k", "u").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "at")).alias("rep"))
     whole = same.join(classes.filter("c > 1").select("k", "u"), ["k", "u"], "left_semi").selectExpr("d", "at", "cast(shiftright(at, 24) & 255 as int) lo", "cast(shiftright(at, 16) & 255 as int) hi")
-    mixed = classes.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).filter("n > 1 and least = 1").select("k")
+    # written out, so that the join by k has nothing but the join above its exchanges and Spark can split a frequent k
+    mixed = materialize(classes.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).filter("n > 1 and least = 1").select("k"), "mixed-anchors")
     reps = classes.join(mixed, "k").selectExpr("rep.d _d", "rep.at & 65535 _r", "struct(k, rep.at, c = 1 one) rep").groupBy("_d", "_r").agg(F.collect_list("rep").alias("reps"))
-    ctx = materialize(base.join(reps, ["_d", "_r"]).mapInArrow(tidy(_contexts(length)), "k long, d long, at long, one boolean, ctx binary"), "surroundings")
+    once = texts.groupBy("_d", "_r").agg(F.first("text").alias("text"))
+    ctx = materialize(once.join(reps, ["_d", "_r"]).mapInArrow(tidy(_contexts(length)), "k long, d long, at long, one boolean, ctx binary"), "surroundings")
 
     cell = "k long, k2 long, u2 long, d long, at long, one boolean, lo int, hi int"
     coarse = ctx.selectExpr("*", "cast(shiftright(at, 24) & 255 as int) lo", "cast(shiftright(at, 16) & 255 as int) hi").mapInArrow(tidy(_cells(length, FINE)), cell)
@@ -245,14 +226,39 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     whole3 = fine.filter("one").join(twice, ["k", "k2"], "left_semi").select("d", "at", "lo", "hi")
 
     found = whole.union(whole2).union(whole3)
-    spans = found.selectExpr("d _d", "at & 65535 _r", f"shiftleft(shiftright(at, 33) - hi, 32) | (shiftright(at, 33) - lo + {length}) span").groupBy("_d", "_r").agg(F.collect_set("span").alias("spans"))
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in base.schema["_row"].dataType.fields)
-    out = base.join(spans, ["_d", "_r"], "left").select("_row", "text", "spans").mapInArrow(tidy(_remove), f"_row struct<{fields}>, kept binary, n_bytes long, n_removed long, n_spans long")
-    return out.select("_row.*", "kept", "n_bytes", "n_removed", "n_spans")
+    return found.selectExpr("d _d", "at & 65535 _r", f"shiftleft(shiftright(at, 33) - hi, 32) | (shiftright(at, 33) - lo + {length}) span").groupBy("_d", "_r").agg(F.collect_set("span").alias("spans"))
 
 
-def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import read
+def _cut(docs: DataFrame, row, length: int) -> DataFrame:
+    """(_row, kept, kept_text, n_bytes, n_removed, n_spans); row: what becomes of docs' columns."""
+    if not 2 * K <= length <= 255:
+        raise ValueError("length must be from 32 to 255")
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select(row.alias("_row"), text.alias("text"), F.xxhash64(text).alias("_d"), F.pmod(F.xxhash64(F.lit(7), text), F.lit(65536)).alias("_r"))
+    out = base.join(_spans(base.select("_d", "_r", "text"), length), ["_d", "_r"], "left").select("_row", "text", "spans")
+    return out.mapInArrow(tidy(_remove), f"_row {kind_of(base, '_row')}, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long")
+
+
+def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """docs with the repeated bytes cut out of ``text`` (null becomes empty); bytes of a character that was cut in two go as well."""
+    out = _cut(docs, row_without(docs, "text"), length)
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+
+
+RESULTS = ("kept", "n_bytes", "n_removed", "n_spans")
+
 
+def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """docs with ``kept`` (the bytes of ``text`` that stay), n_bytes, n_removed and n_spans in place of ``text``.
+
+    ``length``: bytes of the shortest string that counts as a repeat (from 2 * 16 to 255).
+    """
+    return _cut(docs, row_without(docs, "text", *RESULTS), length).select("_row.*", *RESULTS)
+
+
+def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, 200).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
