@@ -1,32 +1,37 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 ``postings`` stores, for each block of training texts, every distinct term and the ascending positions at which it stands
-(terms are 64-bit word hashes; positions run through the texts of the block, with a gap between texts). Blocks follow
-Spark's partitions of the texts, so building the index shuffles nothing and each block is bounded by the block size.
+(terms are 64-bit word hashes; positions run through the texts of the block, with a gap between texts). The index is
+written out once, whatever is asked of it; its blocks follow Spark's partitions of the texts, so building it shuffles
+nothing and each block is bounded by the block size.
 
-``phrase_hits`` sends the benchmark's windows to the blocks and, for each window, starts from the postings of its term
-that is rarest in the block, shifts them by the term's offset, and intersects with the other terms' shifted postings in
-order of rarity. The benchmark travels in blocks of at most ``BLOCK_WORDS`` words, so what is broadcast has a fixed bound
-whatever the benchmark's size. ``proximity_hits`` finds places where all terms stand within a number of words.
+``phrase_hits`` sends the benchmark's windows to the stored blocks and, for each window, starts from the postings of its
+term that is rarest in the block, shifts them by the term's offset, and intersects with the other terms' shifted postings
+in order of rarity. The benchmark is dealt into parts of about ``PART_WORDS`` words by hash; one part at a time passes
+through the driver to the tasks, so what is broadcast has a fixed size whatever the benchmark's. A text's hits from all
+parts meet by its place in the index. ``proximity_hits`` finds places where all terms stand within a number of words.
 
 Null texts have no words; a text without words has no hits; items without words are ignored; repeated items and repeated
-rows are treated one by one; a null item_id is named "null" nowhere: such items mark words but are not listed.
+rows are treated one by one, rows being told apart by their place in the index, so doc_id may repeat or be null; a null
+item_id marks words but is not listed. Columns of the texts that are called like results go; ``drop_contaminated`` keeps all.
 """
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import free_names, kind_of, materialize, read, row_without
 from .textbytes import ALNUM_WORDS, chunks, hash_slices, lower, tidy, words
 
-BLOCK_WORDS = 1 << 18  # benchmark words that are sent to the tasks at once
+PART_WORDS = 1 << 18  # benchmark words that are sent to the tasks at once
 INDEX_BYTES = 4 << 20  # text bytes indexed together
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated")
+_FOUND = "block long, nth int, hits array<struct<s: long, e: long>>, items array<string>"
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray):
@@ -36,7 +41,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray):
 
 
 def _index(batches):
-    """Arrow function: (_row, text) to one row for each block of texts: rows, word counts and postings."""
+    """Arrow function: (row, text) to one row for each block of texts: rows, word counts and postings."""
     for batch in batches:
         for first, offsets, data in chunks(batch.column(1), INDEX_BYTES):
             terms, index = _terms(data, offsets)
@@ -46,24 +51,29 @@ def _index(batches):
             place = np.arange(len(terms)) + np.repeat(np.arange(n), counts)
             order = np.argsort(terms, kind="stable")
             distinct, begin = np.unique(terms[order], return_index=True)
+            one = [0, n]
             yield pa.record_batch(
-                [pa.array([batch.column(0).slice(first, n).to_pylist()], pa.list_(batch.schema.field(0).type)), *(pa.array([x.tobytes()], pa.binary()) for x in (counts.astype(np.int64), distinct, np.r_[begin, len(terms)].astype(np.int64), place[order].astype(np.int64)))],
+                [
+                    pa.ListArray.from_arrays(pa.array(one, pa.int32()), batch.column(0).slice(first, n)),
+                    pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array(counts.astype(np.int64))),
+                    *(pa.array([x.tobytes()], pa.binary()) for x in (distinct, np.r_[begin, len(terms)].astype(np.int64), place[order].astype(np.int64))),
+                ],
                 ["rows", "counts", "terms", "begins", "positions"],
             )
 
 
-def postings(docs: DataFrame, row: list[str]) -> DataFrame:
-    """The positional index of docs.text; ``row``: the columns that name a text in results."""
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in row]).alias("row"), "text")
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in named.schema["row"].dataType.fields)
-    return named.mapInArrow(tidy(_index), f"rows array<struct<{fields}>>, counts binary, terms binary, begins binary, positions binary")
+def postings(docs: DataFrame) -> DataFrame:
+    """The stored positional index of docs.text: a row for each block, with its texts' other columns."""
+    named = docs.select(row_without(docs, "text", *RESULTS, "hits").alias("row"), "text")
+    found = named.mapInArrow(tidy(_index), f"rows array<{kind_of(named, 'row')}>, counts array<long>, terms binary, begins binary, positions binary")
+    return materialize(found.withColumn("block", F.monotonically_increasing_id()), "postings", "zstd")
 
 
 class Block:
     """One row of the index."""
 
-    def __init__(self, counts: bytes, terms: bytes, begins: bytes, positions: bytes):
-        self.counts, self.terms = np.frombuffer(counts, np.int64), np.frombuffer(terms, np.uint64)
+    def __init__(self, counts: np.ndarray, terms: bytes, begins: bytes, positions: bytes):
+        self.counts, self.terms = counts, np.frombuffer(terms, np.uint64)
         self.begins, self.positions = np.frombuffer(begins, np.int64), np.frombuffer(positions, np.int64)
         self.first = np.cumsum(self.counts + 1) - self.counts - 1  # position of each text's first word
 
@@ -111,17 +121,27 @@ class Block:
         return np.array(found, dtype=np.int64)
 
 
+def _merged(hits: list[tuple[int, int]]) -> list[dict]:
+    out: list[dict] = []
+    for s, e in sorted(hits):
+        if out and s <= out[-1]["e"]:
+            out[-1]["e"] = max(e, out[-1]["e"])
+        else:
+            out.append({"s": s, "e": e})
+    return out
+
+
 def _search(queries, width: int, span: int | None):
-    """Arrow function over the index: one row for each text with hits: its row, covered word places as starts and ends, items.
+    """Arrow function over the index: one row for each text with hits: its place, covered words as starts and ends, items.
 
-    queries: broadcast list of (item, terms).
+    queries: broadcast list of (item, terms). Hits of a phrase that touch are one run; those of proximity stay single words.
     """
 
     def run(batches):
         for batch in batches:
-            named = batch.column(0).to_pylist()
-            for i, parts in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)))):
-                block = Block(*parts)
+            number, counts = batch.column("block").to_pylist(), batch.column("counts")
+            for i, parts in enumerate(zip(*(batch.column(k).to_pylist() for k in ("terms", "begins", "positions")))):
+                block = Block(counts[i].values.to_numpy(), *parts)
                 hits: dict[int, list] = {}
                 for item, terms in queries.value:
                     at = block.find(terms)
@@ -133,73 +153,59 @@ def _search(queries, width: int, span: int | None):
                             text = int(np.searchsorted(block.first, p, side="right")) - 1
                             start = p - int(block.first[text])
                             hits.setdefault(text, []).append((start, start + (1 if span else size), item))
-                n = block.counts.tolist()
-                out = [(named[i][t], n[t], hits.get(t, [])) for t in range(len(n))]
-                yield pa.record_batch(
-                    [pa.array([o[0] for o in out], batch.schema.field(0).type.value_type), pa.array([o[1] for o in out], pa.int64()), pa.array([[{"s": h[0], "e": h[1]} for h in o[2]] for o in out], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array([sorted({h[2] for h in o[2] if h[2] is not None}) for o in out], pa.list_(pa.string()))],
-                    ["row", "n_words", "hits", "items"],
-                )
+                if hits:
+                    spans = [[{"s": s, "e": e} for s, e, _ in sorted(set(h))] if span else _merged([x[:2] for x in h]) for h in hits.values()]
+                    items = [sorted({x[2] for x in h if x[2] is not None}) for h in hits.values()]
+                    kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+                    yield pa.record_batch([pa.array([number[i]] * len(hits), pa.int64()), pa.array(list(hits), pa.int32()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["block", "nth", "hits", "items"])
 
     return run
 
 
-def _blocks_of(items: DataFrame):
-    """The benchmark as lists of (item_id as text, terms), at most BLOCK_WORDS words each (one larger item alone)."""
-    block, size = [], 0
-    for r in items.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator(prefetchPartitions=False):
-        text = pa.array([r["text"]], pa.string())
-        for _, offsets, data in chunks(text):
-            terms, _ = _terms(data, offsets)
-            if not len(terms):
-                continue
-            if block and size + len(terms) > BLOCK_WORDS:
-                yield block
-                block, size = [], 0
-            block.append((r["item_id"], terms))
-            size += len(terms)
-    if block:
-        yield block
+def _of_items(rows) -> list[tuple[str | None, np.ndarray]]:
+    """(item_id, terms) of items (item_id, text)."""
+    out = []
+    for item, text in rows:
+        terms = [_terms(data, offsets)[0] for _, offsets, data in chunks(pa.array([text], pa.string()))]
+        if len(terms) and len(terms[0]):
+            out.append((item, terms[0]))
+    return out
 
 
 def _hits(index: DataFrame, items: DataFrame, width: int, span: int | None) -> DataFrame:
-    spark = index.sparkSession
-    kind = index.schema["rows"].dataType.elementType
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kind.fields)
-    schema = f"row struct<{fields}>, n_words long, hits array<struct<s: long, e: long>>, items array<string>"
-    blocks = list(_blocks_of(items)) or [[]]
-    found = [index.mapInArrow(tidy(_search(spark.sparkContext.broadcast(b), width, span)), schema) for b in blocks]
-    if len(found) == 1:
-        return found[0]
-    # several benchmark blocks: a text's hits meet by its place in the index
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return every.groupBy("row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    """(block, nth, hits, items), a row for each text with hits and part of the benchmark; parts are searched one after the other."""
+    context = index.sparkSession.sparkContext
+    named = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    # a word takes two bytes at least
+    total = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0] // 2
+    parts = 1 + total // PART_WORDS
+    named = named.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    found = []
+    for k in range(parts):
+        queries = context.broadcast(_of_items(named.filter(F.col("part") == k).select("item_id", "text").toLocalIterator()))
+        search = index.select("block", "counts", "terms", "begins", "positions").mapInArrow(tidy(_search(queries, width, span)), _FOUND)
+        found.append(materialize(search, "hits"))
+        queries.unpersist()
+    return reduce(DataFrame.unionByName, found)
 
 
 def phrase_hits(index: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
-    """(row, n_words, hits, items): where windows of ``width`` consecutive words of items(item_id, text) stand; a shorter item is one window."""
+    """(block, nth, hits, items): where windows of ``width`` consecutive words of items(item_id, text) stand; a shorter item is one window."""
     return _hits(index, items, width, None)
 
 
 def proximity_hits(index: DataFrame, items: DataFrame, span: int) -> DataFrame:
-    """(row, n_words, hits, items): places of each item's rarest term where all its distinct terms stand within ``span`` words."""
+    """(block, nth, hits, items): places of each item's rarest term where all its distinct terms stand within ``span`` words."""
     return _hits(index, items, 0, span)
 
 
-def _summary(batches):
-    for batch in batches:
-        n, hit, ids, sha = batch.column(1).to_pylist(), [], [], []
-        for hits, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            total, at = 0, 0
-            for s, e in sorted((h["s"], h["e"]) for h in hits):
-                total += max(0, e - max(s, at))
-                at = max(at, e)
-            hit.append(total)
-            ids.append(len(items))
-            sha.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
-        bad = [h > 0 and 20 * h >= w for h, w in zip(hit, n)]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(ids, pa.int64()), pa.array(sha), batch.column(3), pa.array(bad)], ["row", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"])
+def by_text(index: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, n_words, hits, items) of every text of the index; hits and items are empty without any."""
+    every = index.select("block", F.posexplode(F.arrays_zip("rows", "counts")).alias("nth", "z")).select("block", "nth", F.col("z.rows").alias("row"), F.col("z.counts").alias("n_words"))
+    each = found.groupBy("block", "nth").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = every.join(each, ["block", "nth"], "left")
+    none = F.from_json(F.lit("[]"), "array<struct<s: long, e: long>>")
+    return out.select("row", "n_words", F.coalesce("hits", none).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
@@ -208,20 +214,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> Dat
     A word is hit if it lies in a place where ``width`` consecutive words of an item stand; a text is contaminated if at
     least one word in twenty is hit.
     """
-    index = postings(docs, [c for c in docs.columns if c != "text"])
-    found = phrase_hits(index, benchmark, width)
-    kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in found.schema["row"].dataType.fields)
-    out = found.mapInArrow(tidy(_summary), f"row struct<{kind}>, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean")
-    return out.select("row.*", *out.columns[1:])
+    index = postings(docs)
+    found = by_text(index, phrase_hits(index, benchmark, width))
+    step = "named_struct('n', a.n + greatest(0L, h.e - greatest(h.s, a.at)), 'at', greatest(a.at, h.e))"
+    covered = F.expr(f"aggregate(array_sort(hits), named_struct('n', 0L, 'at', 0L), (a, h) -> {step}, a -> a.n)")
+    out = found.withColumn("n_hit", covered).withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256)})
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select("row.*", *RESULTS)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
-    """docs without the contaminated texts, all columns kept; rows are judged by their own text."""
-    named = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_h"), "text")
-    bad = materialize(contamination(named, benchmark, width).filter("contaminated").select("doc_id", "_h").distinct(), "contaminated")
-    left = docs.withColumn("_h", F.xxhash64("text"))
-    match = left["doc_id"].eqNullSafe(bad["doc_id"]) & (left["_h"] == bad["_h"])
-    return left.join(bad, match, "left_anti").drop("_h")
+    """docs without the contaminated texts, all columns kept; which texts those are follows from the texts alone."""
+    h, g = free_names(docs, "_h", "_g")
+    keys = {h: F.xxhash64("text"), g: F.xxhash64(F.lit(7), "text")}
+    bad = contamination(docs.select("text", *[v.alias(k) for k, v in keys.items()]), benchmark, width)
+    bad = materialize(bad.filter("contaminated").select(h, g).distinct(), "contaminated")
+    return docs.withColumns(keys).join(bad, [h, g], "left_anti").select(*docs.columns)
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
