@@ -2,14 +2,18 @@
 
 ``write_archives`` writes one WARC/1.1 record for each page through Spark's text writer (its line separator is the two
 line ends that close a record), so archives land in any store that Spark writes to, under its commit protocol. Equal
-payloads are stored once: the record of the largest page_id is the response, the others revisit it.
+payloads are stored once: the record of the largest page_id is the response, the others revisit it. The largest payload
+bounds the records of a file, so that no archive exceeds ``ARCHIVE`` bytes (but for one that a single record exceeds).
 
-``read_archives`` parses whole archives record by record, checks stored payloads against their digests, and emits each
-archive's captures as one locally sorted run. ``merged_index`` deals the runs' captures into ranges of (URL key,
-timestamp, page) and merges the runs of each range with a loser tree: (range, rank) orders all captures.
+``read_archives`` parses archives record by record, checks stored payloads against their digests, and emits each archive's
+captures as one locally sorted run. ``merged_index`` merges the runs outside of memory: runs are cut into segments of
+``SEGMENT`` captures and at the borders of ranges of (URL key, timestamp, page); Spark brings the segments of a range
+together and sorts them, not the captures, by the first capture of each; a loser tree merges the runs while segments
+are read in that order, so that a run's next segment is read just when it can be needed and each run has one in memory.
+(range, rank) orders all captures.
 
 A null html is empty; null urls have an empty key; null page_ids are kept and never are the largest unless alone; rows
-that repeat the largest page_id of a payload are all responses. Empty input gives an empty archive.
+that repeat the largest page_id of a payload are all responses. Empty input gives an empty archive; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ import hashlib
 import io
 import re
 import uuid
+from bisect import bisect_right
+from itertools import chain, groupby
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -28,6 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import buckets_for, materialize, read, scratch_dir
 
+ARCHIVE = 512 << 20  # bytes of an archive before compression, at most
+SEGMENT = 1000  # captures of a run that travel together
+SAMPLE = 64  # captures for each range that its borders are chosen from
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 _CAPTURE = "urlkey string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, place long"
 
@@ -78,7 +87,9 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     large = F.octet_length(F.coalesce("html", F.lit(""))) >= least
     copies = rows.filter(large).groupBy("sha").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
     named = rows.join(copies, "sha", "left").select("page_id", "url", "html", "first", "date")
-    named.mapInArrow(_records, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    longest = pages.agg(F.max(F.coalesce(F.octet_length("html"), F.lit(0)) + 3 * F.coalesce(F.octet_length("url"), F.lit(0)))).head()[0] or 0
+    per_file = max(1, ARCHIVE // (longest + 1024))  # headers take less than a kilobyte
+    named.mapInArrow(_records, "value string").write.option("maxRecordsPerFile", per_file).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse(stream):
@@ -124,7 +135,7 @@ def _captures(batches):
 
 
 def _key(capture: tuple) -> tuple:
-    return capture[0].encode(), capture[1], -1 if capture[2] is None else capture[2], capture[7], capture[8]
+    return capture[0].encode(), capture[1], (capture[2] is not None, capture[2] or 0), capture[7], capture[8]
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -133,60 +144,114 @@ def read_archives(spark, path: str) -> DataFrame:
     return files.mapInArrow(_captures, _CAPTURE)
 
 
-def merge_runs(runs: list[list[tuple]]):
-    """All captures of sorted runs in order, by a tree of losers: each inner node holds the run that lost there."""
-    runs = [r for r in runs if r]
-    k = len(runs)
-    if k < 2:
-        yield from (runs[0] if runs else ())
-        return
-    at = [0] * k
-    heads: list = [_key(r[0]) for r in runs]
-
-    def beats(a: int, b: int) -> bool:
-        return heads[b] is None or heads[a] is not None and (heads[a], a) < (heads[b], b)
-
-    tree = [0] * k  # tree[1..k-1]: losers; leaves k..2k-1 are the runs
-    winner = list(range(-k, k))
+def _tournament(heads: list) -> tuple[list[int], int]:
+    """(losers of the inner nodes 1 .. k - 1, winner) over k runs; a run without a head loses to all others."""
+    k = len(heads)
+    tree, winner = [0] * k, [0] * k + list(range(k))
     for node in range(k - 1, 0, -1):
         a, b = winner[2 * node], winner[2 * node + 1]
-        winner[node], tree[node] = (a, b) if beats(a, b) else (b, a)
-    best = winner[1]
-    while heads[best] is not None:
-        yield runs[best][at[best]]
-        at[best] += 1
-        heads[best] = _key(runs[best][at[best]]) if at[best] < len(runs[best]) else None
-        node = (best + k) // 2
-        while node:
-            if beats(tree[node], best):
-                tree[node], best = best, tree[node]
-            node //= 2
+        winner[node], tree[node] = (a, b) if _beats(heads, a, b) else (b, a)
+    return tree, winner[1]
+
+
+def _beats(heads: list, a: int, b: int) -> bool:
+    return heads[b] is None or heads[a] is not None and (heads[a], a) < (heads[b], b)
+
+
+def merge_runs(segments):
+    """All captures in order. segments: (run, captures in order), at least one capture each, sorted by their first ones; those of one run
+    don't overlap.
+
+    A tree of losers picks the next capture from the segments read so far as long as it comes before the first capture of the next
+    segment; then that is read. So a run's segments are in memory one after the other.
+    """
+    source = iter(segments)
+    pending, runs, waiting, heads = next(source, None), {}, [], []
+    while pending is not None:
+        run, captures = pending
+        if run not in runs:
+            runs[run] = len(heads)
+            heads.append(None)
+            waiting.append(iter(()))
+        i = runs[run]
+        if heads[i] is None:
+            waiting[i] = iter(captures)
+            heads[i] = _head(waiting[i])
+        else:  # its own last capture is still to come
+            waiting[i] = chain(waiting[i], captures)
+        pending = next(source, None)
+        border = None if pending is None else _key(pending[1][0])
+        tree, best = _tournament(heads)
+        while heads[best] is not None and (border is None or heads[best][0] < border):
+            yield heads[best][1]
+            heads[best] = _head(waiting[best])
+            node = (best + len(heads)) // 2
+            while node:
+                if _beats(heads, tree[node], best):
+                    tree[node], best = best, tree[node]
+                node //= 2
+
+
+def _head(captures):
+    """(key, capture) of the next capture."""
+    c = next(captures, None)
+    return None if c is None else (_key(c), c)
+
+
+def _segments(borders: list[tuple]):
+    """Arrow function: captures, those of a run in order, to segments (range, run, captures)."""
+
+    def run(batches):
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            cuts, ranges = [], []
+            for i, row in enumerate(rows):
+                r = bisect_right(borders, _key(row))
+                if not cuts or row[7] != rows[i - 1][7] or r != ranges[-1] or i - cuts[-1] >= SEGMENT:
+                    cuts.append(i)
+                    ranges.append(r)
+            if cuts:
+                every = pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
+                firsts = pa.array(cuts, pa.int64())
+                yield pa.record_batch([pa.array(ranges, pa.int64()), batch.column(7).take(firsts), pa.ListArray.from_arrays(pa.array([*cuts, len(rows)], pa.int32()), every)], ["range", "run", "captures"])
+
+    return run
 
 
 def _merge(batches):
-    runs: dict[str, list] = {}
-    names = schema = None
-    for batch in batches:
-        names, schema = batch.schema.names, batch.schema
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            runs.setdefault(row[7], []).append(row)
-    if names is None:
-        return
+    """Arrow function: segments sorted by range and first capture to captures with their range and rank in it."""
+    names = [f.split()[0] for f in _CAPTURE.split(", ")]
+    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
+
+    def read():
+        for batch in batches:
+            for r, run, captures in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                yield r, run, [tuple(c.values()) for c in captures.as_py()]
+
+    def packed(out):
+        return pa.record_batch([*(pa.array([o[2][i] for o in out], t) for i, t in enumerate(types)), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], [*names, "range", "rank"])
+
     out = []
-    flush = lambda: pa.record_batch([*(pa.array([o[1][i] for o in out], f.type) for i, f in enumerate(schema)), pa.array([o[0] for o in out], pa.int64())], [*names, "rank"])
-    for n, row in enumerate(merge_runs([runs[r] for r in sorted(runs)])):
-        out.append((n, row))
-        if len(out) == 10_000:
-            yield flush()
-            out = []
+    for r, segments in groupby(read(), key=lambda x: x[0]):
+        for n, capture in enumerate(merge_runs((run, captures) for _, run, captures in segments)):
+            out.append((r, n, capture))
+            if len(out) == 10_000:
+                yield packed(out)
+                out = []
     if out:
-        yield flush()
+        yield packed(out)
 
 
 def merged_index(captures: DataFrame, ranges: int) -> DataFrame:
-    """captures with range and rank: capture histories in global order of (range, rank). A range's captures are merged by one task."""
-    dealt = captures.repartitionByRange(ranges, "urlkey", "timestamp", "page_id").sortWithinPartitions("run", "urlkey", "timestamp", "page_id", "place")
-    return dealt.mapInArrow(_merge, f"{_CAPTURE}, rank long").withColumn("range", F.spark_partition_id())
+    """captures with range and rank: capture histories in global order of (range, rank). captures: stored, those of a run in order."""
+    key = ["urlkey", "timestamp", "page_id", "run", "place"]
+    chosen = captures.select(*captures.columns).orderBy(F.xxhash64(*key), *key).limit(ranges * SAMPLE).collect()
+    borders = sorted(_key(tuple(c)) for c in chosen)
+    borders = borders[SAMPLE // 2 :: SAMPLE][: ranges - 1]
+    cut = captures.mapInArrow(_segments(borders), f"range long, run string, captures array<struct<{_CAPTURE.replace(' ', ': ')}>>".replace(",: ", ", "))
+    first = F.col("captures")[0]
+    dealt = cut.repartition(ranges, "range").sortWithinPartitions("range", *[first[k] for k in key])
+    return dealt.mapInArrow(_merge, f"{_CAPTURE}, range long, rank long")
 
 
 def op4_warc_index(spark, sf_dir: str) -> DataFrame:
