@@ -1,282 +1,237 @@
-"""Language-model scoring by a weighted backoff automaton.
+"""Language-model scoring by a weighted backoff automaton over n-grams.
 
-The model is a smoothed bigram model. Its states are the empty history and each word of the training texts; a state's
-arcs carry log10 p(next | word), its failure arc carries the backoff weight and leads to the empty history, whose arcs
-carry smoothed unigram log-probabilities. A text is scored in one left-to-right traversal: the state is the last word if
-that is a state, else the empty history; each token takes the state's arc if there is one, else fails.
+States are the histories of up to ``order`` - 1 tokens that stand in the training texts, and the empty history. A state's
+arcs carry log10 p(next | history) for the tokens that follow it there; its failure arc carries log10 of the weight left for
+all others and leads to the history without its first token. A text is scored in one left-to-right traversal: the state
+is the longest history known; a token without an arc takes failure arcs until there is one, down to the empty history, where
+every token has p = (c + 1) / (N + V + 1). With c(h, v) counts and c(h) their sum, p(v | h) = (c(h, v) + S p(v | h')) / (c(h) + S),
+h' being h without its first token (a Dirichlet prior of strength S): all p of a state sum to one, and the failure weight is
+S / (c(h) + S). Each text ends with one end token and starts in the state of the end token.
 
-Counts cover all training texts, and every pair counted is an arc, however rare: the model grows with the texts. Only
-words and pairs that make up at least ``share`` of all tokens are broadcast, at most 1 / share of each; they have proven
-bounds and spare the joins their hot keys. All other pairs of training and scored texts are dealt out together by pair,
-where they are counted and looked up at once; rare words and failure weights are joined by word.
+Counts cover all training texts and every n-gram counted is an arc, however rare: the automaton grows with the texts, and no
+task ever holds it whole.
 
-Unigrams: (c + 1) / (N + V + 1), N training tokens, V distinct ones; a token outside the vocabulary has c = 0. Bigrams:
-absolute discounting, (c(w, v) - D) / c(w); what is left, D / c(w) for each arc, goes to the failure arc, normalised by
-what the arcs do not cover. Each text ends with one end token, and starts in the state of the end token.
+1. Texts are dealt into blocks of about ``BLOCK`` bytes by their places in the files, which stay the same when a task is
+   repeated. Each block's distinct n-grams and their counts go, as sorted packed runs, to the task of their key range.
+2. There counts are summed over the blocks (a frequent n-gram comes once from each block at most, so none is hot), and
+   each block is sent the totals of its own n-grams in the same order, without the keys.
+3. Each block builds the part of the automaton that its texts can reach, and traverses it with them.
 
 A null text is empty and consists of the end token. Held-out rows are those with crc32(doc_id as text) mod 7 = 2; a null
-doc_id is a training row. Repeated rows count each. Tokens are told apart by 64-bit hashes.
+doc_id is a training row. Repeated rows count each. Tokens and n-grams are told apart by 63-bit hashes. Columns called like
+the results go.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
-from .textbytes import SPACE_WORDS, chunks, hash_slices, lower, words
+from .common import kind_of, materialize, read, row_without
+from .textbytes import SPACE_WORDS, chunks, hash_slices, lower, mix, nullable, tidy, words
 
-END = 1  # hash of the end token
-SHARE = 2e-6
-DISCOUNT = 0.75
-FLUSH = 1 << 19  # distinct keys that a task holds before it passes counts on
+END = 1  # key of the end token
+ORDER = 3
+STRENGTH = 16.0
+BLOCK = 8 << 20  # text bytes of a block
+RANGE = 1 << 21  # n-grams whose counts are summed at once, about
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ONE = np.uint64(1)
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray):
-    """(hashes of all tokens, each text followed by the end token, and where each text begins)."""
+    """(keys of all tokens, each text followed by the end token, and where each text begins); keys of tokens are odd."""
     data = lower(data)
     starts, ends, index = words(data, offsets, SPACE_WORDS)
     n = len(offsets) - 1
     at = index + np.arange(n + 1)
-    out = np.full(int(at[-1]), END, dtype=np.int64)
+    out = np.full(int(at[-1]), END, dtype=np.uint64)
     keep = np.ones(len(out), dtype=bool)
     keep[at[1:] - 1] = False
-    out[keep] = hash_slices(data, starts, ends).view(np.int64)
+    out[keep] = hash_slices(data, starts, ends) | _ONE
     return out, at
 
 
-class _Counter:
-    """Counts of integer keys, in training texts and in all, merged in sorted runs."""
-
-    def __init__(self):
-        self.runs, self.size = [], 0
-
-    def add(self, keys: np.ndarray, learn: np.ndarray):
-        self._keep(keys, learn, np.ones(len(keys), dtype=np.int64))
-
-    def _keep(self, keys: np.ndarray, learned: np.ndarray, total: np.ndarray):
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        self.runs.append((distinct, *(np.bincount(inverse, weights=x, minlength=len(distinct)).astype(np.int64) for x in (learned, total))))
-        self.size += len(distinct)
-
-    def merged(self) -> pa.RecordBatch:
-        runs, self.runs, self.size = self.runs, [], 0
-        self._keep(*(np.concatenate([r[i] for r in runs]) for i in range(3)))
-        return pa.record_batch([pa.array(x) for x in self.runs[0]], ["k", "c", "t"])
-
-
-def _count(keys_of):
-    """Arrow function: (text, learn) to counts (k, c, t) of what keys_of(tokens, where each text begins) gives: keys, and their tokens."""
-
-    def run(batches):
-        counter = _Counter()
-        for batch in batches:
-            learns = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=bool)
-            for first, offsets, data in chunks(batch.column(0)):
-                tokens, at = _tokens(data, offsets)
-                learn = np.repeat(learns[first : first + len(at) - 1], np.diff(at))
-                keys, kept = keys_of(tokens, at)
-                counter.add(keys, learn[kept])
-                if counter.size > 4 * FLUSH:
-                    out = counter.merged()
-                    if len(out) > FLUSH:
-                        yield out
-                        counter = _Counter()
-        if counter.runs:
-            yield counter.merged()
-
-    return run
-
-
-def _counts(texts: DataFrame, keys_of) -> DataFrame:
-    counted = texts.select("text", "learn").mapInArrow(_count(keys_of), "k long, c long, t long")
-    return counted.groupBy("k").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-
-
-def token_counts(texts: DataFrame) -> DataFrame:
-    """(k, c, t): how often each token stands in the texts to learn from, and in all (k = END: the end token)."""
-    return _counts(texts, lambda tokens, at: (tokens, slice(None)))
-
-
-def _frequent_pairs(frequent):
-    """Keys of neighbours that both are frequent: their places in ``frequent``, the first times 2**32."""
-
-    def keys_of(tokens, at):
-        place = _places(frequent.value, tokens)
-        before = _before(place, at, _places(frequent.value, np.array([END]))[0])
-        both = np.flatnonzero((place >= 0) & (before >= 0))
-        return (before[both] << 32) | place[both], both
-
-    return keys_of
-
-
-def _places(keys: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Place of each token in the sorted keys; -1: not there."""
-    if not len(keys):
-        return np.full(len(tokens), -1)
-    at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
-    return np.where(keys[at] == tokens, at, -1)
+def _grams(tokens: np.ndarray, at: np.ndarray, order: int):
+    """For n = 1 .. order: (keys of the n-grams that end at each token, whether there is one); keys of several tokens are even."""
+    start = np.zeros(len(tokens), dtype=bool)
+    start[at[:-1]] = True
+    out = [(tokens, np.ones(len(tokens), dtype=bool))]
+    for n in range(2, order + 1):
+        keys, known = out[-1]
+        history, has = np.empty_like(keys), np.zeros(len(keys), dtype=bool)
+        history[1:], has[1:] = keys[:-1], known[:-1]
+        if n == 2:
+            history[start], has[start] = END, True
+        else:
+            has &= ~start
+        out.append((mix(history * _ODD + tokens) & ~_ONE, has))
+    return out
 
 
-def _before(values: np.ndarray, at: np.ndarray, end) -> np.ndarray:
-    """The value of the token before each one; at a text's start the end token's."""
-    out = np.empty_like(values)
-    out[1:] = values[:-1]
-    out[at[:-1]] = end
-    return out
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, all first bytes before all second ones: what is zero throughout compresses away."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-class Automaton:
-    """Frequent words and pairs with their counts in training texts, as sorted arrays."""
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
-    def __init__(self, words_: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
-        self.words, self.counts = words_, counts
-        order = np.argsort(pairs)
-        self.pairs, self.pair_counts = pairs[order], pair_counts[order]
 
-    def traverse(self, tokens: np.ndarray, at: np.ndarray):
-        """(codes of the tokens, codes of their states, place of each step among the frequent pairs or -1): a frequent word's code is
-        -1 less its place, any other's is its hash."""
-        place = _places(self.words, tokens)
-        code = np.where(place >= 0, ~place, tokens)
-        end = _places(self.words, np.array([END]))[0]
-        state = _before(code, at, ~end if end >= 0 else END)
-        before = _before(place, at, end)
-        arc = np.full(len(tokens), -1)
-        both = np.flatnonzero((place >= 0) & (before >= 0))
-        arc[both] = _places(self.pairs, (before[both] << 32) | place[both])
-        return code, state, place, arc
+def _counted(keys: list[np.ndarray], weights: list[np.ndarray]):
+    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return every, np.bincount(inverse, weights=np.concatenate(weights), minlength=len(every)).astype(np.uint64)
 
 
-def _score(model, base: float):
-    """Arrow function: (_row, text) to tokens, weights, and the rare tokens.
+def _count(order: int, ranges: int):
+    """Arrow function: (block, text, learn) to packed runs (block, place, keys, counts) of each block's n-grams by key range."""
 
-    base: log10(N + V + 1). base_score lacks the rare tokens' log10(c + 1). score has the log10(c - D) of frequent pairs, less the
-    log10(c) of frequent words as states; each token of a text is a state once, as the end token is the first.
-    """
+    def packed(block: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        place = np.minimum((keys.astype(np.float64) * (ranges / 2.0**64)).astype(np.int64), ranges - 1)
+        cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        ends = np.r_[cuts[1:], len(keys)]
+        steps = [np.diff(keys[s:e], prepend=np.uint64(0)) for s, e in zip(cuts, ends)]
+        return pa.record_batch(
+            [pa.array([block] * len(cuts), pa.int64()), pa.array(place[cuts]), pa.array([_pack(x) for x in steps], pa.binary()), pa.array([_pack(counts[s:e]) for s, e in zip(cuts, ends)], pa.binary())],
+            ["block", "place", "keys", "counts"],
+        )
 
     def run(batches):
-        auto = model.value
-        logs = np.log10(auto.counts + 1.0)
-        states = np.log10(np.maximum(auto.counts, 1))
-        arcs = np.log10(np.maximum(auto.pair_counts, 1) - DISCOUNT) * (auto.pair_counts > 0)
+        block, keys, counts, size = None, [], [], 0
         for batch in batches:
-            for first, offsets, data in chunks(batch.column(1)):
-                tokens, at = _tokens(data, offsets)
-                _, _, place, arc = auto.traverse(tokens, at)
-                rare = place < 0
-                unigram, weight, known = np.zeros(len(tokens)), np.zeros(len(tokens)), np.zeros(len(tokens), dtype=np.int64)
-                unigram[~rare] = logs[place[~rare]]
-                known[~rare] = auto.counts[place[~rare]] > 0
-                weight[~rare] = -states[place[~rare]]
-                weight[arc >= 0] += arcs[arc[arc >= 0]]
-                size = np.diff(at)
-                n = len(size)
-                mine = np.searchsorted(np.repeat(np.arange(n), size)[rare], np.arange(n + 1))
-                yield pa.record_batch(
-                    [batch.column(0).slice(first, n), pa.array(size), pa.array(np.add.reduceat(known, at[:-1])), pa.array(np.add.reduceat(unigram, at[:-1]) - size * base), pa.array(np.add.reduceat(weight, at[:-1])), pa.ListArray.from_arrays(pa.array(mine.astype(np.int32)), pa.array(tokens[rare]))],
-                    ["_row", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
+            blocks = batch.column(0).to_numpy(zero_copy_only=False)
+            learns = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            cuts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]).tolist() if len(blocks) else []
+            for s, e in zip(cuts, [*cuts[1:], len(blocks)]):
+                if keys and (blocks[s] != block or size > BLOCK):
+                    yield packed(block, *_counted(keys, counts))
+                    keys, counts, size = [], [], 0
+                block = int(blocks[s])
+                for first, offsets, data in chunks(batch.column(1).slice(s, e - s)):
+                    tokens, at = _tokens(data, offsets)
+                    learn = np.repeat(learns[s + first : s + first + len(at) - 1], np.diff(at))
+                    grams = _grams(tokens, at, order)
+                    k, c = _counted([x[has] for x, has in grams], [learn[has] for _, has in grams])
+                    keys.append(k)
+                    counts.append(c)
+                    size += len(data)
+        if keys:
+            yield packed(block, *_counted(keys, counts))
 
     return run
 
 
-def _steps(model):
-    """Arrow function: (_id, text, learn) to all steps but frequent arcs. A frequent pair that no training text has is dealt out by salt."""
-
-    def run(batches):
-        auto = model.value
-        for batch in batches:
-            learns = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), dtype=bool)
+def _total(table: pa.Table) -> pa.Table:
+    """The runs of one key range to (block, place, totals) for each block, and what the range adds to N and V."""
+    blocks = table["block"].to_numpy()
+    runs = [np.cumsum(_unpack(k.as_py()), dtype=np.uint64) for k in table["keys"]]
+    keys, inverse = np.unique(np.concatenate(runs), return_inverse=True)
+    totals = np.bincount(inverse, weights=np.concatenate([_unpack(c.as_py()) for c in table["counts"]]), minlength=len(keys)).astype(np.int64)
+    ends = np.cumsum([len(r) for r in runs])
+    of_block: dict[int, list] = {}
+    for b, e, r in zip(blocks.tolist(), ends.tolist(), runs):
+        of_block.setdefault(b, []).append(inverse[e - len(r) : e])
+    out = [_pack(totals[x[0] if len(x) == 1 else np.unique(np.concatenate(x))]) for x in of_block.values()]
+    words_ = totals[(keys & _ONE) == 1]
+    first = [1] + [0] * (len(out) - 1)
+    return pa.table({
+        "block": pa.array(list(of_block), pa.int64()), "place": pa.array([table["place"][0].as_py()] * len(out), pa.int64()), "totals": pa.array(out, pa.binary()),
+        "n": pa.array([int(words_.sum()) * f for f in first], pa.int64()), "v": pa.array([int((words_ > 0).sum()) * f for f in first], pa.int64()),
+    })
+
+
+def traverse(counts: list[np.ndarray], has: list[np.ndarray], at: np.ndarray, texts: int, n: int, v: int, strength: float):
+    """log10 weights of each token on the empty history's arc and on the traversal's path.
+
+    counts[k], has[k]: of the (k + 1)-gram that ends at each token, 0 where no training text has it. texts: training texts.
+    """
+    base = np.log10((counts[0] + 1.0) / (n + v + 1.0))
+    weight = base
+    for k in range(1, len(counts)):
+        of_history = np.zeros(len(base))
+        of_history[1:] = counts[k - 1][:-1]
+        if k == 1:
+            of_history[at[:-1]] = texts
+        failure = np.log10(strength / (of_history + strength))
+        with np.errstate(divide="ignore"):
+            arc = np.log10((counts[k] + strength * 10.0**weight) / (of_history + strength))
+        weight = np.where(has[k], np.where(counts[k] > 0, arc, failure + weight), weight)
+    return base, weight
+
+
+def _score(order: int, n: int, v: int, strength: float):
+    """Arrow function on a block's texts (_row, text) and totals (place, totals)."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        parts, found = [], []
+        for batch in texts.select(["_row", "text"]).to_batches():
             for first, offsets, data in chunks(batch.column(1)):
                 tokens, at = _tokens(data, offsets)
-                code, state, _, arc = auto.traverse(tokens, at)
-                lost = np.zeros(len(arc), dtype=bool)
-                lost[arc >= 0] = auto.pair_counts[arc[arc >= 0]] == 0
-                keep = np.flatnonzero((arc < 0) | lost)
-                owner = np.repeat(np.arange(first, first + len(at) - 1), np.diff(at))[keep]
-                salt = np.where(lost[keep], 1 + keep % 1021, 0).astype(np.int32)
-                yield pa.record_batch([pa.array(state[keep]), pa.array(code[keep]), pa.array(salt), batch.column(0).take(pa.array(owner)), pa.array(learns[owner])], ["w", "v", "salt", "_id", "learn"])
+                grams = _grams(tokens, at, order)
+                keys, inverse = np.unique(np.concatenate([x[has] for x, has in grams]), return_inverse=True)
+                rows = batch.column(0).slice(first, len(at) - 1)
+                parts.append((rows.cast(nullable(rows.type)), at, [has for _, has in grams], keys, inverse.astype(np.int32)))
+        keys = np.unique(np.concatenate([p[3] for p in parts]))
+        order_ = np.argsort(answers["place"].to_numpy(), kind="stable")
+        totals = np.concatenate([_unpack(answers["totals"][int(i)].as_py()) for i in order_]).astype(np.float64)
+        if len(totals) != len(keys):
+            raise ValueError("the texts of a block changed between two readings")
+        ends = totals[np.searchsorted(keys, np.uint64(END))]
+        for rows, at, has, own, inverse in parts:
+            every = totals[np.searchsorted(keys, own)][inverse]
+            counts, done = [], 0
+            for h in has:
+                c = np.zeros(len(h))
+                c[h] = every[done : done + int(h.sum())]
+                done += int(h.sum())
+                counts.append(c)
+            base, weight = traverse(counts, has, at, int(ends), n, v, strength)
+            known = (counts[0] > 0).astype(np.int64)
+            sums = [np.add.reduceat(x, at[:-1]) for x in (known, base, weight)]
+            found.append(pa.record_batch([rows, pa.array(np.diff(at)), *map(pa.array, sums)], ["_row", "n_tokens", "n_known", "base_score", "score"]))
+        return pa.Table.from_batches(found)
 
     return run
 
 
-def _scores(rows: DataFrame, share: float) -> DataFrame:
+def _placed(rows: DataFrame, columns: list[str], per: int, blocks_of: str = "block") -> DataFrame:
+    """rows of Parquet files with the block of each, a run of ``per`` rows of a file."""
+    where = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / per))
+    return rows.select(where.alias(blocks_of), *columns)
+
+
+def _scores(rows: DataFrame, order: int, strength: float) -> DataFrame:
     """rows (_row, text, learn): scores of those with a _row, learning from those with learn."""
-    spark = rows.sparkSession
-    counts = materialize(token_counts(rows), "token-counts")
-    n, v, total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("t"), F.lit(0))).head()
-    least = max(2.0, share * total)
-    # at most 1 / share words, and 1 / share pairs below
-    frequent = counts.filter(F.col("t") >= least).toPandas().sort_values("k")
-    keys, sizes = frequent["k"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64)
-    hot = _counts(rows, _frequent_pairs(spark.sparkContext.broadcast(keys))).filter(F.col("t") >= least).toPandas()
-    auto = Automaton(keys, sizes, hot["k"].to_numpy(np.int64), hot["c"].to_numpy(np.int64))
-    model = spark.sparkContext.broadcast(auto)
-
-    # all steps that are no frequent arcs, with c: how often the pair is in training texts; first: once for each arc
-    steps = rows.withColumn("_id", F.when(F.col("_row").isNotNull(), F.xxhash64("_row"))).select("_id", "text", "learn").mapInArrow(_steps(model), "w long, v long, salt int, _id long, learn boolean")
-    pair = Window.partitionBy("w", "v", "salt").orderBy(F.desc("learn"))
-    steps = steps.withColumn("c", F.sum(F.col("learn").cast("long")).over(pair.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("first", (F.row_number().over(pair) == 1) & F.col("learn"))
-    steps = materialize(steps.filter("_id IS NOT NULL OR first").select("_id", "w", "v", "c", "first"), "steps")
-
-    def often(k: str):
-        return F.col(k).between(-len(keys), -1)
-
-    def local(columns: dict[str, np.ndarray]) -> DataFrame:
-        return spark.createDataFrame(pa.table(columns))
-
-    words_ = local({"k": ~np.arange(len(keys), dtype=np.int64), "c": sizes})
-    rare = counts.filter(F.col("t") < least).select("k", "c")
-    # each state's number of arcs, and c + 1 of the words that they lead to
-    arcs = steps.filter("first").select(F.col("w").alias("_w"), F.col("v").alias("k"))
-    held = auto.pair_counts > 0
-    source, target = auto.pairs[held] >> 32, auto.pairs[held] & 0xFFFFFFFF
-    own = np.bincount(source, minlength=len(keys)).astype(np.int64)
-    own_covered = np.bincount(source, weights=sizes[target] + 1, minlength=len(keys)).astype(np.int64)
-    parts = [arcs.filter(often("k")).join(F.broadcast(words_), "k"), arcs.filter(~often("k")).join(rare, "k")]
-    parts = [x.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("c") + 1).alias("_to")) for x in parts]
-    parts.append(local({"_w": ~np.arange(len(keys), dtype=np.int64), "_n": own, "_to": own_covered}))
-    states = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("_w").agg(F.sum("_n").alias("_n"), F.sum("_to").alias("_to"))
-    left = F.greatest(DISCOUNT * F.col("_n") / F.col("c"), F.lit(1e-12))
-    failure = F.log10(left / F.greatest(1 - F.col("_to") / F.lit(float(n + v + 1)), F.lit(1e-12)))
-    state = F.when(F.col("c") > 0, F.log10("c") + failure).otherwise(0.0)
-    base = float(np.log10(n + v + 1))
-
-    def valued(table: DataFrame, some) -> DataFrame:
-        return table.join(states.filter(some), F.col("k") == F.col("_w"), "left").select("k", state.alias("_state"), (F.log10(F.col("c") + 1) - base).alias("_unigram"))
-
-    found = steps.filter("_id IS NOT NULL AND c > 0").select("_id", F.log10(F.col("c") - DISCOUNT).alias("_x"))
-    failed = steps.filter("_id IS NOT NULL AND c = 0").select("_id", F.explode(F.array(F.struct(F.col("w").alias("k"), F.lit(True).alias("_is_state")), F.struct(F.col("v").alias("k"), F.lit(False).alias("_is_state")))).alias("_e")).select("_id", "_e.*")
-    paid = F.when(F.col("_is_state"), F.col("_state")).otherwise(F.col("_unigram")).alias("_x")
-    failed_often = failed.filter(often("k")).join(F.broadcast(valued(words_, often("_w"))), "k").select("_id", paid)
-    failed_rare = failed.filter(~often("k")).join(valued(rare, ~often("_w")), "k").select("_id", paid)
-
-    named = rows.filter("_row IS NOT NULL").select("_row", "text")
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in named.schema["_row"].dataType.fields)
-    walked = materialize(named.mapInArrow(_score(model, base), f"_row struct<{fields}>, n_tokens long, n_known long, base_score double, score double, rare array<long>").withColumn("_id", F.xxhash64("_row")), "walked")
-    met = walked.select("_id", F.explode("rare").alias("k")).join(rare, "k")
-    met = met.select("_id", (F.col("c") > 0).cast("long").alias("_n"), F.log10(F.col("c") + 1).alias("_l"), (-F.log10(F.greatest("c", F.lit(1)))).alias("_x"))
-    stepped = found.unionByName(failed_often).unionByName(failed_rare).select("_id", F.lit(0).cast("long").alias("_n"), F.lit(0.0).alias("_l"), "_x")
-    more = met.unionByName(stepped).groupBy("_id").agg(*[F.sum(x).alias(x) for x in ("_n", "_l", "_x")])
-    # rows of one _id are equal in all ``row`` columns; their sums are told apart by their share of the group
-    sums = walked.groupBy("_id").agg(F.count(F.lit(1)).alias("_m"))
-    out = walked.drop("rare").join(more.join(sums, "_id"), "_id", "left")
-    n_more, l_more, x_more = (F.coalesce(F.col(x) / F.col("_m"), F.lit(0.0)) for x in ("_n", "_l", "_x"))
-    return out.select("_row.*", "n_tokens", (F.col("n_known") + n_more).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + l_more).alias("base_score"), (F.col("score") + x_more).alias("score"))
-
-
-def lm_scores(docs: DataFrame, train: DataFrame, row: list[str], share: float = SHARE) -> DataFrame:
-    """``row`` columns of docs with n_tokens, n_known, train_tokens, base_score and score, learning from train.text."""
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in row]).alias("_row"), "text", F.lit(False).alias("learn"))
+    columns = ["_row", "text", "learn"]
+    try:
+        _placed(rows, columns, 1)
+    except AnalysisException:  # rows that come from no file get places by being written
+        rows = materialize(rows, "texts")
+    size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).head()
+    per = max(1, n_rows * BLOCK // max(1, size + n_rows))
+    ranges = 1 + size * order // (6 * RANGE)  # a token and its space take some six bytes
+    texts = _placed(rows, columns, per)
+    runs = texts.select("block", "text", "learn").mapInArrow(tidy(_count(order, ranges)), "block long, place long, keys binary, counts binary")
+    answers = materialize(runs.groupBy("place").applyInArrow(_total, "block long, place long, totals binary, n long, v long"), "totals")
+    n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).head()
+    schema = f"_row {kind_of(rows, '_row')}, n_tokens long, n_known long, base_score double, score double"
+    out = texts.groupBy("block").cogroup(answers.select("block", "place", "totals").groupBy("block")).applyInArrow(_score(order, n, v, strength), schema)
+    return out.filter("_row IS NOT NULL").withColumn("train_tokens", F.lit(n).cast("long")).select("_row.*", *RESULTS)
+
+
+def lm_scores(docs: DataFrame, train: DataFrame, order: int = ORDER, strength: float = STRENGTH) -> DataFrame:
+    """docs without text, with n_tokens, n_known, train_tokens, base_score and score, learning from train.text."""
+    named = docs.select(row_without(docs, "text", *RESULTS).alias("_row"), "text", F.lit(False).alias("learn"))
     learned = train.select(F.lit(None).cast(named.schema["_row"].dataType).alias("_row"), "text", F.lit(True).alias("learn"))
-    return _scores(named.unionByName(learned), share)
+    return _scores(named.unionByName(learned), order, strength)
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))).withColumn("_h", F.xxhash64("text"))
-    rows = docs.select(F.struct("doc_id", "held_out", "_h").alias("_row"), "text", (~F.col("held_out")).alias("learn"))
-    return _scores(rows, SHARE).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select(F.struct("doc_id", held.alias("held_out")).alias("_row"), "text", (~held).alias("learn"))
+    return _scores(rows, ORDER, STRENGTH).select("doc_id", "held_out", *RESULTS)
