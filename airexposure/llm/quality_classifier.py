@@ -2,15 +2,17 @@
 
 1. Each word has a fixed random index vector: the sum of seeded sparse vectors of its features (the word, its ends, and the
    kinds of characters it holds), so unseen words share what they have in common with seen ones.
-2. Words that make up at least ``SHARE`` of the corpus (at most 1 / SHARE of them) get context vectors: the sum of the
-   index vectors of their neighbours over all texts, counted by Spark in parts that are summed. Other words have none.
+2. Every word, however rare, has a context vector learned from all texts: the sum of those of its two cells. A cell is one of
+   ``CELLS`` that words fall into by hash, and sums the index vectors of the neighbours of all its words over all texts. The
+   table has a fixed size whatever the vocabulary's; Spark adds up the tasks' partial sums before and after the shuffle.
 3. A text is pooled into the mean of its words' index vectors, of their absolute deviations and of their context vectors,
    with a few rates that means cannot show (repeated words and pairs of words).
 4. The network is fitted with numpy on at most ``SAMPLE`` labelled training rows (those with the smallest hashes of
    doc_id); a part of them that the weights are not fitted on sets the temperature of the probabilities.
 
 Rows with crc32(doc_id as text) mod 3 = 1 are held out of all fitting. Scores depend on the text alone. A null text is
-empty and is scored from zero vectors; without labels of both kinds every score is 0.5; repeated rows get equal scores.
+empty and is scored from zero vectors; without labels of both kinds every score is 0.5; repeated rows get equal scores; of
+labels of one doc_id the largest counts, null ones do not. Columns called like the results go.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
-from .textbytes import SPACE_WORDS, chunks, hash_slices, lower, mix, words
+from .common import kind_of, read, row_without
+from .textbytes import SPACE_WORDS, chunks, hash_slices, lower, mix, tidy, words
 
 DIM = 48
-SHARE = 1e-4
+CELLS = 1 << 13
 SAMPLE = 20_000  # labelled rows that the network is fitted on, at most
 HIDDEN = 32
-RATES = 6
+RESULTS = ("held_out", "score", "predicted")
+RATES = 5
 _KINDS = np.zeros(256, dtype=np.uint8)  # 1 lower, 2 upper, 4 digit, 8 sentence mark, 16 other sign, 32 beyond ASCII
 _KINDS[0x21:0x7F] = 16
 _KINDS[0x30:0x3A] = 4
@@ -52,85 +55,47 @@ def _features(data: np.ndarray, s: np.ndarray, e: np.ndarray, hashes: np.ndarray
     return [hashes, mix(kind + np.uint64(1 << 20)), mix((last << np.uint64(8)) + before + np.uint64(2 << 20)), mix(kind * np.uint64(256) + head + np.uint64(3 << 20))]
 
 
-def _frequent(share: float):
-    """Arrow function: words that may be frequent in the whole corpus, as they are in some task (pigeonhole), or counts of given words."""
-
-    def run(batches):
-        keys, counts, missed, total = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0
-        for batch in batches:
-            for _, offsets, data in chunks(batch.column(0)):
-                data = lower(data)
-                starts, ends, _ = words(data, offsets, SPACE_WORDS)
-                found, n = np.unique(hash_slices(data, starts, ends), return_counts=True)
-                k, inverse = np.unique(np.r_[keys, found], return_inverse=True)
-                old, new = inverse[: len(keys)], inverse[len(keys) :]
-                # a new word may have stood before, at most this often, else it would not have been dropped
-                m = np.full(len(k), share / 2 * total)
-                m[old] = missed
-                c = np.zeros(len(k))
-                c[old] = counts
-                c[new] += n
-                total += int(n.sum())
-                keep = c + m >= share / 2 * total
-                keys, counts, missed = k[keep], c[keep], m[keep]
-        yield pa.record_batch([pa.array(keys[counts + missed >= share * total].view(np.int64))], ["k"])
-
-    return run
+def _cells(hashes: np.ndarray) -> list[np.ndarray]:
+    """The two cells of each word."""
+    h = mix(hashes + np.uint64(5 << 20))
+    return [(h % np.uint64(CELLS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(CELLS)).astype(np.int64)]
 
 
-def _contexts(vocabulary, dim: int, window: int):
-    """Arrow function: for each vocabulary word, how often it stands and the sum of its neighbours' index vectors (partial
-    sums); word 0 stands for the number of all words."""
+def _contexts(dim: int, window: int):
+    """Arrow function: for each cell, the sum of its words' neighbours' index vectors (partial sums)."""
 
     def run(batches):
-        keys = vocabulary.value
-        total, counts, every = np.zeros(len(keys) * dim), np.zeros(len(keys), dtype=np.int64), 0
+        total = np.zeros(CELLS * dim)
         for batch in batches:
-            for _, offsets, data in chunks(batch.column(0)):
+            for _, offsets, data in chunks(batch.column(0), 4 << 20):
                 data = lower(data)
                 starts, ends, first = words(data, offsets, SPACE_WORDS)
-                every += len(starts)
                 if not len(starts):
                     continue
                 h = hash_slices(data, starts, ends)
-                place = _look_up(keys, h)
                 owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                counts += np.bincount(place[place >= 0], minlength=len(keys))
-                for at, sign in _places(h, dim):
+                places = list(_places(h, dim))
+                for cell in _cells(h):
                     for step in range(1, window + 1):
-                        same = owner[step:] == owner[:-step]
-                        for word, near in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
-                            ok = same & (place[word] >= 0)
-                            total += np.bincount(place[word][ok] * dim + at[near][ok], weights=sign[near][ok], minlength=len(total))
-        yield pa.record_batch([pa.array(np.r_[keys, np.uint64(0)].view(np.int64)), pa.array(np.r_[counts, every]), pa.array([*total.reshape(-1, dim), np.zeros(dim)], pa.list_(pa.float64()))], ["k", "n", "v"])
+                        same = np.flatnonzero(owner[step:] == owner[:-step])
+                        for word, near in ((same + step, same), (same, same + step)):
+                            for at, sign in places:
+                                total += np.bincount(cell[word] * dim + at[near], weights=sign[near], minlength=len(total))
+        used = np.flatnonzero(total.reshape(-1, dim).any(axis=1))
+        yield pa.record_batch([pa.array(used), pa.FixedSizeListArray.from_arrays(pa.array(total.reshape(-1, dim)[used].ravel()), dim).cast(pa.list_(pa.float64()))], ["cell", "v"])
 
     return run
 
 
-def _look_up(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Place in the sorted keys; -1: not there."""
-    if not len(keys):
-        return np.full(len(hashes), -1)
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    return np.where(keys[at] == hashes, at, -1)
-
-
-def word_vectors(texts: DataFrame, dim: int = DIM, share: float = SHARE, window: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted word hashes, unit context vectors) of the words that make up at least ``share`` of all words: at most 1 / share rows."""
-    spark = texts.sparkSession
-    texts = texts.select("text")
-    candidates = texts.mapInArrow(_frequent(share), "k long").distinct().toPandas()["k"].to_numpy(np.int64).view(np.uint64)
-    if not len(candidates):
-        return np.zeros(0, np.uint64), np.zeros((0, dim), np.float32)
-    keys = np.sort(candidates)
-    parts = texts.mapInArrow(_contexts(spark.sparkContext.broadcast(keys), dim, window), "k long, n long, v array<double>")
-    sums = parts.groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(dim)])
-    rows = sums.toPandas()
-    every = int(rows.loc[rows["k"] == 0, "n"].sum())
-    rows = rows[(rows["k"] != 0) & (rows["n"] >= share * every)].sort_values("k", key=lambda k: k.to_numpy(np.int64).view(np.uint64))
-    vectors = rows[[f"v{i}" for i in range(dim)]].to_numpy(np.float64)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return rows["k"].to_numpy(np.int64).view(np.uint64), vectors.astype(np.float32)
+def cell_vectors(texts: DataFrame, dim: int = DIM, window: int = 2) -> np.ndarray:
+    """Unit context vectors of all cells: CELLS rows at most reach the driver."""
+    parts = texts.select("text").mapInArrow(tidy(_contexts(dim, window)), "cell long, v array<double>")
+    sums = parts.groupBy("cell").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(dim)])
+    out = np.zeros((CELLS, dim))
+    rows = sums.toArrow()
+    if rows.num_rows:
+        out[rows["cell"].to_numpy()] = np.column_stack([rows[f"v{i}"].to_numpy() for i in range(dim)])
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def _distinct(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
@@ -140,7 +105,7 @@ def _distinct(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((keys[np.r_[True, keys[1:] != keys[:-1]]] >> (np.uint64(64) - shift)).astype(np.int64), minlength=n) if len(keys) else np.zeros(n, np.int64)
 
 
-def _pool(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, context: np.ndarray, dim: int) -> np.ndarray:
+def _pool(data: np.ndarray, offsets: np.ndarray, context: np.ndarray, dim: int) -> np.ndarray:
     """One row for each text: mean index vector, mean absolute index vector, mean context vector, rates."""
     n = len(offsets) - 1
     out = np.zeros((n, 3 * dim + RATES), dtype=np.float32)
@@ -157,26 +122,22 @@ def _pool(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, context: np.n
             out[:, :dim] += np.bincount(cell, weights=sign, minlength=n * dim).reshape(n, dim)
             out[:, dim : 2 * dim] += np.bincount(cell, minlength=n * dim).reshape(n, dim)
     plain = hash_slices(lower(data), starts, ends)
-    place = _look_up(keys, plain)
-    known = place >= 0
-    if known.any():
-        pairs, counts = np.unique(owner[known] * len(keys) + place[known], return_counts=True)
-        text, word = pairs // len(keys), pairs % len(keys)
-        new = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-        for i in range(0, len(new), 256):
-            lo, hi = int(new[i]), int(new[i + 256]) if i + 256 < len(new) else len(pairs)
-            out[text[new[i : i + 256]], 2 * dim : 3 * dim] = np.add.reduceat(context[word[lo:hi]] * counts[lo:hi, None].astype(np.float32), new[i : i + 256] - lo, axis=0)
+    pairs, counts = np.unique(np.concatenate([owner * CELLS + cell for cell in _cells(plain)]), return_counts=True)
+    text, cell = pairs // CELLS, pairs % CELLS
+    new = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    for i in range(0, len(new), 256):
+        lo, hi = int(new[i]), int(new[i + 256]) if i + 256 < len(new) else len(pairs)
+        out[text[new[i : i + 256]], 2 * dim : 3 * dim] = np.add.reduceat(context[cell[lo:hi]] * counts[lo:hi, None].astype(np.float32), new[i : i + 256] - lo, axis=0)
     out /= per[:, None]
     same = owner[1:] == owner[:-1]
     equal = same & (plain[1:] == plain[:-1])
     pairs = mix(plain[:-1] * np.uint64(3) + plain[1:])[same]
     repeats = np.where(size > 0, 1 - (_distinct(owner[1:][same], pairs, n) + 1) / per, 0)
-    out[:, 3 * dim] = np.bincount(owner[known], minlength=n) / per
-    out[:, 3 * dim + 1] = np.where(size > 0, 1 - _distinct(owner, plain, n) / per, 0)
-    out[:, 3 * dim + 2] = np.bincount(owner[1:][equal], minlength=n) / per
-    out[:, 3 * dim + 3] = repeats
-    out[:, 3 * dim + 4] = np.log1p(size) / 10
-    out[:, 3 * dim + 5] = repeats / np.log1p(per)
+    out[:, 3 * dim] = np.where(size > 0, 1 - _distinct(owner, plain, n) / per, 0)
+    out[:, 3 * dim + 1] = np.bincount(owner[1:][equal], minlength=n) / per
+    out[:, 3 * dim + 2] = repeats
+    out[:, 3 * dim + 3] = np.log1p(size) / 10
+    out[:, 3 * dim + 4] = repeats / np.log1p(per)
     return out
 
 
@@ -230,10 +191,10 @@ def _each(model, finish, name: str):
     """Arrow function: (row, text) to row and finish(pooled vectors)."""
 
     def run(batches):
-        keys, context, network = model.value
+        context, network = model.value
         for batch in batches:
             for first, offsets, data in chunks(batch.column(1)):
-                x = _pool(data, offsets, keys, context, context.shape[1])
+                x = _pool(data, offsets, context, context.shape[1])
                 yield pa.record_batch([batch.column(0).slice(first, len(offsets) - 1), finish(x, network)], ["row", name])
 
     return run
@@ -242,23 +203,23 @@ def _each(model, finish, name: str):
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs (doc_id, text, ...) without text, with held_out, score (probability of label 1) and predicted."""
     spark = docs.sparkSession
-    keys, context = word_vectors(docs)
+    context = cell_vectors(docs)
     crc = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 3 == 1, F.lit(False))
     chosen = labels.filter("doc_id is not null and quality is not null").filter(~crc("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)  # at most ``sample`` rows of two numbers
-    model = spark.sparkContext.broadcast((keys, context, None))
-    texts = docs.join(F.broadcast(chosen), "doc_id").select(F.struct("doc_id", "quality").alias("row"), "text")
-    pooled = texts.mapInArrow(_each(model, lambda x, _: pa.array(list(x), pa.list_(pa.float32())), "x"), f"row struct<doc_id: {docs.schema['doc_id'].dataType.simpleString()}, quality: {chosen.schema['quality'].dataType.simpleString()}>, x array<float>").toPandas()
-    x = np.array(pooled["x"].tolist(), dtype=np.float64).reshape(len(pooled), -1)
+    model = spark.sparkContext.broadcast((context, None))
+    # ``sample`` rows of two numbers; as rows may share a doc_id, their vectors are drawn from again
+    texts = docs.join(F.broadcast(chosen), "doc_id").select(F.struct("doc_id", "quality", F.xxhash64(F.lit(12), "doc_id", "text").alias("h")).alias("row"), "text")
+    pooled = texts.mapInArrow(tidy(_each(model, lambda x, _: pa.array(list(x), pa.list_(pa.float32())), "x")), f"row struct<doc_id: {docs.schema['doc_id'].dataType.simpleString()}, quality: {chosen.schema['quality'].dataType.simpleString()}, h: long>, x array<float>")
+    pooled = pooled.orderBy("row.h").limit(sample).toPandas()
+    x = np.array(pooled["x"].tolist(), dtype=np.float64).reshape(len(pooled), 3 * context.shape[1] + RATES)
     y = np.array([r["quality"] for r in pooled["row"]], dtype=np.float64)
-    order = np.argsort([r["doc_id"] for r in pooled["row"]], kind="stable") if len(y) else np.zeros(0, np.int64)
-    network = Network(x[order], y[order])
-    model = spark.sparkContext.broadcast((keys, context, network))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    named = docs.select(F.struct(*others, crc("doc_id").alias("held_out")).alias("row"), "text")
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in named.schema["row"].dataType.fields)
-    out = named.mapInArrow(_each(model, lambda x, n: pa.array(n.probabilities(x)), "score"), f"row struct<{fields}>, score double")
-    return out.select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    network = Network(x, y)
+    model = spark.sparkContext.broadcast((context, network))
+    named = docs.select(row_without(docs, "text", *RESULTS).alias("row"), crc("doc_id").alias("held_out"), "text")
+    named = named.select(F.struct("row", "held_out").alias("row"), "text")
+    out = named.mapInArrow(tidy(_each(model, lambda x, n: pa.array(n.probabilities(x)), "score")), f"row {kind_of(named, 'row')}, score double")
+    return out.select("row.row.*", "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
