@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import buckets_for, gapless_rank, materialize, read
 from .textbytes import chunks, hash_slices, lower, tidy, words
 
-CACHE = 300_000  # distinct pieces of text whose ids a task keeps
+CACHE = 150_000  # distinct pieces of text whose ids a task keeps
+PORTION = 8192  # of them tokenised at once
 
 _NOT_SPACE = np.ones(256, dtype=bool)
 _NOT_SPACE[[0x20, 9, 10, 13]] = False
@@ -81,8 +82,7 @@ class _Vocabulary:
 
         self.tokenizer = Tokenizer.from_file(path)
         # for pieces that the normaliser would only put in lower case and the pre-tokenizer would not split
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
+        self.plain = Tokenizer(self.tokenizer.model)  # the same vocabulary in memory
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.clear()
 
@@ -99,12 +99,14 @@ class _Vocabulary:
         at = [known.get(h, -1) for h in hashes.tolist()]
         missing = np.flatnonzero(np.array(at, dtype=np.int64) < 0)
         missing = np.r_[missing[~whole[missing]], missing[whole[missing]]]
-        plain = int((~whole[missing]).sum())
-        strings = slices(missing)
-        lists = [strings[i : min(i + 256, plain)] for i in range(0, plain, 256)]
-        self._keep(lists, self.plain.encode_batch([" ".join(x).lower() for x in lists], add_special_tokens=False))
-        lists = [strings[i : i + 256] for i in range(plain, len(strings), 256)]
-        self._keep(lists, self.tokenizer.encode_batch(lists, is_pretokenized=True, add_special_tokens=False))
+        for k in range(0, len(missing), PORTION):
+            some = missing[k : k + PORTION]
+            plain = int((~whole[some]).sum())
+            strings = slices(some)
+            lists = [strings[i : min(i + 256, plain)] for i in range(0, plain, 256)]
+            self._keep(lists, self.plain.encode_batch([" ".join(x).lower() for x in lists], add_special_tokens=False))
+            lists = [strings[i : i + 256] for i in range(plain, len(strings), 256)]
+            self._keep(lists, self.tokenizer.encode_batch(lists, is_pretokenized=True, add_special_tokens=False))
         for n, i in enumerate(missing.tolist(), len(self.ends) - 1 - len(missing)):
             at[i] = known[int(hashes[i])] = n
         return np.array(at, dtype=np.int64)
