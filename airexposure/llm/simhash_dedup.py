@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import free_names, materialize, read
 from .components import connected_components
 from .textbytes import SPACE_WORDS, chunks, lower, tidy, words
 
@@ -247,13 +247,16 @@ def keep_first(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
     own = unnamed.groupBy("c").agg(F.min("doc_id").alias("first"))
     firsts = found.filter("not doc_id.unnamed").selectExpr("doc_id", "c first", "n").unionByName(unnamed.join(own, "c").select("doc_id", "first", "n"))
     # the rows that go are far fewer than those that stay, so up to larger inputs Spark need not shuffle the texts
-    marked = materialize(firsts.filter("doc_id <> first or n > 1").selectExpr("doc_id.doc_id _id", "doc_id.h _h", "doc_id.g _g", "doc_id = first again"), "marked")
-    rows = docs.withColumns({"_own_h": F.xxhash64("text"), "_own_g": F.xxhash64(F.lit(7), "text")})
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_h") == F.col("_h")) & (F.col("_own_g") == F.col("_g"))
-    out = rows.join(marked, same, "left_anti")
-    again = marked.filter("again")
+    i, h, g = free_names(docs, "_id", "_h", "_g")
+    marked = materialize(firsts.filter("doc_id <> first or n > 1").select(F.col("doc_id.doc_id").alias(i), F.col("doc_id.h").alias(h), F.col("doc_id.g").alias(g), F.expr("doc_id = first").alias("again")), "marked")
+    h2, g2 = free_names(docs, "_own_h", "_own_g")
+    rows = docs.withColumns({h2: F.xxhash64("text"), g2: F.xxhash64(F.lit(7), "text")})
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h2) == F.col(h)) & (F.col(g2) == F.col(g))
+    out = rows.join(marked.drop("again"), same, "left_anti")
+    again = marked.filter("again").drop("again")
+    # nothing but a saving: without such rows both sides are empty
     if again.limit(1).count():
-        out = out.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "_own_h", "_own_g"]))
+        out = out.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", h2, g2]))
     return out.select(*docs.columns)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from airexposure.llm import components, decontaminate, license_scan, lm_scoring, packing, quality_classifier, quality_rules, sharding, simhash_dedup, suffix_dedup, warc
+from airexposure.llm.common import materialize
 
 DOC = "doc_id long, text string, lang string, source string, k int"
 
@@ -68,63 +69,100 @@ def test_decontamination(spark):
     assert (got[2].n_words, got[2].n_hit, got[2].contaminated) == (0, 0, False)
     assert got[4].n_hit == 0 and got[4].items_sha256 == hashlib.sha256(b"").hexdigest()
     assert decontaminate.drop_contaminated(docs(spark, texts), bench).count() == 3
-    index = decontaminate.postings(docs(spark, ["red x y blue", "red x x x x x x blue", "blue red"]), ["doc_id"])
-    near = {r.row.doc_id: len(r.hits) for r in decontaminate.proximity_hits(index, spark.createDataFrame([(1, "red blue")], "item_id long, text string"), 4).collect()}
+    index = decontaminate.postings(docs(spark, ["red x y blue", "red x x x x x x blue", "blue red"]))
+    found = decontaminate.proximity_hits(index, spark.createDataFrame([(1, "red blue")], "item_id long, text string"), 4)
+    near = {r.row.doc_id: len(r.hits) for r in decontaminate.by_text(index, found).collect()}
     assert near == {0: 1, 1: 0, 2: 1}
 
 
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://b.example/", "<p>é</p>"), (2, "http://a.example/x?q=1", "<p>é</p>"), (3, None, None), (4, "http://a.example/a", ""), (5, "bad url\r\n", "z\r\n\r\nWARC/1.1\r\n")], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"))
-    got = {r.page_id: r for r in warc.merged_index(warc.read_archives(spark, str(tmp_path / "w")), 3).collect()}
+    rows = sorted(warc.merged_index(materialize(warc.read_archives(spark, str(tmp_path / "w")), "captures"), 3).collect(), key=lambda r: (r.range, r.rank))
+    assert rows == sorted(rows, key=lambda r: warc._key(tuple(r)[:9]))
+    got = {r.page_id: r for r in rows}
     assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None)}
     assert got[1].payload_bytes == 9
-    runs = [sorted([(c, str(i), i, 0, "", "", None, f"r{n}", i) for i, c in enumerate(x)], key=warc._key) for n, x in enumerate(["acz", "", "bbb", "a"])]
-    assert list(warc.merge_runs(runs)) == sorted((c for r in runs for c in r), key=warc._key)
+
+
+def test_runs_are_merged_by_segments():
+    rng = random.Random(8)
+    runs = [sorted([("".join(rng.choices("abc", k=rng.randint(0, 3))), str(rng.randint(0, 9)), rng.choice([None, 1, 2]), 0, "", "", None, f"r{n}", i) for i in range(rng.randint(0, 60))], key=warc._key) for n in range(9)]
+    cut = [(f"r{n}", r[i : i + 5]) for n, r in enumerate(runs) for i in range(0, len(r), 5)]
+    cut.sort(key=lambda s: warc._key(s[1][0]))
+    read, most = 0, 0
+
+    def segments():
+        nonlocal read
+        for s in cut:
+            read += len(s[1])
+            yield s
+
+    out = []
+    for c in warc.merge_runs(segments()):
+        out.append(c)
+        most = max(most, read - len(out))
+    assert out == sorted((c for r in runs for c in r), key=warc._key)
+    assert most <= 5 * (len(runs) + 2)  # a segment of each run, and those just read
 
 
 def test_license_scan(spark):
-    texts = ["Licensed under the Apache License, Version 2.0.\nx", "some\nRELEASED under the mit license here", "cc by x all rights reserved", None, "the license"]
+    wrapped = license_scan.NOTICES["mit-text"].replace(" of ", "\n# of ").replace(" and ", " and\n * ")
+    texts = ["Licensed under the Apache License, Version 2.0.\nx", "some\nRELEASED under the mit license here", "cc by x all rights reserved", None, "the license", "a b c " * 30 + wrapped + " d" * 40]
     got = {r.doc_id: r for r in license_scan.license_matches(docs(spark, texts)).collect()}
-    assert [(m.block, m.label) for m in got[0].matches] == [(0, "apache-2.0")]
-    assert [(m.block, m.label) for m in got[1].matches] == [(1, "mit")]
+    assert [m.label for m in got[0].matches] == ["apache-2.0"] and [m.label for m in got[1].matches] == ["mit"]
     assert [(p.word, p.label) for p in sorted(got[2].places)] == [(0, "cc-by"), (3, "reserved")]
     assert not got[3].matches and not got[4].matches
+    assert {"mit-text", "mit-permission"} <= {m.label for m in got[5].matches}
 
 
-def test_language_model(spark):
-    texts = ["a b a b", "a b c", None, "", "zz a"]
-    df = docs(spark, texts)
-    got = {r.doc_id: r for r in lm_scoring.lm_scores(df, df.filter("doc_id < 4"), ["doc_id"]).collect()}
-    words = [(t or "").split() + [None] for t in texts]
-    c = Counter(w for d in words[:4] for w in d)
-    n, v = sum(c.values()), len(c)
-    for i, d in enumerate(words):
-        assert got[i].base_score == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in d))
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(d), sum(c[w] > 0 for w in d), n)
-    assert lm_scoring.lm_scores(df.limit(0), df.limit(0), ["doc_id"]).count() == 0
-
-
-@pytest.mark.parametrize("share", [2e-6, 0.03, 0.2])
-def test_language_model_keeps_every_pair(spark, share):
+def test_every_matching_block_is_found(spark):
+    rng = random.Random(12)
+    notices = {"x": "a b c d e f", "y": "a a c g h", "z": "q"}
+    texts = [" ".join(rng.choice("abcdefghiq") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    got = {r.doc_id: r for r in license_scan.license_matches(docs(spark, texts), notices, {}, 0.6).collect()}
+    for i, t in enumerate(texts):
+        w, want = t.split(), {}
+        for label, notice in notices.items():
+            need, size = set(notice.split()), license_scan.block_words(len(notice.split()))
+            shares = [len(need & set(w[k : k + size])) / len(need) for k in range(len(w))]
+            if max(shares, default=0) >= 0.6 - 1e-9:
+                want[label] = (max(shares), {k for k, x in enumerate(shares) if x >= 0.6 - 1e-9})
+        assert {m.label for m in got[i].matches} == set(want)
+        for label, (best, starts) in want.items():
+            runs = [m for m in got[i].matches if m.label == label]
+            assert max(m.containment for m in runs) == pytest.approx(best)
+            assert {m.first for m in runs} <= starts and all(any(m.first <= k < m.end for m in runs) for k in starts)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_model(spark, order, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 60)  # many blocks and key ranges
+    monkeypatch.setattr(lm_scoring, "RANGE", 50)
     rng = random.Random(5)
-    texts = [" ".join(rng.choice("abcdefghijkl") * rng.choice([1, 1, 2]) for _ in range(rng.randint(0, 12))) for _ in range(40)] + ["q q q q q q q q", "", None] * 2
+    texts = [" ".join(rng.choice("abcdefghijkl") * rng.choice([1, 1, 2]) for _ in range(rng.randint(0, 12))) for _ in range(40)] + ["q q q q q q q q", "", None, "a b c"] * 2
     df = docs(spark, texts)
-    got = {r.doc_id: r for r in lm_scoring.lm_scores(df, df.filter("doc_id < 25"), ["doc_id"], share).collect()}
-    words = [[None, *(t or "").split(), None] for t in texts]
-    c, pairs = Counter(w for d in words[:25] for w in d[1:]), Counter(p for d in words[:25] for p in zip(d, d[1:]))
-    total = sum(c.values()) + len(c) + 1
-
-    def weight(w, v):
-        if pairs[w, v]:
-            return np.log10((pairs[w, v] - 0.75) / c[w])
-        after = [y for x, y in pairs if x == w]
-        failure = np.log10(0.75 * len(after) / c[w] / (1 - sum((c[y] + 1) / total for y in after))) if c[w] else 0
-        return failure + np.log10((c[v] + 1) / total)
-
-    assert any(k == 1 for k in pairs.values()) and len(got) == len(texts)
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(df, df.filter("doc_id < 25"), order, 2.0).collect()}
+    words = [[*(t or "").split(), None] for t in texts]
+    grams = Counter(tuple([None, *d][k - n + 1 : k + 1]) if n > 1 else (d[k - 1],) for d in words[:25] for n in range(1, order + 1) for k in range(1, len(d) + 1) if n == 1 or k - n + 1 >= 0)
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+
+    def p(history, w):
+        if not history:
+            return (grams[(w,)] + 1) / (n + v + 1)
+        total = sum(c for g, c in grams.items() if len(g) == len(history) + 1 and g[:-1] == history)
+        return (grams[(*history, w)] + 2.0 * p(history[1:], w)) / (total + 2.0)
+
+    assert len(got) == len(texts)
     for i, d in enumerate(words):
-        assert got[i].score == pytest.approx(sum(weight(w, v) for w, v in zip(d, d[1:])))
+        full = [None, *d]
+        assert got[i].score == pytest.approx(sum(np.log10(p(tuple(full[max(0, k - order + 1) : k]), full[k])) for k in range(1, len(full))))
+        assert got[i].base_score == pytest.approx(sum(np.log10(p((), w)) for w in d))
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(d), sum(grams[(w,)] > 0 for w in d), n)
+    known = {w for g in grams for w in g}
+    assert sum(p((None, "a"), w) for w in known) + p((None, "a"), "unknown") == pytest.approx(1)
+    assert lm_scoring.lm_scores(df.limit(0), df.limit(0)).count() == 0
+    assert lm_scoring.lm_scores(df, df.limit(0)).count() == len(texts)
 
 
 def test_classifier(spark):
