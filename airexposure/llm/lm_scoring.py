@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kind_of, materialize, read, row_without
-from .textbytes import SPACE_WORDS, chunks, hash_slices, lower, mix, nullable, tidy, words
+from .textbytes import SPACE_WORDS, chunks, hash_slices, lower, mix, nullable, tidy, tidy_group, tidy_groups, words
 
 END = 1  # key of the end token
 ORDER = 3
 STRENGTH = 16.0
-BLOCK = 8 << 20  # text bytes of a block
+BLOCK = 6 << 20  # text bytes of a block
 RANGE = 1 << 21  # n-grams whose counts are summed at once, about
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
@@ -78,7 +78,7 @@ def _pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _unpack(packed: bytes) -> np.ndarray:
+def _unpack(packed) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
@@ -128,9 +128,9 @@ def _count(order: int, ranges: int):
 def _total(table: pa.Table) -> pa.Table:
     """The runs of one key range to (block, place, totals) for each block, and what the range adds to N and V."""
     blocks = table["block"].to_numpy()
-    runs = [np.cumsum(_unpack(k.as_py()), dtype=np.uint64) for k in table["keys"]]
+    runs = [np.cumsum(_unpack(k.as_buffer()), dtype=np.uint64) for k in table["keys"]]
     keys, inverse = np.unique(np.concatenate(runs), return_inverse=True)
-    totals = np.bincount(inverse, weights=np.concatenate([_unpack(c.as_py()) for c in table["counts"]]), minlength=len(keys)).astype(np.int64)
+    totals = np.bincount(inverse, weights=np.concatenate([_unpack(c.as_buffer()) for c in table["counts"]]), minlength=len(keys)).astype(np.int64)
     ends = np.cumsum([len(r) for r in runs])
     of_block: dict[int, list] = {}
     for b, e, r in zip(blocks.tolist(), ends.tolist(), runs):
@@ -176,13 +176,13 @@ def _score(order: int, n: int, v: int, strength: float):
                 rows = batch.column(0).slice(first, len(at) - 1)
                 parts.append((rows.cast(nullable(rows.type)), at, [has for _, has in grams], keys, inverse.astype(np.int32)))
         keys = np.unique(np.concatenate([p[3] for p in parts]))
-        order_ = np.argsort(answers["place"].to_numpy(), kind="stable")
-        totals = np.concatenate([_unpack(answers["totals"][int(i)].as_py()) for i in order_]).astype(np.float64)
+        packed = answers["totals"].combine_chunks()
+        totals = np.concatenate([_unpack(packed[int(i)].as_buffer()) for i in np.argsort(answers["place"].to_numpy(), kind="stable")])
         if len(totals) != len(keys):
             raise ValueError("the texts of a block changed between two readings")
         ends = totals[np.searchsorted(keys, np.uint64(END))]
         for rows, at, has, own, inverse in parts:
-            every = totals[np.searchsorted(keys, own)][inverse]
+            every = totals[np.searchsorted(keys, own)].astype(np.float64)[inverse]
             counts, done = [], 0
             for h in has:
                 c = np.zeros(len(h))
@@ -216,10 +216,10 @@ def _scores(rows: DataFrame, order: int, strength: float) -> DataFrame:
     ranges = 1 + size * order // (6 * RANGE)  # a token and its space take some six bytes
     texts = _placed(rows, columns, per)
     runs = texts.select("block", "text", "learn").mapInArrow(tidy(_count(order, ranges)), "block long, place long, keys binary, counts binary")
-    answers = materialize(runs.groupBy("place").applyInArrow(_total, "block long, place long, totals binary, n long, v long"), "totals")
+    answers = materialize(runs.groupBy("place").applyInArrow(tidy_group(_total), "block long, place long, totals binary, n long, v long"), "totals")
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).head()
     schema = f"_row {kind_of(rows, '_row')}, n_tokens long, n_known long, base_score double, score double"
-    out = texts.groupBy("block").cogroup(answers.select("block", "place", "totals").groupBy("block")).applyInArrow(_score(order, n, v, strength), schema)
+    out = texts.groupBy("block").cogroup(answers.select("block", "place", "totals").groupBy("block")).applyInArrow(tidy_groups(_score(order, n, v, strength)), schema)
     return out.filter("_row IS NOT NULL").withColumn("train_tokens", F.lit(n).cast("long")).select("_row.*", *RESULTS)
 
 

@@ -130,19 +130,48 @@ def nullable(kind: pa.DataType) -> pa.DataType:
     return kind
 
 
+def give_back() -> None:
+    """Unused memory back to the system: idle workers share the executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def tidy(run):
-    """An Arrow function that gives its memory back to the system at the end of a task: idle workers share the executor's memory."""
+    """An Arrow function on batches that gives its memory back at the end of a task."""
 
     @functools.wraps(run)
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            give_back()
+
+    return wrapped
+
+
+def tidy_group(run):
+    """An Arrow function on one group that gives its memory back after each."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def tidy_groups(run):
+    """An Arrow function on two groups that gives its memory back after each pair."""
+
+    def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            give_back()
 
     return wrapped
