@@ -74,17 +74,35 @@ def _grams(tokens: np.ndarray, at: np.ndarray, order: int):
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """64-bit numbers byte by byte, all first bytes before all second ones: what is zero throughout compresses away."""
-    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Whole numbers byte by byte, all lowest bytes first, up to the highest byte that any of them needs."""
+    width = (int(values.max(initial=0)).bit_length() + 7) // 8
+    return bytes([width]) + len(values).to_bytes(8, "little") + np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _unpack(packed) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    raw = np.frombuffer(packed, np.uint8)
+    out = np.zeros((int.from_bytes(raw[1:9].tobytes(), "little"), 8), dtype=np.uint8)
+    out[:, : raw[0]] = raw[9:].reshape(int(raw[0]), len(out)).T
+    return out.view(np.uint64).ravel()
 
 
-def _counted(keys: list[np.ndarray], weights: list[np.ndarray]):
-    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return every, np.bincount(inverse, weights=np.concatenate(weights), minlength=len(every)).astype(np.uint64)
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    every = np.concatenate(parts)
+    parts.clear()
+    every.sort()
+    return every[np.r_[True, every[1:] != every[:-1]]]
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]):
+    """Sorted distinct keys with their counts summed; empties the lists."""
+    every, weights = np.concatenate(keys), np.concatenate(counts)
+    keys.clear()
+    counts.clear()
+    order = np.argsort(every)
+    every, weights = every[order], weights[order]
+    del order
+    new = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    return every[new], np.add.reduceat(weights, new)
 
 
 def _count(order: int, ranges: int):
@@ -108,19 +126,20 @@ def _count(order: int, ranges: int):
             cuts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]).tolist() if len(blocks) else []
             for s, e in zip(cuts, [*cuts[1:], len(blocks)]):
                 if keys and (blocks[s] != block or size > BLOCK):
-                    yield packed(block, *_counted(keys, counts))
-                    keys, counts, size = [], [], 0
+                    yield packed(block, *_merged(keys, counts))
+                    size = 0
                 block = int(blocks[s])
                 for first, offsets, data in chunks(batch.column(1).slice(s, e - s)):
                     tokens, at = _tokens(data, offsets)
                     learn = np.repeat(learns[s + first : s + first + len(at) - 1], np.diff(at))
                     grams = _grams(tokens, at, order)
-                    k, c = _counted([x[has] for x, has in grams], [learn[has] for _, has in grams])
+                    # of a token that is not learned from, the n-grams are only asked for
+                    k, c = _merged([x[has] for x, has in grams], [learn[has].astype(np.uint32) for _, has in grams])
                     keys.append(k)
                     counts.append(c)
                     size += len(data)
         if keys:
-            yield packed(block, *_counted(keys, counts))
+            yield packed(block, *_merged(keys, counts))
 
     return run
 
@@ -167,28 +186,27 @@ def _score(order: int, n: int, v: int, strength: float):
     """Arrow function on a block's texts (_row, text) and totals (place, totals)."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        parts, found = [], []
+        parts, found, keys = [], [], []
         for batch in texts.select(["_row", "text"]).to_batches():
             for first, offsets, data in chunks(batch.column(1)):
                 tokens, at = _tokens(data, offsets)
                 grams = _grams(tokens, at, order)
-                keys, inverse = np.unique(np.concatenate([x[has] for x, has in grams]), return_inverse=True)
                 rows = batch.column(0).slice(first, len(at) - 1)
-                parts.append((rows.cast(nullable(rows.type)), at, [has for _, has in grams], keys, inverse.astype(np.int32)))
-        keys = np.unique(np.concatenate([p[3] for p in parts]))
+                parts.append((rows.cast(nullable(rows.type)), tokens, at))
+                keys.append(_distinct([x[has] for x, has in grams]))
+        keys = _distinct(keys)
         packed = answers["totals"].combine_chunks()
         totals = np.concatenate([_unpack(packed[int(i)].as_buffer()) for i in np.argsort(answers["place"].to_numpy(), kind="stable")])
         if len(totals) != len(keys):
             raise ValueError("the texts of a block changed between two readings")
         ends = totals[np.searchsorted(keys, np.uint64(END))]
-        for rows, at, has, own, inverse in parts:
-            every = totals[np.searchsorted(keys, own)].astype(np.float64)[inverse]
-            counts, done = [], 0
-            for h in has:
+        for rows, tokens, at in parts:
+            counts, has = [], []
+            for k, h in _grams(tokens, at, order):
                 c = np.zeros(len(h))
-                c[h] = every[done : done + int(h.sum())]
-                done += int(h.sum())
+                c[h] = totals[np.searchsorted(keys, k[h])]
                 counts.append(c)
+                has.append(h)
             base, weight = traverse(counts, has, at, int(ends), n, v, strength)
             known = (counts[0] > 0).astype(np.int64)
             sums = [np.add.reduceat(x, at[:-1]) for x in (known, base, weight)]
