@@ -77,8 +77,9 @@ def with_exposure(rows: DataFrame, rule: str, constant: float = 10.0, pen: float
     elif rule == "centroid_ambient":
         value = c
     elif rule == "origin_destination_mean":
+        # low and high take the middle value's neighbours too
         w = Window.partitionBy("person_id").orderBy("seq", "piece", "half")
-        a, b = F.lag(c).over(w), F.lead(c).over(w)
+        a, b = F.lag("concentration").over(w), F.lead("concentration").over(w)
         value = F.coalesce((a + b) / 2, a, b, F.lit(constant))
     elif rule == "hardcoded":
         value = F.lit(constant)
@@ -91,9 +92,36 @@ def with_exposure(rows: DataFrame, rule: str, constant: float = 10.0, pen: float
     return out.withColumn(f"exposure{suffix}", F.when(travel, F.col(f"travel_exposure{suffix}")).otherwise(c) * F.col("duration_hours"))
 
 
-def totals(rows: DataFrame) -> DataFrame:
-    """(person_id, total_exposure, duration_hours)."""
-    return rows.groupBy("person_id").agg(F.coalesce(F.sum("exposure"), F.lit(0.0)).alias("total_exposure"), F.sum("duration_hours").alias("duration_hours"))
+def totals(rows: DataFrame, suffixes: tuple = ("",)) -> DataFrame:
+    """(person_id, total_exposure of each suffix, duration_hours)."""
+    sums = [F.coalesce(F.sum(f"exposure{s}"), F.lit(0.0)).alias(f"total_exposure{s}") for s in suffixes]
+    return rows.groupBy("person_id").agg(*sums, F.sum("duration_hours").alias("duration_hours"))
+
+
+#: Metrics: units, and by what a travel concentration is multiplied for a day without a known home.
+METRICS = {"cumulative": ("ug/m3*h", 24.0), "twac": ("ug/m3", 1.0)}
+
+
+def metric_name(text: str | None) -> str:
+    """twac or cumulative, which anything else stands for too."""
+    name = (text or "").strip().lower()
+    return name if name in METRICS else "cumulative"
+
+
+def metric_units(metric: str | None) -> str:
+    return METRICS[metric_name(metric)][0]
+
+
+def home_fallback(travel_value: float, metric: str | None = None) -> float:
+    """The home exposure of a person without a known home."""
+    return travel_value * METRICS[metric_name(metric)][1]
+
+
+def activity_metric(total: DataFrame, metric: str | None = None) -> DataFrame:
+    """(person_id, total_exposure, duration_hours) with total_exposure as a time-weighted average for twac, 0 without hours."""
+    if metric_name(metric) == "cumulative":
+        return total
+    return total.withColumn("total_exposure", F.when(F.col("duration_hours") > 0, F.col("total_exposure") / F.col("duration_hours")).otherwise(0.0))
 
 
 def rate(rule: str = "travel_first", suffix: str = "") -> Column:
@@ -113,14 +141,82 @@ def binned(rows: DataFrame, minutes: int = 5, rule: str = "travel_first", suffix
     return bins.groupBy("person_id", "bin_index").agg(*sums)
 
 
-def curves(bins: DataFrame, persons: DataFrame, n: int = 288, suffixes: tuple = ("",)) -> DataFrame:
-    """(person_id, bin_index, increment, cumulative) of each person and each of n bins."""
-    grid = persons.select("person_id").distinct().withColumn("bin_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    full = grid.join(bins, ["person_id", "bin_index"], "left").withColumns({f"increment{s}": F.coalesce(f"amount{s}", F.lit(0.0)) for s in suffixes})
+def curves(rows: DataFrame, n: int = 288, suffixes: tuple = ("",), rule: str = "travel_first") -> DataFrame:
+    """(person_id, bin_index, increment, cumulative) of each person of rows and each of n bins.
+
+    A person's bins are gathered once (at most n of them); empty bins and running sums follow without another shuffle.
+    """
+    bins = binned(rows, 1440 // n, rule, suffixes)
+    names = [f"amount{s}" for s in suffixes]
+    each = bins.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("bin_index", *names))).alias("_e"))
+    zero = F.struct(F.lit(0).alias("bin_index"), *[F.lit(0.0).alias(c) for c in names])
+    each = each.withColumn("_e", F.when(F.col("_e")[0]["bin_index"] == 0, F.col("_e")).otherwise(F.concat(F.array(zero), "_e")))
+    parts = each.select("person_id", F.explode(F.expr(f"transform(_e, (x, i) -> named_struct('x', x, 'next', coalesce(get(_e, i + 1).bin_index, {n})))")).alias("_p"))
+    full = parts.select("person_id", "_p.x", F.explode(F.expr("sequence(_p.x.bin_index, _p.next - 1)")).alias("bin_index"))
+    full = full.select("person_id", "bin_index", *[F.when(F.col("bin_index") == F.col("x.bin_index"), F.col(f"x.amount{s}")).otherwise(0.0).alias(f"increment{s}") for s in suffixes])
     w = Window.partitionBy("person_id").orderBy("bin_index").rowsBetween(Window.unboundedPreceding, 0)
     return full.select("person_id", "bin_index", *[c for s in suffixes for c in (F.col(f"increment{s}"), F.sum(f"increment{s}").over(w).alias(f"cumulative{s}"))])
 
 
+def increments(curve: DataFrame, value: str = "cumulative") -> DataFrame:
+    """curve (person_id, bin_index, value) with increment: the difference to the bin before, from 0."""
+    before = F.lag(value, 1, 0.0).over(Window.partitionBy("person_id").orderBy("bin_index"))
+    return curve.withColumn("increment", F.col(value) - before)
+
+
+def timeseries(activity: DataFrame, home: DataFrame, metric: str | None = None, n: int = 288, suffixes: tuple = ("",), attributes: DataFrame | None = None) -> DataFrame:
+    """(person_id, bin_index, activity/home/delta _cumulative and _increment of each suffix[, attributes]) in n bins of a day.
+
+    activity: as ``curves`` gives it; home: (person_id, bin_index, home_increment, home_cumulative), missing ones count as 0. For twac
+    cumulative values are divided by the hours so far and increments by a bin's hours. attributes: (person_id, ...), e.g. the industry.
+    """
+    rows = activity.join(home, ["person_id", "bin_index"], "left")
+    hours = {"cumulative": (F.col("bin_index") + 1) * (24.0 / n), "increment": F.lit(24.0 / n)}
+    out = ["person_id", "bin_index"]
+    for s in suffixes:
+        for kind in ("cumulative", "increment"):
+            a, h = F.col(f"{kind}{s}"), F.coalesce(f"home_{kind}", F.lit(0.0))
+            if metric_name(metric) == "twac":
+                a, h = a / hours[kind], h / hours[kind]
+            out += [a.alias(f"activity_{kind}{s}"), *([h.alias(f"home_{kind}")] if not s else []), (a - h).alias(f"delta_{kind}{s}")]
+    wide = rows.select(*out)
+    return wide if attributes is None else wide.join(attributes, "person_id", "left")
+
+
+def home_line(home: DataFrame, n: int = 288) -> DataFrame:
+    """home (person_id, home) as a straight line over the day: (person_id, bin_index, home_increment, home_cumulative)."""
+    bins = home.select("person_id", "home", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin_index"))
+    return bins.select("person_id", "bin_index", (F.col("home") / n).alias("home_increment"), (F.col("home") * (F.col("bin_index") + 1) / n).alias("home_cumulative"))
+
+
+def home_total(day: DataFrame, metric: str | None = None) -> DataFrame:
+    """(person_id, home) of a static day: the concentration at home, which is (person_id, concentration), times 24, or itself for twac."""
+    return day.select("person_id", (F.col("concentration") * METRICS[metric_name(metric)][1]).alias("home"))
+
+
+def payload(series: DataFrame, groups: DataFrame, sampled: DataFrame, metric: str | None = None, n: int = 288) -> DataFrame:
+    """One row for each (cohort, grp) with what a viewer shows: means and medians over persons at n + 1 points, the first 0, the curves
+    of the sampled persons, and metadata.
+
+    series: as ``timeseries`` gives it; groups: (person_id, cohort, grp); sampled: (person_id), a bounded sample.
+    """
+    kinds = [f"{w}_{k}" for w in ("activity", "home") for k in ("cumulative", "increment")]
+    rows = series.join(groups, "person_id")
+    keys = ["cohort", "grp"]
+    stats = [f(k).alias(f"{name}_{k}") for k in kinds for name, f in (("mean", F.avg), ("median", F.median))]
+    bins = rows.groupBy(*keys, "bin_index").agg(F.count(F.lit(1)).alias("_n"), *stats)
+    names = [f"{name}_{k}" for k in kinds for name in ("mean", "median")]
+    lists = bins.groupBy(*keys).agg(F.max("_n").alias("persons"), F.array_sort(F.collect_list(F.struct("bin_index", *names))).alias("_l"))
+    points = [F.concat(F.array(F.lit(0.0)), F.col(f"_l.{c}")).alias(c) for c in names]
+    curve = F.array_sort(F.collect_list(F.struct("bin_index", "activity_cumulative", "home_cumulative")))
+    few = rows.join(F.broadcast(sampled.select("person_id").distinct()), "person_id").groupBy(*keys, "person_id").agg(curve.alias("_c"))
+    few = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("person_id", F.col("_c.activity_cumulative").alias("activity"), F.col("_c.home_cumulative").alias("home")))).alias("sample_curves"))
+    name = metric_name(metric)
+    meta = F.struct(F.lit(name).alias("metric"), F.lit(metric_units(name)).alias("units"), F.col("persons"), F.lit(1440 // n).alias("bin_minutes"))
+    every = lists.join(few, keys, "left")
+    return every.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: k * (24.0 / n)).alias("time_points"), *points, F.coalesce("sample_curves", F.array()).alias("sample_curves"), meta.alias("metadata"))
+
+
 def first_origin(rows: DataFrame) -> DataFrame:
     """Each person's first origin row that has a place."""
     return rows.filter("location_type = 'origin' and lon is not null and lat is not null").groupBy("person_id").agg(F.min_by(F.struct("lon", "lat", "concentration"), F.struct("start_s", "seq")).alias("h")).select("person_id", "h.*")
@@ -128,16 +224,10 @@ def first_origin(rows: DataFrame) -> DataFrame:
 
 def compare(total: DataFrame, home: DataFrame, fallback: float) -> DataFrame:
     """(person_id, activity, home, delta, ratio): home is (person_id, home); persons without it get the fallback."""
-    out = total.join(home, "person_id", "left").select("person_id", F.col("total_exposure").alias("activity"), F.coalesce("home", F.lit(fallback)).alias("home"))
+    out = total.join(home.select("person_id", "home"), "person_id", "left").select("person_id", F.col("total_exposure").alias("activity"), F.coalesce("home", F.lit(fallback)).alias("home"))
     return out.withColumns({"delta": F.col("activity") - F.col("home"), "ratio": F.when(F.col("home") > 0, F.col("activity") / F.col("home"))})
 
 
-def describe(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """mean, median, std (0 of one row), min, max, p25, p75 of the non-null values of each group."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    return df.filter(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), p(0.5).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), p(0.25).alias("p25"), p(0.75).alias("p75"))
-
-
 def home_curves(homes: DataFrame, near: DataFrame, factors: DataFrame, slots: list[int], n: int = 288) -> DataFrame:
     """(person_id, bin_index, home_increment, home_cumulative): the field at home in n bins of the day times the home factor; nulls count as 0.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spatial import clip
+
 
 def nearest_slot(minute: Column, slots: list[int]) -> Column:
     """The slot with the least distance from the minute of the day, the earlier one of two; a null minute counts as 0.
@@ -17,47 +19,66 @@ def nearest_slot(minute: Column, slots: list[int]) -> Column:
     return best["s"]
 
 
-def nearest_join(points: DataFrame, field: DataFrame, values: list[str], cell: float) -> DataFrame:
-    """(lon, lat, slot, values, distance): each distinct point with the values of the nearest field point of its slot.
+def _candidates(field: DataFrame, values: list[str], cell: float) -> DataFrame:
+    """(_slot, _cx, _cy, _near): for each slot and cell, the field points in it and its eight neighbours."""
+    around = F.expr("flatten(transform(sequence(-1L, 1L), i -> transform(sequence(-1L, 1L), j -> named_struct('i', i, 'j', j))))")
+    x, y = F.floor(F.col("lon") / cell), F.floor(F.col("lat") / cell)
+    spread = field.select("slot", "lon", "lat", *values, F.explode(around).alias("_n"))
+    point = F.struct(F.col("lon").alias("_x"), F.col("lat").alias("_y"), *values)
+    return spread.groupBy(F.col("slot").alias("_slot"), (x + F.col("_n.i")).alias("_cx"), (y + F.col("_n.j")).alias("_cy")).agg(F.collect_list(point).alias("_near"))
+
+
+def nearest(rows: DataFrame, field: DataFrame, values: list[str], cell: float) -> DataFrame:
+    """rows (lon, lat, slot, ...) with the values of the nearest field point of their slot and its distance; nulls where there is none.
 
-    Points meet field points in their own and the eight neighbouring cells by an equi-join on (slot, cell). That is exact
-    where the best distance is at most the cell size; for the rest the cell size doubles, until none are left or the
-    cells are as large as everything. Ties go to the smaller lon, then lat.
+    The field's points are dealt to their own and the eight neighbouring cells and listed by (slot, cell), so a row finds all
+    candidates by one equi-join and picks the best in place. A row outside the field's box takes the cell nearest to it.
+    That is exact where the best distance is at most the cell size (from where the row meets the box). The distinct
+    places of all other rows meet lists of cells eight times as large, and what is left after that the whole field of their
+    slot; where the cell suits the field's spacing both are empty. Ties go to the smaller lon, then lat.
     """
-    left = points.select("lon", "lat", "slot").filter("lon is not null and lat is not null").distinct().persist()
-    right = field.select(F.col("lon").alias("_x"), F.col("lat").alias("_y"), F.col("slot").alias("_slot"), *values)
-    a = field.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).head()
-    b = left.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).head()
-    out = None
-    if a[0] is None or b[0] is None:
-        found = left.join(right.limit(0), F.lit(False), "left").select("lon", "lat", "slot", *values, F.lit(None).cast("double").alias("distance"))
-        return found.limit(0)
-    extent = max(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2]))
-    while True:
-        key = lambda x, y: (F.floor(F.col(x) / cell).cast("long"), F.floor(F.col(y) / cell).cast("long"))  # noqa: E731, B023
-        cx, cy = key("lon", "lat")
-        near = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> named_struct('i', i, 'j', j))))"))
-        probes = left.select("lon", "lat", "slot", cx.alias("_cx"), cy.alias("_cy"), near.alias("_n")).select("lon", "lat", "slot", (F.col("_cx") + F.col("_n.i")).alias("_cx"), (F.col("_cy") + F.col("_n.j")).alias("_cy"))
-        rx, ry = key("_x", "_y")
-        index = right.withColumn("_rx", rx).withColumn("_ry", ry)
-        d2 = (F.col("lon") - F.col("_x")) ** 2 + (F.col("lat") - F.col("_y")) ** 2
-        hits = probes.join(index, (F.col("slot") == F.col("_slot")) & (F.col("_cx") == F.col("_rx")) & (F.col("_cy") == F.col("_ry")))
-        best = hits.groupBy("lon", "lat", "slot").agg(F.min(F.struct(d2.alias("d2"), "_x", "_y", *values)).alias("_b"))
-        last = cell > extent
-        found = best.select("lon", "lat", "slot", *[F.col(f"_b.{v}").alias(v) for v in values], F.sqrt("_b.d2").alias("distance"))
-        if not last:
-            found = found.filter(F.col("distance") <= cell)
-        found = found.persist()
-        out = found if out is None else out.unionByName(found)
-        if last:
-            return out
-        left = left.join(found.select("lon", "lat", "slot"), ["lon", "lat", "slot"], "left_anti").persist()
-        if left.isEmpty():
-            return out
-        cell *= 2
-
-
-def lookup(rows: DataFrame, field: DataFrame, slots: list[int], values: list[str], cell: float) -> DataFrame:
-    """rows (lon, lat, start_s) with the field's values at their place and start time; missing places get nulls."""
-    placed = rows.withColumn("slot", nearest_slot(F.floor(F.col("start_s") / 60).cast("int"), slots))
-    return placed.join(nearest_join(placed, field, values, cell).drop("distance"), ["lon", "lat", "slot"], "left")
+    box = field.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).head()  # four numbers
+    if box[0] is None:
+        return rows.withColumns({**{v: F.lit(None).cast(field.schema[v].dataType) for v in values}, "distance": F.lit(None).cast("double")})
+    inside_x = F.least(F.greatest(F.col("lon"), F.lit(box[0])), F.lit(box[1]))
+    inside_y = F.least(F.greatest(F.col("lat"), F.lit(box[2])), F.lit(box[3]))
+    beyond = (F.col("lon") - inside_x) ** 2 + (F.col("lat") - inside_y) ** 2
+
+    def distance(x, y):
+        return (F.col("lon") - x) ** 2 + (F.col("lat") - y) ** 2
+
+    def looked_up(some: DataFrame, size: float) -> DataFrame:
+        at = (F.col("slot") == F.col("_slot")) & (F.floor(inside_x / size) == F.col("_cx")) & (F.floor(inside_y / size) == F.col("_cy"))
+        best = F.array_min(F.transform("_near", lambda p: F.struct(distance(p["_x"], p["_y"]).alias("d2"), p["_x"].alias("_x"), p["_y"].alias("_y"), *[p[v].alias(v) for v in values])))
+        out = some.join(_candidates(field, values, size), at, "left").withColumn("_b", best).drop("_slot", "_cx", "_cy", "_near")
+        return out.withColumn("_b", F.when(F.col("_b.d2") <= size**2 + beyond, F.col("_b")))
+
+    place = ["lon", "lat", "slot"]
+    first = looked_up(rows, cell)
+    rest = looked_up(first.filter("_b is null and lon is not null and lat is not null").select(*place).distinct(), 8 * cell)
+    whole = rest.filter("_b is null").drop("_b").join(field.select(F.col("lon").alias("_x"), F.col("lat").alias("_y"), "slot", *values), "slot")
+    last = whole.groupBy(*place).agg(F.min(F.struct(distance(F.col("_x"), F.col("_y")).alias("d2"), "_x", "_y", *values)).alias("_late"))
+    late = rest.filter("_b is not null").select(*place, F.col("_b").alias("_late")).unionByName(last)
+    b = F.coalesce("_b", "_late")
+    return first.join(late, place, "left").withColumn("_b", b).select(*rows.columns, *[F.col(f"_b.{v}").alias(v) for v in values], F.sqrt("_b.d2").alias("distance"))
+
+
+def nearest_join(points: DataFrame, field: DataFrame, values: list[str], cell: float) -> DataFrame:
+    """(lon, lat, slot, values, distance): each distinct point that has a place with the values of the nearest field point of its slot."""
+    return nearest(points.select("lon", "lat", "slot").filter("lon is not null and lat is not null").distinct(), field, values, cell).filter("distance is not null")
+
+
+def lookup(rows: DataFrame, field: DataFrame, slots: list[int], values: list[str], cell: float, static: DataFrame | None = None) -> DataFrame:
+    """rows (lon, lat, start_s) with slot and the field's values at their place and start time; places without one get the value of the
+    static field (lon, lat, value) in all columns, else nulls."""
+    placed = nearest(rows.withColumn("slot", nearest_slot(F.floor(F.col("start_s") / 60).cast("int"), slots)), field, values, cell).drop("distance")
+    if static is None:
+        return placed
+    fixed = nearest(placed.withColumnRenamed("slot", "_own").withColumn("slot", F.lit(0)), static.select("lon", "lat", F.col("value").alias("_static"), F.lit(0).alias("slot")), ["_static"], cell)
+    return fixed.withColumns({v: F.coalesce(v, "_static") for v in values}).drop("slot", "_static", "distance").withColumnRenamed("_own", "slot")
+
+
+def static_field(raster: DataFrame, rings: DataFrame | None = None, band: float = 0.01) -> DataFrame:
+    """(lon, lat, value) of the cells with a value above 0 inside any ring, of all such cells without rings."""
+    cells = raster.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") > 0)).select("lon", "lat", "value")
+    return cells if rings is None else clip(cells, rings, band)

@@ -39,19 +39,27 @@ def stay_points(trips: DataFrame) -> DataFrame:
     c = F.col
     before = row(0, "origin", c("orig_lon"), c("orig_lat"), F.lit(0), c("start_s"), c("start_s") / 3600.0, F.concat(F.lit("pre_"), "purpose"), c("purpose"), c("mode"))
     gap = row(1, "origin", c("_p_dest_lon"), c("_p_dest_lat"), c("_p_end_s"), c("start_s"), (c("start_s") - c("_p_end_s")) / 3600.0, F.concat(F.lit("stay_"), "_p_purpose"), c("_p_purpose"), c("_p_mode"))
-    ride = row(2, "travel", (c("orig_lon") + c("dest_lon")) / 2, (c("orig_lat") + c("dest_lat")) / 2, c("start_s"), c("end_s"), c("declared_minutes") / 60.0, F.lit("travel"), c("purpose"), c("mode"), True)
+    ride = row(2, "travel", (c("orig_lon") + c("dest_lon")) / 2, (c("orig_lat") + c("dest_lat")) / 2, c("start_s"), c("end_s"), c("declared_minutes") / 60.0, F.concat(F.lit("travel_"), "purpose"), c("purpose"), c("mode"), True)
     after = row(3, "destination", c("dest_lon"), c("dest_lat"), c("end_s"), F.lit(DAY_END), (DAY_END - c("end_s")) / 3600.0, F.concat(F.lit("post_"), "purpose"), c("purpose"), c("mode"))
     stays = F.filter(F.array(F.when(c("_n") == 1, before), F.when(c("_n") > 1, gap), ride, F.when(c("_last"), after)), lambda s: s["duration_hours"] > 0)
     return t.select("person_id", c("_home_lon").alias("home_lon"), c("_home_lat").alias("home_lat"), F.explode(stays).alias("s")).select("person_id", "s.*", "home_lon", "home_lat")
 
 
 def with_microenvironment(stays: DataFrame, home_m: float = 100.0) -> DataFrame:
-    """stays with dist_to_home_m and microenv."""
+    """stays with dist_to_home_m, microenv and the rule that gave it."""
     mode, purpose = F.lower(F.trim("mode")), F.lower(F.trim("purpose"))
     travel = F.when(mode.isin(VEHICLE), "in_vehicle_on_road_private").when(mode.isin(TRANSIT), "in_vehicle_on_road_transit").when(mode.isin(ROADSIDE), "outdoor_near_road").otherwise("travel_unknown")
     away = F.when(F.col("location_type") != "travel", haversine_m(F.col("lon"), F.col("lat"), F.col("home_lon"), F.col("home_lat")))
     stay = F.when(away <= home_m, "home_indoor").when(purpose == "work", "work_indoor").when(purpose == "school", "school_indoor").otherwise("other_indoor")
-    return stays.withColumn("dist_to_home_m", away).withColumn("microenv", F.when(F.col("location_type") == "travel", travel).otherwise(stay))
+    rule = F.when(F.col("location_type") == "travel", F.when(travel == "travel_unknown", "mode_unknown").otherwise("mode"))
+    rule = F.coalesce(rule, F.when(away <= home_m, "home_distance").when(purpose.isin("work", "school"), "purpose").otherwise("default"))
+    return stays.withColumns({"dist_to_home_m": away, "microenv": F.when(F.col("location_type") == "travel", travel).otherwise(stay), "microenv_rule": rule})
+
+
+def with_outdoor_work(stays: DataFrame, persons: DataFrame) -> DataFrame:
+    """stays (microenv) with p_outdoor_work: persons' (person_id, p_outdoor) on stays indoors at work, null elsewhere."""
+    p = persons.groupBy("person_id").agg(F.min("p_outdoor").alias("_p"))
+    return stays.join(p, "person_id", "left").withColumn("p_outdoor_work", F.when(F.col("microenv") == "work_indoor", F.col("_p"))).drop("_p")
 
 
 def split_intervals(stays: DataFrame, minutes: int = 30) -> DataFrame:

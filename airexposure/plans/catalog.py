@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import activity, cohorts, diagnostics, exposure, field, sensors, staypoints, workoutdoor
+from ..operators import activity, cohorts, diagnostics, distribution, exposure, field, sensors, staypoints, workoutdoor
 from ..sources import adapters as A
 
 FLAGSHIP = "daily_exposure_by_person"
@@ -18,26 +18,20 @@ COHORTS = {"income": {"low": "income < 60000", "high": "income >= 120000"}, "rac
 WINDOWS = {"early_morning": (0, 6), "morning_commute": (6, 9), "midday": (11, 14), "evening_commute": (16, 19), "night": (19, 24)}
 LEVELS = (35.0, 55.0, 75.0)
 FALLBACK = 240.0
-#: Sums of the adapters' values often lie on rounding ties, where engines' last bits decide; both add this part of the last digit first.
-OFF_TIES = 0.17
 
 
 def query(oracle: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if oracle:
-            sql = A.duck(oracle)
-            for n in (7, 8, 9):
-                sql = sql.replace(f", {n})", f" + {OFF_TIES}e-{n}, {n})")
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = A.duck(oracle)
         return f
 
     return add
 
 
 def _r(c, digits: int):
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c + OFF_TIES * 10.0**-digits, digits) if digits > 6 else F.round(c, digits)
+    return F.round(c, digits)
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
@@ -50,14 +44,13 @@ def trips(spark: SparkSession, d: str) -> DataFrame:
 
 
 def persons(spark: SparkSession, d: str) -> DataFrame:
-    return A.frame(spark, d, A.PERSONS).withColumn("p_outdoor", (F.col("age") % 10) / 10.0)
+    """(person_id, p_outdoor): the probability to work outdoors, from industry and occupation tables."""
+    return workoutdoor.assign(A.frame(spark, d, A.PERSONS), sector_table(spark, d)).select("person_id", "p_outdoor")
 
 
 def stays(spark: SparkSession, d: str) -> DataFrame:
     """Stay points of persons whose day adds up, with microenvironments."""
-    every = staypoints.stay_points(trips(spark, d))
-    late = activity.rejections(every, every.filter("lon is null")).select("person_id")
-    return staypoints.with_microenvironment(every.join(late, "person_id", "left_anti"))
+    return staypoints.with_microenvironment(activity.whole_days(staypoints.stay_points(trips(spark, d))))
 
 
 def detailed(spark: SparkSession, d: str, rule: str = "mid-point-hapem", bands: tuple = ("",)) -> DataFrame:
@@ -68,21 +61,33 @@ def detailed(spark: SparkSession, d: str, rule: str = "mid-point-hapem", bands:
     home = None
     if rule == "home_exposure":
         at = rows.select("person_id", "slot", "home_lon", "home_lat").distinct().withColumnsRenamed({"home_lon": "lon", "home_lat": "lat"})
-        near = field.nearest_join(at, A.frame(spark, d, A.FIELD), ["mid"], CELL)
-        home = at.join(near, ["lon", "lat", "slot"]).select("person_id", "slot", F.col("mid").alias("home_concentration"))
+        home = field.nearest(at, A.frame(spark, d, A.FIELD), ["mid"], CELL).select("person_id", "slot", F.col("mid").alias("home_concentration"))
     rows = exposure.apply_factors(rows, exposure.person_factors(persons(spark, d)), [f"concentration{s}" for s in bands])
     for s in bands:
         rows = exposure.with_exposure(rows, rule, home=home, suffix=s)
     return rows
 
 
-SQL_STAYS = f"""trips AS ({A.TRIPS}),
-t AS (SELECT *, row_number() OVER w n, lead(start_s) OVER w IS NULL l, lag(end_s) OVER w p_end, lag(dest_lon) OVER w p_lon, lag(dest_lat) OVER w p_lat, lag(purpose) OVER w p_purpose, lag(mode) OVER w p_mode
+SQL_SOC = f"onet AS ({A.ONET}), each AS (SELECT soc, element, sum(CASE WHEN category >= 4 THEN value ELSE 0 END) / 100 p FROM onet WHERE scale_id = 'CXP' GROUP BY soc, element), shares AS (SELECT replace(soc, '.00', '') soc, 1 - (1 - max(CASE WHEN element = 0 THEN p END)) * (1 - max(CASE WHEN element = 1 THEN p END)) share FROM each GROUP BY soc HAVING count(*) = 2)"
+SQL_SECTOR = f"{SQL_SOC}, oews AS ({A.OEWS}), emp AS (SELECT substr(naics, 1, 2) sector, soc, sum(CAST(tot_emp AS DOUBLE)) employment FROM oews WHERE o_group = 'detailed' AND tot_emp <> '**' GROUP BY 1, 2), tot AS (SELECT sector, sum(employment) total FROM emp GROUP BY sector), sectors AS (SELECT sector, sum(employment / total * share) p_outdoor, max(total) total FROM emp JOIN tot USING (sector) JOIN shares USING (soc) GROUP BY sector)"
+_TEXT = "lower(trim(industry))"
+SQL_ASSIGN = f"""{SQL_SECTOR}, people3 AS ({A.PERSONS}),
+parsed AS (SELECT person_id, CASE WHEN {_TEXT} IS NULL OR {_TEXT} IN ('', 'nan', 'not_working') THEN NULL
+             WHEN starts_with({_TEXT}, 'naics31_33') THEN '31_33' WHEN starts_with({_TEXT}, 'naics44_45') THEN '44_45' WHEN starts_with({_TEXT}, 'naics48_49') THEN '48_49'
+             ELSE nullif(substr(regexp_extract({_TEXT}, '([0-9]{{2,6}})', 1), 1, 2), '') END grp, {_TEXT} t FROM people3),
+grouped AS (SELECT person_id, grp, CASE WHEN t IS NULL OR t IN ('', 'nan') THEN 'missing' WHEN t = 'not_working' THEN 'not_working' WHEN grp IS NULL THEN 'unparsed' ELSE 'ok' END reason FROM parsed),
+spans AS (SELECT grp, CAST(unnest(generate_series(CAST(split_part(grp, '_', 1) AS INTEGER), CAST(split_part(grp, '_', -1) AS INTEGER))) AS VARCHAR) sector FROM (SELECT DISTINCT grp FROM grouped WHERE grp IS NOT NULL) q),
+probs AS (SELECT grp, sum(p_outdoor * total) / sum(total) p FROM spans JOIN sectors USING (sector) GROUP BY grp),
+assigned AS (SELECT person_id, grouped.grp, CASE WHEN reason = 'ok' AND p IS NULL THEN CASE WHEN contains(grouped.grp, '_') THEN 'unmapped_combined_group' ELSE 'sector_not_covered' END ELSE reason END reason, p p_outdoor
+             FROM grouped LEFT JOIN probs ON grouped.grp = probs.grp)"""
+
+
+SQL_STAYS_OF = """t AS (SELECT *, row_number() OVER w n, lead(start_s) OVER w IS NULL l, lag(end_s) OVER w p_end, lag(dest_lon) OVER w p_lon, lag(dest_lat) OVER w p_lat, lag(purpose) OVER w p_purpose, lag(mode) OVER w p_mode
       FROM trips WINDOW w AS (PARTITION BY person_id ORDER BY start_s, end_s)),
 all_stays AS (SELECT * FROM (
   SELECT person_id, n * 4 seq, 'origin' location_type, orig_lon lon, orig_lat lat, 0 start_s, start_s end_s, start_s / 3600e0 duration_hours, 'pre_' || purpose activity_type, purpose, mode, NULL o_lon, NULL o_lat, NULL d_lon, NULL d_lat, home_lon, home_lat FROM t WHERE n = 1
   UNION ALL SELECT person_id, n * 4 + 1, 'origin', p_lon, p_lat, p_end, start_s, (start_s - p_end) / 3600e0, 'stay_' || p_purpose, p_purpose, p_mode, NULL, NULL, NULL, NULL, home_lon, home_lat FROM t WHERE n > 1
-  UNION ALL SELECT person_id, n * 4 + 2, 'travel', (orig_lon + dest_lon) / 2, (orig_lat + dest_lat) / 2, start_s, end_s, declared_minutes / 60e0, 'travel', purpose, mode, orig_lon, orig_lat, dest_lon, dest_lat, home_lon, home_lat FROM t
+  UNION ALL SELECT person_id, n * 4 + 2, 'travel', (orig_lon + dest_lon) / 2, (orig_lat + dest_lat) / 2, start_s, end_s, declared_minutes / 60e0, 'travel_' || purpose, purpose, mode, orig_lon, orig_lat, dest_lon, dest_lat, home_lon, home_lat FROM t
   UNION ALL SELECT person_id, n * 4 + 3, 'destination', dest_lon, dest_lat, end_s, 86399, (86399 - end_s) / 3600e0, 'post_' || purpose, purpose, mode, NULL, NULL, NULL, NULL, home_lon, home_lat FROM t WHERE l) u
   WHERE duration_hours > 0),
 late AS (SELECT person_id, sum(duration_hours) total_hours, count(*) FILTER (WHERE location_type = 'travel') n FROM all_stays GROUP BY person_id HAVING abs(sum(duration_hours) - 24) > 0.1),
@@ -92,6 +97,7 @@ stays AS (SELECT * EXCLUDE (a), CASE WHEN location_type = 'travel' THEN CASE WHE
             WHEN dist_to_home_m <= 100 THEN 'home_indoor' WHEN purpose = 'work' THEN 'work_indoor' WHEN purpose = 'school' THEN 'school_indoor' ELSE 'other_indoor' END microenv FROM placed),
 pieces AS (SELECT * EXCLUDE (start_s, end_s, duration_hours, p, e0), p piece, p0 start_s, least(p0 + 1800, e0) end_s, (least(p0 + 1800, e0) - p0) / 3600e0 duration_hours
            FROM (SELECT *, end_s e0, start_s + p * 1800 p0 FROM (SELECT *, unnest(generate_series(0, CAST(ceil((end_s - start_s) / 1800e0) AS BIGINT) - 1)) p FROM stays WHERE end_s > start_s) x) y)"""
+SQL_STAYS = f"trips AS ({A.TRIPS}), {SQL_STAYS_OF}"
 
 SQL_HALVES = """halves AS (
   SELECT person_id, seq, piece, 0 half, location_type, lon, lat, CAST(start_s AS DOUBLE) start_s, CAST(end_s AS DOUBLE) end_s, duration_hours, microenv, home_lon, home_lat FROM pieces WHERE location_type <> 'travel'
@@ -101,19 +107,19 @@ SQL_WHOLE = "halves AS (SELECT person_id, seq, piece, 0 half, location_type, lon
 SQL_SLOT = "CAST(30 * least(greatest(ceil(floor(start_s / 60) / 30e0 - 0.5e0), 0), 47) AS INTEGER)"
 
 
-def sql_detailed(rule: str = "mid-point-hapem") -> str:
+def sql_detailed(rule: str = "mid-point-hapem", band: str = "mid", stays: str | None = None) -> str:
     value = {
         "mid-point-teleportation": "c * 10", "mid-point-hapem": "c * 0.9e0 * 1.2e0", "centroid_ambient": "c", "hardcoded": "10e0", "home_exposure": "coalesce(hc, 10e0)",
         "origin_destination_mean": "coalesce((lag(c) OVER w + lead(c) OVER w) / 2, lag(c) OVER w, lead(c) OVER w, 10e0)",
     }[rule]
     split = SQL_HALVES if rule.startswith("mid-point") else SQL_WHOLE
-    return f"""WITH {SQL_STAYS}, {split},
-slotted AS (SELECT *, {SQL_SLOT} slot FROM halves), field AS ({A.FIELD}), people AS ({A.PERSONS}),
-near AS (SELECT p.lon, p.lat, p.slot, arg_min(mid, (p.lon - f.lon) ** 2 + (p.lat - f.lat) ** 2) mid
+    return f"""WITH {SQL_ASSIGN}, {stays or SQL_STAYS}, {split},
+slotted AS (SELECT *, {SQL_SLOT} slot FROM halves), field AS ({A.FIELD}),
+near AS (SELECT p.lon, p.lat, p.slot, arg_min({band}, (p.lon - f.lon) ** 2 + (p.lat - f.lat) ** 2) mid
          FROM (SELECT lon, lat, slot FROM slotted UNION SELECT home_lon, home_lat, slot FROM slotted) p JOIN field f ON p.slot = f.slot GROUP BY p.lon, p.lat, p.slot),
 factored AS (SELECT s.*, n.mid * CASE s.microenv WHEN 'work_indoor' THEN (q * 1 + (1 - q) * 0.385e0) * (q * 1.803e0 + (1 - q) * 1) WHEN 'school_indoor' THEN 0.385e0 WHEN 'home_indoor' THEN 0.385e0 ELSE 1 END c, h.mid hc
              FROM slotted s JOIN near n ON s.lon = n.lon AND s.lat = n.lat AND s.slot = n.slot JOIN near h ON s.home_lon = h.lon AND s.home_lat = h.lat AND s.slot = h.slot
-             JOIN (SELECT person_id, (age % 10) / 10e0 q FROM people) f ON f.person_id = s.person_id),
+             LEFT JOIN (SELECT person_id, coalesce(p_outdoor, 0e0) q FROM assigned) f ON f.person_id = s.person_id),
 detailed AS (SELECT *, coalesce(CASE WHEN location_type = 'travel' THEN te END, c) rate, coalesce(CASE WHEN location_type = 'travel' THEN te END, c) * duration_hours exposure
              FROM (SELECT *, {value} te FROM factored WINDOW w AS (PARTITION BY person_id ORDER BY seq, piece, half)) v)"""
 
@@ -196,13 +202,13 @@ def travel_halves(spark, d):
     return rounded(staypoints.travel_halves(staypoints.split_intervals(stays(spark, d))).select("person_id", "seq", "piece", "half", "lon", "lat", "start_s", "end_s", "duration_hours"))
 
 
-@query(f"WITH {SQL_STAYS}, {SQL_WHOLE}, p AS (SELECT DISTINCT lon, lat, {SQL_SLOT} slot FROM halves), field AS ({A.FIELD}) SELECT round(p.lon, 9) lon, round(p.lat, 9) lat, p.slot, arg_min(mid, (p.lon - f.lon) ** 2 + (p.lat - f.lat) ** 2) mid, round(min(sqrt((p.lon - f.lon) ** 2 + (p.lat - f.lat) ** 2)), 9) distance FROM p JOIN field f ON p.slot = f.slot GROUP BY p.lon, p.lat, p.slot")
+@query(f"WITH {SQL_STAYS}, {SQL_WHOLE}, p AS (SELECT DISTINCT lon, lat, {SQL_SLOT} slot FROM halves), field AS ({A.FIELD}) SELECT round(p.lon, 9) lon, round(p.lat, 9) lat, p.slot, round(arg_min(mid, (p.lon - f.lon) ** 2 + (p.lat - f.lat) ** 2), 9) mid, round(min(sqrt((p.lon - f.lon) ** 2 + (p.lat - f.lat) ** 2)), 9) distance FROM p JOIN field f ON p.slot = f.slot GROUP BY p.lon, p.lat, p.slot")
 def nearest_field(spark, d):
     at = staypoints.split_intervals(stays(spark, d)).withColumn("slot", field.nearest_slot(F.floor(F.col("start_s") / 60).cast("int"), SLOTS))
     return rounded(field.nearest_join(at, A.frame(spark, d, A.FIELD), ["mid"], CELL))
 
 
-@query(f"WITH people AS ({A.PERSONS}), f AS (SELECT person_id, (age % 10) / 10e0 q FROM people) SELECT person_id, q >= 0.5 work_outdoor, round(q + (1 - q) * 0.385e0, 9) work_pen, round(q * 1.803e0 + 1 - q, 9) work_prox, 0.385e0 school_pen, 1e0 school_prox, 0.385e0 home_pen, 1e0 home_prox FROM f")
+@query(f"WITH {SQL_ASSIGN}, f AS (SELECT person_id, coalesce(p_outdoor, 0e0) q FROM assigned) SELECT person_id, q >= 0.5 work_outdoor, round(q + (1 - q) * 0.385e0, 9) work_pen, round(q * 1.803e0 + 1 - q, 9) work_prox, 0.385e0 school_pen, 1e0 school_prox, 0.385e0 home_pen, 1e0 home_prox FROM f")
 def person_factors(spark, d):
     return rounded(exposure.person_factors(persons(spark, d)))
 
@@ -260,21 +266,26 @@ SQL_BINS = "bins AS (SELECT person_id, b bin_index, sum(rate * (least(end_s, (b
 SQL_CURVES = f"{SQL_BINS}, curves AS (SELECT p.person_id, g.range bin_index, coalesce(amount, 0) increment, sum(coalesce(amount, 0)) OVER (PARTITION BY p.person_id ORDER BY g.range) cumulative FROM (SELECT DISTINCT person_id FROM detailed) p CROSS JOIN range(288) g LEFT JOIN bins ON bins.person_id = p.person_id AND bins.bin_index = g.range)"
 
 
-def curve_rows(spark, d):
-    rows = detailed(spark, d).persist()
-    return exposure.curves(exposure.binned(rows), rows)
+def curve_rows(spark, d, suffixes=("",)):
+    return exposure.curves(detailed(spark, d, bands=suffixes), suffixes=suffixes)
 
 
 @query(f"{sql_detailed()}, {SQL_CURVES} SELECT CAST(bin_index AS INTEGER) bin_index, round(avg(increment), 8) mean_increment, round(median(increment), 8) median_increment, round(avg(cumulative), 7) mean_cumulative, round(median(cumulative), 7) median_cumulative FROM curves GROUP BY bin_index")
 def timeseries_agg(spark, d):
-    out = curve_rows(spark, d).groupBy("bin_index").agg(F.avg("increment").alias("mean_increment"), F.median("increment").alias("median_increment"), F.avg("cumulative").alias("mean_cumulative"), F.median("cumulative").alias("median_cumulative"))
-    return out.withColumns({c: _r(c, 8 if "incr" in c else 7) for c in out.columns[1:]})
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("v")) for k in ("increment", "cumulative")])
+    long = curve_rows(spark, d).select("bin_index", F.explode(kinds).alias("x")).select("bin_index", "x.*")
+    each = long.groupBy("bin_index", "kind").agg(F.avg("v").alias("mean")).join(distribution.percentiles(long, ["bin_index", "kind"], "v", {"median": 0.5}), ["bin_index", "kind"])
+    of = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
+    return each.groupBy("bin_index").agg(*[_r(of(c, k), 8 if k == "increment" else 7).alias(f"{c}_{k}") for k in ("increment", "cumulative") for c in ("mean", "median")])
+
+
+BANDS_AT = {"p025": 0.025, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p975": 0.975}
+_BAND_SQL = ", ".join(f"round(quantile_cont(cumulative, {q}), 7) {n}" for n, q in BANDS_AT.items())
 
 
-@query(f"{sql_detailed()}, {SQL_CURVES} SELECT CAST(bin_index AS INTEGER) bin_index, round(quantile_cont(cumulative, 0.05), 7) p05, round(quantile_cont(cumulative, 0.25), 7) p25, round(quantile_cont(cumulative, 0.75), 7) p75, round(quantile_cont(cumulative, 0.95), 7) p95 FROM curves GROUP BY bin_index")
+@query(f"{sql_detailed()}, {SQL_CURVES} SELECT CAST(bin_index AS INTEGER) bin_index, {_BAND_SQL} FROM curves GROUP BY bin_index")
 def curve_bands(spark, d):
-    out = curve_rows(spark, d).groupBy("bin_index").agg(F.percentile("cumulative", [0.05, 0.25, 0.75, 0.95]).alias("p"))
-    return out.select("bin_index", *[_r(F.col("p")[i], 7).alias(n) for i, n in enumerate(("p05", "p25", "p75", "p95"))])
+    return rounded(distribution.percentiles(curve_rows(spark, d), ["bin_index"], "cumulative", BANDS_AT), 7)
 
 
 @query(f"{sql_detailed()}, {SQL_CURVES} SELECT person_id, CAST(bin_index AS INTEGER) bin_index, round(increment, 8) increment, round(cumulative, 6) cumulative FROM curves")
@@ -310,41 +321,36 @@ _LONG = "long AS (SELECT cohort, grp, 'activity' metric, activity v FROM compare
 def cohort_daily(spark, d):
     each = compared(spark, d).join(members(spark, d), "person_id")
     rows = each.select("cohort", "grp", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("activity", "home", "ratio")])).alias("x")).select("cohort", "grp", "x.*")
-    return _described(exposure.describe(rows, ["cohort", "grp", "metric"], "v"), ["cohort", "grp", "metric"])
+    return _described(distribution.describe(rows, ["cohort", "grp", "metric"], "v"), ["cohort", "grp", "metric"])
 
 
 _SUMS = ", ".join(f"sum(CASE WHEN bin_index >= {a * 12} AND bin_index < {b * 12} THEN amount ELSE 0 END) {n}" for n, (a, b) in WINDOWS.items())
-_WLONG = "wlong AS (" + " UNION ALL ".join(f"SELECT cohort, grp, '{n}' win, coalesce({n}, 0) v FROM members JOIN (SELECT DISTINCT person_id FROM detailed) q USING (person_id) LEFT JOIN wins USING (person_id)" for n in WINDOWS) + ")"
+_WLONG = "wlong AS (" + " UNION ALL ".join(f"SELECT cohort, grp, '{n}' win, coalesce({n}, 0) v FROM members LEFT JOIN wins USING (person_id)" for n in WINDOWS) + ")"
 
 
 @query(f"{sql_detailed()}, {SQL_BINS}, {SQL_COHORTS}, wins AS (SELECT person_id, {_SUMS} FROM bins GROUP BY person_id), {_WLONG} " + _sql_described("wlong", "cohort, grp, win", "v"))
 def cohort_windows(spark, d):
     sums = exposure.binned(detailed(spark, d)).groupBy("person_id").agg(*[F.sum(F.when((F.col("bin_index") >= a * 12) & (F.col("bin_index") < b * 12), F.col("amount")).otherwise(0.0)).alias(n) for n, (a, b) in WINDOWS.items()])
-    each = sums.join(members(spark, d), "person_id")
+    each = members(spark, d).join(sums, "person_id", "left").fillna(0.0, list(WINDOWS))
     rows = each.select("cohort", "grp", F.explode(F.array(*[F.struct(F.lit(n).alias("win"), F.col(n).alias("v")) for n in WINDOWS])).alias("x")).select("cohort", "grp", "x.*")
-    return _described(exposure.describe(rows, ["cohort", "grp", "win"], "v"), ["cohort", "grp", "win"])
+    return _described(distribution.describe(rows, ["cohort", "grp", "win"], "v"), ["cohort", "grp", "win"])
 
 
-@query(f"{sql_detailed()}, {SQL_COHORTS}, peaks AS (SELECT cohort, grp, p.v FROM members JOIN (SELECT person_id, max(rate) v FROM detailed GROUP BY person_id) p USING (person_id)) " + _sql_described("peaks", "cohort, grp", "v"))
+@query(f"{sql_detailed()}, {SQL_COHORTS}, peaks AS (SELECT cohort, grp, coalesce(p.v, 0e0) v FROM members LEFT JOIN (SELECT person_id, max(rate) v FROM detailed GROUP BY person_id) p USING (person_id)) " + _sql_described("peaks", "cohort, grp", "v"))
 def cohort_peak(spark, d):
     peak = detailed(spark, d).groupBy("person_id").agg(F.max(exposure.rate()).alias("v"))
-    return _described(exposure.describe(peak.join(members(spark, d), "person_id"), ["cohort", "grp"], "v"), ["cohort", "grp"])
+    return _described(distribution.describe(members(spark, d).join(peak, "person_id", "left").fillna(0.0, ["v"]), ["cohort", "grp"], "v"), ["cohort", "grp"])
 
 
 _LEVEL_SUMS = ", ".join(f"60 * sum(CASE WHEN rate >= {x} THEN duration_hours ELSE 0 END) m{int(x)}" for x in LEVELS)
 
 
-@query(f"{sql_detailed()}, {SQL_COHORTS}, lv AS (SELECT person_id, {_LEVEL_SUMS} FROM detailed GROUP BY person_id), ll AS (" + " UNION ALL ".join(f"SELECT cohort, grp, {int(x)} AS level, m{int(x)} v FROM members JOIN lv USING (person_id)" for x in LEVELS) + ") " + _sql_described("ll", "cohort, grp, level", "v"))
+@query(f"{sql_detailed()}, {SQL_COHORTS}, lv AS (SELECT person_id, {_LEVEL_SUMS} FROM detailed GROUP BY person_id), ll AS (" + " UNION ALL ".join(f"SELECT cohort, grp, {int(x)} AS level, coalesce(m{int(x)}, 0e0) v FROM members LEFT JOIN lv USING (person_id)" for x in LEVELS) + ") " + _sql_described("ll", "cohort, grp, level", "v"))
 def cohort_thresholds(spark, d):
     above = detailed(spark, d).groupBy("person_id").agg(*[(60 * F.sum(F.when(exposure.rate() >= x, F.col("duration_hours")).otherwise(0.0))).alias(f"m{int(x)}") for x in LEVELS])
-    each = above.join(members(spark, d), "person_id")
+    each = members(spark, d).join(above, "person_id", "left").fillna(0.0, [f"m{int(x)}" for x in LEVELS])
     rows = each.select("cohort", "grp", F.explode(F.array(*[F.struct(F.lit(int(x)).alias("level"), F.col(f"m{int(x)}").alias("v")) for x in LEVELS])).alias("x")).select("cohort", "grp", "x.*")
-    return _described(exposure.describe(rows, ["cohort", "grp", "level"], "v"), ["cohort", "grp", "level"])
-
-
-SQL_SOC = f"onet AS ({A.ONET}), each AS (SELECT soc, element, sum(CASE WHEN category >= 4 THEN value ELSE 0 END) / 100 p FROM onet WHERE scale_id = 'CXP' GROUP BY soc, element), shares AS (SELECT replace(soc, '.00', '') soc, 1 - (1 - max(CASE WHEN element = 0 THEN p END)) * (1 - max(CASE WHEN element = 1 THEN p END)) share FROM each GROUP BY soc HAVING count(*) = 2)"
-SQL_SECTOR = f"{SQL_SOC}, oews AS ({A.OEWS}), emp AS (SELECT substr(naics, 1, 2) sector, soc, sum(CAST(tot_emp AS DOUBLE)) employment FROM oews WHERE o_group = 'detailed' AND tot_emp <> '**' GROUP BY 1, 2), tot AS (SELECT sector, sum(employment) total FROM emp GROUP BY sector), sectors AS (SELECT sector, sum(employment / total * share) p_outdoor, max(total) total FROM emp JOIN tot USING (sector) JOIN shares USING (soc) GROUP BY sector)"
-SQL_ASSIGN = f"{SQL_SECTOR}, people3 AS ({A.PERSONS}), grouped AS (SELECT person_id, CASE industry WHEN 'naics31_33_mfg' THEN '31_33' WHEN 'naics23_construction' THEN '23' WHEN 'naics44_45_retail' THEN '44_45' WHEN 'naics62_health' THEN '62' END grp, CASE WHEN industry IS NULL THEN 'missing' WHEN industry = 'not_working' THEN 'not_working' ELSE 'ok' END reason FROM people3), probs AS (SELECT grp, sum(p_outdoor * total) / sum(total) p FROM (VALUES ('31_33', '31'), ('31_33', '32'), ('31_33', '33'), ('23', '23'), ('44_45', '44'), ('44_45', '45'), ('62', '62')) v(grp, sector) JOIN sectors USING (sector) GROUP BY grp), assigned AS (SELECT person_id, grouped.grp, CASE WHEN reason = 'ok' AND p IS NULL THEN CASE WHEN contains(grouped.grp, '_') THEN 'unmapped_combined_group' ELSE 'sector_not_covered' END ELSE reason END reason, p p_outdoor FROM grouped LEFT JOIN probs ON grouped.grp = probs.grp)"
+    return _described(distribution.describe(rows, ["cohort", "grp", "level"], "v"), ["cohort", "grp", "level"])
 
 
 def sector_table(spark, d):

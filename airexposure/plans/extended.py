@@ -12,16 +12,18 @@ from .catalog import _r, query, rounded
 
 RING_POINTS = {"pentagon": [(-71.25, 42.25), (-71.0, 42.22), (-70.95, 42.4), (-71.1, 42.5), (-71.28, 42.41)], "triangle": [(-70.93, 42.3), (-70.84, 42.45), (-70.9, 42.55)]}
 CENTRES = [(-71.2, 42.3), (-71.0, 42.4), (-70.9, 42.5)]
-POINTS = "SELECT c_custkey id, c_nationkey nation_id, cast(c_acctbal AS double) amount, -71.3e0 + (c_custkey * 37 % 1000) * 0.0005e0 + 0.0002e0 lon, 42.2e0 + (c_custkey * 53 % 800) * 0.0005e0 + 0.0002e0 lat FROM customer"
+POINTS = "SELECT c_custkey id, c_nationkey nation_id, cast(c_acctbal AS double) amount, -71.3e0 + (c_custkey * 37 % 1000) * 0.0005e0 + 0.0002e0 lon, 42.2e0 + (c_custkey * 53 % 800) * 0.0005e0 + 0.0001e0 lat FROM customer"
 SITES = "SELECT DISTINCT user_id sensor_index, -71.3e0 + (user_id * 37 % 1000) * 0.0005e0 + 0.0002e0 lon, 42.2e0 + (user_id * 53 % 800) * 0.0005e0 + 0.0002e0 lat FROM events"
 BANDS = ("", "_low", "_high")
 
 
-@query(f"{C.sql_detailed()}, {C.SQL_CURVES} SELECT CAST(bin_index AS INTEGER) bin_index, round(avg(cumulative), 7) mean_mid, round(avg(cumulative) * 0.7e0, 7) mean_low, round(avg(cumulative) * 1.4e0, 7) mean_high FROM curves GROUP BY bin_index")
+_BAND = " JOIN ".join(f"({C.sql_detailed(band=b)}, {C.SQL_CURVES} SELECT CAST(bin_index AS INTEGER) bin_index, round(avg(cumulative), 7) mean_{b} FROM curves GROUP BY bin_index) {b}_q" + (" USING (bin_index)" if k else "") for k, b in enumerate(("mid", "low", "high")))
+
+
+@query(f"SELECT * FROM {_BAND}")
 def curves_low_high(spark, d):
-    rows = C.detailed(spark, d, bands=BANDS).persist()
-    full = exposure.curves(exposure.binned(rows, suffixes=BANDS), rows, suffixes=BANDS)
-    return full.groupBy("bin_index").agg(*[_r(F.avg(f"cumulative{s}"), 7).alias(n) for s, n in zip(BANDS, ("mean_mid", "mean_low", "mean_high"))])
+    means = [_r(F.avg(f"cumulative{s}"), 7).alias(f"mean_{s[1:] or 'mid'}") for s in BANDS]
+    return C.curve_rows(spark, d, BANDS).groupBy("bin_index").agg(*means)
 
 
 SQL_HOME_CURVES = f"{C.SQL_HOME_DAY}, home_inc AS (SELECT h.person_id, g.range bin_index, mid * 0.385e0 / 12e0 home_increment FROM homes h CROSS JOIN range(288) g JOIN home_near n ON n.home_lon = h.home_lon AND n.home_lat = h.home_lat AND n.slot = CAST(30 * least(greatest(ceil(g.range * 5 / 30e0 - 0.5e0), 0), 47) AS INTEGER)), home_curves AS (SELECT *, sum(home_increment) OVER (PARTITION BY person_id ORDER BY bin_index) home_cumulative FROM home_inc)"
@@ -40,11 +42,11 @@ def home_curves(spark, d):
     return home_curve_rows(spark, d).select("person_id", "bin_index", _r("home_increment", 8).alias("home_increment"), _r("home_cumulative", 7).alias("home_cumulative"))
 
 
-@query(f"{C.sql_detailed()}, {C.SQL_CURVES}, {SQL_HOME_CURVES} SELECT person_id, CAST(bin_index AS INTEGER) bin_index, round(cumulative, 7) activity, round(home_cumulative, 7) home, round(cumulative - home_cumulative, 7) delta, round((cumulative - home_cumulative) / ((bin_index + 1) / 12e0), 7) delta_twac FROM curves JOIN home_curves USING (person_id, bin_index)")
+@query(f"{C.sql_detailed()}, {C.SQL_CURVES}, {SQL_HOME_CURVES} SELECT person_id, CAST(bin_index AS INTEGER) bin_index, round(cumulative, 7) activity, round(home_cumulative, 7) home, round(cumulative - home_cumulative, 7) + 0e0 delta, round((cumulative - home_cumulative) / ((bin_index + 1) / 12e0), 7) + 0e0 delta_twac FROM curves JOIN home_curves USING (person_id, bin_index)")
 def timeseries_export(spark, d):
     both = C.curve_rows(spark, d).join(home_curve_rows(spark, d), ["person_id", "bin_index"])
     delta = F.col("cumulative") - F.col("home_cumulative")
-    return both.select("person_id", "bin_index", _r("cumulative", 7).alias("activity"), _r("home_cumulative", 7).alias("home"), _r(delta, 7).alias("delta"), _r(delta / ((F.col("bin_index") + 1) / 12.0), 7).alias("delta_twac"))
+    return both.select("person_id", "bin_index", _r("cumulative", 7).alias("activity"), _r("home_cumulative", 7).alias("home"), (_r(delta, 7) + 0.0).alias("delta"), (_r(delta / ((F.col("bin_index") + 1) / 12.0), 7) + 0.0).alias("delta_twac"))
 
 
 @query(f"{C.sql_detailed()}, {C.SQL_CURVES}, {C.SQL_COHORTS} SELECT cohort, grp, CAST(bin_index AS INTEGER) + 1 AS point, round(avg(cumulative), 7) mean_cumulative, round(median(cumulative), 7) median_cumulative FROM curves JOIN members USING (person_id) GROUP BY cohort, grp, bin_index UNION ALL SELECT DISTINCT cohort, grp, 0, 0e0, 0e0 FROM members JOIN (SELECT DISTINCT person_id FROM detailed) q USING (person_id)")
@@ -88,7 +90,7 @@ def sensor_step(spark, d):
     return sensors.step_filter(sensors.in_range(A.frame(spark, d, A.READINGS))).select("event_id", "sensor_index", "pm")
 
 
-FEATURES = "SELECT c_custkey sensor_index, c_name name, lower(n_name) region, -71.3e0 + (c_custkey * 37 % 1000) * 0.0005e0 + 0.0002e0 lon, 42.2e0 + (c_custkey * 53 % 800) * 0.0005e0 + 0.0002e0 lat FROM customer JOIN nation ON n_nationkey = c_custkey % 25"
+FEATURES = "SELECT c_custkey sensor_index, c_name name, lower(n_name) region, -71.3e0 + (c_custkey * 37 % 1000) * 0.0005e0 + 0.0002e0 lon, 42.2e0 + (c_custkey * 53 % 800) * 0.0005e0 + 0.0001e0 lat FROM customer JOIN nation ON n_nationkey = c_custkey % 25"
 
 
 def features(spark, d):
