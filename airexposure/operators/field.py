@@ -11,21 +11,36 @@ from .spatial import clip
 def nearest_slot(minute: Column, slots: list[int]) -> Column:
     """The slot with the least distance from the minute of the day, the earlier one of two; a null minute counts as 0.
 
-    slots: minutes of the day, at most 1440 of them.
+    slots: minutes of the day. The answers for all 1440 minutes are a constant array that rows look up.
     """
-    m = F.coalesce(minute, F.lit(0))
-    ordered = F.array(*[F.lit(s) for s in sorted(set(slots))])
-    best = F.array_min(F.transform(ordered, lambda s: F.struct(F.abs(s - m).alias("d"), s.alias("s"))))
-    return best["s"]
+    ordered = sorted(set(slots))
+    table = F.array(*[F.lit(min(ordered, key=lambda s: abs(s - m))) for m in range(1440)])
+    return F.get(table, F.greatest(F.least(F.coalesce(minute, F.lit(0)), F.lit(1439)), F.lit(0)))
 
 
 def _candidates(field: DataFrame, values: list[str], cell: float) -> DataFrame:
-    """(_slot, _cx, _cy, _near): for each slot and cell, the field points in it and its eight neighbours."""
+    """(_slot, _cx, _cy, _near, _sure): for each slot and cell, the field points in it and its eight neighbours.
+
+    _sure: wherever in the cell one stands, some of them is within the cell's size, so none beyond can be nearer; that is so if
+    each quarter of the cell has a point that is near enough to its farthest corner.
+    """
     around = F.expr("flatten(transform(sequence(-1L, 1L), i -> transform(sequence(-1L, 1L), j -> named_struct('i', i, 'j', j))))")
     x, y = F.floor(F.col("lon") / cell), F.floor(F.col("lat") / cell)
     spread = field.select("slot", "lon", "lat", *values, F.explode(around).alias("_n"))
     point = F.struct(F.col("lon").alias("_x"), F.col("lat").alias("_y"), *values)
-    return spread.groupBy(F.col("slot").alias("_slot"), (x + F.col("_n.i")).alias("_cx"), (y + F.col("_n.j")).alias("_cy")).agg(F.collect_list(point).alias("_near"))
+    lists = spread.groupBy(F.col("slot").alias("_slot"), (x + F.col("_n.i")).alias("_cx"), (y + F.col("_n.j")).alias("_cy")).agg(F.collect_list(point).alias("_near"))
+
+    def covered(qx: float, qy: float) -> Column:
+        middle_x, middle_y = (F.col("_cx") + qx) * cell, (F.col("_cy") + qy) * cell
+
+        def close(p: Column) -> Column:
+            dx, dy = F.abs(p["_x"] - middle_x) + cell / 4, F.abs(p["_y"] - middle_y) + cell / 4
+            return dx * dx + dy * dy < cell * cell
+
+        return F.exists("_near", close)
+
+    sure = covered(0.25, 0.25) & covered(0.25, 0.75) & covered(0.75, 0.25) & covered(0.75, 0.75)
+    return lists.withColumn("_sure", sure)
 
 
 def nearest(rows: DataFrame, field: DataFrame, values: list[str], cell: float) -> DataFrame:
@@ -42,20 +57,22 @@ def nearest(rows: DataFrame, field: DataFrame, values: list[str], cell: float) -
         return rows.withColumns({**{v: F.lit(None).cast(field.schema[v].dataType) for v in values}, "distance": F.lit(None).cast("double")})
     inside_x = F.least(F.greatest(F.col("lon"), F.lit(box[0])), F.lit(box[1]))
     inside_y = F.least(F.greatest(F.col("lat"), F.lit(box[2])), F.lit(box[3]))
-    beyond = (F.col("lon") - inside_x) ** 2 + (F.col("lat") - inside_y) ** 2
+    beyond_x, beyond_y = F.col("lon") - inside_x, F.col("lat") - inside_y
+    beyond = beyond_x * beyond_x + beyond_y * beyond_y
 
     def distance(x, y):
-        return (F.col("lon") - x) ** 2 + (F.col("lat") - y) ** 2
+        return (F.col("lon") - x) * (F.col("lon") - x) + (F.col("lat") - y) * (F.col("lat") - y)
 
     def looked_up(some: DataFrame, size: float) -> DataFrame:
         at = (F.col("slot") == F.col("_slot")) & (F.floor(inside_x / size) == F.col("_cx")) & (F.floor(inside_y / size) == F.col("_cy"))
         best = F.array_min(F.transform("_near", lambda p: F.struct(distance(p["_x"], p["_y"]).alias("d2"), p["_x"].alias("_x"), p["_y"].alias("_y"), *[p[v].alias(v) for v in values])))
         out = some.join(_candidates(field, values, size), at, "left").withColumn("_b", best).drop("_slot", "_cx", "_cy", "_near")
-        return out.withColumn("_b", F.when(F.col("_b.d2") <= size**2 + beyond, F.col("_b")))
+        out = out.withColumn("_sure", F.coalesce(F.col("_sure") & (beyond == 0), F.lit(False)))
+        return out.withColumn("_b", F.when(F.col("_sure") | (F.col("_b.d2") <= size**2 + beyond), F.col("_b")))
 
     place = ["lon", "lat", "slot"]
     first = looked_up(rows, cell)
-    rest = looked_up(first.filter("_b is null and lon is not null and lat is not null").select(*place).distinct(), 8 * cell)
+    rest = looked_up(first.filter("lon is not null and lat is not null and not _sure").filter("_b is null").select(*place).distinct(), 8 * cell)
     whole = rest.filter("_b is null").drop("_b").join(field.select(F.col("lon").alias("_x"), F.col("lat").alias("_y"), "slot", *values), "slot")
     last = whole.groupBy(*place).agg(F.min(F.struct(distance(F.col("_x"), F.col("_y")).alias("d2"), "_x", "_y", *values)).alias("_late"))
     late = rest.filter("_b is not null").select(*place, F.col("_b").alias("_late")).unionByName(last)

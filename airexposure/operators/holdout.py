@@ -90,3 +90,96 @@ def bands(draws: DataFrame, value: str, quantiles: list[float], *keys: str) -> D
     """Mean and quantiles (q0, q1, ...) of a value over the draws of each key."""
     each = draws.groupBy(*keys).agg(F.avg(value).alias("mean"), F.percentile(value, quantiles).alias("q"))
     return each.select(*keys, "mean", *[F.col("q")[i].alias(f"q{i}") for i in range(len(quantiles))])
+
+
+def split(rows: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(training rows, held-out rows) by a list of sensors."""
+    ids = held.select("sensor_index").distinct()
+    return rows.join(ids, "sensor_index", "left_anti"), rows.join(ids, "sensor_index", "left_semi")
+
+
+def orthonormal_basis(training: DataFrame, held: DataFrame, centres: list[tuple[float, float]], width: float) -> DataFrame:
+    """(sensor_index, centre, q) of all sensors: features of the training sensors made orthonormal, those of others by the same factor.
+
+    The training features' Gram matrix G = R'R (centres x centres numbers, summed by Spark) gives R, and rows times the inverse of R
+    are orthonormal over the training sensors, as a QR factorisation's would be, up to signs.
+    """
+    import numpy as np
+
+    k = len(centres)
+    phi = radial_basis(training, centres, width)
+    pair = phi.alias("a").join(phi.alias("b"), "sensor_index").groupBy(F.col("a.centre").alias("i"), F.col("b.centre").alias("j")).agg(F.sum(F.col("a.phi") * F.col("b.phi")).alias("g"))
+    gram = np.zeros((k, k))
+    for r in pair.collect():
+        gram[r["i"], r["j"]] = r["g"]
+    values, vectors = np.linalg.eigh(gram)
+    keep = values > values.max(initial=0) * 1e-12  # a pseudo-inverse where centres coincide
+    inverse = np.linalg.inv(np.linalg.cholesky(gram).T) if keep.all() else vectors[:, keep] / np.sqrt(values[keep])
+    table = training.sparkSession.createDataFrame([(i, j, float(inverse[i, j])) for i in range(k) for j in range(inverse.shape[1])], "centre int, to int, f double")
+    every = radial_basis(training.unionByName(held.select(*training.columns)), centres, width)
+    return every.join(F.broadcast(table), "centre").groupBy("sensor_index", F.col("to").alias("centre")).agg(F.sum(F.col("phi") * F.col("f")).alias("q"))
+
+
+def predicted_shape(weights: DataFrame, spatial: DataFrame, temporal: DataFrame, mean: DataFrame, training: DataFrame) -> DataFrame:
+    """(sensor_index, draw, bin, log_s) from posterior weights (draw, centre, term, w), spatial (sensor_index, centre, q), temporal (term, bin, t),
+    mean (draw, bin, mu) and training (sensor_index): z = mu + r, r centred over the training sensors, and log_s as ``log_shape``."""
+    a = weights.join(spatial, "centre").groupBy("sensor_index", "draw", "term").agg(F.sum(F.col("w") * F.col("q")).alias("a"))
+    r = a.join(temporal, "term").groupBy("sensor_index", "draw", "bin").agg(F.sum(F.col("a") * F.col("t")).alias("r"))
+    centre = r.join(training.select("sensor_index").distinct(), "sensor_index", "left_semi").groupBy("draw", "bin").agg(F.avg("r").alias("m"))
+    z = r.join(centre, ["draw", "bin"]).join(mean, ["draw", "bin"]).select("sensor_index", "draw", "bin", (F.col("mu") + F.col("r") - F.col("m")).alias("z"))
+    return log_shape(z, "sensor_index", "draw").select("sensor_index", "draw", "bin", "log_s")
+
+
+BASELINES = ("grid", "nearest", "grid+nearest", "grid+basis")
+
+
+def baseline(mode: str, grid: DataFrame, nearest: DataFrame | None = None, levels: DataFrame | None = None, near_grid: DataFrame | None = None, basis: DataFrame | None = None) -> DataFrame:
+    """(sensor_index, draw, base) of held-out sensors, at least 1e-12.
+
+    grid: (sensor_index, grid) at the sensor; nearest: (sensor_index, near) its nearest training sensor; levels: (near, draw, level) posterior
+    levels of training sensors; near_grid: (near, grid_near) the grid there; basis: (sensor_index, draw, delta) from the spatial basis.
+    """
+    if mode not in BASELINES:
+        raise ValueError(f"unknown baseline {mode}")
+    if mode == "grid":
+        out = grid.select("sensor_index", F.lit(None).cast("long").alias("draw"), F.col("grid").alias("base"))
+    elif mode == "grid+basis":
+        out = grid.join(basis, "sensor_index").select("sensor_index", "draw", (F.col("grid") + F.col("delta")).alias("base"))
+    else:
+        rows = nearest.join(levels, "near")
+        if mode == "nearest":
+            out = rows.select("sensor_index", "draw", F.col("level").alias("base"))
+        else:
+            rows = rows.join(near_grid, "near").join(grid, "sensor_index")
+            out = rows.select("sensor_index", "draw", (F.col("grid") + F.col("level") - F.col("grid_near")).alias("base"))
+    return out.withColumn("base", F.greatest("base", F.lit(1e-12)))
+
+
+def day_normalised(readings: DataFrame, value: str = "pm") -> DataFrame:
+    """readings with ``shape``: the value over its sensor-day's mean, null where that is 0."""
+    mean = F.avg(value).over(Window.partitionBy("sensor_index", "day"))
+    return readings.withColumn("shape", F.when(mean != 0, F.col(value) / mean))
+
+
+def metric_tables(pairs: DataFrame, with_bias: str, without_bias: str, observed: str) -> tuple[DataFrame, DataFrame]:
+    """(per sensor, aggregate): errors of the prediction with and without the sensor bias, and their mean and median over sensors."""
+    a = errors(pairs, observed, with_bias, "sensor_index")
+    names = [c for c in a.columns if c not in ("sensor_index", "n")]
+    b = errors(pairs, observed, without_bias, "sensor_index").select("sensor_index", *[F.col(c).alias(f"{c}_no_bias") for c in names])
+    each = a.join(b, "sensor_index", "left")
+    every = [*names, *[f"{c}_no_bias" for c in names]]
+    return each, summarise(each.withColumn("_all", F.lit("all")), "_all", every).drop("_all")
+
+
+def parameter_grid(values: list[float] | None = None, low: float | None = None, high: float | None = None, steps: int = 0, geometric: bool = False) -> list[float]:
+    """A list, a geometric grid of ``steps`` values, or an inclusive range with step 1, sorted."""
+    if values is not None:
+        return sorted(set(values))
+    if geometric:
+        return [low * (high / low) ** (k / (steps - 1)) for k in range(steps)] if steps > 1 else [low]
+    return [low + k for k in range(int(math.floor(high - low)) + 1)]
+
+
+def within(metrics: DataFrame, key: str, low: float, high: float) -> DataFrame:
+    """Rows whose parameter is in the range; others are skipped."""
+    return metrics.filter(F.col(key).between(low, high))

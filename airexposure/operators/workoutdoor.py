@@ -67,3 +67,45 @@ def assign(persons: DataFrame, sectors: DataFrame) -> DataFrame:
     missing = F.when(F.col("grp").contains("_"), "unmapped_combined_group").otherwise("sector_not_covered")
     reason = F.when((F.col("reason") == "ok") & F.col("p_outdoor").isNull(), missing).otherwise(F.col("reason"))
     return out.select("person_id", "grp", reason.alias("reason"), "p_outdoor")
+
+
+def match_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(matched, unmatched): rows of left whose key is among right's, and the others."""
+    both = left.select(key).join(right.select(key).distinct().withColumn("_in", F.lit(True)), key, "left")
+    return both.agg(F.count_if(F.col("_in").isNotNull()).alias("matched"), F.count_if(F.col("_in").isNull()).alias("unmatched"))
+
+
+def with_label(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (grp) with the sector's label: labels are (grp, label), one a sector."""
+    return rows.join(labels, "grp", "left")
+
+
+def missingness(onet: DataFrame, oews: DataFrame, shares: DataFrame, weights: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(step, metric, value): what each step of the model read, kept and could not use."""
+
+    def counted(step: str, rows: DataFrame, **metrics: Column) -> DataFrame:
+        one = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in metrics.items()])
+        return one.select(F.lit(step).alias("step"), F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in one.columns]), F.array(*one.columns))).alias("metric", "value"))
+
+    matched = match_counts(weights, shares, "soc")
+    reasons = assigned.groupBy(F.lit("assign").alias("step"), F.col("reason").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
+    parts = [
+        counted("onet", onet, bad_soc=soc_code(F.col("soc")).isNull(), no_value=F.col("value").isNull()),
+        counted("oews", oews, not_detailed=F.coalesce(F.col("o_group") != "detailed", F.lit(True)), no_employment=number(F.col("tot_emp")).isNull()),
+        counted("shares", shares), counted("weights", weights),
+        matched.select(F.lit("match").alias("step"), F.explode(F.create_map(F.lit("matched"), F.col("matched"), F.lit("unmatched"), F.col("unmatched"))).alias("metric", "value")),
+        reasons,
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def work_outdoor(persons: DataFrame, onet: DataFrame, oews: DataFrame, elements: list, scale: str = "CXP", least: int = 4, combine: str = "union") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(persons, sectors, missingness) of persons (person_id, industry) and the two occupation tables."""
+    shares = soc_shares(onet, elements, scale, least, combine)
+    weights = sector_weights(oews)
+    sectors = sector_probabilities(weights, shares)
+    assigned = assign(persons, sectors)
+    return assigned, sectors, missingness(onet, oews, shares, weights, assigned)

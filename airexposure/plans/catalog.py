@@ -53,9 +53,9 @@ def stays(spark: SparkSession, d: str) -> DataFrame:
     return staypoints.with_microenvironment(activity.whole_days(staypoints.stay_points(trips(spark, d))))
 
 
-def detailed(spark: SparkSession, d: str, rule: str = "mid-point-hapem", bands: tuple = ("",)) -> DataFrame:
-    """Exposure of every piece of every stay; bands may add _low and _high."""
-    pieces = staypoints.split_intervals(stays(spark, d))
+def detailed(spark: SparkSession, d: str, rule: str = "mid-point-hapem", bands: tuple = ("",), of: DataFrame | None = None) -> DataFrame:
+    """Exposure of every piece of every stay; bands may add _low and _high; of: other stays than those of the clean trips."""
+    pieces = staypoints.split_intervals(stays(spark, d) if of is None else of)
     pieces = staypoints.travel_halves(pieces) if rule.startswith("mid-point") else pieces.withColumn("half", F.lit(0))
     rows = field.lookup(pieces, A.frame(spark, d, A.FIELD), SLOTS, [s[1:] or "mid" for s in bands], CELL).withColumnsRenamed({s[1:] or "mid": f"concentration{s}" for s in bands})
     home = None
@@ -133,6 +133,38 @@ def daily_exposure_by_person(spark, d):
     return rounded(exposure.totals(detailed(spark, d)))
 
 
+_NUMBER = "CASE WHEN regexp_matches(trim({0}), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN CAST(trim({0}) AS DOUBLE) END {0}"
+_SECONDS = """CASE WHEN regexp_matches({0}_time, '^[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}$') AND CAST(split_part({0}_time, ':', 1) AS INTEGER) < 24
+  THEN CAST(split_part({0}_time, ':', 1) AS INTEGER) * 3600 + CAST(split_part({0}_time, ':', 2) AS INTEGER) * 60 END {0}_s"""
+_FAR = " OR ".join(f"coalesce(NOT ({p}_lon BETWEEN {BOX[0]}e0 AND {BOX[1]}e0 AND {p}_lat BETWEEN {BOX[2]}e0 AND {BOX[3]}e0), true)" for p in activity.PLACES)
+_NONE = " OR ".join(f"{p}_lon IS NULL OR {p}_lat IS NULL" for p in activity.PLACES)
+SQL_USABLE = f"""numbered_trips AS (SELECT person_id, purpose, mode, {", ".join(_NUMBER.format(c) for c in ("orig_lon", "orig_lat", "dest_lon", "dest_lat", "home_lon", "home_lat", "declared_minutes"))},
+  {_SECONDS.format("start")}, {_SECONDS.format("end")} FROM ({A.RAW_TRIPS}) raw_trips),
+trips AS (SELECT * FROM numbered_trips WHERE person_id NOT IN (SELECT person_id FROM numbered_trips WHERE {_FAR}) AND start_s IS NOT NULL AND end_s IS NOT NULL)"""
+
+
+@query(f"{sql_detailed(stays=f'{SQL_USABLE}, {SQL_STAYS_OF}')}, {SQL_TOTALS} {_TOTAL}")
+def exposure_from_raw(spark, d):
+    """From trips as delivered: cells cleaned, persons with unknown or far places dropped, unreadable times dropped, then as the flagship."""
+    usable = activity.usable(activity.cleaned(A.frame(spark, d, A.RAW_TRIPS)), BOX)
+    day = staypoints.with_microenvironment(activity.whole_days(staypoints.stay_points(usable)))
+    return rounded(exposure.totals(detailed(spark, d, of=day)))
+
+
+_TIMED = "timed AS (SELECT * FROM numbered_trips WHERE start_s IS NOT NULL AND end_s IS NOT NULL)"
+_ONLY_STAYS = SQL_STAYS_OF[: SQL_STAYS_OF.index("late AS (")].replace("FROM trips WINDOW", "FROM timed WINDOW").rstrip().rstrip(",")
+
+
+@query(f"""WITH {SQL_USABLE}, {_TIMED}, {_ONLY_STAYS},
+hours AS (SELECT person_id, sum(duration_hours) h FROM all_stays GROUP BY person_id),
+flags AS (SELECT person_id, bool_or({_NONE}) no_place, bool_or({_FAR}) far, count(*) FILTER (WHERE start_s IS NOT NULL AND end_s IS NOT NULL) n FROM numbered_trips GROUP BY person_id)
+SELECT CASE WHEN no_place THEN 'nan_coords_or_non_numeric' WHEN far THEN 'outside_bbox' WHEN n = 0 THEN 'no_readable_times'
+            WHEN coalesce(abs(h - 24) > 0.1, true) THEN 'time_mismatch' ELSE 'kept' END reason, count(*) persons
+FROM flags LEFT JOIN hours USING (person_id) GROUP BY 1""")
+def audit_counts(spark, d):
+    return activity.audit_counts(activity.cleaned(A.frame(spark, d, A.RAW_TRIPS)), BOX)
+
+
 def _mode(rule: str, letter: str) -> None:
     def run(spark, d):
         return rounded(exposure.totals(detailed(spark, d, rule)))

@@ -26,13 +26,18 @@ def field_csv(spark: SparkSession, path: str, value: str | None = None, low: str
     rows = spark.read.option("header", True).csv(path)
     names = {"longitude": "lon", "latitude": "lat", "timestamp": "timestamp_utc"}
     rows = rows.withColumnsRenamed({a: b for a, b in names.items() if a in rows.columns and b not in rows.columns})
+    if missing := [c for c in ("lon", "lat", "timestamp_utc") if c not in rows.columns]:
+        raise ValueError(f"no column {missing[0]}")
     choice = [c for c in [value, "pm25", "pm25_p50", *[c for c in rows.columns if "pm25" in c]] if c in rows.columns]
     if not choice:
         raise ValueError("no value column")
-    at = F.col("timestamp_utc").try_cast("timestamp")
+    # seconds since 1970 don't depend on the session's time zone; text without a zone is UTC
+    text = F.trim(F.regexp_replace(F.col("timestamp_utc").cast("string"), "T", " "))
+    zoned = F.when(text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), text).otherwise(F.concat(text, F.lit("+00:00")))
+    at = F.unix_seconds(zoned.try_cast("timestamp"))
     number = lambda c: F.col(c).try_cast("double")
     ends = [number(c).alias(n) for n, c in (("low", low), ("high", high)) if c in rows.columns]
-    out = rows.select(number("lon").alias("lon"), number("lat").alias("lat"), (F.hour(at) * 60 + F.minute(at)).alias("slot"), number(choice[0]).alias("mid"), *ends)
+    out = rows.select(number("lon").alias("lon"), number("lat").alias("lat"), F.floor(F.pmod(at, F.lit(86_400)) / 60).cast("int").alias("slot"), number(choice[0]).alias("mid"), *ends)
     return out.dropna(subset=["lon", "lat", "slot", "mid"])
 
 
@@ -44,21 +49,26 @@ def _features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sensors_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(sensor_index, latitude, longitude, name, msa_slug) of the points of GeoJSON files; the slug is a property or the file's stem."""
+    """(sensor_index, latitude, longitude, name, msa_slug) of the points of GeoJSON files; the slug is a property or the file's stem; none is an error."""
     point = F.from_json("geometry.coordinates", "array<double>")
     rows = _features(spark, path).filter("geometry.type = 'Point'").withColumn("c", point).filter(F.size("c") >= 2)
     p = lambda k: F.col("properties")[k]
     slug = F.coalesce(p("msa_slug"), F.regexp_replace("file", r"\.[^.]*$", ""))
+    if rows.isEmpty():
+        raise ValueError("no point features")
     return rows.select(p("sensor_index").try_cast("int").alias("sensor_index"), F.col("c")[1].alias("latitude"), F.col("c")[0].alias("longitude"), F.coalesce(p("name"), F.lit("")).alias("name"), slug.alias("msa_slug"))
 
 
 def polygon_vertices(spark: SparkSession, path: str) -> DataFrame:
-    """(ring, pos, lon, lat) of the outer rings of polygons and multipolygons."""
-    rows = _features(spark, path).filter("geometry.type in ('Polygon', 'MultiPolygon')")
+    """(ring, msa_slug, pos, lon, lat) of the outer rings of polygons and multipolygons; other geometries are an error."""
+    rows = _features(spark, path)
+    kinds = F.col("geometry.type").isin("Polygon", "MultiPolygon")
+    rows = rows.filter(F.when(kinds, True).otherwise(F.raise_error(F.concat(F.lit("no polygon: "), F.coalesce("geometry.type", F.lit("null"))))))
     many = F.when(F.col("geometry.type") == "MultiPolygon", F.from_json("geometry.coordinates", "array<array<array<array<double>>>>")).otherwise(F.array(F.from_json("geometry.coordinates", "array<array<array<double>>>")))
-    outer = rows.select("file", "geometry", F.posexplode(F.transform(many, lambda polygon: polygon[0])).alias("part", "points"))
-    ring = outer.select(F.concat_ws("/", "file", F.md5("geometry.coordinates"), F.col("part").cast("string")).alias("ring"), F.posexplode("points").alias("pos", "c"))
-    return ring.select("ring", "pos", F.col("c")[0].alias("lon"), F.col("c")[1].alias("lat"))
+    slug = F.coalesce(F.col("properties")["msa_slug"], F.regexp_replace("file", r"\.[^.]*$", ""))
+    outer = rows.select("file", slug.alias("msa_slug"), "geometry", F.posexplode(F.transform(many, lambda polygon: polygon[0])).alias("part", "points"))
+    ring = outer.select(F.concat_ws("/", "file", F.md5("geometry.coordinates"), F.col("part").cast("string")).alias("ring"), "msa_slug", F.posexplode("points").alias("pos", "c"))
+    return ring.select("ring", "msa_slug", "pos", F.col("c")[0].alias("lon"), F.col("c")[1].alias("lat"))
 
 
 def cleaned_readings(spark: SparkSession, folder: str, latest: bool = False) -> DataFrame:
@@ -99,4 +109,77 @@ def person_json(compared: DataFrame, metric: str = "cumulative", units: str = "u
 
 
 def save_csv(df: DataFrame, path: str) -> None:
+    """Comparisons, details, time series, audits (places, rejections, factor draws, missingness), sensors and grids as CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def exposure_parquet(detailed: DataFrame, summary: DataFrame, path: str) -> None:
+    """Detailed rows and person totals as two Parquet sets, rows of a person together and in order."""
+    detailed.repartition("person_id").sortWithinPartitions("person_id", "start_s").write.mode("overwrite").parquet(f"{path}/detailed")
+    summary.write.mode("overwrite").parquet(f"{path}/summary")
+
+
+def parquet_set(spark: SparkSession, *paths: str, order: tuple = ("person_id", "start_s")) -> DataFrame:
+    """Parquet sets of different runs by column name, missing columns null; ordered by those of ``order`` that there are."""
+    rows = spark.read.option("mergeSchema", True).parquet(*paths)
+    keys = [c for c in order if c in rows.columns]
+    return rows.orderBy(*keys) if keys else rows
+
+
+def timeseries_parquet(series: DataFrame, path: str) -> None:
+    """A person's time series together and in order, Parquet with snappy."""
+    series.repartition("person_id").sortWithinPartitions("person_id", "bin_index").write.mode("overwrite").option("compression", "snappy").parquet(path)
+
+
+def save_json(df: DataFrame, path: str) -> None:
+    """Nested rows (statistics, payloads, metrics) as JSON, a row a line."""
+    df.write.mode("overwrite").json(path)
+
+
+def feature_collection(features: DataFrame, path: str) -> None:
+    """features (value), as ``point_feature`` gives them, as one FeatureCollection per file; an empty table gives an empty one.
+
+    One task writes one file: for maps of sensors, whose number is bounded by the devices there are.
+    """
+    whole = features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.array_sort(F.collect_list("value"))), F.lit("]}")).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
+def occupation_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """The named columns of a CSV, all as text, under new names; a byte-order mark before the first header is dropped."""
+    rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    rows = rows.toDF(*[c.lstrip("\ufeff").strip() for c in rows.columns])
+    if missing := [c for c in columns if c not in rows.columns]:
+        raise ValueError(f"no column {missing[0]}")
+    return rows.select(*[F.col(f"`{c}`").alias(n) for c, n in columns.items()])
+
+
+#: Columns of the two occupation tables.
+OEWS_COLUMNS = {"NAICS": "naics", "OCC_CODE": "soc", "O_GROUP": "o_group", "TOT_EMP": "tot_emp"}
+ONET_COLUMNS = {"O*NET-SOC Code": "soc", "Element Name": "element", "Scale ID": "scale_id", "Category": "category", "Data Value": "value"}
+
+
+def oews_csv(spark: SparkSession, path: str) -> DataFrame:
+    return occupation_csv(spark, path, OEWS_COLUMNS)
+
+
+def onet_csv(spark: SparkSession, path: str) -> DataFrame:
+    rows = occupation_csv(spark, path, ONET_COLUMNS)
+    return rows.withColumns({"category": F.col("category").try_cast("int"), "value": F.col("value").try_cast("double")})
+
+
+def sector_labels(spark: SparkSession, path: str, code: str, label: str) -> DataFrame:
+    """(grp, label): sector labels with ranges written as the groups are, 31_33 for 31-33."""
+    return occupation_csv(spark, path, {code: "grp", label: "label"}).withColumn("grp", F.replace(F.trim("grp"), F.lit("-"), F.lit("_")))
+
+
+def utc_from_epoch(rows: DataFrame, column: str = "time_stamp") -> DataFrame:
+    """datetime_utc in place of a column of seconds since 1970."""
+    return rows.withColumn("datetime_utc", F.timestamp_seconds(F.col(column).cast("long"))).drop(column)
+
+
+def chain_diagnostics(spark: SparkSession, path: str) -> DataFrame:
+    """(file, param, max_rhat, draws) of JSON files with lists of R-hat by parameter; draws per chain under either name."""
+    schema = "rhat map<string, array<double>>, draws_per_chain long, n_draws long"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.col("_metadata.file_name").alias("file"), F.coalesce("draws_per_chain", "n_draws").alias("draws"), F.explode("rhat").alias("param", "r"))
+    return rows.select("file", "param", F.array_max("r").alias("max_rhat"), "draws")

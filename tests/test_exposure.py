@@ -40,7 +40,7 @@ TRIP = "person_id string, orig_lon double, orig_lat double, dest_lon double, des
 def test_stay_points_of_a_day(spark):
     trips = spark.createDataFrame([("p", 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 28_800, 30_600, 30, "work", "walking"), ("p", 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 61_200, 63_000, 30, "home", "biking")], TRIP)
     rows = staypoints.with_microenvironment(staypoints.stay_points(trips)).orderBy("start_s", "seq").collect()
-    assert [r.activity_type for r in rows] == ["pre_work", "travel", "stay_work", "travel", "post_home"]
+    assert [r.activity_type for r in rows] == ["pre_work", "travel_work", "stay_work", "travel_home", "post_home"]
     assert [r.microenv for r in rows] == ["home_indoor", "outdoor_near_road", "work_indoor", "outdoor_near_road", "home_indoor"]
     assert sum(r.duration_hours for r in rows) == pytest.approx(24, abs=0.01)
     pieces = staypoints.travel_halves(staypoints.split_intervals(staypoints.stay_points(trips)))
@@ -64,7 +64,7 @@ def test_slots_tie_to_the_earlier(spark):
 
 def test_curve_ends_at_total(spark):
     rows = spark.createDataFrame([("p", "origin", 0.0, 450.0, 2.0, None, 0.125), ("p", "travel", 450.0, 900.0, 3.0, 5.0, 0.125)], "person_id string, location_type string, start_s double, end_s double, concentration double, travel_exposure double, duration_hours double")
-    got = exposure.curves(exposure.binned(rows), rows).orderBy("bin_index").collect()
+    got = exposure.curves(rows).orderBy("bin_index").collect()
     assert len(got) == 288 and got[-1].cumulative == pytest.approx(2 * 0.125 + 5 * 0.125)
 
 
