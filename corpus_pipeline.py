@@ -51,7 +51,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can express neither the first two stages nor the tokenizer; tests compare the stages with brute force.
+#: SQL can express neither the first two stages nor the tokenizer; the tests compare the operators, not a whole run, with brute force.
 ORACLE_SQL = None
 
 
