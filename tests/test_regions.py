@@ -27,7 +27,13 @@ def test_sensors_and_rings_from_geojson(spark, tmp_path):
     (tmp_path / "boston-ma.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
     row = files.sensors_geojson(spark, str(tmp_path)).collect()
     assert [tuple(r) for r in row] == [(7, 42.5, -71.5, "x", "boston-ma")]
-    assert files.polygon_vertices(spark, str(tmp_path)).groupBy("ring").count().count() == 2
+    # rings are read from files of polygons; a point among them is an error
+    with pytest.raises(Exception, match="no polygon"):
+        files.polygon_vertices(spark, str(tmp_path)).collect()
+    (tmp_path / "rings").mkdir()
+    (tmp_path / "rings" / "x.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features[1:]}))
+    rings = files.polygon_vertices(spark, str(tmp_path / "rings"))
+    assert rings.groupBy("ring").count().count() == 2 and {r.msa_slug for r in rings.collect()} == {"x"}
 
 
 def test_errors_and_shapes(spark):
