@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, warc
+from . import decontaminate, license_scan, suffix_dedup, warc
 from .decontaminate import op3_benchmark_decontamination
 from .license_scan import op5_license_scan
 from .lm_scoring import op6_lm_scoring
@@ -23,6 +23,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op3_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op4_warc_index": warc.ORACLE_SQL,
     "op5_license_scan": license_scan.ORACLE_SQL,

@@ -262,3 +262,24 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, 200).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of 200 bytes by itself, texts as hexadecimal digits; equality is that of MD5.
+ORACLE_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+starts AS (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) i FROM d WHERE length(h) >= 400),
+w AS MATERIALIZED (SELECT r, i, md5_number(substr(h, 2 * i + 1, 400)) k FROM starts),
+hit AS (SELECT r, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+led AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END fresh FROM hit),
+numbered AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) run FROM led),
+runs AS MATERIALIZED (SELECT r, min(i) lo, max(i) + 200 hi FROM numbered GROUP BY r, run),
+gaps AS (
+  SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) a, lo z, hi - lo gone FROM runs
+  UNION ALL SELECT r, max(hi), NULL, NULL FROM runs GROUP BY r),
+cut AS (
+  SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(z, length(h) // 2) - a)), '' ORDER BY a) kept, sum(gone) gone, count(gone) n
+  FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) n_bytes, CAST(coalesce(gone, 0) AS BIGINT) n_removed, CAST(coalesce(n, 0) AS BIGINT) n_spans,
+       sha256(unhex(coalesce(kept, h))) kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
