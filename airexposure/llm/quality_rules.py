@@ -9,7 +9,8 @@ group instead of sorting it. Rows whose Mahalanobis distance exceeds the cutoff
 
 Fits are made for all rows, each language, and each language and source; each takes over from the one above it with weight
 n / (n + PRIOR), so a small group is judged mostly as its language is, and no group size changes the rule. A null text has
-no words and fails the fixed limits; null lang or source is a group of its own; repeated rows count each; ties in distance
+no words and fails the fixed limits; null lang or source is a group of its own (null lang with a source and a lang with null
+source are two); repeated rows count each; ties in distance
 fall into one bin; empty input gives no rows. Other columns pass through: ``judged`` leaves out those called like its
 results, ``drop_rejected`` keeps all.
 """
@@ -158,12 +159,17 @@ def _blended(own: DataFrame, above: DataFrame) -> DataFrame:
     return both.select("g", "n", *[mix[c].alias(c) for c in _FIT])
 
 
+def _group_id(level: int, *keys: str) -> Column:
+    """64 bits for the group of the keys' values; the hash skips nulls, so it takes whether each key is null as well."""
+    return F.xxhash64(F.lit(level), *[c for k in keys for c in (F.col(k).isNull(), F.col(k))])
+
+
 def _judge(rows: DataFrame, cutoff: float) -> DataFrame:
     """rows (_row, text, lang, source) to _row, the statistics, base_failed, kept and distance."""
     stats = materialize(statistics(rows), "statistics")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(buckets_for(rows.sparkSession))).cast("int")
-    keys = {"base_failed": base, "pair": F.xxhash64(F.lit(2), "lang", "source"), "own": F.xxhash64(F.lit(1), "lang"), "salt": salt}
+    keys = {"base_failed": base, "pair": _group_id(2, "lang", "source"), "own": _group_id(1, "lang"), "salt": salt}
     every = stats.withColumns(keys).withColumns({f: F.expr(e) for f, (e, _) in FEATURES.items()})
     good = every.filter("not base_failed")
     levels = materialize(good.select("salt", *FEATURES, F.explode(F.array("pair", "own", F.lit(0).cast("long"))).alias("g")), "levels")

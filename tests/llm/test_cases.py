@@ -55,8 +55,8 @@ def test_form_feeds_are_spaces(spark):
     assert [got[i].n_words for i in range(3)] == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts]
 
 
-def _mcd(rows):
-    """The rules' fit of one group, row by row."""
+def _mcd(rows, eighth):
+    """The rules' fit of one group, row by row; eighth: which rows are in the third start."""
     floors = np.array([f[1] for f in quality_rules.FEATURES.values()])
 
     def fit(x, factor):
@@ -71,6 +71,8 @@ def _mcd(rows):
 
     q = np.quantile(rows, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
     fits = [(q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, floors) ** 2)), fit(rows, 1.0)]
+    if eighth.any():
+        fits.append(fit(rows[eighth], 1.0))
     for _ in range(quality_rules.EARLY):
         fits = [step(*f) for f in fits]
     best = min(fits, key=lambda f: np.linalg.slogdet(f[1])[1])
@@ -82,10 +84,14 @@ def _mcd(rows):
 def test_verdicts_follow_from_the_fits(spark):
     rng = random.Random(11)
     texts = [prose(rng, rng.randint(30, 200)) + (" #$" * rng.randint(0, 3)) for _ in range(300)] + ["# $ % " * 30 + prose(rng, 60) for _ in range(9)]
-    rows = [(i, t, "en" if i % 4 else None, f"s{i % 2}") for i, t in enumerate(texts)]
+    # null language with a source and a language with null source are groups of their own
+    groups = [("en", "s0"), ("en", "s1"), (None, "s0"), ("en", None), (None, "en"), (None, None)]
+    rows = [(i, t, *groups[i % 6]) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in quality_rules.judged(df).collect()}
-    stats = quality_rules.statistics(df).withColumns({f: F.expr(e) for f, (e, _) in quality_rules.FEATURES.items()}).collect()
+    assert len(got) == quality_rules.judged(df).count() == len(rows)
+    features = {f: F.expr(e) for f, (e, _) in quality_rules.FEATURES.items()}
+    stats = quality_rules.statistics(df).withColumns(features).withColumn("eighth", F.pmod(F.xxhash64(*features), F.lit(8)) == 0).collect()
     x = {r.doc_id: np.array([r[f] for f in quality_rules.FEATURES]) for r in stats}
     good = [i for i in x if not got[i].base_failed]
 
@@ -94,23 +100,20 @@ def test_verdicts_follow_from_the_fits(spark):
         apart = own[0] - above[0]
         return w * own[0] + (1 - w) * above[0], w * own[1] + (1 - w) * above[1] + w * (1 - w) * np.outer(apart, apart)
 
-    of = lambda keep: np.array([x[i] for i in good if keep(rows[i])])
-    whole = _mcd(of(lambda r: True))
-    wrong = 0
-    for lang in ("en", None):
-        own = of(lambda r: r[2] == lang)
-        up = blend(len(own), _mcd(own), whole)
-        for source in ("s0", "s1"):
-            pair = of(lambda r: (r[2], r[3]) == (lang, source))
-            if not len(pair):
-                continue
-            m, c = blend(len(pair), _mcd(pair), up)
-            for i in (i for i in good if rows[i][2:] == (lang, source)):
-                d = (x[i] - m) @ np.linalg.solve(c, x[i] - m)
-                wrong += got[i].kept != (d <= quality_rules.CUTOFF)
-                assert got[i].kept == (got[i].distance <= quality_rules.CUTOFF)
-    # the third start, by Spark's hash, may find a fit with a lesser determinant
-    assert wrong <= 2
+    def fit(keep):
+        of = [i for i in good if keep(rows[i])]
+        return len(of), _mcd(np.array([x[i] for i in of]), np.array([i in third for i in of]))
+
+    third = {r.doc_id for r in stats if r.eighth}
+    _, whole = fit(lambda r: True)
+    for lang, source in groups:
+        n, own = fit(lambda r: r[2] == lang)
+        up = blend(n, own, whole)
+        n, pair = fit(lambda r: r[2:] == (lang, source))
+        m, c = blend(n, pair, up)
+        for i in (i for i in good if rows[i][2:] == (lang, source)):
+            d = (x[i] - m) @ np.linalg.solve(c, x[i] - m)
+            assert got[i].distance == pytest.approx(d) and got[i].kept == (d <= quality_rules.CUTOFF)
     assert not any(got[i].kept for i in range(300, 309)) and sum(got[i].kept for i in range(300)) > 290
 
 
