@@ -8,8 +8,8 @@ neighbours are compatible is what merging the whole text gives: merges inside a
 beside it, so the first merge across a seam would also happen in the pair alone; each prefix has one such row, so a failed
 place has failed for good.
 
-Texts are cut where no piece of the vocabulary could reach across (before the first of a run of spaces), and every distinct
-part is encoded once by a task that remembers it. Characters without a piece become the pieces of their bytes.
+Texts are cut where no piece of the vocabulary reaches across (before a run of spaces, between words and signs), and a distinct
+part that a worker remembers is not encoded again. Characters without a piece become the pieces of their bytes.
 
 ``encode``: text to ids; null and empty texts have the end id alone; texts of any length are taken whole; repeated rows stay
 rows of their own; an empty table gives none; ties of scores go to the leftmost merge. ``decode``: ids to text; null ids
@@ -19,6 +19,7 @@ give a null text. Other columns are handed through; those called like a result g
 from __future__ import annotations
 
 import functools
+import math
 import re
 from array import array
 
@@ -31,21 +32,25 @@ from .common import kind_of, read, row_without
 from .textbytes import tidy
 
 SPACE = "▁"  # stands for a space within pieces
-PARTS = 100_000  # distinct parts and pairs of pieces that a task remembers
+SIGNS = "".join(c for c in map(chr, [*range(0x100), *range(0x2000, 0x2070)]) if not c.isalpha() and not c.isdecimal())  # ASCII, Latin and general punctuation
+PARTS, PAIRS = 250_000, 150_000  # distinct parts of texts, and pairs of pieces, that a worker remembers of late, and as many of before
 LONGEST = 64  # characters of a part that is remembered
 BATCH_IDS = 1 << 20
 
 
 class _Remembered(dict):
-    """Values that ``make`` gives, kept for short keys only."""
+    """Values that ``make`` gives, kept for keys that are not too long: those asked for lately and, of those before, the ones that are asked for again."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most, size=None):
+        self.make, self.most, self.size, self.old = make, most, size, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= LONGEST:
-            if len(self) >= PARTS:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if self.size is None or self.size(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -55,7 +60,6 @@ class Codec:
     """Pieces, scores and ids of one model file."""
 
     def __init__(self, path: str):
-        import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -70,11 +74,11 @@ class Codec:
         if any(p.type in (kinds.Value("USER_DEFINED"), kinds.Value("UNUSED")) for p in model.pieces):
             raise ValueError(f"{path}: pieces defined by the user or unused are not read")
         self.end_id, self.unknown, self.unknown_text = spec.eos_id, spec.unk_id, spec.unk_surface
-        self.score, self.id, self.byte_id = {}, {}, [0] * 256
+        scores, ids, self.byte_id = {}, {}, [0] * 256
         self.control, byte_of = set(), {}
         for i, p in enumerate(model.pieces):
             if p.type == kinds.Value("NORMAL"):
-                self.score[p.piece], self.id[p.piece] = p.score, i
+                scores[p.piece], ids[p.piece] = p.score, i
             elif p.type == kinds.Value("BYTE"):
                 byte_of[i] = int(p.piece[3:5], 16)
                 self.byte_id[byte_of[i]] = i
@@ -84,19 +88,41 @@ class Codec:
         # decoding: what each id adds, and which ids need a look at their neighbours
         self.piece = [p.piece if p.type == kinds.Value("NORMAL") else chr(byte_of[i]) if byte_of.get(i, 128) < 128 else "" for i, p in enumerate(model.pieces)]
         self.odd = np.array([p.type != kinds.Value("NORMAL") and byte_of.get(i, 128) >= 128 for i, p in enumerate(model.pieces)])
+        self.use(scores, ids)
+
+    def use(self, scores: dict[str, float], ids: dict[str, int]) -> None:
+        """Takes the pieces of a vocabulary with their scores and ids. Pieces have numbers; a character without a piece has the one that follows from its code."""
+        import ahocorasick
+
+        self.score = scores
+        self.pieces = list(scores)
+        self.beyond, self.base = len(self.pieces), len(self.pieces) + 0x110000
+        self.ids = [ids[p] for p in self.pieces]
+        self.length = [len(p) for p in self.pieces]
+        number = {p: i for i, p in enumerate(self.pieces)}
+        #: The longest proper prefix of each piece that is a piece, else its first character; -1 for single characters.
+        self.shorter = [-1 if len(p) == 1 else next((number[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in number), self.beyond + ord(p[0])) for p in self.pieces]
         self.matcher = ahocorasick.Automaton()
-        for p in self.score:
-            self.matcher.add_word(p[::-1], len(p))
+        for p, i in number.items():
+            self.matcher.add_word(p[::-1], i)
         self.matcher.make_automaton()
-        # no piece holds a space after another sign: nothing reaches into a run of spaces from before
-        apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
-        self.parts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if apart else "(?s).+")
-        self.part_ids = _Remembered(lambda part: array("i", self.ids_of(self.backtrack(part))).tobytes())
-        self.compatible = _Remembered(lambda pair: self.merged(pair[0] + pair[1]) == [p for p in pair if p])
-        self.shorter = functools.lru_cache(PARTS)(self._shorter)
-
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text by merging: the best score first, the leftmost of equals."""
+        # kinds of characters: spaces, signs, others; what no piece joins can be told apart beforehand
+        kind = lambda c: 0 if c == SPACE else 1 if c in SIGNS else 2
+        joined = {(kind(x), kind(y)) for p in self.pieces for x, y in zip(p, p[1:]) if kind(x) != kind(y)}
+        signs = re.escape(SIGNS)
+        if joined <= {(0, 1), (0, 2)}:
+            parts = f"{SPACE}*(?:[{signs}]+|[^{signs}{SPACE}]+)|{SPACE}+"
+        elif not joined & {(1, 0), (2, 0)}:
+            parts = f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
+        else:
+            parts = "(?s).+"
+        self.parts = re.compile(parts)
+        self.part_ids = _Remembered(lambda part: array("i", self.ids_of(self.backtrack(part))).tobytes(), PARTS, len)
+        self.steps = _Remembered(self._steps, PAIRS)
+        self.compatible = _Remembered(lambda pair: self._compatible(*divmod(pair, self.base)), PAIRS)
+
+    def merged(self, text: str, steps: list | None = None) -> list[str]:
+        """The pieces of a short text by merging: the best score first, the leftmost of equals; each merge's score and the ends after it go to steps."""
         parts, score = list(text), self.score
         while True:
             best = None
@@ -107,44 +133,85 @@ class Codec:
             if best is None:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def _shorter(self, piece: str) -> int:
-        """Length of the longest proper prefix that is a piece or a single character; 0 if there is none."""
-        return next((k for k in range(len(piece) - 1, 1, -1) if piece[:k] in self.score), int(len(piece) > 1))
-
-    def backtrack(self, text: str) -> list[str]:
-        """The pieces of a text."""
-        n, compatible, shorter = len(text), self.compatible, self.shorter
-        longest = array("i", bytes(4 * (n + 1)))
-        for end, size in self.matcher.iter(text[::-1]):
-            if size > longest[n - 1 - end]:
-                longest[n - 1 - end] = size
-        failed = bytearray(n // 8 + 1)
-        out, at, size = [], 0, longest[0] or 1
+            if steps is not None:
+                steps.append((best, parts[0], parts[-1]))
+
+    def name(self, number: int) -> str:
+        return self.pieces[number] if number < self.beyond else chr(number - self.beyond)
+
+    def _steps(self, number: int) -> tuple[list[float], list[str], list[str]] | None:
+        """How a piece comes about: the scores of its merges, and its first and last part before and after each; None if merging gives other pieces."""
+        piece, steps = self.name(number), []
+        if len(self.merged(piece, steps)) > 1:
+            return None
+        return [s for s, _, _ in steps] + [-math.inf], [piece[0], *[a for _, a, _ in steps]], [piece[-1], *[b for _, _, b in steps]]
+
+    def _compatible(self, before: int, after: int) -> bool:
+        """Whether merging both pieces anew side by side never merges across their seam."""
+        a, b = self.steps[before], self.steps[after]
+        if a is None or b is None:
+            return False
+        (score_a, _, last), (score_b, first, _) = a, b
+        i = j = 0
+        while True:
+            across = self.score.get(last[i] + first[j])
+            # of equal scores the leftmost merge comes first
+            if across is not None and across > score_a[i] and across >= score_b[j]:
+                return False
+            if score_a[i] >= score_b[j]:
+                if score_a[i] == -math.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def _longest(self, text: str):
+        """A function of (end of the reversed text, default) that gives the longest piece there."""
+        found = self.matcher.iter(text[::-1])
+        if len(text) <= LONGEST:
+            # the automaton names the longest match at each place first, so the last entry that dict() sees is the one to keep
+            return dict(reversed(list(found))).get
+        best = array("i", [-1]) * len(text)
+        for end, number in found:
+            if best[end] < 0:
+                best[end] = number
+        return lambda end, default: best[end] if best[end] >= 0 else default
+
+    def backtrack(self, text: str) -> list[int]:
+        """The numbers of the pieces of a text."""
+        n, beyond, base = len(text), self.beyond, self.base
+        compatible, shorter, length, longest = self.compatible, self.shorter, self.length, self._longest(text)
+        failed, any_failed = bytearray(n // 8 + 1), False
+        out, at, before = [], 0, -1
+        piece = longest(n - 1, beyond + ord(text[0]))
         while at < n:
-            before = out[-1] if out else ""
-            while size:
-                end = at + size
-                if not failed[end >> 3] >> (end & 7) & 1 and compatible[before, text[at:end]]:
+            while piece >= 0:
+                end = at + (length[piece] if piece < beyond else 1)
+                fits = compatible[before * base + piece] if before >= 0 else self.steps[piece] is not None
+                if fits and not (any_failed and failed[end >> 3] >> (end & 7) & 1):
+                    out.append(piece)
+                    at, before = end, piece
+                    if at < n:
+                        piece = longest(n - 1 - at, beyond + ord(text[at]))
                     break
-                size = shorter(text[at:end])
-            if size:
-                out.append(text[at:end])
-                at, size = end, longest[end] or 1
+                piece = shorter[piece] if piece < beyond else -1
             else:
                 failed[at >> 3] |= 1 << (at & 7)
+                any_failed = True
                 last = out.pop()
-                at, size = at - len(last), shorter(last)
+                at -= length[last] if last < beyond else 1
+                piece = shorter[last] if last < beyond else -1
+                before = out[-1] if out else -1
         return out
 
-    def ids_of(self, pieces: list[str]) -> list[int]:
+    def ids_of(self, numbers: list[int]) -> list[int]:
+        """The ids of pieces; a character without a piece has those of its bytes."""
         out = []
-        for p in pieces:
-            i = self.id.get(p)
-            if i is None:
-                out += [self.byte_id[b] for b in p.encode()]
+        for i in numbers:
+            if i < self.beyond:
+                out.append(self.ids[i])
             else:
-                out.append(i)
+                out += [self.byte_id[b] for b in self.name(i).encode()]
         return out
 
     def encode(self, text: str, end: bool = True) -> bytes:

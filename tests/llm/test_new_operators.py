@@ -49,19 +49,11 @@ def test_failed_places_are_left_again():
         kept = {c: -100.0 - i for i, c in enumerate("abc")}
         for i in range(rng.randint(3, 14)):
             kept.setdefault("".join(rng.choice(sorted(kept)) for _ in range(2)), -float(rng.randint(1, 9)))
-        codec.score = kept
-        codec.id = {p: i for i, p in enumerate(kept)}
-        codec.compatible.clear()
-        codec.shorter.cache_clear()
-        import ahocorasick
-
-        codec.matcher = ahocorasick.Automaton()
-        for p in kept:
-            codec.matcher.add_word(p[::-1], len(p))
-        codec.matcher.make_automaton()
+        codec.use(kept, {p: i for i, p in enumerate(kept)})
         for _ in range(20):
             text = "".join(rng.choice("abcx") for _ in range(rng.randint(1, 30)))
-            assert codec.backtrack(text) == codec.merged(text)
+            assert [codec.name(i) for i in codec.backtrack(text)] == codec.merged(text)
+        assert all(codec.compatible[i * codec.base + j] == (codec.merged(p + q) == [p, q]) for i, p in enumerate(kept) for j, q in enumerate(kept))
 
 
 def test_sentencepiece_query(spark, tmp_path, library):
