@@ -1,54 +1,95 @@
-"""Exact statistics of groups of any size: no task gathers or sorts a whole group."""
+"""Exact statistics of groups of any size: no task gathers or sorts a whole group, and the input is evaluated once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BRACKETS = 64
+from .staging import staged
 
+CELLS = 1024  # parts of a bracket that are counted
+SMALL = 2048  # rows of a bracket whose values are counted one by one
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], more: Column | None = None) -> DataFrame:
+    """Inner join by keys in which nulls are equal; keys of the left side stay."""
+    other = right.withColumnsRenamed({k: f"_o_{k}" for k in keys})
+    match = F.lit(True) if more is None else more
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    return left.join(other, match).drop(*[f"_o_{k}" for k in keys])
 
-def percentiles(df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """groups and one column for each quantile, linearly interpolated, of the value's rows that are finite numbers.
 
-    Approximate quantiles bracket the values; brackets are counted; only the few brackets that hold a wanted rank are
-    ranked, each by itself. Values are counted before anything is shuffled, so ties weigh nothing.
+def summarise(df: DataFrame, groups: list[str], values: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """groups, column, n, mean, std (0 of one row), min, max and one column for each quantile, linearly interpolated.
+
+    One row for each group and each of the value columns that has finite numbers; null, NaN and infinite ones don't count.
+
+    The values are staged once. The ranks that the quantiles ask for start in one bracket a group, from its least to its largest
+    value. Each pass counts the rows of the open brackets by CELLS equal parts, or by value where a bracket has at most SMALL
+    rows, before anything is shuffled; the parts that hold a wanted rank are the next brackets. A part whose least and largest
+    values are equal is an answer. Both ends of a bracket fall into parts of their own, so every pass narrows all brackets; usually
+    two do. No window sees more than the parts of one bracket.
     """
-    v = F.col(value)
-    counts = df.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).groupBy(*groups, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    edges = counts.groupBy(*groups).agg(F.array_sort(F.array_distinct(F.percentile_approx("_v", [k / BRACKETS for k in range(1, BRACKETS)], 1000))).alias("_edges"))
-
-    def joined(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
-        names = [*groups, *more]
-        other = right.withColumnsRenamed({n: f"_o_{n}" for n in names})
-        match = F.lit(True)
-        for n in names:
-            match = match & F.col(n).eqNullSafe(F.col(f"_o_{n}"))
-        return left.join(other, match).drop(*[f"_o_{n}" for n in names])
-
-    placed = joined(counts, edges).withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
-    sizes = placed.groupBy(*groups, "_b").agg(F.sum("_c").alias("_size"))
-    whole = Window.partitionBy(*groups)
-    sizes = sizes.withColumns({"_end": F.sum("_size").over(whole.orderBy("_b")), "_n": F.sum("_size").over(whole)})
-    wanted = []
-    for name, q in quantiles.items():
-        position = (F.col("_n") - 1) * F.lit(float(q))
-        wanted += [F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank"), (position - F.floor(position) if up else 1 - (position - F.floor(position))).alias("weight")) for up, rank in ((0, F.floor(position)), (1, F.ceil(position)))]
-    inside = lambda start, end: F.filter(F.array(*wanted), lambda x: (x["rank"] >= start) & (x["rank"] < end))
-    asked = sizes.withColumn("_start", F.col("_end") - F.col("_size")).withColumn("_want", inside(F.col("_start"), F.col("_end"))).filter(F.size("_want") > 0)
-    near = joined(placed, asked.select(*groups, "_b", "_start", "_want"), "_b")
-    last = F.col("_start") + F.sum("_c").over(Window.partitionBy(*groups, "_b").orderBy("_v"))
-    ranked = near.withColumn("_last", last)
-    hit = F.filter("_want", lambda x: (x["rank"] >= F.col("_last") - F.col("_c")) & (x["rank"] < F.col("_last")))
-    found = ranked.select(*groups, "_v", F.explode(hit).alias("_w"))
-    # where the position is whole, floor and ceiling are one rank and the second weighs nothing
-    return found.groupBy(*groups).agg(*[F.sum(F.when(F.col("_w.name") == name, F.col("_w.weight") * F.col("_v"))).alias(name) for name in quantiles])
+    for name in ("column", "_v", "n", "mean", "std", "min", "max"):
+        if name in groups:
+            raise ValueError(f"a group may not be called {name}")
+    wide = staged(df.select(*groups, *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)]), "values")
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("column"), F.col(f"_v{i}").alias("_v")) for i, v in enumerate(values)]))
+    rows = wide.select(*groups, each.alias("_x")).select(*groups, "_x.column", "_x._v")
+    rows = rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
+    keys = [*groups, "column"]
+    figures = [F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max")]
+    moments = staged(rows.groupBy(*keys).agg(*figures), "moments")
+    position = {name: (F.col("n") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
+    lower = {name: F.floor(p).cast("long") for name, p in position.items()}
+    upper = {name: F.ceil(p).cast("long") for name, p in position.items()}
+    ranks = F.array_distinct(F.array(*lower.values(), *upper.values()))
+    open_ = moments.select(*keys, F.col("min").alias("_lo"), F.col("max").alias("_hi"), F.lit(0).cast("long").alias("_before"), F.col("n").alias("_size"), ranks.alias("_ranks"))
+    found = None
+    while True:
+        inside = _joined(rows, open_.drop("_ranks", "_before"), keys, (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        # halves don't overflow; where the parts are too narrow to tell, the first value is set apart
+        part = F.floor(F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2) * CELLS)
+        part = F.when(F.col("_size") > SMALL, F.coalesce(part, F.when(F.col("_v") > F.col("_lo"), CELLS).otherwise(0)))
+        value = F.when(F.col("_size") <= SMALL, F.col("_v"))
+        parts = inside.groupBy(*keys, "_lo", part.alias("_part"), value.alias("_value")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        order = Window.partitionBy(*keys, "_lo").orderBy("_min")  # at most CELLS + 1 or SMALL rows
+        ended = parts.withColumn("_end", F.sum("_c").over(order)).drop("_part", "_value")
+        met = _joined(ended, open_.drop("_hi", "_size"), [*keys, "_lo"])
+        met = met.withColumns({"_first": F.col("_before") + F.col("_end") - F.col("_c"), "_after": F.col("_before") + F.col("_end")})
+        met = met.withColumn("_here", F.filter("_ranks", lambda r: (r >= F.col("_first")) & (r < F.col("_after")))).filter(F.size("_here") > 0)
+        hit = met.select(*keys, F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), F.col("_first").alias("_before"), F.col("_c").alias("_size"), F.col("_here").alias("_ranks"))
+        hit = staged(hit, "brackets")
+        done = hit.filter("_lo = _hi").select(*keys, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_at"))
+        found = done if found is None else found.unionByName(done)
+        open_ = hit.filter("_lo < _hi")
+        if open_.isEmpty():
+            break
+    answers = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_at"))).alias("_found"))  # two entries a quantile at most
+    out = _joined(moments, answers, keys)
+    ends = {name: (F.element_at("_found", lower[name]), F.element_at("_found", upper[name]), position[name] - F.floor(position[name])) for name in quantiles}
+    return out.select(*keys, "n", "mean", "std", "min", "max", *[((1 - w) * a + w * b).alias(name) for name, (a, b, w) in ends.items()])
+
+
+def percentiles(df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """groups and one column for each quantile, linearly interpolated, of the value's rows that are finite numbers."""
+    return summarise(df, groups, [value], quantiles).select(*groups, *quantiles)
 
 
 def describe(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """n, mean, median, std (0 of one row), min, max, p25, p75 of each group's values; null, NaN and infinite ones don't count."""
-    v = F.col(value)
-    finite = df.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    sums = finite.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
-    quartiles = percentiles(finite, groups, value, {"p25": 0.25, "median": 0.5, "p75": 0.75})
-    return sums.join(quartiles, groups).select(*groups, "n", "mean", "median", "std", "min", "max", "p25", "p75")
+    return described(df, groups, [value]).drop("column")
+
+
+def described(df: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
+    """``describe`` of several columns from one evaluation: groups, column and the figures."""
+    out = summarise(df, groups, values, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return out.select(*groups, "column", "n", "mean", "median", "std", "min", "max", "p25", "p75")
+
+
+def medians(df: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
+    """groups with mean_<value> and median_<value> of several columns, from one evaluation; a group without any finite number is absent."""
+    long = summarise(df, groups, values, {"median": 0.5})
+    of = lambda figure, v: F.max(F.when(F.col("column") == v, F.col(figure))).alias(f"{figure}_{v}")
+    return long.groupBy(*groups).agg(*[of(figure, v) for v in values for figure in ("mean", "median")])

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .distribution import medians
+from .randoms import normal, uniform
+from .staging import staged
+
 #: Fixed values: (penetration, proximity) geometric mean and deviation by microenvironment.
 FACTORS = {
     "work_indoor": {"pen": (0.385, 1.69), "prox": (1.0, 1.0)},
@@ -13,6 +17,8 @@ FACTORS = {
     "school_outdoor": {"pen": (1.0, 1.0), "prox": (1.0, 1.0)},
 }
 INDOOR = ("work", "school", "home")
+#: Where the factors of work, school and home are taken from, outdoors and indoors.
+PLACES = {"work": ("work_outdoor_near_road", "work_indoor"), "school": ("school_outdoor", "school_indoor"), "home": ("school_indoor", "school_indoor")}
 TRAVEL_RULES = ("mid-point-teleportation", "mid-point-hapem", "centroid_ambient", "origin_destination_mean", "hardcoded", "home_exposure")
 
 
@@ -34,24 +40,20 @@ def person_factors(persons: DataFrame, school_p: float = 0.0, table: dict = FACT
 
 
 def sampled_factors(persons: DataFrame, seed: int = 1, school_p: float = 0.0, table: dict = FACTORS) -> DataFrame:
-    """Stochastic factors: outdoors with probability p_outdoor, each factor lognormal; draws follow from (seed, person)."""
-
-    def uniform(k: int) -> Column:
-        return (F.pmod(F.xxhash64(F.lit(seed), "person_id", F.lit(k)), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
-
-    def lognormal(k: int, gm: Column, gsd: Column) -> Column:
-        normal = F.sqrt(-2 * F.log(uniform(k))) * F.cos(2 * F.lit(3.141592653589793) * uniform(k + 1))
-        return F.when(gsd > 1, F.exp(F.log(gm) + F.log(gsd) * normal)).otherwise(gm)
+    """Stochastic factors: outdoors with probability p_outdoor, each factor lognormal about its geometric mean; draws follow from (seed, person).
 
+    Counters 0 and 1 decide on work and school outdoors; the six factors take the normal numbers 1 to 6.
+    """
     rows = persons.groupBy("person_id").agg(F.coalesce(F.min("p_outdoor"), F.lit(0.0)).alias("p"))
-    rows = rows.withColumn("work_outdoor", uniform(0) < F.col("p")).withColumn("school_outdoor", uniform(1) < school_p)
-    cols, k = [], 2
-    for place, out, inn in (("work", "work_outdoor_near_road", "work_indoor"), ("school", "school_outdoor", "school_indoor"), ("home", "school_indoor", "school_indoor")):
-        for f in ("pen", "prox"):
-            pick = lambda i: F.when(F.col(f"{place}_outdoor") if place != "home" else F.lit(False), F.lit(table[out][f][i])).otherwise(F.lit(table[inn][f][i]))  # noqa: E731, B023
-            cols.append(lognormal(k, pick(0), pick(1)).alias(f"{place}_{f}"))
-            k += 2
-    return rows.select("person_id", "work_outdoor", *cols)
+    out = {"work": uniform(seed, "person_id", counter=0) < F.col("p"), "school": uniform(seed, "person_id", counter=1) < school_p, "home": F.lit(False)}
+    rows = rows.withColumns({f"_{k}": v for k, v in out.items()})
+    cols = []
+    for k, (place, factor) in enumerate(((place, factor) for place in ("work", "school", "home") for factor in ("pen", "prox")), 1):
+        outside, inside = PLACES[place]
+        gm, gsd = (F.when(F.col(f"_{place}"), F.lit(table[outside][factor][i])).otherwise(F.lit(table[inside][factor][i])) for i in (0, 1))
+        drawn = F.exp(F.log(gm) + F.log(gsd) * normal(seed, "person_id", counter=k))
+        cols.append(F.when(gsd > 1, drawn).otherwise(gm).alias(f"{place}_{factor}"))
+    return rows.select("person_id", F.col("_work").alias("work_outdoor"), *cols)
 
 
 def apply_factors(rows: DataFrame, factors: DataFrame, values: list[str]) -> DataFrame:
@@ -144,9 +146,11 @@ def binned(rows: DataFrame, minutes: int = 5, rule: str = "travel_first", suffix
 def curves(rows: DataFrame, n: int = 288, suffixes: tuple = ("",), rule: str = "travel_first") -> DataFrame:
     """(person_id, bin_index, increment, cumulative) of each person of rows and each of n bins.
 
-    A person's bins are gathered once (at most n of them); empty bins and running sums follow without another shuffle.
+    Rows are dealt by person before they are cut into bins, so sums, a person's list of bins (at most n) and running sums need no
+    other shuffle.
     """
-    bins = binned(rows, 1440 // n, rule, suffixes)
+    needed = ["location_type", "start_s", "end_s", *[f"{c}{s}" for s in suffixes for c in ("concentration", "travel_exposure")]]
+    bins = binned(rows.select("person_id", *needed).repartition("person_id"), 1440 // n, rule, suffixes)
     names = [f"amount{s}" for s in suffixes]
     each = bins.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("bin_index", *names))).alias("_e"))
     zero = F.struct(F.lit(0).alias("bin_index"), *[F.lit(0.0).alias(c) for c in names])
@@ -203,8 +207,8 @@ def payload(series: DataFrame, groups: DataFrame, sampled: DataFrame, metric: st
     kinds = [f"{w}_{k}" for w in ("activity", "home") for k in ("cumulative", "increment")]
     rows = series.join(groups, "person_id")
     keys = ["cohort", "grp"]
-    stats = [f(k).alias(f"{name}_{k}") for k in kinds for name, f in (("mean", F.avg), ("median", F.median))]
-    bins = rows.groupBy(*keys, "bin_index").agg(F.count(F.lit(1)).alias("_n"), *stats)
+    rows = staged(rows.select("person_id", *keys, "bin_index", *kinds), "series")
+    bins = medians(rows, [*keys, "bin_index"], kinds).join(rows.groupBy(*keys, "bin_index").agg(F.count(F.lit(1)).alias("_n")), [*keys, "bin_index"])
     names = [f"{name}_{k}" for k in kinds for name in ("mean", "median")]
     lists = bins.groupBy(*keys).agg(F.max("_n").alias("persons"), F.array_sort(F.collect_list(F.struct("bin_index", *names))).alias("_l"))
     points = [F.concat(F.array(F.lit(0.0)), F.col(f"_l.{c}")).alias(c) for c in names]

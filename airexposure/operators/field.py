@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spatial import clip
+from .staging import staged
 
 
 def nearest_slot(minute: Column, slots: list[int]) -> Column:
@@ -71,13 +72,17 @@ def nearest(rows: DataFrame, field: DataFrame, values: list[str], cell: float) -
         return out.withColumn("_b", F.when(F.col("_sure") | (F.col("_b.d2") <= size**2 + beyond), F.col("_b")))
 
     place = ["lon", "lat", "slot"]
-    first = looked_up(rows, cell)
-    rest = looked_up(first.filter("lon is not null and lat is not null and not _sure").filter("_b is null").select(*place).distinct(), 8 * cell)
+    first = staged(looked_up(rows, cell), "nearest")
+    found = [*rows.columns, *[F.col(f"_b.{v}").alias(v) for v in values], F.sqrt("_b.d2").alias("distance")]
+    open_ = first.filter("lon is not null and lat is not null and not _sure and _b is null").select(*place)
+    if open_.isEmpty():
+        return first.select(*found)
+    rest = staged(looked_up(open_.distinct(), 8 * cell), "nearest")
     whole = rest.filter("_b is null").drop("_b").join(field.select(F.col("lon").alias("_x"), F.col("lat").alias("_y"), "slot", *values), "slot")
     last = whole.groupBy(*place).agg(F.min(F.struct(distance(F.col("_x"), F.col("_y")).alias("d2"), "_x", "_y", *values)).alias("_late"))
     late = rest.filter("_b is not null").select(*place, F.col("_b").alias("_late")).unionByName(last)
     b = F.coalesce("_b", "_late")
-    return first.join(late, place, "left").withColumn("_b", b).select(*rows.columns, *[F.col(f"_b.{v}").alias(v) for v in values], F.sqrt("_b.d2").alias("distance"))
+    return first.join(late, place, "left").withColumn("_b", b).select(*found)
 
 
 def nearest_join(points: DataFrame, field: DataFrame, values: list[str], cell: float) -> DataFrame:

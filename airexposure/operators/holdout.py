@@ -1,4 +1,4 @@
-"""Evaluation on held-out sensors: profiles, bases, predicted shapes, bands, errors; and choices by hash."""
+"""Evaluation on held-out sensors: their choice, profiles, bases, predicted shapes, bands, errors."""
 
 from __future__ import annotations
 
@@ -7,23 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def uniform(seed: int, *keys: str) -> Column:
-    """A number in (0, 1) that follows from the seed and the row's keys."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
-
-
-def sample(rows: DataFrame, k: int, key: str, seed: int = 1, forced: Column | None = None) -> DataFrame:
-    """k rows by hash of their key, those of ``forced`` before all others."""
-    first = [] if forced is None else [F.when(forced, 0).otherwise(1)]
-    return rows.orderBy(*first, uniform(seed, key), key).limit(k)
-
-
-def thinned(rows: DataFrame, p: float, key: str, seed: int = 1) -> DataFrame:
-    """Rows kept with probability p; of none kept, the one with the least hash."""
-    drawn = rows.withColumn("_u", uniform(seed, key))
-    least = drawn.agg(F.min("_u").alias("_least"))
-    return drawn.join(F.broadcast(least)).filter((F.col("_u") < p) | (F.col("_u") == F.col("_least")) & (F.col("_least") >= p)).drop("_u", "_least")
+from .randoms import sample
 
 
 def choose_holdouts(sensors: DataFrame, n: int, seed: int = 1, min_train: int = 3) -> DataFrame:

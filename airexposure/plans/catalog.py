@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import activity, cohorts, diagnostics, distribution, exposure, field, sensors, staypoints, workoutdoor
+from ..operators import activity, cohorts, diagnostics, distribution, exposure, field, randoms, sensors, staypoints, workoutdoor
+from ..operators.staging import staged
 from ..sources import adapters as A
 
 FLAGSHIP = "daily_exposure_by_person"
@@ -245,9 +246,32 @@ def person_factors(spark, d):
     return rounded(exposure.person_factors(persons(spark, d)))
 
 
-@query()
+def _sql_drawn(k: int, place: str, factor: str) -> str:
+    outside, inside = (exposure.FACTORS[x][factor] for x in exposure.PLACES[place])
+    one = lambda gm, gsd: f"{gm}e0" if gsd == 1 else f"exp(ln({gm}e0) + ln({gsd}e0) * {randoms.sql_normal(1, 'person_id', counter=k)})"
+    flag = {"work": "work_outdoor", "school": "false", "home": "false"}[place]
+    return f"round(CASE WHEN {flag} THEN {one(*outside)} ELSE {one(*inside)} END, 9) {place}_{factor}"
+
+
+_DRAWN = ", ".join(_sql_drawn(k, place, factor) for k, (place, factor) in enumerate(((p, f) for p in ("work", "school", "home") for f in ("pen", "prox")), 1))
+
+
+@query(f"WITH {SQL_ASSIGN}, f AS (SELECT person_id, {randoms.sql_uniform(1, 'person_id')} < coalesce(p_outdoor, 0e0) work_outdoor FROM assigned) SELECT person_id, work_outdoor, {_DRAWN} FROM f")
 def stochastic_factors(spark, d):
-    return exposure.sampled_factors(persons(spark, d), seed=1)
+    return rounded(exposure.sampled_factors(persons(spark, d), seed=1))
+
+
+@query(f"""WITH {SQL_ASSIGN}, f AS (SELECT person_id, coalesce(p_outdoor, 0e0) q, {randoms.sql_uniform(1, 'person_id')} < coalesce(p_outdoor, 0e0) work_outdoor FROM assigned),
+dr AS (SELECT person_id, q, work_outdoor, {_DRAWN} FROM f)
+SELECT CAST(floor(q * 10) AS INTEGER) tenth, count(*) n, round(avg(q), 9) expected_share, round(avg(CASE WHEN work_outdoor THEN 1e0 ELSE 0e0 END), 9) outdoor_share, round(avg(work_pen), 7) mean_work_pen, round(avg(work_prox), 7) mean_work_prox, round(avg(ln(home_pen)), 7) mean_log_home_pen, round(stddev_samp(ln(home_pen)), 7) sd_log_home_pen FROM dr GROUP BY 1""")
+def stochastic_factors_law(spark, d):
+    """Drawn factors against what they are drawn from, by tenths of the probability to work outdoors."""
+    drawn = rounded(exposure.sampled_factors(persons(spark, d), seed=1))
+    p = persons(spark, d).groupBy("person_id").agg(F.coalesce(F.min("p_outdoor"), F.lit(0.0)).alias("q"))
+    rows = drawn.join(p, "person_id").withColumn("l", F.log("home_pen"))
+    share = F.avg(F.when(F.col("work_outdoor"), 1.0).otherwise(0.0))
+    out = rows.groupBy(F.floor(F.col("q") * 10).cast("int").alias("tenth")).agg(F.count(F.lit(1)).alias("n"), _r(F.avg("q"), 9).alias("expected_share"), _r(share, 9).alias("outdoor_share"), F.avg("work_pen").alias("mean_work_pen"), F.avg("work_prox").alias("mean_work_prox"), F.avg("l").alias("mean_log_home_pen"), F.stddev_samp("l").alias("sd_log_home_pen"))
+    return out.withColumns({c: _r(c, 7) for c in out.columns[4:]})
 
 
 SQL_HOME = "first_origin AS (SELECT person_id, arg_min(c, start_s * 1000 + seq) c FROM detailed WHERE location_type = 'origin' GROUP BY person_id)"
@@ -261,9 +285,9 @@ def home_static(spark, d):
 SQL_HOME_DAY = f"homes AS (SELECT DISTINCT person_id, home_lon, home_lat FROM stays), home_near AS (SELECT h.home_lon, h.home_lat, f.slot, arg_min(mid, (h.home_lon - f.lon) ** 2 + (h.home_lat - f.lat) ** 2) mid FROM (SELECT DISTINCT home_lon, home_lat FROM homes) h CROSS JOIN field f GROUP BY h.home_lon, h.home_lat, f.slot), home_day AS (SELECT person_id, sum(mid * 0.385e0 * 0.5e0) home FROM homes JOIN home_near USING (home_lon, home_lat) GROUP BY person_id)"
 
 
-def home_day(spark, d):
-    """Exposure of a day at home: the field at home in every slot, times the home factor."""
-    homes = stays(spark, d).select("person_id", F.col("home_lon").alias("lon"), F.col("home_lat").alias("lat")).distinct()
+def home_day(spark, d, of: DataFrame | None = None):
+    """Exposure of a day at home: the field at home in every slot, times the home factor; of: stays that are at hand."""
+    homes = (stays(spark, d) if of is None else of).select("person_id", F.col("home_lon").alias("lon"), F.col("home_lat").alias("lat")).distinct()
     every = homes.select("lon", "lat").distinct().withColumn("slot", F.explode(F.array(*[F.lit(s) for s in SLOTS])))
     near = field.nearest_join(every, A.frame(spark, d, A.FIELD), ["mid"], CELL)
     day = near.groupBy("lon", "lat").agg(F.sum("mid").alias("mid"))
@@ -280,7 +304,8 @@ SQL_COMPARE = f"{sql_detailed()}, {SQL_TOTALS}, {SQL_HOME_DAY}, compared AS (SEL
 
 
 def compared(spark, d):
-    return exposure.compare(exposure.totals(detailed(spark, d)), home_day(spark, d), FALLBACK)
+    day = staged(stays(spark, d), "stays")
+    return exposure.compare(exposure.totals(detailed(spark, d, of=day)), home_day(spark, d, day), FALLBACK)
 
 
 @query(f"{SQL_COMPARE} SELECT person_id, round(activity, 9) activity, round(home, 9) home, round(delta, 9) delta, round(ratio, 9) ratio FROM compared")
@@ -304,11 +329,9 @@ def curve_rows(spark, d, suffixes=("",)):
 
 @query(f"{sql_detailed()}, {SQL_CURVES} SELECT CAST(bin_index AS INTEGER) bin_index, round(avg(increment), 8) mean_increment, round(median(increment), 8) median_increment, round(avg(cumulative), 7) mean_cumulative, round(median(cumulative), 7) median_cumulative FROM curves GROUP BY bin_index")
 def timeseries_agg(spark, d):
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("v")) for k in ("increment", "cumulative")])
-    long = curve_rows(spark, d).select("bin_index", F.explode(kinds).alias("x")).select("bin_index", "x.*")
-    each = long.groupBy("bin_index", "kind").agg(F.avg("v").alias("mean")).join(distribution.percentiles(long, ["bin_index", "kind"], "v", {"median": 0.5}), ["bin_index", "kind"])
-    of = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
-    return each.groupBy("bin_index").agg(*[_r(of(c, k), 8 if k == "increment" else 7).alias(f"{c}_{k}") for k in ("increment", "cumulative") for c in ("mean", "median")])
+    of = ["increment", "cumulative"]
+    out = distribution.medians(curve_rows(spark, d), ["bin_index"], of)
+    return out.select("bin_index", *[_r(f"{c}_{k}", 8 if k == "increment" else 7).alias(f"{c}_{k}") for k in of for c in ("mean", "median")])
 
 
 BANDS_AT = {"p025": 0.025, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p975": 0.975}
@@ -351,9 +374,8 @@ _LONG = "long AS (SELECT cohort, grp, 'activity' metric, activity v FROM compare
 
 @query(f"{SQL_COMPARE}, {SQL_COHORTS}, {_LONG} " + _sql_described("long", "cohort, grp, metric", "v"))
 def cohort_daily(spark, d):
-    each = compared(spark, d).join(members(spark, d), "person_id")
-    rows = each.select("cohort", "grp", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("activity", "home", "ratio")])).alias("x")).select("cohort", "grp", "x.*")
-    return _described(distribution.describe(rows, ["cohort", "grp", "metric"], "v"), ["cohort", "grp", "metric"])
+    rows = compared(spark, d).join(members(spark, d), "person_id")
+    return _described(distribution.described(rows, ["cohort", "grp"], ["activity", "home", "ratio"]).withColumnRenamed("column", "metric"), ["cohort", "grp", "metric"])
 
 
 _SUMS = ", ".join(f"sum(CASE WHEN bin_index >= {a * 12} AND bin_index < {b * 12} THEN amount ELSE 0 END) {n}" for n, (a, b) in WINDOWS.items())
@@ -364,8 +386,7 @@ _WLONG = "wlong AS (" + " UNION ALL ".join(f"SELECT cohort, grp, '{n}' win, coal
 def cohort_windows(spark, d):
     sums = exposure.binned(detailed(spark, d)).groupBy("person_id").agg(*[F.sum(F.when((F.col("bin_index") >= a * 12) & (F.col("bin_index") < b * 12), F.col("amount")).otherwise(0.0)).alias(n) for n, (a, b) in WINDOWS.items()])
     each = members(spark, d).join(sums, "person_id", "left").fillna(0.0, list(WINDOWS))
-    rows = each.select("cohort", "grp", F.explode(F.array(*[F.struct(F.lit(n).alias("win"), F.col(n).alias("v")) for n in WINDOWS])).alias("x")).select("cohort", "grp", "x.*")
-    return _described(distribution.describe(rows, ["cohort", "grp", "win"], "v"), ["cohort", "grp", "win"])
+    return _described(distribution.described(each, ["cohort", "grp"], list(WINDOWS)).withColumnRenamed("column", "win"), ["cohort", "grp", "win"])
 
 
 @query(f"{sql_detailed()}, {SQL_COHORTS}, peaks AS (SELECT cohort, grp, coalesce(p.v, 0e0) v FROM members LEFT JOIN (SELECT person_id, max(rate) v FROM detailed GROUP BY person_id) p USING (person_id)) " + _sql_described("peaks", "cohort, grp", "v"))
@@ -381,8 +402,8 @@ _LEVEL_SUMS = ", ".join(f"60 * sum(CASE WHEN rate >= {x} THEN duration_hours ELS
 def cohort_thresholds(spark, d):
     above = detailed(spark, d).groupBy("person_id").agg(*[(60 * F.sum(F.when(exposure.rate() >= x, F.col("duration_hours")).otherwise(0.0))).alias(f"m{int(x)}") for x in LEVELS])
     each = members(spark, d).join(above, "person_id", "left").fillna(0.0, [f"m{int(x)}" for x in LEVELS])
-    rows = each.select("cohort", "grp", F.explode(F.array(*[F.struct(F.lit(int(x)).alias("level"), F.col(f"m{int(x)}").alias("v")) for x in LEVELS])).alias("x")).select("cohort", "grp", "x.*")
-    return _described(distribution.describe(rows, ["cohort", "grp", "level"], "v"), ["cohort", "grp", "level"])
+    out = distribution.described(each, ["cohort", "grp"], [f"m{int(x)}" for x in LEVELS])
+    return _described(out.withColumn("level", F.substring("column", 2, 9).cast("int")), ["cohort", "grp", "level"])
 
 
 def sector_table(spark, d):

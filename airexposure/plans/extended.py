@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cohorts, exposure, field, holdout, sensors, spatial, staypoints
+from ..operators import cohorts, distribution, exposure, field, holdout, randoms, sensors, spatial, staypoints
 from ..sources import adapters as A
 from ..sources import files
 from . import catalog as C
@@ -51,14 +51,16 @@ def timeseries_export(spark, d):
 
 @query(f"{C.sql_detailed()}, {C.SQL_CURVES}, {C.SQL_COHORTS} SELECT cohort, grp, CAST(bin_index AS INTEGER) + 1 AS point, round(avg(cumulative), 7) mean_cumulative, round(median(cumulative), 7) median_cumulative FROM curves JOIN members USING (person_id) GROUP BY cohort, grp, bin_index UNION ALL SELECT DISTINCT cohort, grp, 0, 0e0, 0e0 FROM members JOIN (SELECT DISTINCT person_id FROM detailed) q USING (person_id)")
 def payload_means(spark, d):
-    each = C.curve_rows(spark, d).join(C.members(spark, d), "person_id").groupBy("cohort", "grp", (F.col("bin_index") + 1).alias("point")).agg(_r(F.avg("cumulative"), 7).alias("mean_cumulative"), _r(F.median("cumulative"), 7).alias("median_cumulative"))
+    rows = C.curve_rows(spark, d).join(C.members(spark, d), "person_id")
+    each = distribution.medians(rows, ["cohort", "grp", "bin_index"], ["cumulative"])
+    each = each.select("cohort", "grp", (F.col("bin_index") + 1).alias("point"), *[_r(c, 7).alias(c) for c in ("mean_cumulative", "median_cumulative")])
     zero = F.lit(0.0)
     return each.unionByName(each.filter("point = 1").select("cohort", "grp", F.lit(0).alias("point"), zero.alias("mean_cumulative"), zero.alias("median_cumulative")))
 
 
 @query(f"{C.SQL_COMPARE}, s AS (SELECT avg(activity) ma, median(activity) da, avg(home) mh, median(home) dh FROM compared) SELECT CAST(g.range AS INTEGER) AS point, round(ma * g.range / 288, 7) mean_activity, round(da * g.range / 288, 7) median_activity, round(mh * g.range / 288, 7) mean_home, round(dh * g.range / 288, 7) median_home FROM s CROSS JOIN range(289) g")
 def population_lines(spark, d):
-    ends = C.compared(spark, d).agg(*[f(v).alias(f"{n}_{v}") for v in ("activity", "home") for n, f in (("mean", F.avg), ("median", F.median))])
+    ends = distribution.medians(C.compared(spark, d), [], ["activity", "home"])
     names = ends.columns
     return ends.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(288)))).select("point", *[_r(F.col(c) * F.col("point") / 288, 7).alias(c) for c in names])
 
@@ -222,22 +224,33 @@ def holdout_bands(spark, d):
     return rounded(holdout.bands(holdout.level(shapes(spark, d), base, "chain", "draw"), "log_pm", [0.05, 0.95], "chain", "bin"), 8)
 
 
-@query()
+@query(f"SELECT person_id, income, age, race, industry FROM ({A.PERSONS}) p ORDER BY CASE WHEN age = 89 THEN 0 ELSE 1 END, {randoms.sql_uniform(1, 'person_id')}, person_id LIMIT 100")
 def sampled_persons(spark, d):
-    people = A.frame(spark, d, A.PERSONS)
-    return holdout.sample(people, 100, "person_id", forced=F.col("age") == 89)
+    """A hundred persons, those asked for first."""
+    people = A.frame(spark, d, A.PERSONS).select("person_id", "income", "age", "race", "industry")
+    return randoms.sample(people, 100, "person_id", forced=F.col("age") == 89)
 
 
-@query()
+@query(f"WITH u AS (SELECT person_id, income, age, race, industry, {randoms.sql_uniform(1, 'person_id')} u FROM ({A.PERSONS}) p) SELECT person_id, income, age, race, industry FROM u WHERE u < 0.1e0 OR u = (SELECT min(u) FROM u)")
 def thinned_persons(spark, d):
-    return holdout.thinned(A.frame(spark, d, A.PERSONS), 0.1, "person_id")
+    return randoms.thinned(A.frame(spark, d, A.PERSONS).select("person_id", "income", "age", "race", "industry"), 0.1, "person_id")
 
 
-@query()
+@query(f"SELECT id, nation_id, amount, lon, lat FROM ({POINTS}) p ORDER BY {randoms.sql_uniform(1, 'id')}, id LIMIT 1000")
 def capped_points(spark, d):
-    return holdout.sample(A.frame(spark, d, POINTS), 1000, "id")
+    """A map of at most a thousand points."""
+    return randoms.sample(A.frame(spark, d, POINTS), 1000, "id")
 
 
-@query()
+_CHOSEN = f"SELECT sensor_index FROM (SELECT DISTINCT user_id sensor_index FROM events) q ORDER BY {randoms.sql_uniform(1, 'sensor_index')}, sensor_index LIMIT 10"
+
+
+@query(_CHOSEN)
 def holdout_choice(spark, d):
     return holdout.choose_holdouts(A.frame(spark, d, SITES), 10)
+
+
+@query(f"WITH {C.SQL_DRAWS}, few AS (SELECT chain, draw FROM (SELECT DISTINCT chain, draw FROM draws) q ORDER BY {randoms.sql_uniform(1, 'chain', 'draw')}, chain, draw LIMIT 20) SELECT param, element, chain, draw, round(value, 9) AS value FROM draws WHERE (chain, draw) IN (SELECT chain, draw FROM few)")
+def thinned_draws(spark, d):
+    """Twenty of the posterior's draws, with all their parameters."""
+    return rounded(randoms.chosen_draws(C.draws(spark, d), 20, "chain", "draw"))

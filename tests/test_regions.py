@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from airexposure.operators import holdout, spatial
+from airexposure.operators import holdout, randoms, spatial
 from airexposure.sources import files
 
 
@@ -47,6 +47,6 @@ def test_errors_and_shapes(spark):
 
 def test_sampling_repeats_and_keeps_one(spark):
     rows = spark.range(100)
-    assert holdout.sample(rows, 5, "id", forced=F.col("id") == 42).collect() == holdout.sample(rows, 5, "id", forced=F.col("id") == 42).collect()
-    assert 42 in [r.id for r in holdout.sample(rows, 5, "id", forced=F.col("id") == 42).collect()]
-    assert holdout.thinned(rows, 0.0, "id").count() == 1
+    assert randoms.sample(rows, 5, "id", forced=F.col("id") == 42).collect() == randoms.sample(rows, 5, "id", forced=F.col("id") == 42).collect()
+    assert 42 in [r.id for r in randoms.sample(rows, 5, "id", forced=F.col("id") == 42).collect()]
+    assert randoms.thinned(rows, 0.0, "id").count() == 1
