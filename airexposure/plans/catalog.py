@@ -136,7 +136,7 @@ def daily_exposure_by_person(spark, d):
 
 _NUMBER = "CASE WHEN regexp_matches(trim({0}), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN CAST(trim({0}) AS DOUBLE) END {0}"
 _SECONDS = """CASE WHEN regexp_matches({0}_time, '^[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}$') AND CAST(split_part({0}_time, ':', 1) AS INTEGER) < 24
-  THEN CAST(split_part({0}_time, ':', 1) AS INTEGER) * 3600 + CAST(split_part({0}_time, ':', 2) AS INTEGER) * 60 END {0}_s"""
+  THEN CAST(split_part({0}_time, ':', 1) AS INTEGER) * 3600 + CAST(split_part({0}_time, ':', 2) AS INTEGER) * 60 + CAST(split_part({0}_time, ':', 3) AS INTEGER) END {0}_s"""
 _FAR = " OR ".join(f"coalesce(NOT ({p}_lon BETWEEN {BOX[0]}e0 AND {BOX[1]}e0 AND {p}_lat BETWEEN {BOX[2]}e0 AND {BOX[3]}e0), true)" for p in activity.PLACES)
 _NONE = " OR ".join(f"{p}_lon IS NULL OR {p}_lat IS NULL" for p in activity.PLACES)
 SQL_USABLE = f"""numbered_trips AS (SELECT person_id, purpose, mode, {", ".join(_NUMBER.format(c) for c in ("orig_lon", "orig_lat", "dest_lon", "dest_lat", "home_lon", "home_lat", "declared_minutes"))},
@@ -180,7 +180,7 @@ for _rule, _letter in zip(exposure.TRAVEL_RULES, "abcdef"):
 
 _CLEAN = "CASE WHEN regexp_matches(trim({0}), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN CAST(trim({0}) AS DOUBLE) END {0}"
 SQL_CLEAN = f"""WITH raw AS ({A.RAW_TRIPS}), clean AS (SELECT person_id, rn, {', '.join(_CLEAN.format(c) for c in ('dest_lon', 'dest_lat', 'home_lon', 'home_lat'))},
-  CASE WHEN regexp_matches(start_time, '^[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}$') AND CAST(split_part(start_time, ':', 1) AS INTEGER) < 24 THEN CAST(split_part(start_time, ':', 1) AS INTEGER) * 3600 + CAST(split_part(start_time, ':', 2) AS INTEGER) * 60 END start_s FROM raw)"""
+  CASE WHEN regexp_matches(start_time, '^[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}$') AND CAST(split_part(start_time, ':', 1) AS INTEGER) < 24 THEN CAST(split_part(start_time, ':', 1) AS INTEGER) * 3600 + CAST(split_part(start_time, ':', 2) AS INTEGER) * 60 + CAST(split_part(start_time, ':', 3) AS INTEGER) END start_s FROM raw)"""
 
 
 def cleaned(spark, d):

@@ -32,7 +32,7 @@ SELECT person_id, rn, cast(round(orig_lon, 6) AS varchar(20)) orig_lon, cast(rou
        {{start}} start_time, {{end}} end_time, CASE WHEN k % 401 = 0 THEN 'n/a' ELSE cast(declared_minutes AS varchar(20)) END declared_minutes, purpose, mode
 FROM ({TRIPS}) trips
 """
-_CLOCK = "concat(cast(cast(floor({0} / 3600) AS int) AS varchar(20)), ':', lpad(cast(cast(floor({0} % 3600 / 60) AS int) AS varchar(20)), 2, '0'), ':00')"
+_CLOCK = "concat(cast(cast(floor({0} / 3600) AS int) AS varchar(20)), ':', lpad(cast(cast(floor({0} % 3600 / 60) AS int) AS varchar(20)), 2, '0'), ':', lpad(cast(k % 60 AS varchar(20)), 2, '0'))"
 RAW_TRIPS = RAW_TRIPS.replace("{start}", f"CASE WHEN k % 223 = 0 THEN '99:99:99' ELSE {_CLOCK.format('start_s')} END").replace("{end}", _CLOCK.format("end_s"))
 
 #: Persons with attributes, one for each day of a customer's trips.

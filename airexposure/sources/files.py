@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import staged
+
 ID_NAMES = ["trip_taker_person_id", "person_id"]
 GEOMETRY = "struct<type: string, coordinates: string>"
 
@@ -48,10 +50,13 @@ def _features(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.explode(F.coalesce("j.features", one)).alias("f")).select("file", "f.geometry", "f.properties")
 
 
-def sensors_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(sensor_index, latitude, longitude, name, msa_slug) of the points of GeoJSON files; the slug is a property or the file's stem; none is an error."""
+def sensors_geojson(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """(sensor_index, latitude, longitude, name, msa_slug) of the points of GeoJSON files; the slug is a property or the file's stem; none is an error.
+
+    by_line: the files have a feature a line, else each is one JSON text.
+    """
     point = F.from_json("geometry.coordinates", "array<double>")
-    rows = _features(spark, path).filter("geometry.type = 'Point'").withColumn("c", point).filter(F.size("c") >= 2)
+    rows = (features_by_line if by_line else _features)(spark, path).filter("geometry.type = 'Point'").withColumn("c", point).filter(F.size("c") >= 2)
     p = lambda k: F.col("properties")[k]
     slug = F.coalesce(p("msa_slug"), F.regexp_replace("file", r"\.[^.]*$", ""))
     if rows.isEmpty():
@@ -71,10 +76,19 @@ def polygon_vertices(spark: SparkSession, path: str) -> DataFrame:
     return ring.select("ring", "msa_slug", "pos", F.col("c")[0].alias("lon"), F.col("c")[1].alias("lat"))
 
 
-def cleaned_readings(spark: SparkSession, folder: str, latest: bool = False) -> DataFrame:
-    """Rows of <slug>_<month>/cleaned_*.csv with msa_slug and month; ``latest`` keeps each folder's last file by name."""
-    rows = spark.read.option("header", True).csv(f"{folder}/*/cleaned_*.csv").withColumn("_path", F.col("_metadata.file_path"))
-    rows = rows.withColumn("_folder", F.element_at(F.split("_path", "/"), -2))
+def save_readings(readings: DataFrame, path: str) -> None:
+    """readings (msa_slug, month, ...) as CSV in a folder <slug>_<month> for each region and month, many of them at a time."""
+    rows = readings.withColumn("folder", F.concat_ws("_", "msa_slug", "month")).drop("msa_slug", "month")
+    rows.repartition("folder").write.mode("overwrite").option("header", True).partitionBy("folder").csv(path)
+
+
+def cleaned_readings(spark: SparkSession, folder: str, latest: bool = False, files: str = "cleaned_*.csv") -> DataFrame:
+    """Rows of <slug>_<month>/cleaned_*.csv with msa_slug and month; ``latest`` keeps each folder's last file by name.
+
+    files: their names, "part-*" for those that ``save_readings`` wrote.
+    """
+    rows = spark.read.option("header", True).csv(f"{folder}/*/{files}").withColumn("_path", F.col("_metadata.file_path"))
+    rows = rows.withColumn("_folder", F.regexp_replace(F.element_at(F.split("_path", "/"), -2), "^folder=", ""))
     if latest:
         last = rows.groupBy("_folder").agg(F.max("_path").alias("_path"))
         rows = rows.join(last, ["_folder", "_path"], "left_semi")
@@ -109,8 +123,49 @@ def person_json(compared: DataFrame, metric: str = "cumulative", units: str = "u
 
 
 def save_csv(df: DataFrame, path: str) -> None:
-    """Comparisons, details, time series, audits (places, rejections, factor draws, missingness), sensors and grids as CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A table as CSV with a header; cells keep their outer spaces."""
+    df.write.mode("overwrite").options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def save_trips(trips: DataFrame, path: str, id_name: str = ID_NAMES[0]) -> None:
+    """Trips as delivered, the person's id under the name that deliveries give it."""
+    save_csv(trips.withColumnRenamed("person_id", id_name), path)
+
+
+def save_field(field: DataFrame, path: str, names: dict[str, str], day: str = "1970-01-01") -> None:
+    """A field (lon, lat, slot, values) with times of one day in UTC in place of slots; names: new names of the values."""
+    clock = F.format_string("%02d:%02d:00", F.floor(F.col("slot") / 60), F.col("slot") % 60)
+    save_csv(field.select("lon", "lat", F.concat(F.lit(f"{day}T"), clock, F.lit("Z")).alias("timestamp_utc"), *[F.col(c).alias(n) for c, n in names.items()]), path)
+
+
+def save_results(comparison: DataFrame, details: DataFrame, path: str) -> None:
+    """The comparison of persons and their detailed rows as two CSV sets, persons in order, a person's rows together."""
+    save_csv(comparison.repartitionByRange("person_id").sortWithinPartitions("person_id"), f"{path}/comparison")
+    save_csv(details.repartitionByRange("person_id").sortWithinPartitions("person_id", "start_s"), f"{path}/detailed")
+
+
+def save_audits(path: str, **audits: DataFrame) -> None:
+    """Audits (places, rejections, factor draws, missingness) as a CSV set each."""
+    for name, rows in audits.items():
+        save_csv(rows, f"{path}/{name}")
+
+
+def save_sensors(sensors: DataFrame, path: str) -> None:
+    """The four columns of a sensor list as CSV."""
+    save_csv(sensors.select("sensor_index", "latitude", "longitude", "name"), path)
+
+
+def save_metrics(each: DataFrame, aggregate: DataFrame, path: str) -> None:
+    """Held-out errors: a CSV row for each sensor, and the aggregate of one row as one JSON object."""
+    save_csv(each, f"{path}/per_sensor")
+    save_json(aggregate.select(F.struct(*aggregate.columns).alias("aggregate")), f"{path}/summary")
+
+
+def read_metrics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(per sensor, aggregate) as ``save_metrics`` wrote them; numbers are typed by their columns' names."""
+    each = spark.read.option("header", True).csv(f"{path}/per_sensor")
+    each = each.select(*[F.col(c).cast("long" if c in ("sensor_index", "n") else "double").alias(c) for c in each.columns])
+    return each, spark.read.json(f"{path}/summary").select("aggregate.*")
 
 
 def exposure_parquet(detailed: DataFrame, summary: DataFrame, path: str) -> None:
@@ -136,13 +191,39 @@ def save_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def save_groups(rows: DataFrame, path: str, *keys: str) -> None:
+    """Nested rows as JSON in a folder for each group: viewers of cohorts, and of persons that were asked for."""
+    rows.repartition(*keys).write.mode("overwrite").partitionBy(*keys).json(path)
+
+
+_OPENING, _CLOSING = '{"type":"FeatureCollection","features":[', "]}"
+
+
 def feature_collection(features: DataFrame, path: str) -> None:
-    """features (value), as ``point_feature`` gives them, as one FeatureCollection per file; an empty table gives an empty one.
+    """features (value), as ``point_feature`` gives them, as one FeatureCollection in as many parts as there are tasks.
 
-    One task writes one file: for maps of sensors, whose number is bounded by the devices there are.
+    The parts hold a feature a line; put together in the order of their names they are one JSON text, whose first and last lines open
+    and close the list. An empty table gives an empty list.
     """
-    whole = features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.array_sort(F.collect_list("value"))), F.lit("]}")).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+    spark = features.sparkSession
+    rows = features.select("value").repartitionByRange("value").sortWithinPartitions("value").withColumn("_i", F.monotonically_increasing_id())
+    rows = staged(rows, "features")
+    first, last = rows.agg(F.min("_i"), F.max("_i")).head()
+    if first is None:
+        spark.createDataFrame([(_OPENING + _CLOSING,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    opening = F.when(F.col("_i") == first, F.lit(_OPENING + "\n")).otherwise(F.lit(""))
+    closing = F.when(F.col("_i") == last, F.lit("\n" + _CLOSING)).otherwise(F.lit(","))
+    ordered = rows.repartitionByRange("_i").sortWithinPartitions("_i")
+    ordered.select(F.concat(opening, "value", closing).alias("value")).write.mode("overwrite").text(path)
+
+
+def features_by_line(spark: SparkSession, path: str) -> DataFrame:
+    """(file, geometry, properties) of files with a feature a line, as ``feature_collection`` writes them; read in parallel, whatever their size."""
+    schema = f"geometry {GEOMETRY}, properties map<string, string>"
+    lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), ",$", "").alias("value"), F.col("_metadata.file_name").alias("file"))
+    whole = lines.filter((F.col("value") != _OPENING) & (F.col("value") != _CLOSING) & (F.col("value") != _OPENING + _CLOSING))
+    return whole.select("file", F.from_json("value", schema).alias("f")).select("file", "f.geometry", "f.properties")
 
 
 def occupation_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
@@ -159,6 +240,12 @@ OEWS_COLUMNS = {"NAICS": "naics", "OCC_CODE": "soc", "O_GROUP": "o_group", "TOT_
 ONET_COLUMNS = {"O*NET-SOC Code": "soc", "Element Name": "element", "Scale ID": "scale_id", "Category": "category", "Data Value": "value"}
 
 
+def save_occupations(rows: DataFrame, path: str, columns: dict[str, str]) -> None:
+    """A table of the outdoor-work model under the names of its source, with the byte-order mark that the source's files have."""
+    named = rows.select(*[F.col(n).alias(("\ufeff" if k == 0 else "") + c) for k, (c, n) in enumerate(columns.items())])
+    save_csv(named, path)
+
+
 def oews_csv(spark: SparkSession, path: str) -> DataFrame:
     return occupation_csv(spark, path, OEWS_COLUMNS)
 
