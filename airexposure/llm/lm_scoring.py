@@ -1,4 +1,8 @@
-"""Language-model scoring by a weighted backoff automaton over n-grams.
+"""Language-model scoring by the weights of a backoff automaton over n-grams.
+
+The automaton is not built as a table of states: the arcs that a text takes are found by the n-grams that end at each of its
+tokens, all tokens at once, and a failure arc is taken where an n-gram has no count. What follows is the automaton whose path
+and weights these are.
 
 States are the histories of up to ``order`` - 1 tokens that stand in the training texts, and the empty history. A state's
 arcs carry log10 p(next | history) for the tokens that follow it there; its failure arc carries log10 of the weight left for
@@ -15,7 +19,7 @@ task ever holds it whole.
    repeated. Each block's distinct n-grams and their counts go, as sorted packed runs, to the task of their key range.
 2. There counts are summed over the blocks (a frequent n-gram comes once from each block at most, so none is hot), and
    each block is sent the totals of its own n-grams in the same order, without the keys.
-3. Each block builds the part of the automaton that its texts can reach, and traverses it with them.
+3. Each block has the counts of all arcs that its texts can take, and adds up the weights along their paths.
 
 A null text is empty and consists of the end token. Held-out rows are those with crc32(doc_id as text) mod 7 = 2; a null
 doc_id is a training row. Repeated rows count each. Tokens and n-grams are told apart by 63-bit hashes. Columns called like

@@ -7,7 +7,8 @@
    plan gives that rank, by an equi-join on length with a range test. Only digests are ranked; the ids join the places last.
 
 A null text is empty (its one token is the end id); empty and repeated rows get pieces of their own; ties in rank are
-broken by doc_id and piece, and rows equal in both share slots in any order. Only doc_id and text are read.
+broken by doc_id, piece, checksum and, where ids are kept, the piece's number in the written table, so a task that is repeated
+gives no slot twice; an empty table gives no pieces. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -224,7 +225,9 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     # about ten rows of plan for a length, bounded by the number of lengths
     rows = plan(histogram, capacity)
     slots = pieces.sparkSession.createDataFrame(rows, "_length long, _from long, _to long, _sequence long, _offset long, _per long") if rows else pieces.sparkSession.createDataFrame([], "_length long, _from long, _to long, _sequence long, _offset long, _per long")
-    ranked = gapless_rank(pieces, ["length"], ["doc_id", "piece"], "_rank", buckets_for(pieces.sparkSession))
+    # pieces equal in all of these are alike in their results too; a repeated task gives all others the same ranks
+    order = ["doc_id", "piece", *[c for c in ("ids_crc32", "_piece") if c in pieces.columns]]
+    ranked = gapless_rank(pieces, ["length"], order, "_rank", buckets_for(pieces.sparkSession))
     match = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     placed = ranked.join(F.broadcast(slots), match)
     step = F.col("_rank") - F.col("_from")

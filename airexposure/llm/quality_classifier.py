@@ -1,4 +1,7 @@
-"""Quality classifier: random-indexing word vectors pooled per text, then a two-layer network with calibrated probabilities.
+"""Quality classifier: random-indexing vectors pooled per text, then a two-layer network with calibrated probabilities.
+
+Words have index vectors of their own, but share their learned context vectors: there are ``CELLS`` of these, two to a word, and
+with a growing vocabulary a cell tends to the mean of the corpus.
 
 1. Each word has a fixed random index vector: the sum of seeded sparse vectors of its features (the word, its ends, and the
    kinds of characters it holds), so unseen words share what they have in common with seen ones.

@@ -1,9 +1,10 @@
 """SimHash near-duplicates, found by a generalised pigeonhole search over the distinct fingerprints.
 
 1. ``fingerprints``: one 64-bit SimHash per row from word shingles.
-2. ``bit_parts``: correlated bits are grouped into ``PARTS`` partitions, from counts over all distinct fingerprints.
+2. ``bit_parts``: correlated bits are grouped into two or three partitions, from counts over all distinct fingerprints; how
+   many follows from the number of fingerprints (``parts_for``), so that probes stay selective.
 3. ``allocate``: two fingerprints at distance <= tau agree within t_i bits in some partition i whenever the t_i sum to
-   tau - PARTS + 1 (t_i = -1: not probed). A dynamic program picks each fingerprint's t_i by the candidates that they
+   tau - partitions + 1 (t_i = -1: not probed). A dynamic program picks each fingerprint's t_i by the candidates that they
    are estimated to bring: its own partition values' counts where they are frequent, the mean elsewhere.
 4. Probes meet the partition values of all fingerprints in an equi-join; candidates are verified bit by bit.
 5. Where every allocation is estimated to cost more than ``MIDPOINTS`` (dense clusters), the fingerprint goes to an exact
@@ -29,8 +30,8 @@ from .common import free_names, materialize, read
 from .components import connected_components
 from .textbytes import SPACE_WORDS, chunks, lower, tidy, words
 
-PARTS = 3
-HOT = 1e-4  # share of the fingerprints from which a partition value is frequent: at most PARTS / HOT values
+PARTS = (3, 2)  # partitions that are weighed against each other
+HOT = 1e-4  # share of the fingerprints from which a partition value is frequent: at most 3 / HOT values
 MIDPOINTS = 65
 _ROW = 1 << 15  # shingles whose bits are counted at once
 
@@ -94,8 +95,22 @@ def _pair_counts(batches):
     yield pa.record_batch([pa.array(np.arange(4096)), pa.array(total.ravel()), pa.array(np.full(4096, n, dtype=np.int64))], ["cell", "ones", "n"])
 
 
-def bit_parts(distinct: DataFrame, parts: int = PARTS) -> tuple[list[list[int]], int]:
-    """Bits grouped so that those that go together share a partition, and the number of fingerprints."""
+def parts_for(n: int, tau: int = 2) -> int:
+    """How many partitions to search n evenly spread fingerprints with: the number for which the cheapest allocation costs least.
+
+    Fewer partitions have more bits each, so values stay selective where fingerprints are many.
+    """
+
+    def cost(m: int) -> float:
+        sizes = [64 * (k + 1) // m - 64 * k // m for k in range(m)]
+        each = [[np.array([0.0]), *[np.array([len(_flips(s, t)) * (0.1 + n / 2.0**s)]) for t in range(tau + 1)]] for s in sizes]
+        return float(allocate(each, tau)[1][0])
+
+    return min(PARTS, key=cost)
+
+
+def bit_parts(distinct: DataFrame, parts: int | None = None) -> tuple[list[list[int]], int]:
+    """Bits grouped so that those that go together share a partition, and the number of fingerprints; parts: by that number, unless given."""
     rows = distinct.select("fp").mapInArrow(_pair_counts, "cell long, ones double, n long").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect()
     n = rows[0]["n"] if rows else 0
     both = np.zeros((64, 64))
@@ -106,6 +121,7 @@ def bit_parts(distinct: DataFrame, parts: int = PARTS) -> tuple[list[list[int]],
     corr = np.abs((both - np.outer(p, p)) / np.outer(spread, spread))
     np.fill_diagonal(corr, 0)
     free, out = set(range(64)), []
+    parts = parts or parts_for(n)
     for k in range(parts):
         size = 64 * (k + 1) // parts - 64 * k // parts
         group = [max(sorted(free), key=lambda b: corr[b, list(free)].sum())]
@@ -199,17 +215,17 @@ def _probes(parts, tau: int, n: int, hot: dict[int, tuple[np.ndarray, np.ndarray
     return run
 
 
-def link_fingerprints(distinct: DataFrame, tau: int = 2) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, tau: int = 2, partitions: int | None = None) -> DataFrame:
     """(a, b) edges between the given distinct fingerprints; the components are those of all pairs within tau <= 2 bits.
 
     Midpoints of the exact way are nodes too; they are told from fingerprints by the edge's ``mid`` flag.
     """
     if tau != 2:
         raise ValueError("the exact way for dense clusters is for 2 bits")
-    parts, n = bit_parts(distinct)
+    parts, n = bit_parts(distinct, partitions)
     values = distinct.select("fp").mapInArrow(_part_values(parts), "fp long, part int, value long")
     hot: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for r in sorted(values.groupBy("part", "value").count().filter(F.col("count") > max(8.0, HOT * n)).collect()):  # at most PARTS / HOT rows
+    for r in sorted(values.groupBy("part", "value").count().filter(F.col("count") > max(8.0, HOT * n)).collect()):  # at most 3 / HOT rows
         k, c = hot.setdefault(r[0], ([], []))
         k.append(r[1])
         c.append(float(r[2]))

@@ -1,10 +1,10 @@
 """Exact substring dedup: every byte inside a string of ``length`` bytes that also starts elsewhere is removed.
 
-Method: distributed prefix doubling over (position, rank) pairs. Sorting every byte position would move many times
-the corpus, so the positions that enter the first sort are chosen by content: the anchor of a window of ``length``
+Method: not prefix doubling proper, which ranks every byte position by sorted (rank, rank at an offset) pairs and would move
+many times the corpus, but what it does to ranks, at positions chosen by content: the anchor of a window of ``length``
 bytes is the leftmost of its 16-byte strings with the smallest hash. Equal windows have equal anchors at equal
-offsets, so a window repeats only if its anchor's surroundings do. Ranks are hash classes of strings; they are refined
-at growing lengths:
+offsets, so a window repeats only if its anchor's surroundings do. Ranks are hash classes of strings, without an order; they
+are refined at three growing lengths:
 
 1. about 108 bytes around each anchor (all windows whose anchor offset lies in one half of the range share them);
    anchors whose string is unique are done, anchors whose whole surroundings repeat are removed at once;

@@ -213,3 +213,12 @@ def test_long_texts_are_taken_whole(spark, monkeypatch):
     assert {r.doc_id: (r.fp,) for r in simhash_dedup.near_duplicates(df.repartition(3)).collect()} == whole
     parts = list(textbytes.chunks(df.toArrow()["text"], 100))
     assert [p[0] for p in parts] == [0, 1, 2, 3] and [len(p[2]) for p in parts] == [len((t or "").encode()) for t in texts]
+
+
+def test_pieces_without_ids_get_slots_of_their_own(spark):
+    texts = ["one two", "three four", "five six", None, ""] * 6
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    for keep in (True, False):
+        rows = packing.pack_documents(df, packing.vocabulary_path(), 16, keep_ids=keep).collect()
+        places = [(r.sequence_id, r.offset + k) for r in rows for k in range(r.length)]
+        assert len(rows) == 30 and len(places) == len(set(places))

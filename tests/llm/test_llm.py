@@ -277,6 +277,28 @@ def test_allocation_is_cheapest():
     assert picked.ravel().tolist() == [-1, 1, 0] and cost[0] == 5.0
 
 
+def test_partitions_follow_from_the_number_of_fingerprints():
+    assert [simhash_dedup.parts_for(n) for n in (0, 10**5, 10**9, 10**10)] == [3, 3, 2, 2]
+    # at a thousand million fingerprints the pigeonhole search still is cheaper than the midpoints
+    sizes = [32, 32]
+    costs = [[np.array([0.0]), *[np.array([len(simhash_dedup._flips(s, t)) * (0.1 + 1e9 / 2.0**s)]) for t in range(3)]] for s in sizes]
+    assert simhash_dedup.allocate(costs, 2)[1][0] < simhash_dedup.MIDPOINTS
+
+
+@pytest.mark.parametrize("partitions", [2, 3])
+def test_partitions_find_the_same_links(spark, partitions):
+    rng = random.Random(14)
+    fps = {rng.getrandbits(64) for _ in range(150)}
+    for f in list(fps)[:60]:
+        for _ in range(2):
+            fps.add(f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    edges = simhash_dedup.link_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp long"), partitions=partitions).collect()
+    assert not any(r.mid for r in edges)
+    got = {frozenset((r.a, r.b)) for r in edges}
+    assert got == {frozenset((a, b)) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+
+
 def test_words_do_not_cross_texts():
     from airexposure.llm.textbytes import SPACE_WORDS, chunks, words
 
