@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .randoms import sample
+from .staging import staged
 
 
 def choose_holdouts(sensors: DataFrame, n: int, seed: int = 1, min_train: int = 3) -> DataFrame:
@@ -42,6 +43,26 @@ def summarise(metrics: DataFrame, key: str, values: list[str]) -> DataFrame:
     return metrics.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[f(v).alias(f"{n}_{v}") for v in values for n, f in (("mean", F.avg), ("median", F.median))])
 
 
+def kmeans(points: DataFrame, k: int, key: str = "sensor_index", seed: int = 1, iterations: int = 20) -> list[tuple[float, float]]:
+    """k centres of points (key, lon, lat) by Lloyd's steps, from k points chosen by their key's number, in the order of their keys.
+
+    Spark assigns and averages; only k rows come back each step. A centre without points stays; equal distances go to the first
+    centre; the steps end early when no centre moves. Fewer points than k give as many centres.
+    """
+    rows = staged(points.select(key, "lon", "lat").filter("lon is not null and lat is not null").distinct(), "points")
+    centres = sorted((r[key], r["lon"], r["lat"]) for r in sample(rows, k, key, seed).collect())
+    centres = [(x, y) for _, x, y in centres]
+    lon, lat = F.col("lon"), F.col("lat")
+    for _ in range(iterations if centres else 0):
+        apart = [F.struct(((lon - x) * (lon - x) + (lat - y) * (lat - y)).alias("d"), F.lit(i).alias("i")) for i, (x, y) in enumerate(centres)]
+        means = {r["i"]: (r["x"], r["y"]) for r in rows.groupBy(F.array_min(F.array(*apart))["i"].alias("i")).agg(F.avg("lon").alias("x"), F.avg("lat").alias("y")).collect()}
+        moved = [means.get(i, c) for i, c in enumerate(centres)]
+        if moved == centres:
+            break
+        centres = moved
+    return centres
+
+
 def radial_basis(sensors: DataFrame, centres: list[tuple[float, float]], width: float) -> DataFrame:
     """(sensor_index, centre, phi): Gaussian features of the distance in degrees; centres are a list given beforehand."""
     at = F.posexplode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in centres])).alias("centre", "c")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cohorts, distribution, exposure, field, holdout, randoms, sensors, spatial, staypoints
+from ..operators.staging import staged
 from ..sources import adapters as A
 from ..sources import files
 from . import catalog as C
@@ -196,12 +197,20 @@ def holdout_basis(spark, d):
     return rounded(holdout.radial_basis(A.frame(spark, d, SITES), CENTRES, 0.1), 8)
 
 
-@query(f"WITH s AS ({SITES}) SELECT h.sensor_index, round(min(sqrt((h.lon - t.lon) ** 2 + (h.lat - t.lat) ** 2)), 9) distance FROM s h CROSS JOIN s t WHERE h.sensor_index % 10 = 0 AND t.sensor_index % 10 <> 0 GROUP BY h.sensor_index")
+SQL_NEAR = "nt AS (SELECT sensor_index, nearest, distance FROM (SELECT h.sensor_index, t.sensor_index nearest, sqrt(d2) distance, row_number() OVER (PARTITION BY h.sensor_index ORDER BY d2, t.lon, t.lat) rn FROM (SELECT h.sensor_index, t.sensor_index ti, t.lon, t.lat, (h.lon - t.lon) * (h.lon - t.lon) + (h.lat - t.lat) * (h.lat - t.lat) d2 FROM held h CROSS JOIN train t) h JOIN train t ON t.sensor_index = h.ti) q WHERE rn = 1)"
+_TENTH = f"s AS ({SITES}), held AS (SELECT * FROM s WHERE sensor_index % 10 = 0), train AS (SELECT * FROM s WHERE sensor_index % 10 <> 0)"
+
+
+def near_training(held, train):
+    """(sensor_index, nearest, distance): each held-out sensor's nearest training sensor."""
+    here, there = held.withColumn("slot", F.lit(0)), train.withColumn("slot", F.lit(0)).withColumnRenamed("sensor_index", "nearest")
+    return field.nearest(here, there, ["nearest"], C.CELL).select("sensor_index", "nearest", "distance")
+
+
+@query(f"WITH {_TENTH}, {SQL_NEAR} SELECT sensor_index, nearest, round(distance, 9) distance FROM nt")
 def nearest_training_sensor(spark, d):
-    sites = A.frame(spark, d, SITES).withColumn("slot", F.lit(0))
-    held, train = sites.filter("sensor_index % 10 = 0"), sites.filter("sensor_index % 10 <> 0")
-    near = field.nearest_join(held, train, ["sensor_index"], C.CELL).withColumnRenamed("sensor_index", "nearest")
-    return rounded(held.join(near, ["lon", "lat", "slot"]).select("sensor_index", "distance"))
+    sites = A.frame(spark, d, SITES)
+    return rounded(near_training(sites.filter("sensor_index % 10 = 0"), sites.filter("sensor_index % 10 <> 0")))
 
 
 SQL_SHAPE = f"{C.SQL_DRAWS}, sh AS (SELECT chain, draw, element AS bin, value - m - ln(avg(exp(value - m)) OVER (PARTITION BY chain, draw)) log_s FROM (SELECT *, max(value) OVER (PARTITION BY chain, draw) m FROM draws WHERE param = 'mu_tilde') q)"
@@ -254,3 +263,126 @@ def holdout_choice(spark, d):
 def thinned_draws(spark, d):
     """Twenty of the posterior's draws, with all their parameters."""
     return rounded(randoms.chosen_draws(C.draws(spark, d), 20, "chain", "draw"))
+
+
+# Held-out prediction: centres of the training sensors, their basis, thinned posterior draws, shapes, levels, errors.
+
+CLUSTERS, STEPS, WIDTH, TERMS, BINS, KEPT_DRAWS = 3, 5, 0.1, 4, 16, 20
+
+
+def _sql_kmeans() -> str:
+    """Lloyd's steps as tables k0, a0, k1, ... of the training sensors."""
+    first = f"k0 AS (SELECT row_number() OVER (ORDER BY sensor_index) - 1 i, lon x, lat y FROM (SELECT * FROM train ORDER BY {randoms.sql_uniform(1, 'sensor_index')}, sensor_index LIMIT {CLUSTERS}) q)"
+    steps = [
+        f"a{j} AS (SELECT sensor_index, lon, lat, arg_min(i, d) c FROM (SELECT t.*, k.i, (lon - x) * (lon - x) + (lat - y) * (lat - y) d FROM train t CROSS JOIN k{j} k) q GROUP BY sensor_index, lon, lat), k{j + 1} AS (SELECT k.i, coalesce(avg(lon), max(k.x)) x, coalesce(avg(lat), max(k.y)) y FROM k{j} k LEFT JOIN a{j} ON c = k.i GROUP BY k.i)"
+        for j in range(STEPS)
+    ]
+    return ", ".join([first, *steps])
+
+
+def _sql_basis() -> str:
+    """Gram and Schmidt's steps over the training sensors: tables q0, q1, ... with one column more each, q{n} being the basis."""
+    phi = ", ".join(f"max(CASE WHEN i = {c} THEN exp(-0.5e0 * ((lon - x) ** 2 + (lat - y) ** 2) / {WIDTH}e0 ** 2) END) p{c}" for c in range(CLUSTERS))
+    out = [f"q0 AS (SELECT s.sensor_index, bool_or(s.sensor_index IN (SELECT sensor_index FROM train)) t, {phi} FROM s CROSS JOIN k{STEPS} GROUP BY s.sensor_index)"]
+    for c in range(CLUSTERS):
+        rest = f"p{c}" + "".join(f" - q{j} * (SELECT sum(q{j} * p{c}) FROM q{c} WHERE t)" for j in range(c))
+        out.append(f"u{c} AS (SELECT *, {rest} v FROM q{c}), q{c + 1} AS (SELECT * EXCLUDE (v), v / (SELECT sqrt(sum(v * v)) FROM u{c} WHERE t) q{c} FROM u{c})")
+    return ", ".join(out)
+
+
+SQL_BASIS = f"s AS ({SITES}), hs AS ({_CHOSEN}), held AS (SELECT * FROM s WHERE sensor_index IN (SELECT sensor_index FROM hs)), train AS (SELECT * FROM s WHERE sensor_index NOT IN (SELECT sensor_index FROM hs)), {_sql_kmeans()}, {_sql_basis()}, sp AS ({' UNION ALL '.join(f'SELECT sensor_index, t, {c} centre, q{c} q FROM q{CLUSTERS}' for c in range(CLUSTERS))})"
+
+
+def parted(spark, d):
+    """(training sensors, held-out sensors)."""
+    return holdout.split(A.frame(spark, d, SITES), holdout_choice(spark, d))
+
+
+@query(f"WITH {SQL_BASIS} SELECT i AS centre, round(x, 9) lon, round(y, 9) lat FROM k{STEPS}")
+def holdout_centres(spark, d):
+    """Centres of the training sensors by k-means."""
+    centres = holdout.kmeans(parted(spark, d)[0], CLUSTERS, iterations=STEPS)
+    return rounded(spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(centres)], "centre long, lon double, lat double"))
+
+
+def spatial_features(spark, d):
+    train, held = parted(spark, d)
+    return holdout.orthonormal_basis(train, held, holdout.kmeans(train, CLUSTERS, iterations=STEPS), WIDTH)
+
+
+@query(f"WITH {SQL_BASIS} SELECT sensor_index, CAST(centre AS INTEGER) centre, round(q, 6) q FROM sp")
+def holdout_features(spark, d):
+    """Orthonormal spatial features of training sensors, and of held-out ones by the same factor."""
+    return rounded(spatial_features(spark, d), 6)
+
+
+_WAVES = ", ".join(f"({b}, {t}, {v!r}e0)" if "e" not in repr(v) else f"({b}, {t}, CAST('{v!r}' AS DOUBLE))" for b, row in enumerate(holdout.circular_basis(BINS, TERMS, 2.5)) for t, v in enumerate(row))
+SQL_PREDICT = f"""{SQL_BASIS}, {SQL_NEAR},
+few AS (SELECT vec_id, embedding e FROM embeddings ORDER BY {randoms.sql_uniform(1, 'vec_id')}, vec_id LIMIT {KEPT_DRAWS}),
+waves AS (SELECT * FROM (VALUES {_WAVES}) v(bin, term, w)),
+aa AS (SELECT sensor_index, t, vec_id, term, sum(CAST(e[{BINS + 1} + centre * {TERMS} + term] AS DOUBLE) * q) a FROM sp CROSS JOIN few CROSS JOIN range({TERMS}) g(term) GROUP BY 1, 2, 3, 4),
+rr AS (SELECT sensor_index, t, vec_id, bin, sum(a * w) r FROM aa JOIN waves USING (term) GROUP BY 1, 2, 3, 4),
+zz AS (SELECT sensor_index, vec_id, bin, CAST(e[bin + 1] AS DOUBLE) + r - m z FROM rr JOIN (SELECT vec_id, bin, avg(r) m FROM rr WHERE t GROUP BY 1, 2) c USING (vec_id, bin) JOIN few USING (vec_id)),
+ls AS (SELECT sensor_index, vec_id, bin, z - m - ln(avg(exp(z - m)) OVER (PARTITION BY sensor_index, vec_id)) log_s FROM (SELECT *, max(z) OVER (PARTITION BY sensor_index, vec_id) m FROM zz) q),
+fd AS (SELECT lon, lat, avg(mid) v FROM ({A.FIELD}) f GROUP BY lon, lat),
+gr AS (SELECT s.sensor_index, arg_min(v, (s.lon - fd.lon) ** 2 + (s.lat - fd.lat) ** 2) g FROM s CROSS JOIN fd GROUP BY 1),
+bs AS (SELECT nt.sensor_index, vec_id, ln(greatest(a.g + 8 + 2 * CAST(e[33 + nearest % 16] AS DOUBLE) - b.g, 1e-12)) base, CAST(e[49 + nearest % 16] AS DOUBLE) bias FROM nt CROSS JOIN few JOIN gr a ON a.sensor_index = nt.sensor_index JOIN gr b ON b.sensor_index = nearest),
+pr AS (SELECT sensor_index, bin, avg(base + log_s + bias) with_bias, avg(base + log_s) without_bias, quantile_cont(base + log_s + bias, 0.05) low, quantile_cont(base + log_s + bias, 0.95) high FROM ls JOIN bs USING (sensor_index, vec_id) GROUP BY 1, 2),
+{C.SQL_READ}, seen AS (SELECT sensor_index, CAST(floor(bin / 3) AS INTEGER) bin, ln(median(pm)) o FROM r1 GROUP BY 1, 2 HAVING median(pm) > 0),
+both_ AS (SELECT sensor_index, pr.bin, o, with_bias, without_bias, low, high FROM pr JOIN seen USING (sensor_index, bin))"""
+
+
+def _errors_sql(p: str, suffix: str) -> str:
+    return f"sqrt(avg((o - {p}) ** 2)) rmse{suffix}, avg(abs(o - {p})) mae{suffix}, CASE WHEN sum((o - om) ** 2) > 1e-12 THEN 1 - sum((o - {p}) ** 2) / sum((o - om) ** 2) END r2{suffix}, sqrt(avg((o - om - ({p} - {p}_m)) ** 2)) shape_rmse{suffix}, avg(abs(o - om - ({p} - {p}_m))) shape_mae{suffix}, CASE WHEN sum((o - om) ** 2) > 1e-12 THEN 1 - sum((o - om - ({p} - {p}_m)) ** 2) / sum((o - om) ** 2) END shape_r2{suffix}"
+
+
+SQL_HELD = f"{SQL_PREDICT}, em AS (SELECT *, avg(o) OVER w om, avg(with_bias) OVER w with_bias_m, avg(without_bias) OVER w without_bias_m FROM both_ WINDOW w AS (PARTITION BY sensor_index)), ee AS (SELECT sensor_index, count(*) n, {_errors_sql('with_bias', '')}, {_errors_sql('without_bias', '_no_bias')} FROM em GROUP BY sensor_index)"
+HELD_METRICS = [*METRICS, *[f"{m}_no_bias" for m in METRICS]]
+
+
+def predictions(spark, d):
+    """(sensor_index, bin, o, with_bias, without_bias, low, high) of held-out sensors: logs of observed and predicted levels.
+
+    Twenty draws, each with the mean of its shape, the weights of the bases, and levels and biases of the training sensors. The level
+    is the grid's at the sensor, moved by what the nearest training sensor's level differs from the grid there.
+    """
+    train, held = parted(spark, d)
+    few = randoms.sample(spark.read.parquet(f"{d}/embeddings.parquet"), KEPT_DRAWS, "vec_id").select(F.col("vec_id").alias("draw"), F.col("embedding").alias("e"))
+    few = staged(few, "draws")
+    value = lambda at: F.get("e", at).cast("double")
+    cells = F.explode(F.sequence(F.lit(0), F.lit(CLUSTERS * TERMS - 1))).alias("i")
+    weights = few.select("draw", "e", cells).select("draw", F.floor(F.col("i") / TERMS).cast("int").alias("centre"), (F.col("i") % TERMS).alias("term"), value(BINS + F.col("i")).alias("w"))
+    mean = few.select("draw", "e", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin")).select("draw", "bin", value(F.col("bin")).alias("mu"))
+    waves = [(b, t, v) for b, row in enumerate(holdout.circular_basis(BINS, TERMS, 2.5)) for t, v in enumerate(row)]
+    temporal = spark.createDataFrame(waves, "bin int, term int, t double")
+    shape = holdout.predicted_shape(weights, spatial_features(spark, d), temporal, mean, train)
+    grid = A.frame(spark, d, A.FIELD).groupBy("lon", "lat").agg(F.avg("mid").alias("grid")).withColumn("slot", F.lit(0))
+    at = staged(field.nearest(A.frame(spark, d, SITES).withColumn("slot", F.lit(0)), staged(grid, "grid"), ["grid"], C.CELL).select("sensor_index", "grid"), "grid")
+    near = near_training(held, train).select("sensor_index", F.col("nearest").alias("near"))
+    index = (F.col("near") % 16).cast("int")
+    levels = near.select("near").distinct().join(F.broadcast(few)).select("near", "draw", (8 + 2 * value(2 * BINS + index)).alias("level"), value(3 * BINS + index).alias("bias"))  # twenty draws
+    base = holdout.baseline("grid+nearest", at, near, levels.select("near", "draw", "level"), at.select(F.col("sensor_index").alias("near"), F.col("grid").alias("grid_near")))
+    bias = near.join(levels.select("near", "draw", "bias"), "near").select("sensor_index", "draw", "bias")
+    with_ = holdout.level(shape, base.join(bias, ["sensor_index", "draw"]), "sensor_index", "draw").withColumn("plain", F.col("log_pm") - F.col("bias"))
+    of = with_.groupBy("sensor_index", "bin").agg(F.avg("log_pm").alias("with_bias"), F.avg("plain").alias("without_bias"), F.percentile("log_pm", [0.05, 0.95]).alias("q"))
+    readings = sensors.in_range(A.frame(spark, d, A.READINGS)).select("sensor_index", F.floor(F.col("bin") / 3).cast("int").alias("bin"), "pm")
+    seen = holdout.profiles(readings).select("sensor_index", "bin", F.col("log_level").alias("o")).filter("o is not null")
+    return of.join(seen, ["sensor_index", "bin"]).select("sensor_index", "bin", "o", "with_bias", "without_bias", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+@query(f"WITH {SQL_PREDICT} SELECT sensor_index, CAST(bin AS INTEGER) bin, {', '.join(f'round({c}, 6) {c}' for c in ('o', 'with_bias', 'without_bias', 'low', 'high'))} FROM both_")
+def holdout_predictions(spark, d):
+    """Predicted levels of held-out sensors, their bands, and what was observed."""
+    return rounded(predictions(spark, d), 6)
+
+
+@query(f"WITH {SQL_HELD} SELECT sensor_index, n, {', '.join(f'round({m}, 6) {m}' for m in HELD_METRICS)} FROM ee")
+def holdout_prediction_errors(spark, d):
+    """Errors of each held-out sensor, with and without the sensor bias."""
+    return rounded(holdout.metric_tables(predictions(spark, d), "with_bias", "without_bias", "o")[0], 6)
+
+
+@query(f"WITH {SQL_HELD} SELECT count(*) n, {', '.join(f'round({f}({m}), 6) {n}_{m}' for m in HELD_METRICS for n, f in (('mean', 'avg'), ('median', 'median')))} FROM ee")
+def holdout_prediction_summary(spark, d):
+    """Mean and median error over the held-out sensors."""
+    return rounded(holdout.metric_tables(predictions(spark, d), "with_bias", "without_bias", "o")[1], 6)
