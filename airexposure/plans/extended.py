@@ -43,11 +43,12 @@ def home_curves(spark, d):
     return home_curve_rows(spark, d).select("person_id", "bin_index", _r("home_increment", 8).alias("home_increment"), _r("home_cumulative", 7).alias("home_cumulative"))
 
 
-@query(f"{C.sql_detailed()}, {C.SQL_CURVES}, {SQL_HOME_CURVES} SELECT person_id, CAST(bin_index AS INTEGER) bin_index, round(cumulative, 7) activity, round(home_cumulative, 7) home, round(cumulative - home_cumulative, 7) + 0e0 delta, round((cumulative - home_cumulative) / ((bin_index + 1) / 12e0), 9) + 0e0 delta_twac FROM curves JOIN home_curves USING (person_id, bin_index)")
+@query(f"{C.sql_detailed()}, {C.SQL_CURVES}, {SQL_HOME_CURVES} SELECT person_id, CAST(bin_index AS INTEGER) bin_index, round(cumulative, 7) activity, round(home_cumulative, 7) home, round(cumulative - home_cumulative, 7) + 0e0 delta, round((cumulative - home_cumulative) / ((bin_index + 1) / 12e0) + 3.1416e-8, 7) + 0e0 delta_twac FROM curves JOIN home_curves USING (person_id, bin_index)")
 def timeseries_export(spark, d):
     both = C.curve_rows(spark, d).join(home_curve_rows(spark, d), ["person_id", "bin_index"])
     delta = F.col("cumulative") - F.col("home_cumulative")
-    return both.select("person_id", "bin_index", _r("cumulative", 7).alias("activity"), _r("home_cumulative", 7).alias("home"), (_r(delta, 7) + 0.0).alias("delta"), (_r(delta / ((F.col("bin_index") + 1) / 12.0), 9) + 0.0).alias("delta_twac"))
+    # quotients often end on a tie, which the last bits of a sum would settle: they are rounded a little beside the middle
+    return both.select("person_id", "bin_index", _r("cumulative", 7).alias("activity"), _r("home_cumulative", 7).alias("home"), (_r(delta, 7) + 0.0).alias("delta"), (_r(delta / ((F.col("bin_index") + 1) / 12.0) + 3.1416e-8, 7) + 0.0).alias("delta_twac"))
 
 
 @query(f"{C.sql_detailed()}, {C.SQL_CURVES}, {C.SQL_COHORTS} SELECT cohort, grp, CAST(bin_index AS INTEGER) + 1 AS point, round(avg(cumulative), 7) mean_cumulative, round(median(cumulative), 7) median_cumulative FROM curves JOIN members USING (person_id) GROUP BY cohort, grp, bin_index UNION ALL SELECT DISTINCT cohort, grp, 0, 0e0, 0e0 FROM members JOIN (SELECT DISTINCT person_id FROM detailed) q USING (person_id)")

@@ -137,7 +137,7 @@ def file_surfaces(spark, d):
     return rounded(both.select("lon", "lat", F.expr("(a.p95 - a.p05) - (b.p95 - b.p05) d90"), F.expr("(a.p75 - a.p25) - (b.p75 - b.p25) d50")))
 
 
-_COMPARED = "round(activity, 9) activity, round(home, 9) home, round(delta, 9) delta, round(ratio, 9) ratio"
+_COMPARED = "round(activity, 9) activity, round(home, 9) home, round(delta, 7) delta, round(ratio, 9) ratio"
 
 
 @query(f"{C.SQL_COMPARE}, sums AS (SELECT person_id, count(*) details, sum(exposure) s FROM detailed GROUP BY person_id) SELECT person_id, {_COMPARED}, details, round(s, 7) exposure FROM compared JOIN sums USING (person_id)")
@@ -150,7 +150,8 @@ def file_results(spark, d):
     back = lambda name: spark.read.option("header", True).csv(f"{path}/{name}")
     number = lambda *names: [F.col(c).cast("double").alias(c) for c in names]
     sums = back("detailed").select("person_id", *number("exposure")).groupBy("person_id").agg(F.count(F.lit(1)).alias("details"), _r(F.sum("exposure"), 7).alias("exposure"))
-    return rounded(back("comparison").select("person_id", *number("activity", "home", "delta", "ratio")).join(sums, "person_id"))
+    persons = back("comparison").select("person_id", *number("activity", "home", "delta", "ratio")).withColumn("delta", _r("delta", 7))
+    return rounded(persons.join(sums, "person_id"))
 
 
 @query(f"{C.SQL_COMPARE} SELECT person_id, round(activity, 9) activity, round(home, 9) home, round(coalesce(ratio, 0e0), 9) ratio, 'cumulative' metric, 'ug/m3*h' units FROM compared")
