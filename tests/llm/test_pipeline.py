@@ -82,12 +82,16 @@ def test_whole_run(spark, tmp_path):
     texts[11] = prose(rng, 40) + " " + asked.upper() + " " + prose(rng, 40)
     texts[20] = texts[21].title()
     texts += [texts[3]] * 6 + [None, "", "too short", "one two three four five six seven eight " * 9]
+    # within the fixed limits, but far from all others
+    outlier = len(texts)
+    texts.append(" ".join(f"{w}#$%&" for w in prose(rng, 80).split()))
     rows = list(enumerate(texts))
-    docs = [(i, t, "en", "web" if i % 3 else "hot", len(t or ""), f"extra {i}") for i, t in rows]
+    docs = [(i, t, "en" if i % 5 else None, None if i % 7 == 0 else "web" if i % 3 else "hot", len(t or ""), f"extra {i}") for i, t in rows]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int, kept string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("b1", asked), ("b2", None), ("b3", "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
-    want = first_of_each([(i, t) for i, t in rows if passes_rules(t)])
+    assert passes_rules(texts[outlier])
+    want = first_of_each([(i, t) for i, t in rows if passes_rules(t) and i != outlier])
     assert len(want) == 89 and 20 in dict(want) and 21 not in dict(want)
     want = without_repeats(want)
     assert not any(shared in t for _, t in want)
