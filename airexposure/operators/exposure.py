@@ -127,8 +127,10 @@ def activity_metric(total: DataFrame, metric: str | None = None) -> DataFrame:
 
 
 def rate(rule: str = "travel_first", suffix: str = "") -> Column:
-    """Exposure rate of a row: travel exposure of travel rows first, or concentration first."""
+    """Exposure rate of a row: travel exposure of travel rows first, the same with 0 for travel rows without one, or concentration first."""
     c, t = F.col(f"concentration{suffix}"), F.col(f"travel_exposure{suffix}")
+    if rule == "travel_or_zero":
+        return F.when(F.col("location_type") == "travel", F.coalesce(t, F.lit(0.0))).otherwise(c)
     if rule == "travel_first":
         return F.when((F.col("location_type") == "travel") & t.isNotNull(), t).otherwise(c)
     return F.coalesce(c, t)

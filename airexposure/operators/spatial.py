@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .distribution import percentiles
+from .staging import staged
+
 METRES_PER_DEGREE = 111_320.0
 
 
@@ -39,17 +42,30 @@ def clip(points: DataFrame, rings: DataFrame, band: float) -> DataFrame:
     return near.join(odd.select("lon", "lat").distinct(), ["lon", "lat"], "left_semi")
 
 
-def _ranked(points: DataFrame, axis: str) -> DataFrame:
-    # one row for each grid line, not for each point, goes through this window
-    return points.select(axis).filter(F.col(axis).isNotNull()).distinct().withColumn("_i", F.row_number().over(Window.orderBy(axis)) - 1).withColumn("_gap", F.col(axis) - F.lag(axis).over(Window.orderBy(axis)))
+def ranked_lines(points: DataFrame, axis: str) -> DataFrame:
+    """(axis, _i, _gap): the distinct values of an axis, their ranks from 0 and their distances to the value before.
+
+    Values are dealt into ranges and numbered within them; what comes before a range follows from the ranges' counts and last values.
+    """
+    values = points.select(axis).filter(F.col(axis).isNotNull()).distinct().repartitionByRange(axis).sortWithinPartitions(axis)
+    # the number holds the range in its upper bits and the place within it in the lower 33
+    rows = staged(values.withColumn("_m", F.monotonically_increasing_id()), "lines")
+    rows = rows.select(axis, F.shiftright("_m", 33).alias("_part"), (F.col("_m") % (1 << 33)).alias("_nth"))
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.max(axis).alias("_end"))
+    order = Window.orderBy("_part")  # of ranges, as many as there are shuffle partitions
+    before = parts.select("_part", (F.sum("_n").over(order) - F.col("_n")).alias("_start"), F.lag("_end").over(order).alias("_last"))
+    out = rows.join(F.broadcast(before), "_part")
+    previous = F.coalesce(F.lag(axis).over(Window.partitionBy("_part").orderBy("_nth")), "_last")
+    return out.select(axis, (F.col("_start") + F.col("_nth")).alias("_i"), (F.col(axis) - previous).alias("_gap"))
 
 
 def thin(points: DataFrame, metres: float) -> DataFrame:
     """Every n-th grid line each way, n being the target spacing over the median spacing of lines, rounded, at least 1."""
     middle, grid = F.radians(F.lit(points.agg(F.avg("lat")).head()[0] or 0.0)), points
     for axis, scale in (("lon", F.cos(middle) * METRES_PER_DEGREE), ("lat", F.lit(METRES_PER_DEGREE))):
-        lines = _ranked(grid, axis)
-        stride = lines.agg(F.greatest(F.lit(1), F.floor(F.coalesce(F.lit(metres) / (F.median("_gap") * scale), F.lit(1.0)) + 0.5).cast("int")).alias("_stride"))
+        lines = ranked_lines(grid, axis)
+        middle_gap = percentiles(lines, [], "_gap", {"gap": 0.5}).agg(F.max("gap").alias("gap"))  # null where there is one line at most
+        stride = middle_gap.select(F.greatest(F.lit(1), F.floor(F.coalesce(F.lit(metres) / (F.col("gap") * scale), F.lit(1.0)) + 0.5).cast("int")).alias("_stride"))
         kept = lines.join(F.broadcast(stride)).filter("_i % _stride = 0").select(axis)
         points = points.join(kept, axis, "left_semi")
     return points

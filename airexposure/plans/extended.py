@@ -387,3 +387,72 @@ def holdout_prediction_errors(spark, d):
 def holdout_prediction_summary(spark, d):
     """Mean and median error over the held-out sensors."""
     return rounded(holdout.metric_tables(predictions(spark, d), "with_bias", "without_bias", "o")[1], 6)
+
+
+# Other forms of the daily figures.
+
+
+@query(f"WITH {C.SQL_STAYS} SELECT microenv, CASE WHEN location_type = 'travel' THEN CASE WHEN microenv = 'travel_unknown' THEN 'mode_unknown' ELSE 'mode' END WHEN dist_to_home_m <= 100 THEN 'home_distance' WHEN purpose IN ('work', 'school') THEN 'purpose' ELSE 'default' END microenv_rule, count(*) n FROM stays GROUP BY 1, 2")
+def microenv_rules(spark, d):
+    """Stays by microenvironment and the rule that gave it."""
+    return C.stays(spark, d).groupBy("microenv", "microenv_rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {C.SQL_ASSIGN}, {C.SQL_STAYS} SELECT s.person_id, CAST(seq AS BIGINT) seq, microenv, round(CASE WHEN microenv = 'work_indoor' THEN p_outdoor END, 9) p_outdoor_work FROM stays s LEFT JOIN assigned a ON a.person_id = s.person_id")
+def outdoor_work_on_stays(spark, d):
+    """Stays with the probability that work there is done outdoors."""
+    return rounded(staypoints.with_outdoor_work(C.stays(spark, d), C.persons(spark, d)).select("person_id", "seq", "microenv", "p_outdoor_work"))
+
+
+_TOTAL_OF = {b: f"SELECT person_id, sum(exposure) total_{b} FROM ({C.sql_detailed(band=b)} SELECT person_id, exposure FROM detailed) q GROUP BY person_id" for b in ("mid", "low", "high")}
+
+
+@query(f"SELECT person_id, {', '.join(f'round(total_{b}, 8) total_{b}' for b in _TOTAL_OF)} FROM ({_TOTAL_OF['mid']}) m JOIN ({_TOTAL_OF['low']}) l USING (person_id) JOIN ({_TOTAL_OF['high']}) h USING (person_id)")
+def daily_exposure_bands(spark, d):
+    """Daily exposure from the middle, low and high values of the field."""
+    out = exposure.totals(C.detailed(spark, d, bands=BANDS), BANDS)
+    return rounded(out.select("person_id", *[F.col(f"total_exposure{s}").alias(f"total_{s[1:] or 'mid'}") for s in BANDS]), 8)
+
+
+@query(f"{C.SQL_COMPARE}, tw AS (SELECT t.person_id, CASE WHEN duration_hours > 0 THEN total_exposure / duration_hours ELSE 0e0 END activity, coalesce(home / 24, {C.FALLBACK} / 24e0) home FROM totals t LEFT JOIN home_day h ON t.person_id = h.person_id) SELECT person_id, round(activity, 8) activity, round(home, 8) home, round(activity - home, 7) delta, round(CASE WHEN home > 0 THEN activity / home END, 8) ratio FROM tw")
+def comparison_twac(spark, d):
+    """Time-weighted averages of the day and of a day at home."""
+    day = staged(C.stays(spark, d), "stays")
+    activity = exposure.activity_metric(exposure.totals(C.detailed(spark, d, of=day)), "twac")
+    home = C.home_day(spark, d, day).withColumn("home", F.col("home") / 24)
+    out = exposure.compare(activity, home, exposure.home_fallback(C.FALLBACK / 24, "twac"))
+    return rounded(out.withColumn("delta", _r("delta", 7)), 8)
+
+
+def _static(metric: str, factor: str) -> None:
+    activity = "total_exposure" if metric == "cumulative" else "CASE WHEN duration_hours > 0 THEN total_exposure / duration_hours ELSE 0e0 END"
+    sql = f"{C.sql_detailed()}, {C.SQL_TOTALS}, {C.SQL_HOME}, cs AS (SELECT t.person_id, {activity} activity, coalesce(c * {factor}, 10e0 * {factor}) home FROM totals t LEFT JOIN first_origin o ON o.person_id = t.person_id) SELECT person_id, round(activity, 8) activity, round(home, 8) home, round(activity - home, 7) delta, round(CASE WHEN home > 0 THEN activity / home END, 8) ratio FROM cs"
+
+    def run(spark, d):
+        rows = staged(C.detailed(spark, d).select("person_id", "location_type", "lon", "lat", "start_s", "seq", "concentration", "exposure", "duration_hours"), "details")
+        home = exposure.home_total(exposure.first_origin(rows), metric)
+        out = exposure.compare(exposure.activity_metric(exposure.totals(rows), metric), home, exposure.home_fallback(10.0, metric))
+        return rounded(out.withColumn("delta", _r("delta", 7)), 8)
+
+    run.__name__ = f"comparison_static_{metric}"
+    run.__doc__ = "The day against one spent at the place where it begins, at that place's concentration; persons without one get the fallback."
+    query(sql)(run)
+
+
+_static("cumulative", "24e0")
+_static("twac", "1e0")
+
+
+@query(f"{C.sql_detailed()} SELECT count(*) n, round(min(c), 8) min_concentration, round(max(c), 8) max_concentration, round(avg(c), 7) mean_concentration, round(min(exposure), 8) min_exposure, round(max(exposure), 8) max_exposure, round(avg(exposure), 7) mean_exposure FROM detailed")
+def concentration_summary(spark, d):
+    """Least, largest and mean concentration and exposure over all pieces of all days."""
+    out = C.detailed(spark, d).agg(F.count(F.lit(1)).alias("n"), *[f(v).alias(f"{n}_{v}") for v in ("concentration", "exposure") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))])
+    return out.select("n", *[_r(c, 7 if c.startswith("mean") else 8).alias(c) for c in out.columns[1:]])
+
+
+@query(f"{C.sql_detailed()}, {C.SQL_COHORTS}, peaks AS (SELECT cohort, grp, coalesce(p.v, 0e0) v FROM members LEFT JOIN (SELECT person_id, max(CASE WHEN location_type = 'travel' THEN coalesce(te, 0e0) ELSE c END) v FROM detailed GROUP BY person_id) p USING (person_id)) " + C._sql_described("peaks", "cohort, grp", "v"))
+def cohort_peak_in_memory(spark, d):
+    """Peaks by the rule that counts travel without a value as 0."""
+    peak = C.detailed(spark, d).groupBy("person_id").agg(F.max(exposure.rate("travel_or_zero")).alias("v"))
+    rows = C.members(spark, d).join(peak, "person_id", "left").fillna(0.0, ["v"])
+    return C._described(distribution.describe(rows, ["cohort", "grp"], "v"), ["cohort", "grp"])

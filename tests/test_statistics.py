@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from airexposure.operators import distribution, exposure, randoms
+from airexposure.operators import distribution, exposure, randoms, spatial
 
 
 def check(spark, rows, groups, values, quantiles):
@@ -94,3 +94,12 @@ def test_thinning_keeps_whole_draws(spark):
     assert {(r.chain, r.draw) for r in randoms.chosen_draws(rows, 7, "chain", "draw", seed=2).collect()} == {(r.chain, r.draw) for r in few}
     assert {(r.chain, r.draw) for r in randoms.chosen_draws(rows, 7, "chain", "draw", seed=3).collect()} != {(r.chain, r.draw) for r in few}
     assert randoms.chosen_draws(rows, 100, "chain", "draw").count() == 120
+
+
+def test_lines_are_ranked_over_ranges(spark):
+    values = sorted({round(random.Random(9).random() * k, 6) for k in range(1, 300)})
+    rows = spark.createDataFrame([(v,) for v in values + values[:50]] + [(None,)], "lon double").repartition(5)
+    got = sorted(((r.lon, r._i, r._gap) for r in spatial.ranked_lines(rows, "lon").collect()), key=lambda x: x[1])
+    assert [(v, i) for v, i, _ in got] == [(v, i) for i, v in enumerate(values)]
+    assert got[0][2] is None and [g for _, _, g in got[1:]] == pytest.approx(np.diff(values).tolist())
+    assert spatial.thin(spark.createDataFrame([(1.0, 2.0)], "lon double, lat double"), 500.0).count() == 1
