@@ -20,10 +20,10 @@ def trace(draws: DataFrame) -> DataFrame:
     return draws.groupBy("param", "chain", "draw").agg(F.avg("value").alias("value"))
 
 
-def width_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pearson correlation of the widths p95 - p05 and p75 - p25 of two surfaces joined on place."""
-    w = lambda d, k: d.select("lon", "lat", (F.col("p95") - F.col("p05")).alias(f"w90_{k}"), (F.col("p75") - F.col("p25")).alias(f"w50_{k}"))
-    both = w(a, "a").join(w(b, "b"), ["lon", "lat"])
+def width_correlation(a: DataFrame, b: DataFrame, keys: tuple = ("lon", "lat")) -> DataFrame:
+    """Pearson correlation of the widths p95 - p05 and p75 - p25 of two surfaces joined on place, or on other keys where places repeat."""
+    w = lambda d, k: d.select(*keys, (F.col("p95") - F.col("p05")).alias(f"w90_{k}"), (F.col("p75") - F.col("p25")).alias(f"w50_{k}"))
+    both = w(a, "a").join(w(b, "b"), list(keys))
     return both.agg(F.count(F.lit(1)).alias("n"), F.corr("w90_a", "w90_b").alias("r90"), F.corr("w50_a", "w50_b").alias("r50"))
 
 
