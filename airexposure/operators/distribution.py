@@ -20,12 +20,13 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], more: Column | N
     return left.join(other, match).drop(*[f"_o_{k}" for k in keys])
 
 
-def summarise(df: DataFrame, groups: list[str], values: list[str], quantiles: dict[str, float]) -> DataFrame:
+def summarise(df: DataFrame, groups: list[str], values: list[str], quantiles: dict[str, float], each: str | None = None, at_hand: bool = False) -> DataFrame:
     """groups, column, n, mean, std (0 of one row), min, max and one column for each quantile, linearly interpolated.
 
     One row for each group and each of the value columns that has finite numbers; null, NaN and infinite ones don't count.
 
-    The values are staged once. The ranks that the quantiles ask for start in one bracket a group, from its least to its largest
+    each: a column with a list of structs, of whose fields some of the groups are: a row counts once for each; it is staged as a list.
+    The values are staged once, unless they are at hand, as a staged table is. The ranks that the quantiles ask for start in one bracket a group, from its least to its largest
     value. Each pass counts the rows of the open brackets by CELLS equal parts, or by value where a bracket has at most SMALL
     rows, before anything is shuffled; the parts that hold a wanted rank are the next brackets. A part whose least and largest
     values are equal is an answer. Both ends of a bracket fall into parts of their own, so every pass narrows all brackets; usually
@@ -34,9 +35,13 @@ def summarise(df: DataFrame, groups: list[str], values: list[str], quantiles: di
     for name in ("column", "_v", "n", "mean", "std", "min", "max"):
         if name in groups:
             raise ValueError(f"a group may not be called {name}")
-    wide = staged(df.select(*groups, *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)]), "values")
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("column"), F.col(f"_v{i}").alias("_v")) for i, v in enumerate(values)]))
-    rows = wide.select(*groups, each.alias("_x")).select(*groups, "_x.column", "_x._v")
+    own = [g for g in groups if g in df.columns] if each else groups
+    wide = df.select(*own, *([each] if each else []), *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
+    wide = wide if at_hand else staged(wide, "values")
+    if each:
+        wide = wide.withColumn("_one", F.explode(each)).select(*[g if g in own else f"_one.{g}" for g in groups], *[f"_v{i}" for i in range(len(values))])
+    cells = F.explode(F.array(*[F.struct(F.lit(v).alias("column"), F.col(f"_v{i}").alias("_v")) for i, v in enumerate(values)]))
+    rows = wide.select(*groups, cells.alias("_x")).select(*groups, "_x.column", "_x._v")
     rows = rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
     keys = [*groups, "column"]
     figures = [F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max")]
@@ -88,8 +93,8 @@ def described(df: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
     return out.select(*groups, "column", "n", "mean", "median", "std", "min", "max", "p25", "p75")
 
 
-def medians(df: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
+def medians(df: DataFrame, groups: list[str], values: list[str], each: str | None = None, at_hand: bool = False) -> DataFrame:
     """groups with mean_<value> and median_<value> of several columns, from one evaluation; a group without any finite number is absent."""
-    long = summarise(df, groups, values, {"median": 0.5})
+    long = summarise(df, groups, values, {"median": 0.5}, each, at_hand)
     of = lambda figure, v: F.max(F.when(F.col("column") == v, F.col(figure))).alias(f"{figure}_{v}")
     return long.groupBy(*groups).agg(*[of(figure, v) for v in values for figure in ("mean", "median")])

@@ -125,13 +125,20 @@ def orthonormal_basis(training: DataFrame, held: DataFrame, centres: list[tuple[
     return every.join(F.broadcast(table), "centre").groupBy("sensor_index", F.col("to").alias("centre")).agg(F.sum(F.col("phi") * F.col("f")).alias("q"))
 
 
-def predicted_shape(weights: DataFrame, spatial: DataFrame, temporal: DataFrame, mean: DataFrame, training: DataFrame) -> DataFrame:
+def predicted_shape(weights: DataFrame, spatial: DataFrame, temporal: DataFrame, mean: DataFrame, training: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(sensor_index, draw, bin, log_s) from posterior weights (draw, centre, term, w), spatial (sensor_index, centre, q), temporal (term, bin, t),
-    mean (draw, bin, mu) and training (sensor_index): z = mu + r, r centred over the training sensors, and log_s as ``log_shape``."""
-    a = weights.join(spatial, "centre").groupBy("sensor_index", "draw", "term").agg(F.sum(F.col("w") * F.col("q")).alias("a"))
-    r = a.join(temporal, "term").groupBy("sensor_index", "draw", "bin").agg(F.sum(F.col("a") * F.col("t")).alias("r"))
-    centre = r.join(training.select("sensor_index").distinct(), "sensor_index", "left_semi").groupBy("draw", "bin").agg(F.avg("r").alias("m"))
-    z = r.join(centre, ["draw", "bin"]).join(mean, ["draw", "bin"]).select("sensor_index", "draw", "bin", (F.col("mu") + F.col("r") - F.col("m")).alias("z"))
+    mean (draw, bin, mu) and training (sensor_index): z = mu + r, r centred over the training sensors, and log_s as ``log_shape``.
+
+    wanted: (sensor_index) of which the shapes are asked, else all. r is linear in q, so its mean over the training sensors is that of their
+    mean features. Weights, waves and means of the kept draws are few and go to where the sensors are.
+    """
+    waves = weights.join(F.broadcast(temporal), "term").groupBy("draw", "centre", "bin").agg(F.sum(F.col("w") * F.col("t")).alias("f"))  # draws x centres x bins
+    middle = spatial.join(training.select("sensor_index").distinct(), "sensor_index", "left_semi").groupBy("centre").agg(F.avg("q").alias("m"))
+    centred = waves.join(F.broadcast(middle), "centre").groupBy("draw", "bin").agg(F.sum(F.col("f") * F.col("m")).alias("m"))
+    offset = mean.join(F.broadcast(centred), ["draw", "bin"]).select("draw", "bin", (F.col("mu") - F.col("m")).alias("offset"))
+    asked = spatial if wanted is None else spatial.join(wanted.select("sensor_index").distinct(), "sensor_index", "left_semi")
+    r = asked.join(F.broadcast(waves), "centre").groupBy("sensor_index", "draw", "bin").agg(F.sum(F.col("f") * F.col("q")).alias("r"))
+    z = r.join(F.broadcast(offset), ["draw", "bin"]).select("sensor_index", "draw", "bin", (F.col("offset") + F.col("r")).alias("z"))
     return log_shape(z, "sensor_index", "draw").select("sensor_index", "draw", "bin", "log_s")
 
 
