@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .staging import staged
 
 CELLS = 1024  # parts of a bracket that are counted
 SMALL = 2048  # rows of a bracket whose values are counted one by one
+LISTED = 256  # parts of a bracket of lists, which a task counts for all places at once
+AT_ONCE = 1024  # rows with lists that are counted at once
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], more: Column | None = None) -> DataFrame:
@@ -46,6 +50,26 @@ def summarise(df: DataFrame, groups: list[str], values: list[str], quantiles: di
     keys = [*groups, "column"]
     figures = [F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max")]
     moments = staged(rows.groupBy(*keys).agg(*figures), "moments")
+
+    def counted(open_: DataFrame) -> DataFrame:
+        inside = _joined(rows, open_.drop("_ranks", "_before"), keys, (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        # halves don't overflow; where the parts are too narrow to tell, the first value is set apart
+        part = F.floor(F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2) * CELLS)
+        part = F.when(F.col("_size") > SMALL, F.coalesce(part, F.when(F.col("_v") > F.col("_lo"), CELLS).otherwise(0)))
+        value = F.when(F.col("_size") <= SMALL, F.col("_v"))
+        parts = inside.groupBy(*keys, "_lo", part.alias("_part"), value.alias("_value")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        return parts.drop("_part", "_value")
+
+    out, ends = _ranked(moments, keys, quantiles, counted)
+    return out.select(*keys, "n", "mean", "std", "min", "max", *ends)
+
+
+def _ranked(moments: DataFrame, keys: list[str], quantiles: dict[str, float], counted: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[Column]]:
+    """moments (keys, n, min, max, ...) with what the wanted ranks hold, and a column for each quantile.
+
+    counted: the rows of open brackets (keys, _lo, _hi, _before, _size, _ranks) by parts, as (keys, _lo, _c, _min, _max): how many, the
+    least and the largest value. Parts of a bracket don't overlap.
+    """
     position = {name: (F.col("n") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
     lower = {name: F.floor(p).cast("long") for name, p in position.items()}
     upper = {name: F.ceil(p).cast("long") for name, p in position.items()}
@@ -53,14 +77,8 @@ def summarise(df: DataFrame, groups: list[str], values: list[str], quantiles: di
     open_ = moments.select(*keys, F.col("min").alias("_lo"), F.col("max").alias("_hi"), F.lit(0).cast("long").alias("_before"), F.col("n").alias("_size"), ranks.alias("_ranks"))
     found = None
     while True:
-        inside = _joined(rows, open_.drop("_ranks", "_before"), keys, (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        # halves don't overflow; where the parts are too narrow to tell, the first value is set apart
-        part = F.floor(F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2) * CELLS)
-        part = F.when(F.col("_size") > SMALL, F.coalesce(part, F.when(F.col("_v") > F.col("_lo"), CELLS).otherwise(0)))
-        value = F.when(F.col("_size") <= SMALL, F.col("_v"))
-        parts = inside.groupBy(*keys, "_lo", part.alias("_part"), value.alias("_value")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
         order = Window.partitionBy(*keys, "_lo").orderBy("_min")  # at most CELLS + 1 or SMALL rows
-        ended = parts.withColumn("_end", F.sum("_c").over(order)).drop("_part", "_value")
+        ended = counted(open_).withColumn("_end", F.sum("_c").over(order))
         met = _joined(ended, open_.drop("_hi", "_size"), [*keys, "_lo"])
         met = met.withColumns({"_first": F.col("_before") + F.col("_end") - F.col("_c"), "_after": F.col("_before") + F.col("_end")})
         met = met.withColumn("_here", F.filter("_ranks", lambda r: (r >= F.col("_first")) & (r < F.col("_after")))).filter(F.size("_here") > 0)
@@ -72,9 +90,117 @@ def summarise(df: DataFrame, groups: list[str], values: list[str], quantiles: di
         if open_.isEmpty():
             break
     answers = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_at"))).alias("_found"))  # two entries a quantile at most
-    out = _joined(moments, answers, keys)
     ends = {name: (F.element_at("_found", lower[name]), F.element_at("_found", upper[name]), position[name] - F.floor(position[name])) for name in quantiles}
-    return out.select(*keys, "n", "mean", "std", "min", "max", *[((1 - w) * a + w * b).alias(name) for name, (a, b, w) in ends.items()])
+    return _joined(moments, answers, keys), [((1 - w) * a + w * b).alias(name) for name, (a, b, w) in ends.items()]
+
+
+def _matrices(columns: list[str], n: int, running: dict[str, str]):
+    """A function of Arrow batches to (column, matrix of rows x n) of their lists; numbers that are no finite ones are NaN."""
+    import numpy as np
+
+    def run(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(k, AT_ONCE)
+                for c in columns:
+                    flat = batch.column(running.get(c, c)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n)
+                    flat = np.cumsum(flat, axis=1) if c in running else flat
+                    yield c, np.where(np.isfinite(flat), flat, np.nan)
+
+    return run
+
+
+def _moments(columns: list[str], n: int, running: dict[str, str]):
+    import numpy as np
+    import pyarrow as pa
+
+    matrices = _matrices(columns, n, running)
+
+    def run(batches):
+        total = {c: [np.zeros(n, np.int64), np.zeros(n), np.full(n, np.inf), np.full(n, -np.inf)] for c in columns}
+        for c, m in matrices(batches):
+            t = total[c]
+            t[0] += (~np.isnan(m)).sum(axis=0)
+            t[1] += np.nansum(m, axis=0)
+            t[2], t[3] = np.fmin(t[2], np.fmin.reduce(m, axis=0)), np.fmax(t[3], np.fmax.reduce(m, axis=0))
+        for c, t in total.items():
+            some = t[0] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)[some]), pa.array([c] * int(some.sum()), pa.string()), *[pa.array(x[some]) for x in t]], names=["bin_index", "column", "n", "_sum", "min", "max"])
+
+    return run
+
+
+def _counts(columns: list[str], n: int, running: dict[str, str], brackets: list[tuple]):
+    """Parts of the brackets (column, bin_index, lo, hi, size), counted over a task's rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    matrices = _matrices(columns, n, running)
+    names = ["bin_index", "column", "_lo", "_part", "_value", "_c", "_min", "_max"]
+    ordered = sorted(brackets)
+    rounds: dict[str, list[dict[int, int]]] = {c: [] for c in columns}  # of each column, brackets of different bins, dealt with at once
+    for k, (c, b, *_) in enumerate(ordered):
+        at = next((r for r in rounds[c] if b not in r), None)
+        if at is None:
+            rounds[c].append(at := {})
+        at[b] = k
+    lo, hi = np.array([b[2] for b in ordered]), np.array([b[3] for b in ordered])
+    few = np.array([b[4] <= SMALL for b in ordered], bool)
+    column, place = np.array([b[0] for b in ordered], object), np.array([b[1] for b in ordered], np.int32)
+
+    def rows(k, part, value, c, least, most):
+        return pa.RecordBatch.from_arrays([pa.array(place[k]), pa.array(column[k], pa.string()), pa.array(lo[k]), pa.array(part, pa.int64()), pa.array(value, pa.float64()), pa.array(c, pa.int64()), pa.array(least), pa.array(most)], names=names)
+
+    def run(batches):
+        size = len(ordered) * (LISTED + 1)
+        count, least, most = np.zeros(size, np.int64), np.full(size, np.inf), np.full(size, -np.inf)
+        for c, m in matrices(batches):
+            for one in rounds[c]:
+                bins = np.fromiter(one.keys(), np.int64)
+                which = np.fromiter(one.values(), np.int64)
+                some = m if len(bins) == n and (bins == np.arange(n)).all() else m[:, bins]
+                at = np.nonzero((some >= lo[which]) & (some <= hi[which]))
+                v, k = some[at], which[at[1]]
+                exact = few[k]
+                if exact.any():
+                    yield rows(k[exact], np.full(exact.sum(), -1), v[exact], np.ones(exact.sum(), np.int64), v[exact], v[exact])
+                    v, k = v[~exact], k[~exact]
+                width = hi[k] / 2 - lo[k] / 2
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    part = np.floor((v / 2 - lo[k] / 2) / width * LISTED)
+                part = np.where(width > 0, part, np.where(v > lo[k], LISTED, 0)).astype(np.int64)
+                cell = k * (LISTED + 1) + part
+                count += np.bincount(cell, minlength=size)
+                np.minimum.at(least, cell, v)
+                np.maximum.at(most, cell, v)
+        held = np.nonzero(count)[0]
+        for k in range(0, len(held), 65_536):
+            h = held[k : k + 65_536]
+            yield rows(h // (LISTED + 1), h % (LISTED + 1), np.full(len(h), 0.0), count[h], least[h], most[h])
+
+    return run
+
+
+def summarise_lists(df: DataFrame, values: list[str], n: int, quantiles: dict[str, float], running: dict[str, str] | None = None) -> DataFrame:
+    """bin_index, column, n, mean, min, max and the quantiles as ``summarise`` gives them, of each place in lists of n numbers.
+
+    df: one list a row and column; it should be staged, for every pass reads it. running: value columns that are the running sums of a list column.
+    The brackets, a few for each place and quantile whatever the rows are, go to the tasks, which count their own rows by numpy.
+    """
+    running = running or {}
+    lists = df.select(*dict.fromkeys(running.get(v, v) for v in values))
+    keys = ["bin_index", "column"]
+    each = lists.mapInArrow(_moments(values, n, running), "bin_index int, column string, n long, _sum double, min double, max double")
+    moments = each.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum("_sum") / F.sum("n")).alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"))
+    moments = staged(moments, "moments")
+
+    def counted(open_: DataFrame) -> DataFrame:
+        brackets = [tuple(r) for r in open_.select("column", "bin_index", "_lo", "_hi", "_size").collect()]  # two a quantile and place at most
+        parts = lists.mapInArrow(_counts(values, n, running, brackets), "bin_index int, column string, _lo double, _part long, _value double, _c long, _min double, _max double")
+        return parts.groupBy(*keys, "_lo", "_part", "_value").agg(F.sum("_c").alias("_c"), F.min("_min").alias("_min"), F.max("_max").alias("_max")).drop("_part", "_value")
+
+    out, ends = _ranked(moments, keys, quantiles, counted)
+    return out.select(*keys, "n", "mean", "min", "max", *ends)
 
 
 def percentiles(df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
