@@ -34,12 +34,22 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
+#: Rows of a row group where rows have megabytes; Parquet looks at a group's size first after a hundred rows.
+GROUP_ROWS = 4
+
+
+def materialize(df: DataFrame, tag: str, codec: str = "snappy", large_rows: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    A task holds a row group to write it, and to read it up to 4096 of its rows; large_rows bounds both by GROUP_ROWS.
+    """
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    if large_rows:
+        writer = writer.option("parquet.block.row.count.limit", GROUP_ROWS)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -66,7 +66,7 @@ def postings(docs: DataFrame) -> DataFrame:
     """The stored positional index of docs.text: a row for each block, with its texts' other columns."""
     named = docs.select(row_without(docs, "text", *RESULTS, "hits").alias("row"), "text")
     found = named.mapInArrow(tidy(_index), f"rows array<{kind_of(named, 'row')}>, counts array<long>, terms binary, begins binary, positions binary")
-    return materialize(found.withColumn("block", F.monotonically_increasing_id()), "postings", "zstd")
+    return materialize(found.withColumn("block", F.monotonically_increasing_id()), "postings", "zstd", large_rows=True)
 
 
 class Block:
