@@ -1,7 +1,10 @@
+import glob
+import os
+
 from pyarrow.parquet import ParquetFile
 from pyspark.sql import functions as F
 
-from airexposure.llm import decontaminate
+from airexposure.llm import common, decontaminate
 
 
 def test_row_groups_of_postings_are_bounded(spark):
@@ -17,3 +20,15 @@ def test_row_groups_of_postings_are_bounded(spark):
     items = spark.createDataFrame([("i", "A, b")], "item_id string, text string")
     hits = decontaminate.by_text(index, decontaminate.phrase_hits(index, items)).filter("size(hits) > 0").collect()
     assert [(r.row.doc_id, r.items) for r in hits] == [(0, ["i"])]
+
+
+def test_the_stage_of_the_pipeline_bounds_its_row_groups(spark):
+    """All of eleven blocks would be one row group, whatever their size."""
+    docs = spark.range(0, 11, 1, 1).select("id", F.expr("repeat(concat('w', id, ' '), 1500000)").alias("text"))
+    before = set(glob.glob(f"{common.scratch_dir(spark)}/postings-*"))
+    items = spark.createDataFrame([("i", "w3 " * 13)], "item_id string, text string")
+    assert sorted(r.id for r in decontaminate.drop_contaminated(docs, items).select("id").collect()) == [i for i in range(11) if i != 3]
+    (made,) = set(glob.glob(f"{common.scratch_dir(spark)}/postings-*")) - before
+    files = [ParquetFile(os.path.join(made, f)).metadata for f in os.listdir(made) if f.endswith(".parquet")]
+    rows = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(rows) >= 11 and max(rows) <= common.GROUP_ROWS
