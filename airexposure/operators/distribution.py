@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ CELLS = 1024  # parts of a bracket that are counted
 SMALL = 2048  # rows of a bracket whose values are counted one by one
 LISTED = 256  # parts of a bracket of lists, which a task counts for all places at once
 AT_ONCE = 1024  # rows with lists that are counted at once
+BRACKETS = 16_384  # brackets of lists whose parts a task holds, some 100 MB
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], more: Column | None = None) -> DataFrame:
@@ -94,18 +97,30 @@ def _ranked(moments: DataFrame, keys: list[str], quantiles: dict[str, float], co
     return _joined(moments, answers, keys), [((1 - w) * a + w * b).alias(name) for name, (a, b, w) in ends.items()]
 
 
-def _matrices(columns: list[str], n: int, running: dict[str, str]):
-    """A function of Arrow batches to (column, matrix of rows x n) of their lists; numbers that are no finite ones are NaN."""
+def _matrices(columns: list[str], n: int, running: dict[str, str], wanted: set[tuple[int, str]] | None = None):
+    """A function of Arrow batches to (group, column, matrix of rows x n) of the lists of each group's rows; numbers that are no finite ones
+    are NaN. Rows count for the groups that their list ``_groups`` numbers, or all for group 0 where there is none. wanted: which to give."""
     import numpy as np
 
     def run(batches):
         for whole in batches:
             for k in range(0, whole.num_rows, AT_ONCE):
                 batch = whole.slice(k, AT_ONCE)
+                rows_of = {0: slice(None)}
+                if "_groups" in batch.schema.names:
+                    lists = batch.column("_groups")
+                    group = lists.flatten().to_numpy(zero_copy_only=False)
+                    whose = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+                    rows_of = {int(g): whose[group == g] for g in np.unique(group)}
                 for c in columns:
+                    some = [g for g in rows_of if wanted is None or (g, c) in wanted]
+                    if not some:
+                        continue
                     flat = batch.column(running.get(c, c)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n)
                     flat = np.cumsum(flat, axis=1) if c in running else flat
-                    yield c, np.where(np.isfinite(flat), flat, np.nan)
+                    flat = np.where(np.isfinite(flat), flat, np.nan)
+                    for g in some:
+                        yield g, c, flat[rows_of[g]]
 
     return run
 
@@ -117,62 +132,71 @@ def _moments(columns: list[str], n: int, running: dict[str, str]):
     matrices = _matrices(columns, n, running)
 
     def run(batches):
-        total = {c: [np.zeros(n, np.int64), np.zeros(n), np.full(n, np.inf), np.full(n, -np.inf)] for c in columns}
-        for c, m in matrices(batches):
-            t = total[c]
+        total: dict[tuple[int, str], list] = {}
+        for g, c, m in matrices(batches):
+            t = total.setdefault((g, c), [np.zeros(n, np.int64), np.zeros(n), np.full(n, np.inf), np.full(n, -np.inf)])
             t[0] += (~np.isnan(m)).sum(axis=0)
             t[1] += np.nansum(m, axis=0)
             t[2], t[3] = np.fmin(t[2], np.fmin.reduce(m, axis=0)), np.fmax(t[3], np.fmax.reduce(m, axis=0))
-        for c, t in total.items():
+        for (g, c), t in total.items():
             some = t[0] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)[some]), pa.array([c] * int(some.sum()), pa.string()), *[pa.array(x[some]) for x in t]], names=["bin_index", "column", "n", "_sum", "min", "max"])
+            k = int(some.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, g, np.int32)), pa.array(np.arange(n, dtype=np.int32)[some]), pa.array([c] * k, pa.string()), *[pa.array(x[some]) for x in t]], names=["_group", "bin_index", "column", "n", "_sum", "min", "max"])
 
     return run
 
 
 def _counts(columns: list[str], n: int, running: dict[str, str], brackets: list[tuple]):
-    """Parts of the brackets (column, bin_index, lo, hi, size), counted over a task's rows."""
+    """Parts of the brackets (group, column, bin_index, lo, hi, size), counted over a task's rows."""
     import numpy as np
     import pyarrow as pa
 
-    matrices = _matrices(columns, n, running)
-    names = ["bin_index", "column", "_lo", "_part", "_value", "_c", "_min", "_max"]
     ordered = sorted(brackets)
-    rounds: dict[str, list[dict[int, int]]] = {c: [] for c in columns}  # of each column, brackets of different bins, dealt with at once
-    for k, (c, b, *_) in enumerate(ordered):
-        at = next((r for r in rounds[c] if b not in r), None)
+    rounds: dict[tuple[int, str], list[dict[int, int]]] = {}  # of each group's column, brackets of different bins, dealt with at once
+    for k, (g, c, b, *_) in enumerate(ordered):
+        of = rounds.setdefault((g, c), [])
+        at = next((r for r in of if b not in r), None)
         if at is None:
-            rounds[c].append(at := {})
+            of.append(at := {})
         at[b] = k
-    lo, hi = np.array([b[2] for b in ordered]), np.array([b[3] for b in ordered])
-    few = np.array([b[4] <= SMALL for b in ordered], bool)
-    column, place = np.array([b[0] for b in ordered], object), np.array([b[1] for b in ordered], np.int32)
+    matrices = _matrices(columns, n, running, set(rounds))
+    names = ["_group", "bin_index", "column", "_lo", "_part", "_value", "_c", "_min", "_max"]
+    lo, hi = np.array([b[3] for b in ordered]), np.array([b[4] for b in ordered])
+    few = np.array([b[5] <= SMALL for b in ordered], bool)
+    group, column, place = np.array([b[0] for b in ordered], np.int32), np.array([b[1] for b in ordered], object), np.array([b[2] for b in ordered], np.int32)
 
     def rows(k, part, value, c, least, most):
-        return pa.RecordBatch.from_arrays([pa.array(place[k]), pa.array(column[k], pa.string()), pa.array(lo[k]), pa.array(part, pa.int64()), pa.array(value, pa.float64()), pa.array(c, pa.int64()), pa.array(least), pa.array(most)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(group[k]), pa.array(place[k]), pa.array(column[k], pa.string()), pa.array(lo[k]), pa.array(part, pa.int64()), pa.array(value, pa.float64()), pa.array(c, pa.int64()), pa.array(least), pa.array(most)], names=names)
 
     def run(batches):
         size = len(ordered) * (LISTED + 1)
         count, least, most = np.zeros(size, np.int64), np.full(size, np.inf), np.full(size, -np.inf)
-        for c, m in matrices(batches):
-            for one in rounds[c]:
+        for g, c, m in matrices(batches):
+            for one in rounds[g, c]:
                 bins = np.fromiter(one.keys(), np.int64)
                 which = np.fromiter(one.values(), np.int64)
                 some = m if len(bins) == n and (bins == np.arange(n)).all() else m[:, bins]
-                at = np.nonzero((some >= lo[which]) & (some <= hi[which]))
-                v, k = some[at], which[at[1]]
-                exact = few[k]
-                if exact.any():
-                    yield rows(k[exact], np.full(exact.sum(), -1), v[exact], np.ones(exact.sum(), np.int64), v[exact], v[exact])
-                    v, k = v[~exact], k[~exact]
-                width = hi[k] / 2 - lo[k] / 2
+                width = hi[which] / 2 - lo[which] / 2
+                inside = (some >= lo[which]) & (some <= hi[which])
+                if inside.all() and not few[which].any() and (width > 0).all():  # as in the first pass
+                    v, k = some, which
+                else:
+                    at = np.nonzero(inside)
+                    v, k = some[at], which[at[1]]
+                    exact = few[k]
+                    if exact.any():
+                        yield rows(k[exact], np.full(exact.sum(), -1), v[exact], np.ones(exact.sum(), np.int64), v[exact], v[exact])
+                        v, k = v[~exact], k[~exact]
+                    width = hi[k] / 2 - lo[k] / 2
                 with np.errstate(divide="ignore", invalid="ignore"):
                     part = np.floor((v / 2 - lo[k] / 2) / width * LISTED)
                 part = np.where(width > 0, part, np.where(v > lo[k], LISTED, 0)).astype(np.int64)
-                cell = k * (LISTED + 1) + part
-                count += np.bincount(cell, minlength=size)
-                np.minimum.at(least, cell, v)
-                np.maximum.at(most, cell, v)
+                cell, v = (k * (LISTED + 1) + part).ravel(), v.ravel()
+                first, last = which.min() * (LISTED + 1), (which.max() + 1) * (LISTED + 1)  # a column's brackets are side by side
+                count[first:last] += np.bincount(cell - first, minlength=last - first)
+                less, more = v < least[cell], v > most[cell]
+                np.minimum.at(least, cell[less], v[less])
+                np.maximum.at(most, cell[more], v[more])
         held = np.nonzero(count)[0]
         for k in range(0, len(held), 65_536):
             h = held[k : k + 65_536]
@@ -181,26 +205,38 @@ def _counts(columns: list[str], n: int, running: dict[str, str], brackets: list[
     return run
 
 
-def summarise_lists(df: DataFrame, values: list[str], n: int, quantiles: dict[str, float], running: dict[str, str] | None = None) -> DataFrame:
+def summarise_lists(df: DataFrame, values: list[str], n: int, quantiles: dict[str, float], running: dict[str, str] | None = None, each: str | None = None) -> DataFrame:
     """bin_index, column, n, mean, min, max and the quantiles as ``summarise`` gives them, of each place in lists of n numbers.
 
     df: one list a row and column; it should be staged, for every pass reads it. running: value columns that are the running sums of a list column.
-    The brackets, a few for each place and quantile whatever the rows are, go to the tasks, which count their own rows by numpy.
+    each: a column with a list of structs, the groups for which a row counts; their fields come first then. Groups should be few, as cohorts are:
+    they are numbered, and the brackets, a few for each group, place and quantile whatever the rows are, go to the tasks, which count their
+    own rows by numpy, BRACKETS at a time.
     """
     running = running or {}
-    lists = df.select(*dict.fromkeys(running.get(v, v) for v in values))
-    keys = ["bin_index", "column"]
-    each = lists.mapInArrow(_moments(values, n, running), "bin_index int, column string, n long, _sum double, min double, max double")
-    moments = each.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum("_sum") / F.sum("n")).alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"))
+    lists = df.select(*dict.fromkeys(running.get(v, v) for v in values), *([each] if each else []))
+    if each:
+        number = df.select(F.explode(F.array_distinct(each)).alias("g")).distinct().coalesce(1).withColumn("_group", F.monotonically_increasing_id().cast("int"))
+        numbers = staged(number, "groups")
+        of = F.map_from_entries(F.collect_list(F.struct(F.to_json("g", {"ignoreNullFields": "false"}), "_group")))
+        table = numbers.agg(of.alias("t")).head()[0]  # a number for each group
+        known = F.from_json(F.lit(json.dumps(table)), "map<string, int>")
+        lists = lists.withColumn("_groups", F.transform(F.array_distinct(each), lambda g: F.element_at(known, F.to_json(g, {"ignoreNullFields": "false"})))).drop(each)
+    keys = ["_group", "bin_index", "column"]
+    types = "_group int, bin_index int, column string"
+    per_task = lists.mapInArrow(_moments(values, n, running), f"{types}, n long, _sum double, min double, max double")
+    moments = per_task.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum("_sum") / F.sum("n")).alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"))
     moments = staged(moments, "moments")
 
     def counted(open_: DataFrame) -> DataFrame:
-        brackets = [tuple(r) for r in open_.select("column", "bin_index", "_lo", "_hi", "_size").collect()]  # two a quantile and place at most
-        parts = lists.mapInArrow(_counts(values, n, running, brackets), "bin_index int, column string, _lo double, _part long, _value double, _c long, _min double, _max double")
-        return parts.groupBy(*keys, "_lo", "_part", "_value").agg(F.sum("_c").alias("_c"), F.min("_min").alias("_min"), F.max("_max").alias("_max")).drop("_part", "_value")
+        brackets = sorted(tuple(r) for r in open_.select("_group", "column", "bin_index", "_lo", "_hi", "_size").collect())  # two a quantile, group and place at most
+        parts = [lists.mapInArrow(_counts(values, n, running, brackets[k : k + BRACKETS]), f"{types}, _lo double, _part long, _value double, _c long, _min double, _max double") for k in range(0, max(1, len(brackets)), BRACKETS)]
+        return reduce(DataFrame.unionByName, parts).groupBy(*keys, "_lo", "_part", "_value").agg(F.sum("_c").alias("_c"), F.min("_min").alias("_min"), F.max("_max").alias("_max")).drop("_part", "_value")
 
     out, ends = _ranked(moments, keys, quantiles, counted)
-    return out.select(*keys, "n", "mean", "min", "max", *ends)
+    if each:
+        out = out.join(F.broadcast(numbers), "_group")
+    return out.select(*(["g.*"] if each else []), "bin_index", "column", "n", "mean", "min", "max", *ends)
 
 
 def percentiles(df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
